@@ -6,6 +6,8 @@ from the source columns without decoding anything.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,12 @@ def catalogue_rows() -> list[tuple]:
 
 
 def event_catalogue(spark: SparkSession) -> Catalogue:
+    """The catalogue of the event messages, prepared once per session."""
+    return _prepared(spark, spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=1)
+def _prepared(spark: SparkSession, application: str) -> Catalogue:
     return prepare_catalogue(spark.createDataFrame(catalogue_rows(), CATALOGUE))
 
 

@@ -105,7 +105,7 @@ def oracle_sql() -> dict[str, str]:
     texts = _with(FRAMES, SIGNALS, TEXTS)
     lines = _with(FRAMES, SIGNALS, TEXTS, LINES)
     buckets = """SELECT capture_id, epoch_us(time_bucket(INTERVAL '{width}', ts)) AS bucket_micros, signal,
-               count(*) AS samples, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high
+               count(*) AS samples, round(avg(value), 7) AS mean, min(value) AS low, max(value) AS high
         FROM signals {where} GROUP BY ALL"""
     windows = """SELECT capture_id, epoch_us(time_bucket(INTERVAL '{width}', ts)) AS window_start_micros,
                count(*) AS frames, round(count(*) / {seconds}::DOUBLE, 9) AS fps
@@ -191,12 +191,12 @@ def oracle_sql() -> dict[str, str]:
                   FROM signals GROUP BY time_bucket(INTERVAL '1 hour', ts))
             WHERE x IS NOT NULL AND y IS NOT NULL""",
         "signal_drift": f"""{signals}
-            SELECT capture_id, signal, epoch_us(bucket) AS bucket_micros, samples, round(mean, 6) AS mean,
-                   round(mean - lag(mean) OVER (PARTITION BY capture_id, signal ORDER BY bucket), 6) AS change
+            SELECT capture_id, signal, epoch_us(bucket) AS bucket_micros, samples, round(mean, 7) AS mean,
+                   round(mean - lag(mean) OVER (PARTITION BY capture_id, signal ORDER BY bucket), 7) AS change
             FROM (SELECT capture_id, signal, time_bucket(INTERVAL '4 hours', ts) AS bucket,
                          count(*) AS samples, avg(value) AS mean FROM signals GROUP BY ALL)""",
         "signal_trend": f"""{signals}
-            SELECT capture_id, signal, count(*) AS samples, round(regr_slope(value, "timestamp"), 6) AS slope
+            SELECT capture_id, signal, count(*) AS samples, round(regr_slope(value, "timestamp"), 6) + 0.0::DOUBLE AS slope
             FROM signals GROUP BY capture_id, signal""",
         "quarantine": f"""{frames}
             SELECT seq, can_id_dec, concat_ws('; ',
@@ -232,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY capture_id, rule, signal""",
         "sink_csv": f"""{texts}
             SELECT f.capture_id, f."timestamp", f.can_id, f.dlc, f.data_hex, {wide_text}
-            FROM frames f LEFT JOIN cells s USING (seq) GROUP BY f.seq, ALL""".replace("GROUP BY f.seq, ALL", "GROUP BY f.seq, f.capture_id, f.\"timestamp\", f.can_id, f.dlc, f.data_hex"),
+            FROM frames f LEFT JOIN cells s USING (seq) GROUP BY f.seq, f.capture_id, f."timestamp", f.can_id, f.dlc, f.data_hex""",
         "sink_ndjson": f"""{texts}
             SELECT f.capture_id, f.seq, f."timestamp", f.can_id, f.can_id_dec, f.dlc, f.data_hex, {bytes_text},
                    x.by_name AS parsed

@@ -235,7 +235,7 @@ def signal_bucket_stats(spark, sf_dir):
 def _buckets(table: DataFrame) -> DataFrame:
     return table.select(
         "capture_id", _micros(F.col("bucket_start")).alias("bucket_micros"), "signal", "samples",
-        F.round("mean", 6).alias("mean"), "low", "high",
+        F.round("mean", 7).alias("mean"), "low", "high",
     )
 
 
@@ -258,14 +258,15 @@ def signal_correlation(spark, sf_dir):
 def signal_drift(spark, sf_dir):
     return signals.signal_drift(_long(spark, sf_dir), "4 hours").select(
         "capture_id", "signal", _micros(F.col("bucket_start")).alias("bucket_micros"), "samples",
-        F.round("mean", 6).alias("mean"), F.round("change", 6).alias("change"),
+        F.round("mean", 7).alias("mean"), F.round("change", 7).alias("change"),
     )
 
 
 @query
 def signal_trend(spark, sf_dir):
     return signals.signal_trend(_long(spark, sf_dir)).select(
-        "capture_id", "signal", "samples", F.round("slope", 6).alias("slope")
+        # Adding zero turns a negative zero into zero.
+        "capture_id", "signal", "samples", (F.round("slope", 6) + 0.0).alias("slope")
     )
 
 

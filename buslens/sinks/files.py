@@ -92,7 +92,9 @@ def json_records(frames: DataFrame, catalogue, extra: list[str] | None = None) -
 
 def _json_value(text: Column, is_label: Column) -> Column:
     """Numbers print as in the text; labels and what is no number as strings."""
-    number = F.try_parse_json(F.when(~is_label, text))
+    # A parsed 28.0 would print as 28, so whole floats go in as DOUBLE.
+    whole = F.when(text.endswith(".0"), text.try_cast("double").cast("variant"))
+    number = F.when(~is_label, F.coalesce(whole, F.try_parse_json(text)))
     return F.coalesce(number, text.cast("variant"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buslens.functions.bits import ALL_KINDS, KIND_FLOAT32, KIND_FLOAT64, KIND_INT, KIND_UNSIGNED64
-from buslens.scale import fits_broadcast, lookup_join
+from buslens.scale import fits_broadcast, lookup_join, materialise
 from buslens.schemas import CATALOGUE
 
 log = logging.getLogger(__name__)
@@ -97,10 +97,15 @@ def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 
 def prepare_catalogue(table: DataFrame) -> Catalogue:
-    """Check a catalogue and precompute the shifts and masks of every signal."""
+    """Check a catalogue and precompute the shifts and masks of every signal.
+
+    The result is written out once, so that plans using it only scan it.
+    """
     small = fits_broadcast(table, CATALOGUE_ROWS)
-    # One partition lets the preparation of a small table run without shuffles.
-    prepared = _prepare(table.coalesce(1) if small else table)
+    prepared = materialise(_prepare(table), "catalogue")
+    if small:
+        # One partition spares later plans the shuffles of grouping it by message.
+        prepared = prepared.coalesce(1)
     ids: dict[str, list[int]] = {}
     traits = Traits()
     if small:
