@@ -1,19 +1,16 @@
 """Cut signal values out of 64-bit payload words.
 
-A *layout* is a struct column (or a set of plain columns) prepared once per
-signal by the catalogue: ``is_le, end_bit, shift, mask, sign_shift, kind,
-scale, offset``. Every expression here is plain arithmetic on it, so the same
-code serves one row per signal, arrays of signals and one column per signal.
+The catalogue prepares a *layout* per signal: ``is_le, end_bit, shift, mask,
+sign_shift, kind, scale, offset, …``. The functions here return SQL expression
+text over the words ``_le`` and ``_be``, the payload length ``_bits`` and a
+layout whose fields start with a given prefix (``""`` for plain columns,
+``"s."`` for a struct ``s``). One text serves one row per signal, arrays of
+signals and one column per signal, and hundreds of columns build quickly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-Layout = Callable[[str], Column]
+from buslens.functions.text import float_text_sql
 
 # How the raw bits of a signal are read.
 KIND_INT, KIND_UNSIGNED64, KIND_FLOAT32, KIND_FLOAT64 = 0, 1, 2, 3
@@ -22,75 +19,78 @@ FLOAT_KINDS = frozenset({KIND_FLOAT32, KIND_FLOAT64})
 TWO_POW_64 = "18446744073709551616"
 
 
-def fits(layout: Layout, bits: Column) -> Column:
-    """The signal ends inside the bits present."""
-    return layout("end_bit") <= bits
+def complete_sql(s: str) -> str:
+    """The signal ends inside the bytes present."""
+    return f"coalesce({s}end_bit <= _bits, false)"
 
 
-def raw_value(layout: Layout, le: Column, be: Column) -> Column:
+def raw_sql(s: str) -> str:
     """Raw bits, sign-extended where signed."""
-    word = F.when(layout("is_le"), le).otherwise(be)
-    cut = F.call_function("shiftrightunsigned", word, layout("shift"))
-    unsigned = cut.bitwiseAND(layout("mask"))
-    grow = layout("sign_shift")
-    return F.call_function("shiftright", F.call_function("shiftleft", unsigned, grow), grow)
+    word = f"CASE WHEN {s}is_le THEN _le ELSE _be END"
+    unsigned = f"shiftrightunsigned({word}, {s}shift) & {s}mask"
+    return f"shiftright(shiftleft({unsigned}, {s}sign_shift), {s}sign_shift)"
 
 
-def physical_value(layout: Layout, raw: Column, kinds: frozenset[int] = ALL_KINDS) -> Column:
+def value_sql(s: str, raw: str, kinds: frozenset[int] = ALL_KINDS) -> str:
     """``raw * scale + offset`` as DOUBLE, null for a null raw value.
 
     ``kinds`` are the kinds that occur in the catalogue; branches for others
     are not generated.
     """
     readers = {
-        KIND_INT: lambda: raw.cast("double"),
-        KIND_UNSIGNED64: lambda: _unsigned_to_double(raw),
-        KIND_FLOAT32: lambda: float32_from_bits(raw),
-        KIND_FLOAT64: lambda: float64_from_bits(raw),
+        KIND_INT: f"CAST({raw} AS DOUBLE)",
+        KIND_UNSIGNED64: unsigned_sql(raw),
+        KIND_FLOAT32: ieee_sql(raw, exponent_bits=8, fraction_bits=23),
+        KIND_FLOAT64: ieee_sql(raw, exponent_bits=11, fraction_bits=52),
     }
-    present = sorted(kinds) or [KIND_INT]
-    number = readers[present[0]]()
-    for kind in present[1:]:
-        number = F.when(layout("kind") == kind, readers[kind]()).otherwise(number)
-    return number * layout("scale") + layout("offset")
-
-
-def integer_text(layout: Layout, raw: Column) -> Column:
-    """Exact text of ``raw * scale + offset`` for integers beyond 2^53."""
-    exact = raw.cast("decimal(20,0)")
-    wrapped = (layout("kind") == KIND_UNSIGNED64) & (raw < 0)
-    exact = F.when(wrapped, exact + F.lit(TWO_POW_64).cast("decimal(20,0)")).otherwise(exact)
-    scaled = exact * layout("scale").cast("decimal(17,0)") + layout("offset").cast("decimal(17,0)")
-    return scaled.cast("string")
-
-
-def _unsigned_to_double(raw: Column) -> Column:
-    half = F.shiftrightunsigned(raw, 1).bitwiseOR(raw.bitwiseAND(F.lit(1)))
-    return F.when(raw >= 0, raw.cast("double")).otherwise(half.cast("double") * 2.0)
+    first, *others = sorted(kinds) or [KIND_INT]
+    branches = "".join(f" WHEN {kind} THEN {readers[kind]}" for kind in others)
+    number = f"CASE {s}kind{branches} ELSE {readers[first]} END" if others else readers[first]
+    return f"({number}) * {s}scale + {s}offset"
 
 
-def float32_from_bits(raw: Column) -> Column:
-    """IEEE 754 single precision."""
-    return _ieee(raw, exponent_bits=8, fraction_bits=23)
+def unsigned_sql(raw: str) -> str:
+    """A BIGINT read as unsigned 64-bit number, correctly rounded to DOUBLE."""
+    half = f"shiftrightunsigned({raw}, 1) | ({raw} & 1L)"
+    return f"CASE WHEN {raw} >= 0 THEN CAST({raw} AS DOUBLE) ELSE CAST({half} AS DOUBLE) * 2.0D END"
 
 
-def float64_from_bits(raw: Column) -> Column:
-    """IEEE 754 double precision."""
-    return _ieee(raw, exponent_bits=11, fraction_bits=52)
-
-
-def _ieee(raw: Column, exponent_bits: int, fraction_bits: int) -> Column:
+def ieee_sql(raw: str, exponent_bits: int, fraction_bits: int) -> str:
+    """An IEEE 754 number from its bits."""
     top = (1 << exponent_bits) - 1
     bias = top >> 1
-    negative = F.shiftrightunsigned(raw, exponent_bits + fraction_bits).bitwiseAND(F.lit(1)) == 1
-    sign = F.when(negative, F.lit(-1.0)).otherwise(F.lit(1.0))
-    exponent = F.shiftrightunsigned(raw, fraction_bits).bitwiseAND(F.lit(top))
-    fraction = raw.bitwiseAND(F.lit((1 << fraction_bits) - 1)).cast("double")
-    two = F.lit(2.0)
-    normal = (fraction / float(1 << fraction_bits) + 1.0) * F.pow(two, exponent.cast("double") - bias)
+    sign = f"(CASE WHEN shiftrightunsigned({raw}, {exponent_bits + fraction_bits}) & 1L = 1L THEN -1.0D ELSE 1.0D END)"
+    exponent = f"(shiftrightunsigned({raw}, {fraction_bits}) & {top}L)"
+    fraction = f"CAST({raw} & {(1 << fraction_bits) - 1}L AS DOUBLE)"
+    tiny = f"power(2.0D, {1 - bias - fraction_bits}.0D)"
+    scale = f"power(2.0D, {exponent} - {bias}.0D)"
     return (
-        F.when((exponent == top) & (fraction > 0), F.lit(float("nan")))
-        .when(exponent == top, sign * float("inf"))
-        .when(exponent == 0, sign * fraction * F.pow(two, F.lit(float(1 - bias - fraction_bits))))
-        .otherwise(sign * normal)
+        f"CASE WHEN {raw} IS NULL THEN CAST(NULL AS DOUBLE)"
+        f" WHEN {exponent} = {top}L AND {fraction} > 0D THEN double('NaN')"
+        f" WHEN {exponent} = {top}L THEN {sign} * double('Infinity')"
+        f" WHEN {exponent} = 0L THEN {sign} * {fraction} * {tiny}"
+        f" ELSE {sign} * ({fraction} / {1 << fraction_bits}.0D + 1.0D) * {scale} END"
     )
+
+
+def label_sql(s: str, raw: str) -> str:
+    """Text of the value table for the raw value, null without one."""
+    return f"CASE WHEN {s}choices IS NOT NULL THEN element_at({s}choices, {raw}) END"
+
+
+def integer_text_sql(s: str, raw: str) -> str:
+    """Exact text of ``raw * scale + offset`` for integers beyond 2^53."""
+    exact = f"CAST({raw} AS DECIMAL(20,0))"
+    wrapped = f"CASE WHEN {s}kind = {KIND_UNSIGNED64} AND {raw} < 0 THEN {TWO_POW_64}BD ELSE 0BD END"
+    scale, offset = (f"CAST({s}{c} AS DECIMAL(17,0))" for c in ("scale", "offset"))
+    return f"CAST(({exact} + {wrapped}) * {scale} + {offset} AS STRING)"
+
+
+def text_sql(s: str, raw: str, value: str, traits) -> str:
+    """Label, exact integer or shortest decimal text of a signal."""
+    text = float_text_sql(value, special=bool(traits.kinds & FLOAT_KINDS))
+    if traits.integers:
+        text = f"CASE WHEN {s}is_integer THEN CAST(try_cast({value} AS BIGINT) AS STRING) ELSE {text} END"
+    if traits.long_integers:
+        text = f"CASE WHEN {s}is_long_integer THEN {integer_text_sql(s, raw)} ELSE {text} END"
+    return f"coalesce({label_sql(s, raw)}, {text})" if traits.labelled else text

@@ -6,36 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def float_text(x: Column, special: bool = True) -> Column:
-    """Shortest decimal text of a DOUBLE, plain between 1e-4 and 1e16.
+def float_text_sql(x: str, special: bool = True) -> str:
+    """SQL for the shortest decimal text of a DOUBLE, plain between 1e-4 and 1e16.
 
     Spark prints 1.712057096123E9 where capture files hold 1712057096.123.
     ``special`` also spells infinities and NaN as the files do; leave it off
     for values that cannot be either, the generated code is then smaller.
     """
-    text = x.cast("string")
-    size = F.abs(x)
-    result = (
-        F.when(~text.contains("E"), text)
-        .when((size >= 1e7) & (size < 1e16), _trim_zeros(x.cast("decimal(26,9)")))
-        .when((size >= 1e-4) & (size < 1e-3), _trim_zeros(x.cast("decimal(22,21)")))
-        .otherwise(_scientific(text))
+    text = f"CAST({x} AS STRING)"
+
+    def plain(decimal: str) -> str:
+        # Without trailing zeros, keeping one decimal place.
+        return rf"regexp_replace(CAST(CAST({x} AS {decimal}) AS STRING), r'(\.\d\d*?)0+$', '$1')"
+
+    # 1.0E16 becomes 1e+16 and 1.5E-5 becomes 1.5e-05.
+    signed = rf"regexp_replace(regexp_replace({text}, r'\.0E', 'E'), r'E(\d)', 'E+$1')"
+    scientific = rf"lower(regexp_replace({signed}, r'E([+-])(\d)$', 'E$10$2'))"
+    spelled = (
+        f" WHEN isnan({x}) THEN 'nan' WHEN {x} = double('Infinity') THEN 'inf'"
+        f" WHEN {x} = double('-Infinity') THEN '-inf'"
+    )
+    return (
+        f"CASE{spelled if special else ''} WHEN NOT contains({text}, 'E') THEN {text}"
+        f" WHEN abs({x}) >= 1e7D AND abs({x}) < 1e16D THEN {plain('DECIMAL(26,9)')}"
+        f" WHEN abs({x}) >= 1e-4D AND abs({x}) < 1e-3D THEN {plain('DECIMAL(22,21)')}"
+        f" ELSE {scientific} END"
     )
-    if not special:
-        return result
-    infinite = F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf"))
-    return F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), infinite).otherwise(result)
-
-
-def _scientific(text: Column) -> Column:
-    """``1.0E16`` as ``1e+16``, ``1.5E-5`` as ``1.5e-05``."""
-    signed = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "E+$1")
-    return F.lower(F.regexp_replace(signed, r"E([+-])(\d)$", "E$10$2"))
-
-
-def _trim_zeros(number: Column) -> Column:
-    """Text of a DECIMAL without trailing zeros, keeping one decimal place."""
-    return F.regexp_replace(number.cast("string"), r"(\.\d\d*?)0+$", "$1")
 
 
 def clock_time(ts: Column) -> Column:

@@ -18,9 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buslens.functions.bits import FLOAT_KINDS, fits, integer_text, physical_value, raw_value
+from buslens.functions.bits import complete_sql, label_sql, raw_sql, text_sql, value_sql
 from buslens.functions.payload import MAX_BYTES, big_endian_word, swap_bytes
-from buslens.functions.text import float_text
 from buslens.scale import lookup_join
 from buslens.schemas import BASE_COLUMNS
 from buslens.sources.catalogue import Catalogue, Traits
@@ -44,18 +43,6 @@ def _with_words(frames: DataFrame) -> DataFrame:
     ).withColumn("_le", swap_bytes(F.col("_be")))
 
 
-def _raw(layout) -> Column:
-    return raw_value(layout, F.col("_le"), F.col("_be"))
-
-
-def _column(name: str) -> Column:
-    return F.col(name)
-
-
-def _field(struct: Column):
-    return lambda name: struct[name]
-
-
 def _with_selection(df: DataFrame, traits: Traits) -> DataFrame:
     """Evaluate the selector of the frame's message.
 
@@ -64,37 +51,20 @@ def _with_selection(df: DataFrame, traits: Traits) -> DataFrame:
     """
     if not traits.muxed:
         return df.withColumns({"_sel_raw": F.lit(None).cast("bigint"), "_void": F.lit(False)})
-    selector = _field(F.col("sel"))
-    present = F.coalesce(fits(selector, F.col("_bits")), F.lit(False))
-    value = F.col("_sel_raw")
-    return df.withColumn("_sel_raw", F.when(present, _raw(selector))).withColumn(
-        "_void", F.coalesce(~F.array_contains("sel_values", value), F.lit(False))
-    )
+    selected = F.expr(f"CASE WHEN {complete_sql('sel.')} THEN {raw_sql('sel.')} END")
+    void = F.expr("coalesce(NOT array_contains(sel_values, _sel_raw), false)")
+    return df.withColumn("_sel_raw", selected).withColumn("_void", void)
 
 
-def _chosen(layout, traits: Traits) -> Column:
+def _chosen(s: str, traits: Traits) -> str:
     """The signal is complete and, if multiplexed, selected."""
-    complete = F.coalesce(fits(layout, F.col("_bits")), F.lit(False))
     if not traits.muxed:
-        return complete
-    selected = F.coalesce(layout("mux_value") == F.col("_sel_raw"), F.lit(False))
-    return complete & (layout("mux_value").isNull() | selected)
-
-
-def _label(layout, raw: Column, traits: Traits) -> Column:
-    if not traits.labelled:
-        return F.lit(None).cast("string")
-    return F.when(layout("choices").isNotNull(), F.element_at(layout("choices"), raw))
+        return complete_sql(s)
+    return f"{complete_sql(s)} AND ({s}mux_value IS NULL OR coalesce({s}mux_value = _sel_raw, false))"
 
 
-def _value_text(layout, raw: Column, value: Column, traits: Traits) -> Column:
-    """Label, exact integer or shortest decimal text of a signal."""
-    text = float_text(value, special=bool(traits.kinds & FLOAT_KINDS))
-    if traits.integers:
-        text = F.when(layout("is_integer"), value.try_cast("bigint").cast("string")).otherwise(text)
-    if traits.long_integers:
-        text = F.when(layout("is_long_integer"), integer_text(layout, raw)).otherwise(text)
-    return F.coalesce(_label(layout, raw, traits), text) if traits.labelled else text
+def _label(s: str, raw: str, traits: Traits) -> str:
+    return label_sql(s, raw) if traits.labelled else "CAST(NULL AS STRING)"
 
 
 def _only_known(frames: DataFrame, ids: list[int] | None) -> DataFrame:
@@ -125,13 +95,13 @@ def signals_long(
     needed = list(dict.fromkeys([*keep, "can_id_dec", "data"]))
     known = _only_known(frames, catalogue.message_ids(signals)).select(*needed)
     rows = lookup_join(_with_words(known), table, ["can_id_dec"], "inner", small_fits=catalogue.small)
-    traits, raw = catalogue.traits, F.col("_raw")
-    rows = _with_selection(rows, traits).where(~F.col("_void") & _chosen(_column, traits))
-    return rows.withColumn("_raw", _raw(_column)).select(
+    traits = catalogue.traits
+    rows = _with_selection(rows, traits).where(f"NOT _void AND {_chosen('', traits)}")
+    return rows.withColumn("_raw", F.expr(raw_sql(""))).select(
         *keep,
         "signal",
-        physical_value(_column, raw, traits.kinds).alias("value"),
-        _label(_column, raw, traits).alias("label"),
+        F.expr(value_sql("", "_raw", traits.kinds)).alias("value"),
+        F.expr(_label("", "_raw", traits)).alias("label"),
     )
 
 
@@ -141,15 +111,12 @@ def decode(frames: DataFrame, catalogue: Catalogue | None) -> DataFrame:
         return frames.withColumn("parsed", F.lit(None).cast(PARSED_TYPE))
 
     traits = catalogue.traits
-
-    def entry(s: Column) -> Column:
-        layout, raw = _field(s["layout"]), s["raw"]
-        value = physical_value(layout, raw, traits.kinds)
-        return F.struct(
-            layout("signal"), F.struct(value.alias("value"), _label(layout, raw, traits).alias("label"))
-        )
-
-    return _per_frame(frames, catalogue, "parsed", lambda sigs: F.map_from_entries(F.transform(sigs, entry)))
+    value = value_sql("s.layout.", "s.raw", traits.kinds)
+    cell = f"named_struct('value', {value}, 'label', {_label('s.layout.', 's.raw', traits)})"
+    return _per_frame(
+        frames, catalogue, "parsed",
+        lambda sigs: f"map_from_entries(transform({sigs}, s -> struct(s.layout.signal, {cell})))",
+    )
 
 
 def signal_texts(frames: DataFrame, catalogue: Catalogue | None) -> DataFrame:
@@ -162,54 +129,37 @@ def signal_texts(frames: DataFrame, catalogue: Catalogue | None) -> DataFrame:
         return frames.withColumn("texts", F.lit(None).cast(TEXTS_TYPE))
 
     traits = catalogue.traits
-
-    def entry(s: Column) -> Column:
-        layout, raw = _field(s["layout"]), s["raw"]
-        value = physical_value(layout, raw, traits.kinds)
-        return F.struct(
-            layout("signal").alias("signal"),
-            _value_text(layout, raw, value, traits).alias("text"),
-            _label(layout, raw, traits).isNotNull().alias("is_label"),
-        )
-
-    return _per_frame(frames, catalogue, "texts", lambda sigs: F.transform(sigs, entry))
+    value = value_sql("s.layout.", "s.raw", traits.kinds)
+    text = text_sql("s.layout.", "s.raw", f"({value})", traits)
+    is_label = f"{_label('s.layout.', 's.raw', traits)} IS NOT NULL"
+    entry = f"named_struct('signal', s.layout.signal, 'text', {text}, 'is_label', {is_label})"
+    return _per_frame(frames, catalogue, "texts", lambda sigs: f"transform({sigs}, s -> {entry})")
 
 
 def _per_frame(frames: DataFrame, catalogue: Catalogue, name: str, build) -> DataFrame:
     """Left-join one catalogue row per message and build a column from it."""
-    # Plain signals come before multiplexed ones, each in catalogue order.
-    ordered = F.array_sort(
-        F.collect_list(
-            F.when(
-                F.col("signal").isNotNull(),
-                F.struct(
-                    F.col("mux_value").isNotNull().alias("muxed"), "position", "signal",
-                    F.struct(*_SIGNAL_FIELDS).alias("layout"),
-                ),
-            )
-        ),
-        lambda a, b: _compare(a, b),
-    )
+    fields = ", ".join(_SIGNAL_FIELDS)
+    # Plain signals come before multiplexed ones, each in catalogue order. The
+    # comparator leaves out the layouts, whose maps do not compare.
+    key = "struct({0}.muxed, {0}.position, {0}.signal)"
+    left, right = key.format("a"), key.format("b")
+    listed = f"""array_sort(
+        collect_list(struct(mux_value IS NOT NULL AS muxed, position, signal, struct({fields}) AS layout))
+          FILTER (WHERE signal IS NOT NULL),
+        (a, b) -> CASE WHEN {left} < {right} THEN -1 WHEN {left} > {right} THEN 1 ELSE 0 END)"""
     messages = catalogue.signals.groupBy(F.col("message_id").alias("can_id_dec")).agg(
-        F.transform(ordered, lambda s: s["layout"]).alias("_sigs"),
+        F.expr(f"transform({listed}, s -> s.layout)").alias("_sigs"),
         F.first("sel").alias("sel"),
         F.first("sel_values").alias("sel_values"),
     )
     rows = lookup_join(_with_words(frames), messages, ["can_id_dec"], "left", small_fits=catalogue.small)
     rows = _with_selection(rows, catalogue.traits)
-    chosen = F.transform(
-        F.filter(F.col("_sigs"), lambda s: _chosen(_field(s), catalogue.traits)),
-        lambda s: F.struct(s.alias("layout"), _raw(_field(s)).alias("raw")),
+    chosen = (
+        f"transform(filter(_sigs, s -> {_chosen('s.', catalogue.traits)}),"
+        f" s -> named_struct('layout', s, 'raw', {raw_sql('s.')}))"
     )
-    known = F.col("_sigs").isNotNull() & ~F.col("_void")
-    return rows.withColumn(name, F.when(known, build(chosen))).select(*frames.columns, name)
-
-
-def _compare(a: Column, b: Column) -> Column:
-    """Comparator on (muxed, position, signal); maps inside layouts do not compare."""
-    key_a = F.struct(a["muxed"], a["position"], a["signal"])
-    key_b = F.struct(b["muxed"], b["position"], b["signal"])
-    return F.when(key_a < key_b, -1).when(key_a > key_b, 1).otherwise(0)
+    built = F.expr(f"CASE WHEN _sigs IS NOT NULL AND NOT _void THEN {build(chosen)} END")
+    return rows.withColumn(name, built).select(*frames.columns, name)
 
 
 def frames_wide(
@@ -229,10 +179,10 @@ def frames_wide(
     check_wide_names(frames, keep, names)
     if not names:
         return frames.select(*keep)
-    layout = F.struct(*_SIGNAL_FIELDS[1:])
     slots = [f"_s{i}" for i in range(len(names))]
+    layout = ", ".join(_SIGNAL_FIELDS[1:])
     cells = [
-        F.first(F.when(F.col("signal") == name, layout), ignorenulls=True).alias(slot)
+        F.expr(f"first(CASE WHEN signal = '{name}' THEN struct({layout}) END, true)").alias(slot)
         for name, slot in zip(names, slots)
     ]
     messages = catalogue.signals.groupBy(F.col("message_id").alias("can_id_dec")).agg(
@@ -244,20 +194,17 @@ def frames_wide(
     rows = lookup_join(words, messages, ["can_id_dec"], "left", small_fits=catalogue.small)
     rows = _with_selection(rows, traits)
     # One projection per step, so that no step repeats the work of the one before.
-    fields = [_field(F.col(slot)) for slot in slots]
     raws = {
-        f"_r{i}": F.when(~F.col("_void") & _chosen(field, traits), _raw(field))
-        for i, field in enumerate(fields)
+        f"_r{i}": F.expr(f"CASE WHEN NOT _void AND {_chosen(f'{slot}.', traits)} THEN {raw_sql(f'{slot}.')} END")
+        for i, slot in enumerate(slots)
     }
     values = {
-        f"_v{i}": physical_value(field, F.col(f"_r{i}"), traits.kinds) for i, field in enumerate(fields)
+        f"_v{i}": F.expr(value_sql(f"{slot}.", f"_r{i}", traits.kinds)) for i, slot in enumerate(slots)
     }
     rows = rows.withColumns(raws).withColumns(values)
 
     def cell(i: int) -> Column:
-        if not as_text:
-            return F.col(f"_v{i}")
-        return _value_text(fields[i], F.col(f"_r{i}"), F.col(f"_v{i}"), traits)
+        return F.expr(text_sql(f"{slots[i]}.", f"_r{i}", f"_v{i}", traits)) if as_text else F.col(f"_v{i}")
 
     return rows.select(*keep, *[cell(i).alias(name) for i, name in enumerate(names)])
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from buslens.operators.normalise import moved_narrow
 from buslens.operators.ordered import number_rows
 from buslens.scale import lookup_join, materialise
 
@@ -18,7 +19,7 @@ STEP_SECONDS = 60.0
 
 def number_frames(frames: DataFrame, name: str = "frame_num") -> DataFrame:
     """1-based arrival number of every frame of its capture."""
-    return number_rows(frames, ["capture_id"], ORDER, name)
+    return moved_narrow(frames, lambda rows: number_rows(rows, ["capture_id"], ORDER, name))
 
 
 def limit_count(frames: DataFrame, count: int | None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from buslens.functions.payload import MAX_BYTES
 from buslens.operators.normalise import normalise
 from buslens.operators.ordered import with_previous
-from buslens.scale import lookup_join
+from buslens.scale import any_of, lookup_join
 from buslens.schemas import RAW_FRAME
 from buslens.sources.catalogue import Catalogue
 
@@ -22,12 +22,12 @@ REPORT_COLUMNS = [
 ]
 
 
-def frame_reasons() -> Column:
-    """Array of reasons why a frame is invalid; empty for a good frame."""
+def frame_rules() -> dict[str, Column]:
+    """Conditions that make a frame invalid, by reason."""
     size = F.length("data")
     remote = F.coalesce(F.col("is_remote"), F.lit(False))
     can_id, extended = F.col("can_id_dec"), F.coalesce(F.col("is_extended"), F.lit(False))
-    rules = {
+    return {
         "no timestamp": F.col("timestamp").isNull() | F.isnan("timestamp"),
         "negative timestamp": F.col("timestamp") < 0,
         "no identifier": can_id.isNull() | (can_id < 0),
@@ -38,18 +38,30 @@ def frame_reasons() -> Column:
         "remote frame with data": remote & (size > 0),
         "length differs from payload": ~remote & (F.col("dlc").isNull() | (F.col("dlc") != size)),
     }
-    return F.array_compact(F.array(*[F.when(rule, F.lit(reason)) for reason, rule in rules.items()]))
 
 
-def with_reasons(frames: DataFrame) -> DataFrame:
-    return frames.withColumn("reasons", frame_reasons())
+def frame_reasons() -> Column:
+    """Array of reasons why a frame is invalid; empty for a good frame."""
+    return F.array_compact(F.array(*[F.when(rule, F.lit(reason)) for reason, rule in frame_rules().items()]))
+
+
+def is_invalid() -> Column:
+    """Any rule broken; cheaper than the reasons and never null."""
+    return any_of([F.coalesce(rule, F.lit(False)) for rule in frame_rules().values()])
+
+
+def valid_frames(frames: DataFrame) -> DataFrame:
+    return frames.where(~is_invalid())
+
+
+def quarantined_frames(frames: DataFrame) -> DataFrame:
+    """Invalid frames with their reasons."""
+    return frames.where(is_invalid()).withColumn("reasons", frame_reasons())
 
 
 def split_valid(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good frames, and quarantined frames with their reasons."""
-    checked = with_reasons(frames)
-    good = checked.where(F.size("reasons") == 0).drop("reasons")
-    return good, checked.where(F.size("reasons") > 0)
+    """Good frames, and quarantined frames with their reasons; each is one filter on the scan."""
+    return valid_frames(frames), quarantined_frames(frames)
 
 
 def missing_frames(frames: DataFrame, catalogue: Catalogue, factor: float = 1.5) -> DataFrame:
@@ -106,7 +118,7 @@ def quality_report(frames: DataFrame, catalogue: Catalogue | None, factor: float
     keys = ["capture_id", "can_id_dec"]
     error, remote = F.coalesce("is_error", F.lit(False)), F.coalesce("is_remote", F.lit(False))
     per_payload = (
-        frames.withColumn("_bad", F.size(frame_reasons()) > 0)
+        frames.withColumn("_bad", is_invalid())
         .groupBy(*keys, "timestamp", "data")
         .agg(
             F.count(F.lit(1)).alias("n"),

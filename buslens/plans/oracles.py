@@ -203,7 +203,10 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN can_id_dec > 2047 THEN 'identifier needs extended frame' END,
                    CASE WHEN can_id_dec = 512 THEN 'remote frame with data' END,
                    CASE WHEN can_id_dec <> 512 AND dlc <> 8 THEN 'length differs from payload' END) AS reasons
-            FROM frames""",
+            FROM frames WHERE can_id_dec > 2047 OR can_id_dec = 512 OR dlc <> 8""",
+        "valid_frames": f"""{frames}
+            SELECT capture_id, seq, can_id, data_hex FROM frames
+            WHERE can_id_dec <= 2047 AND can_id_dec <> 512 AND dlc = 8""",
         "missing_frames": f"""{_with(FRAMES, GAPS)}
             SELECT capture_id, can_id_dec, seq, previous_seq, "timestamp", previous_timestamp,
                    round(gap_seconds, 6) AS gap_seconds, cycle_time_ms

@@ -167,7 +167,8 @@ def expected_signal_samples(spark, sf_dir):
 
 @query
 def frame_numbers(spark, sf_dir):
-    return limits.number_frames(event_frames(spark, sf_dir)).select("capture_id", "seq", "frame_num")
+    frames = event_frames(spark, sf_dir).select("capture_id", "seq", "timestamp")
+    return limits.number_frames(frames).select("capture_id", "seq", "frame_num")
 
 
 @query
@@ -275,10 +276,14 @@ def signal_trend(spark, sf_dir):
 
 @query
 def quarantine(spark, sf_dir):
-    good, bad = quality.split_valid(_as_logged(spark, sf_dir))
-    good = good.withColumn("reasons", F.array().cast("array<string>"))
-    both = good.unionByName(bad)
-    return both.select("seq", "can_id_dec", F.array_join("reasons", "; ").alias("reasons"))
+    bad = quality.quarantined_frames(_as_logged(spark, sf_dir))
+    return bad.select("seq", "can_id_dec", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query
+def valid_frames(spark, sf_dir):
+    good = quality.valid_frames(_as_logged(spark, sf_dir))
+    return good.select("capture_id", "seq", "can_id", "data_hex")
 
 
 @query

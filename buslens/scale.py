@@ -115,3 +115,8 @@ def sorted_slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def all_of(conditions: list[Column]) -> Column:
     """Conjunction of conditions; true when there is none."""
     return reduce(Column.__and__, conditions) if conditions else F.lit(True)
+
+
+def any_of(conditions: list[Column]) -> Column:
+    """Disjunction of conditions; false when there is none."""
+    return reduce(Column.__or__, conditions) if conditions else F.lit(False)

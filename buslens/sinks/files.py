@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buslens.functions.text import float_text, frame_line, json_safe
+from buslens.functions.text import float_text_sql, frame_line, json_safe
 from buslens.operators.decode import frames_wide, signal_texts
 from buslens.operators.limits import number_frames
+from buslens.operators.normalise import moved_narrow
 from buslens.scale import lookup_join
 from buslens.schemas import BASE_COLUMNS
 from buslens.sinks.registry import FrameSink, sinks
@@ -35,7 +36,9 @@ class FolderSink(FrameSink):
     def prepared(self, frames: DataFrame) -> DataFrame:
         if not self.ordered:
             return frames
-        return frames.repartitionByRange(*ARRIVAL).sortWithinPartitions(*ARRIVAL)
+        return moved_narrow(
+            frames, lambda rows: rows.repartitionByRange(*ARRIVAL).sortWithinPartitions(*ARRIVAL)
+        )
 
     def writer(self, rows: DataFrame, batch_id: int | None):
         # A replayed micro-batch replaces its own folder only.
@@ -55,7 +58,7 @@ class CsvSink(FolderSink):
 
 def csv_rows(frames: DataFrame, catalogue) -> DataFrame:
     wide = frames_wide(frames, catalogue, keep=["capture_id", *BASE_COLUMNS], as_text=True)
-    return wide.withColumn("timestamp", float_text(F.col("timestamp")))
+    return wide.withColumn("timestamp", F.expr(float_text_sql("timestamp")))
 
 
 @sinks.register("json")
@@ -83,7 +86,7 @@ def json_records(frames: DataFrame, catalogue, extra: list[str] | None = None) -
     extras = [json_safe(F.col(c), frames.schema[c].dataType).alias(c) for c in extra or []]
     return texts.select(
         "capture_id",
-        _json_value(float_text(F.col("timestamp")), F.lit(False)).alias("timestamp"),
+        _json_value(F.expr(float_text_sql("timestamp")), F.lit(False)).alias("timestamp"),
         *RECORD_COLUMNS[1:],
         parsed.alias("parsed"),
         *extras,
