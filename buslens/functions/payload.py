@@ -31,10 +31,9 @@ def byte_list(data: Column) -> Column:
     cells = [F.ascii(F.substring(chars, i + 1, 1)) for i in range(MAX_BYTES)]
     short = F.slice(F.array(*cells), F.lit(1), F.length(data))
     general = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(data), F.lit(1))),
-        lambda i: F.ascii(F.substring(chars, i, F.lit(1))),
+        F.sequence(F.lit(1), F.length(data)), lambda i: F.ascii(F.substring(chars, i, F.lit(1)))
     )
-    return F.when(F.length(data) <= MAX_BYTES, short).otherwise(general)
+    return F.when(F.length(data) <= MAX_BYTES, short).when(F.length(data) > MAX_BYTES, general)
 
 
 def big_endian_word(data: Column) -> Column:

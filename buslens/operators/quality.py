@@ -45,6 +45,11 @@ def frame_reasons() -> Column:
     return F.array_compact(F.array(*[F.when(rule, F.lit(reason)) for reason, rule in frame_rules().items()]))
 
 
+def with_reasons(frames: DataFrame) -> DataFrame:
+    """All frames with their ``reasons``, for reports that need both kinds in one pass."""
+    return frames.withColumn("reasons", frame_reasons())
+
+
 def is_invalid() -> Column:
     """Any rule broken; cheaper than the reasons and never null."""
     return any_of([F.coalesce(rule, F.lit(False)) for rule in frame_rules().values()])

@@ -82,18 +82,18 @@ def load_catalogue(spark: SparkSession, path: str | None, fmt: str = "parquet")
 
 
 def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    if fmt != "csv":
+    if fmt not in ("csv", "json"):
         return spark.read.schema(CATALOGUE).format(fmt).load(path)
-    flat = [
-        f"{f.name} {'string' if f.name == 'choices' else f.dataType.simpleString()}"
-        for f in CATALOGUE.fields
-    ]
-    # CSV holds the value table as JSON text in one cell.
-    return (
-        spark.read.schema(", ".join(flat)).option("header", True).option("mode", "FAILFAST")
-        .option("escape", '"').csv(path)
-        .withColumn("choices", F.from_json("choices", "map<bigint,string>"))
-    )
+    # Text formats know text keys only; in CSV the value table is JSON in one cell.
+    labels = {"json": "map<string,string>", "csv": "string"}[fmt]
+    fields = [f"{f.name} {labels if f.name == 'choices' else f.dataType.simpleString()}" for f in CATALOGUE.fields]
+    reader = spark.read.schema(", ".join(fields)).option("mode", "FAILFAST")
+    if fmt == "json":
+        table = reader.json(path)
+    else:
+        table = reader.option("header", True).option("escape", '"').csv(path)
+        table = table.withColumn("choices", F.from_json("choices", "map<string,string>"))
+    return table.withColumn("choices", F.col("choices").cast("map<bigint,string>"))
 
 
 def prepare_catalogue(table: DataFrame) -> Catalogue:
@@ -192,7 +192,8 @@ def _with_selector(t: DataFrame) -> DataFrame:
 
 def _problem() -> Column:
     """Why a catalogue row cannot be decoded; null for a good row."""
-    name = F.concat(F.col("message_id").cast("string"), F.lit("."), F.coalesce("signal", F.lit("")))
+    message = F.coalesce(F.col("message_id").cast("string"), F.lit("?"))
+    name = F.concat(message, F.lit("."), F.coalesce("signal", F.lit("")))
     has_signal = F.col("signal").isNotNull()
     start, length = F.col("start_bit"), F.col("bit_length")
 

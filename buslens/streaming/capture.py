@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,20 +12,34 @@ from buslens.operators.select import by_ids
 from buslens.scale import scratch_path
 from buslens.sinks.fanout import SinkErrors, fan_out
 from buslens.sinks.registry import FrameSink
+from buslens.streaming.progress import CaptureProgress
 
 
 class CaptureRun:
     """A running capture: its query, running totals and sink errors."""
 
-    def __init__(self, targets: dict[str, FrameSink], fail_on_error: bool):
+    def __init__(self, targets: dict[str, FrameSink], fail_on_error: bool, limits: dict, progress: CaptureProgress):
         self.query: StreamingQuery | None = None
         self.frames = 0
         self.errors: dict[str, Exception] = {}
         self._targets, self._fail, self._started = targets, fail_on_error, time.time()
+        self._limits, self._progress = limits, progress
 
     def write_batch(self, frames: DataFrame, batch_id: int) -> None:
+        bounded = self._limits["duration"] or self._limits["count"]
+        arrived = frames.persist(StorageLevel.MEMORY_AND_DISK) if bounded else frames
         try:
-            counts = fan_out(frames, self._targets, batch_id, cache=True)
+            kept = self._progress.select(arrived, batch_id, **self._limits)
+            self._write(kept, batch_id)
+            if bounded:
+                self._progress.advance(arrived, kept, batch_id)
+        finally:
+            if bounded:
+                arrived.unpersist()
+
+    def _write(self, kept: DataFrame, batch_id: int) -> None:
+        try:
+            counts = fan_out(kept, self._targets, batch_id, cache=True)
         except SinkErrors as failure:
             self.errors.update(failure.errors)
             if self._fail:
@@ -55,22 +70,32 @@ def start_capture(
     frames: DataFrame,
     targets: dict[str, FrameSink],
     ids: list[int] | None = None,
+    duration: float | None = None,
+    count: int | None = None,
     checkpoint: str | None = None,
     trigger: dict | None = None,
     fail_on_error: bool = True,
 ) -> CaptureRun:
     """Start writing a streaming frames table to all targets.
 
-    ``trigger`` defaults to every 10 seconds; ``{"availableNow": True}`` makes
-    a bounded run over what has landed. With ``fail_on_error`` a batch whose
-    sink failed stops the run and is replayed on resume, otherwise the error
-    is recorded and the run goes on without that batch in that sink.
+    The limits work per capture as in the batch plan, but over all batches; a
+    capture that reached its limit adds nothing more, and the stream goes on
+    for the others. ``trigger`` defaults to every 10 seconds;
+    ``{"availableNow": True}`` makes a bounded run over what has landed. With
+    ``fail_on_error`` a batch whose sink failed stops the run and is replayed
+    on resume, otherwise the error is recorded and the run goes on without
+    that batch in that sink.
     """
-    run = CaptureRun(targets, fail_on_error)
     checkpoint = checkpoint or scratch_path(frames.sparkSession, "capture")
+    limits = {"ids": ids, "duration": duration, "count": count}
+    # Beside the checkpoint, so that a resumed run finds both.
+    progress = CaptureProgress(f"{checkpoint.rstrip('/')}-progress")
+    run = CaptureRun(targets, fail_on_error, limits, progress)
+    if not duration and not count:
+        # Without limits the ID filter reaches the scan of the source.
+        frames = by_ids(frames, ids)
     run.query = (
-        by_ids(frames, ids)
-        .writeStream.foreachBatch(run.write_batch)
+        frames.writeStream.foreachBatch(run.write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
