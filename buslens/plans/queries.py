@@ -429,5 +429,5 @@ def stream_capture(spark, sf_dir):
     targets = {f: sinks.create(f, path=f"{path}/{f}", catalogue=catalogue) for f in ("csv", "txt")}
     run = start_capture(_stream(spark, sf_dir), targets, parse_id_list(ID_LIST), trigger={"availableNow": True})
     run.wait()
-    lines = spark.read.schema("value string, capture_id string").format("text").load(f"{path}/txt/batch_id=*")
+    lines = spark.read.schema("value string, batch_id int, capture_id string").format("text").load(f"{path}/txt")
     return lines.select("capture_id", F.col("value").alias("line"))

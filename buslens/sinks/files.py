@@ -12,7 +12,7 @@ from buslens.operators.normalise import moved_narrow
 from buslens.scale import lookup_join
 from buslens.schemas import BASE_COLUMNS
 from buslens.sinks.registry import FrameSink, sinks
-from buslens.sources.store import write_frames
+from buslens.sources.store import frame_rows
 
 # Fields of a JSON record, in order.
 RECORD_COLUMNS = [
@@ -33,7 +33,7 @@ class FolderSink(FrameSink):
         super().__init__(path, catalogue)
         self.ordered, self.mode = ordered, mode
 
-    def prepared(self, frames: DataFrame) -> DataFrame:
+    def arranged(self, frames: DataFrame) -> DataFrame:
         if not self.ordered:
             return frames
         return moved_narrow(
@@ -50,8 +50,10 @@ class FolderSink(FrameSink):
 class CsvSink(FolderSink):
     """Base columns plus one sorted column per expected signal, ``\\r\\n`` rows."""
 
-    def save(self, frames, path, batch_id):
-        rows = csv_rows(self.prepared(frames), self.catalogue)
+    def prepare(self, frames, batch_id):
+        return csv_rows(self.arranged(frames), self.catalogue)
+
+    def save(self, rows, path, batch_id):
         # Missing signals and empty payloads are both empty cells.
         self.writer(rows, batch_id).options(header=True, lineSep="\r\n", emptyValue="").csv(path)
 
@@ -72,8 +74,10 @@ class NdjsonSink(FolderSink):
         super().__init__(path, catalogue, **options)
         self.extra = extra or []
 
-    def save(self, frames, path, batch_id):
-        rows = json_records(self.prepared(frames), self.catalogue, self.extra)
+    def prepare(self, frames, batch_id):
+        return json_records(self.arranged(frames), self.catalogue, self.extra)
+
+    def save(self, rows, path, batch_id):
         self.writer(rows, batch_id).option("ignoreNullFields", False).json(path)
 
 
@@ -109,19 +113,17 @@ class TextSink(FolderSink):
         super().__init__(path, catalogue, mode=mode)
         self.show_signals = show_signals
 
-    def save(self, frames, path, batch_id):
-        if batch_id is None:
-            lines = text_lines(number_frames(frames), self.catalogue, self.show_signals)
-            return self._store(lines, path, batch_id)
-        totals = self._totals(frames, batch_id)
-        earlier = totals.select("capture_id", "before")
-        rows = lookup_join(number_frames(frames), earlier, ["capture_id"], "inner", null_safe=True)
-        rows = rows.withColumn("frame_num", F.col("frame_num") + F.col("before"))
-        return self._store(text_lines(rows, self.catalogue, self.show_signals), path, batch_id)
+    def prepare(self, frames, batch_id):
+        rows = number_frames(frames)
+        if batch_id is not None:
+            earlier = self._totals(frames, batch_id).select("capture_id", "before")
+            rows = lookup_join(rows, earlier, ["capture_id"], "inner", null_safe=True)
+            rows = rows.withColumn("frame_num", F.col("frame_num") + F.col("before"))
+        lines = text_lines(rows, self.catalogue, self.show_signals)
+        return lines.sortWithinPartitions("capture_id", "frame_num").select("capture_id", "line")
 
-    def _store(self, lines: DataFrame, path: str, batch_id: int | None) -> None:
-        ordered = lines.sortWithinPartitions("capture_id", "frame_num").select("capture_id", "line")
-        self.writer(ordered, batch_id).text(path)
+    def save(self, rows, path, batch_id):
+        self.writer(rows, batch_id).text(path)
 
     def _totals(self, frames: DataFrame, batch_id: int) -> DataFrame:
         """Frames per capture up to this micro-batch; one small table per batch.
@@ -159,14 +161,16 @@ class ParquetSink(FolderSink):
         super().__init__(path, catalogue, mode=mode)
         self.cluster = cluster
 
-    def save(self, frames, path, batch_id):
-        mode = self.mode if batch_id is None else "overwrite"
-        write_frames(frames, path, mode, self.cluster)
+    def prepare(self, frames, batch_id):
+        return frame_rows(frames, self.cluster)
+
+    def save(self, rows, path, batch_id):
+        self.writer(rows, batch_id).parquet(path)
 
 
 @sinks.register("count")
 class CountSink(FrameSink):
     """Counts frames and writes nothing."""
 
-    def save(self, frames, path, batch_id):
-        frames.write.format("noop").mode("overwrite").save()
+    def save(self, rows, path, batch_id):
+        rows.write.format("noop").mode("overwrite").save()

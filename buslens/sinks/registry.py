@@ -23,15 +23,20 @@ class FrameSink(ABC):
         self.path = path
         self.catalogue = catalogue
 
+    def prepare(self, frames: DataFrame, batch_id: int | None) -> DataFrame:
+        """The rows to write, one per frame."""
+        return frames
+
     @abstractmethod
-    def save(self, frames: DataFrame, path: str | None, batch_id: int | None) -> None:
-        """Write ``frames``; ``path`` is where this batch belongs."""
+    def save(self, rows: DataFrame, path: str | None, batch_id: int | None) -> None:
+        """Write prepared rows; ``path`` is where this batch belongs."""
 
     def write(self, frames: DataFrame, batch_id: int | None = None) -> int:
         """Write ``frames`` and return how many there were, counted on the way."""
+        rows = self.prepare(frames, batch_id)
+        # Counted behind every shuffle: a range partitioning reads its input twice.
         counter = Observation()
-        counted = frames.observe(counter, F.count(F.lit(1)).alias("frames"))
-        self.save(counted, self.batch_path(batch_id), batch_id)
+        self.save(rows.observe(counter, F.count(F.lit(1)).alias("frames")), self.batch_path(batch_id), batch_id)
         return counter.get["frames"]
 
     def batch_path(self, batch_id: int | None) -> str | None:
@@ -47,9 +52,9 @@ class DataSourceSink(FrameSink):
         super().__init__(path, catalogue)
         self.source, self.mode, self.options = source, mode, options
 
-    def save(self, frames, path, batch_id):
-        frames.sparkSession.dataSource.register(self.source)
-        writer = frames.write.format(self.source.name()).mode(self.mode).options(**self.options)
+    def save(self, rows, path, batch_id):
+        rows.sparkSession.dataSource.register(self.source)
+        writer = rows.write.format(self.source.name()).mode(self.mode).options(**self.options)
         writer.save(path) if path is not None else writer.save()
 
 

@@ -25,10 +25,14 @@ def clustered(df: DataFrame, order: list[str]) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def write_frames(frames: DataFrame, path: str, mode: str = "append", cluster: bool = True) -> None:
+def frame_rows(frames: DataFrame, cluster: bool = True) -> DataFrame:
+    """The stored columns of frames; derived ones are computed again on reading."""
     rows = frames.select(*RAW_FRAME.fieldNames())
-    rows = clustered(rows, FRAME_ORDER) if cluster else rows
-    rows.write.mode(mode).partitionBy("capture_id").parquet(path)
+    return clustered(rows, FRAME_ORDER) if cluster else rows
+
+
+def write_frames(frames: DataFrame, path: str, mode: str = "append", cluster: bool = True) -> None:
+    frame_rows(frames, cluster).write.mode(mode).partitionBy("capture_id").parquet(path)
 
 
 def write_store(frames: DataFrame, catalogue: Catalogue | None, root: str, mode: str = "append") -> None:
