@@ -113,9 +113,12 @@ def duplicate_frames(frames: DataFrame) -> DataFrame:
 
 def drop_duplicate_frames(frames: DataFrame) -> DataFrame:
     """Keep the first (lowest ``seq``) of identical frames."""
-    rest = [name for name in RAW_FRAME.fieldNames() if name not in COPY_KEY]
-    first = frames.groupBy(*COPY_KEY).agg(F.min(F.struct(*rest)).alias("_first"))
-    return normalise(first.select(*COPY_KEY, "_first.*"))
+    rest = [name for name in RAW_FRAME.fieldNames() if name not in (*COPY_KEY, "seq")]
+    # One value each instead of a struct, so that the aggregation hashes instead of sorting.
+    first = frames.groupBy(*COPY_KEY).agg(
+        F.min("seq").alias("seq"), *[F.min_by(name, "seq").alias(name) for name in rest]
+    )
+    return normalise(first)
 
 
 def quality_report(frames: DataFrame, catalogue: Catalogue | None, factor: float = 1.5) -> DataFrame:

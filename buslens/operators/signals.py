@@ -30,8 +30,12 @@ def bucket_stats(signals: DataFrame, width: str, by: list[str] | None = None) ->
     )
 
 
-def signal_summary(signals: DataFrame, by: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
-    """Count, range, mean, deviation and quartiles of every signal."""
+def signal_summary(signals: DataFrame, by: list[str] | None = None, accuracy: int = 1_000) -> DataFrame:
+    """Count, range, mean, deviation and quartiles of every signal.
+
+    Quartiles are approximate with a rank error of ``1 / accuracy``; their
+    sketches are what is shuffled, not the values.
+    """
     return signals.groupBy(*(by or []), "signal").agg(
         F.count("value").alias("samples"),
         F.min("value").alias("low"),

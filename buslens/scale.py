@@ -17,12 +17,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count that may be broadcast (narrow rows, tens of MB at most).
+# Bounds of a table that may be broadcast; both are checked by counting.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Copies of the small side when it is too large to broadcast.
 SALTS = 64
 
 _local_scratch: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,7 +42,24 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below :func:`scratch_dir`."""
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application made; returns how many.
+
+    Call it once the results that read them are written. Tables made by others
+    in the same folder stay.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
@@ -50,9 +69,14 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; counts no further."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` is within both bounds; reads at most one row beyond them.
+
+    Bytes are those of the rows as JSON text, which exceed the binary size.
+    """
+    size = F.length(F.to_json(F.struct("*"))).cast("bigint")
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    return found.rows <= max_rows and (found.bytes or 0) <= max_bytes
 
 
 def lookup_join(
@@ -98,7 +122,10 @@ def sorted_slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     rising over the whole table). A range partitioning on keys *and* order
     splits a hot key over many slices; ``_tie`` also splits equal rows. The
     result is written out because positions must not change between the jobs
-    that read them.
+    that read them. Their number follows ``spark.sql.shuffle.partitions``.
+
+    ``_tie`` repeats on a retried task when the input is a scan or narrow on
+    one. If copies of one row may come out of a shuffle, ``materialise`` first.
     """
     by = [*keys, *order, "_tie"]
     return materialise(

@@ -14,14 +14,24 @@ SETTINGS = {
     # many columns easily makes larger ones. With this limit such stages use the
     # split projection code instead, which measured up to four times faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Quartile sketches of a few thousand signals stay in a hash table; above the
+    # default of 128 groups Spark would sort the whole input instead.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     # Streaming state larger than executor memory.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
-def builder(app: str = "buslens") -> SparkSession.Builder:
+def builder(app: str = "buslens", input_terabytes: float = 1.0) -> SparkSession.Builder:
+    """Session builder for a cluster.
+
+    Shuffles start with partitions of about 256 MB for the given input size;
+    adaptive execution merges those that turn out small.
+    """
     session = SparkSession.builder.appName(app)
+    partitions = max(200, int(input_terabytes * 4096))
+    session = session.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in SETTINGS.items():
         session = session.config(key, value)
     return session

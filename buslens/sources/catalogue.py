@@ -36,7 +36,7 @@ class Catalogue:
     """A checked catalogue.
 
     ``signals`` has one prepared row per signal. ``small`` tells whether its
-    row count was checked against ``CATALOGUE_ROWS``; only then are
+    size was checked against the broadcast bounds; only then are
     ``ids_by_signal`` filled and the table broadcast. ``traits`` say which
     features occur, so that plans carry no code for the others.
     """

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from buslens import scale
-from buslens.operators import limits, ordered
+from buslens.operators import ordered
 from buslens.operators.limits import limit_count, limit_duration, number_frames
 from buslens.operators.normalise import normalise
 from buslens.plans.capture import select_frames
@@ -124,6 +124,25 @@ def test_lookup_join_beyond_the_broadcast_bound(spark):
     )
 
 
+def test_broadcast_bounds(spark):
+    assert scale.fits_broadcast(spark.range(10), max_rows=10)
+    assert not scale.fits_broadcast(spark.range(11), max_rows=10)
+    wide = spark.range(5).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert scale.fits_broadcast(wide, max_bytes=6000) and not scale.fits_broadcast(wide, max_bytes=4000)
+    assert scale.fits_broadcast(spark.range(0))
+
+
+def test_scratch_is_dropped(spark, tmp_path):
+    import os
+
+    path = scale.scratch_path(spark, "probe")
+    kept, made = scale._made.pop(spark.sparkContext.applicationId)[:-1], [path]
+    scale._made[spark.sparkContext.applicationId] = made
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path) and scale.drop_scratch(spark) == 1 and not os.path.exists(path)
+    scale._made[spark.sparkContext.applicationId] = kept
+
+
 def test_salts_spread_one_hot_key(spark):
     big = spark.range(0, 64_000, numPartitions=4).select(F.lit(1).alias("k"), "id")
     small = spark.createDataFrame([(k,) for k in range(10)], "k int")
@@ -147,4 +166,3 @@ def test_scratch_folder_comes_from_the_session(spark, monkeypatch):
         conf = Conf()
 
     assert scale.scratch_dir(Session()) == "/shared/checkpoints"
-    assert limits.STEP_SECONDS > 0

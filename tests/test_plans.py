@@ -74,6 +74,11 @@ def test_statistics_aggregate_before_the_shuffle(spark, stored, catalogue):
         assert "partial_count" in text and len(moves_frames(text)) == 1
 
 
+def test_removing_copies_hashes(spark, stored):
+    text = plan(quality.drop_duplicate_frames(read_frames(spark, stored)))
+    assert "SortAggregate" not in text and len(moves_frames(text)) == 1
+
+
 def test_validation_is_a_plain_filter(spark, stored):
     good, bad = quality.split_valid(read_frames(spark, stored))
     for df in (good, bad):
