@@ -13,10 +13,10 @@ from buslens.session import local_session  # noqa: E402
 from buslens.plans.queries import REGISTRY  # noqa: E402
 
 HEADLINE = [
-    "frames_normalised", "filter_ids", "signals_long_form", "frames_parsed", "frames_wide_form",
-    "frame_numbers", "count_limit", "duration_limit", "capture_selection", "capture_stats",
-    "window_stats_10s", "signal_bucket_stats", "signal_summary", "signal_correlation", "signal_drift",
-    "quarantine", "missing_frames", "duplicate_frames", "quality_report", "rule_verdicts",
+    "frames_normalised", "filter_ids", "signals_long", "frames_parsed", "frames_wide",
+    "frame_numbers", "count_limit", "duration_limit", "duration_filter_count", "capture_stats",
+    "window_stats_10s", "bucket_stats", "signal_summary", "signal_corr", "signal_drift",
+    "quarantine", "gaps", "duplicates", "quality", "rules",
     "sink_csv", "sink_ndjson", "sink_text", "sink_parquet", "stream_signals", "stream_stats",
 ]
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buslens.scale import lookup_join
+from buslens.operators.decode import signals_long
+from buslens.scale import fits_broadcast, lookup_join
+from buslens.sources.catalogue import Catalogue
 
 
 def check_rules(signals: DataFrame, rules: DataFrame) -> DataFrame:
@@ -28,3 +30,11 @@ def check_rules(signals: DataFrame, rules: DataFrame) -> DataFrame:
         )
         .withColumn("verdict", F.when(F.col("violations") == 0, "pass").otherwise("fail"))
     )
+
+
+def check_frames(frames: DataFrame, catalogue: Catalogue, rules: DataFrame) -> DataFrame:
+    """:func:`check_rules` on frames, reading only messages that carry a ruled signal."""
+    names = None
+    if fits_broadcast(rules):
+        names = [row.signal for row in rules.select("signal").distinct().collect()]
+    return check_rules(signals_long(frames, catalogue, names), rules)

@@ -132,7 +132,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT capture_id, seq, can_id_dec, signal, value FROM signals
             WHERE can_id_dec BETWEEN 256 AND 767 AND signal = 'Value' AND value BETWEEN 50.0 AND 150.0
               AND ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00'""",
-        "signals_long_form": f"""{signals}
+        "signals_long": f"""{signals}
             SELECT capture_id, seq, "timestamp", can_id_dec, signal, value, label FROM signals""",
         "frames_parsed": f"""{texts}
             SELECT f.capture_id, f.seq, f.can_id, x.parsed FROM frames f LEFT JOIN texts x USING (seq)""",
@@ -144,7 +144,7 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY f.seq""",
         "raw_without_catalogue": f"""{frames}
             SELECT seq, can_id, data_hex, true AS undecoded FROM frames""",
-        "frames_wide_form": f"""{signals}
+        "frames_wide": f"""{signals}
             SELECT f.seq, f."timestamp", f.can_id, f.dlc, f.data_hex, {wide}
             FROM frames f LEFT JOIN signals s USING (seq) GROUP BY ALL""",
         "message_info": f"""{frames}
@@ -164,7 +164,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT capture_id, seq, can_id, data_hex FROM frames QUALIFY {NUMBER} <= {FRAME_LIMIT}""",
         "duration_limit": f"""{frames}
             SELECT capture_id, seq, "timestamp", can_id FROM ({started}) WHERE "timestamp" - start <= {DURATION}""",
-        "capture_selection": f"""{frames}
+        "duration_filter_count": f"""{frames}
             SELECT capture_id, seq, "timestamp", can_id FROM ({started})
             WHERE "timestamp" - start <= {DURATION * 6} AND can_id_dec IN (256, 291)
             QUALIFY {NUMBER} <= {FRAME_LIMIT}""",
@@ -179,13 +179,13 @@ def oracle_sql() -> dict[str, str]:
             FROM frames GROUP BY capture_id""",
         "window_stats_10s": f"""{frames}
             {windows.format(width="10 seconds", seconds=10, where="")}""",
-        "signal_bucket_stats": f"""{signals}
+        "bucket_stats": f"""{signals}
             {buckets.format(width="1 hour", where="")}""",
         "signal_summary": f"""{signals}
             SELECT signal, count(*) AS samples, min(value) AS low, max(value) AS high,
                    round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation
             FROM signals GROUP BY signal""",
-        "signal_correlation": f"""{signals}
+        "signal_corr": f"""{signals}
             SELECT 'Value' AS first, 'K' AS second, count(*) AS buckets, round(corr(x, y), 6) AS correlation
             FROM (SELECT avg(value) FILTER (signal = 'Value') AS x, avg(value) FILTER (signal = 'K') AS y
                   FROM signals GROUP BY time_bucket(INTERVAL '1 hour', ts))
@@ -207,17 +207,17 @@ def oracle_sql() -> dict[str, str]:
         "valid_frames": f"""{frames}
             SELECT capture_id, seq, can_id, data_hex FROM frames
             WHERE can_id_dec <= 2047 AND can_id_dec <> 512 AND dlc = 8""",
-        "missing_frames": f"""{_with(FRAMES, GAPS)}
+        "gaps": f"""{_with(FRAMES, GAPS)}
             SELECT capture_id, can_id_dec, seq, previous_seq, "timestamp", previous_timestamp,
                    round(gap_seconds, 6) AS gap_seconds, cycle_time_ms
             FROM gaps""",
-        "duplicate_frames": f"""{_with(FRAMES, TWICE)}
+        "duplicates": f"""{_with(FRAMES, TWICE)}
             SELECT capture_id, can_id_dec, min(seq) AS first_seq, replace(any_value(data_hex), ' ', '') AS data,
                    count(*) AS copies
             FROM twice GROUP BY capture_id, "timestamp", can_id_dec, bytes HAVING count(*) > 1""",
         "frames_without_duplicates": f"""{frames}
             SELECT capture_id, seq, can_id, data_hex FROM frames""",
-        "quality_report": f"""{_with(FRAMES, TWICE, GAPS)}
+        "quality": f"""{_with(FRAMES, TWICE, GAPS)}
             SELECT capture_id, can_id_dec, count(*) AS frames,
                    count(*) FILTER (can_id_dec = 419385573) AS unknown_frames,
                    0::BIGINT AS error_frames, 0::BIGINT AS remote_frames, 0::BIGINT AS invalid_frames,
@@ -226,7 +226,7 @@ def oracle_sql() -> dict[str, str]:
             FROM twice LEFT JOIN (SELECT capture_id, can_id_dec, count(*) AS gaps FROM gaps GROUP BY ALL) g
                  USING (capture_id, can_id_dec)
             GROUP BY capture_id, can_id_dec""",
-        "rule_verdicts": f"""{signals}
+        "rules": f"""{signals}
             SELECT capture_id, rule, signal, count(*) AS samples,
                    count(*) FILTER (value < low OR value > high) AS violations,
                    min("timestamp") FILTER (value < low OR value > high) AS first_violation,

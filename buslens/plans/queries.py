@@ -44,9 +44,12 @@ RULES = [
 ]
 
 
-def query(run: Query) -> Query:
-    REGISTRY[run.__name__] = run
-    return run
+def query(name: str) -> Callable[[Query], Query]:
+    def add(run: Query) -> Query:
+        REGISTRY[name] = run
+        return run
+
+    return add
 
 
 def _micros(column: Column) -> Column:
@@ -82,8 +85,8 @@ def _twice_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- records, filters, decoding -------------------------------------------------
 
 
-@query
-def frames_normalised(spark, sf_dir):
+@query("frames_normalised")
+def query_frames_normalised(spark, sf_dir):
     return event_frames(spark, sf_dir).select(
         "capture_id", "seq", "timestamp", _micros(F.col("ts")).alias("ts_micros"), "can_id", "can_id_dec",
         "dlc", "data_hex", F.array_join(F.col("data_bytes").cast("array<string>"), " ").alias("data_bytes"),
@@ -91,41 +94,41 @@ def frames_normalised(spark, sf_dir):
     )
 
 
-@query
-def filter_ids(spark, sf_dir):
+@query("filter_ids")
+def query_filter_ids(spark, sf_dir):
     frames = select.by_ids(event_frames(spark, sf_dir), parse_id_list(ID_LIST))
     return frames.select("capture_id", "seq", "timestamp", "can_id", "dlc", "data_hex")
 
 
-@query
-def filter_id_table(spark, sf_dir):
+@query("filter_id_table")
+def query_filter_id_table(spark, sf_dir):
     frames = event_frames(spark, sf_dir)
     texts = frames.where(F.col("dlc") == 8).select("can_id")
     ids = select.ids_from_text(texts, "can_id")
     return select.by_id_table(frames, ids).select("capture_id", "seq", "can_id", "data_hex")
 
 
-@query
-def filter_ranges(spark, sf_dir):
+@query("filter_ranges")
+def query_filter_ranges(spark, sf_dir):
     frames = select.by_id_range(event_frames(spark, sf_dir), 0x100, 0x2FF)
     frames = select.by_time(frames, "2024-01-03 00:00:00", "2024-01-20 12:00:00")
     rows = select.by_signal_range(signals_long(frames, event_catalogue(spark)), "Value", 50.0, 150.0)
     return rows.select("capture_id", "seq", "can_id_dec", "signal", "value")
 
 
-@query
-def signals_long_form(spark, sf_dir):
+@query("signals_long")
+def query_signals_long(spark, sf_dir):
     return _long(spark, sf_dir)
 
 
-@query
-def frames_parsed(spark, sf_dir):
+@query("frames_parsed")
+def query_frames_parsed(spark, sf_dir):
     frames = signal_texts(event_frames(spark, sf_dir), event_catalogue(spark))
     return frames.select("capture_id", "seq", "can_id", _texts().alias("parsed"))
 
 
-@query
-def parsed_map(spark, sf_dir):
+@query("parsed_map")
+def query_parsed_map(spark, sf_dir):
     frames = decode(event_frames(spark, sf_dir), event_catalogue(spark))
     return frames.select(
         "seq",
@@ -135,26 +138,26 @@ def parsed_map(spark, sf_dir):
     )
 
 
-@query
-def raw_without_catalogue(spark, sf_dir):
+@query("raw_without_catalogue")
+def query_raw_without_catalogue(spark, sf_dir):
     frames = decode(event_frames(spark, sf_dir), None)
     return frames.select("seq", "can_id", "data_hex", F.col("parsed").isNull().alias("undecoded"))
 
 
-@query
-def frames_wide_form(spark, sf_dir):
+@query("frames_wide")
+def query_frames_wide(spark, sf_dir):
     return frames_wide(event_frames(spark, sf_dir), event_catalogue(spark), keep=["seq", "timestamp", "can_id", "dlc", "data_hex"])
 
 
-@query
-def message_info(spark, sf_dir):
+@query("message_info")
+def query_message_info(spark, sf_dir):
     seen = event_frames(spark, sf_dir).groupBy("can_id_dec").agg(F.count(F.lit(1)).alias("frames"))
     info = info_for_ids(seen, event_catalogue(spark))
     return info.withColumn("signals", F.array_join("signals", ","))
 
 
-@query
-def expected_signal_samples(spark, sf_dir):
+@query("expected_signal_samples")
+def query_expected_signal_samples(spark, sf_dir):
     catalogue = event_catalogue(spark)
     samples = _long(spark, sf_dir).groupBy("signal").agg(F.count(F.lit(1)).alias("samples"))
     return expected_signals(catalogue).join(samples, "signal", "left").withColumn(
@@ -165,32 +168,32 @@ def expected_signal_samples(spark, sf_dir):
 # --- numbers and limits ---------------------------------------------------------
 
 
-@query
-def frame_numbers(spark, sf_dir):
+@query("frame_numbers")
+def query_frame_numbers(spark, sf_dir):
     frames = event_frames(spark, sf_dir).select("capture_id", "seq", "timestamp")
     return limits.number_frames(frames).select("capture_id", "seq", "frame_num")
 
 
-@query
-def frame_lines(spark, sf_dir):
+@query("frame_lines")
+def query_frame_lines(spark, sf_dir):
     from buslens.sinks.files import text_lines
 
     numbered = limits.number_frames(event_frames(spark, sf_dir))
     return text_lines(numbered, event_catalogue(spark))
 
 
-@query
-def count_limit(spark, sf_dir):
+@query("count_limit")
+def query_count_limit(spark, sf_dir):
     return limits.limit_count(event_frames(spark, sf_dir), FRAME_LIMIT).select("capture_id", "seq", "can_id", "data_hex")
 
 
-@query
-def duration_limit(spark, sf_dir):
+@query("duration_limit")
+def query_duration_limit(spark, sf_dir):
     return limits.limit_duration(event_frames(spark, sf_dir), DURATION).select("capture_id", "seq", "timestamp", "can_id")
 
 
-@query
-def capture_selection(spark, sf_dir):
+@query("duration_filter_count")
+def query_duration_filter_count(spark, sf_dir):
     kept = select_frames(event_frames(spark, sf_dir), parse_id_list(ID_LIST), DURATION * 6, FRAME_LIMIT)
     return kept.select("capture_id", "seq", "timestamp", "can_id")
 
@@ -198,27 +201,27 @@ def capture_selection(spark, sf_dir):
 # --- statistics -----------------------------------------------------------------
 
 
-@query
-def capture_stats(spark, sf_dir):
+@query("capture_stats")
+def query_capture_stats(spark, sf_dir):
     return stats.capture_stats(event_frames(spark, sf_dir)).select(
         "capture_id", "frames", F.round("elapsed_seconds", 6).alias("elapsed_seconds"), F.round("fps", 9).alias("fps")
     )
 
 
-@query
-def kept_frame_count(spark, sf_dir):
+@query("kept_frame_count")
+def query_kept_frame_count(spark, sf_dir):
     return stats.count_frames(select.by_ids(event_frames(spark, sf_dir), parse_id_list(ID_LIST)))
 
 
-@query
-def manifest(spark, sf_dir):
+@query("manifest")
+def query_manifest(spark, sf_dir):
     return stats.capture_manifest(event_frames(spark, sf_dir)).select(
         "capture_id", _micros(F.col("capture_time")).alias("capture_time_micros"), "frame_count"
     )
 
 
-@query
-def window_stats_10s(spark, sf_dir):
+@query("window_stats_10s")
+def query_window_stats_10s(spark, sf_dir):
     return _windows(stats.window_stats(event_frames(spark, sf_dir), "10 seconds"))
 
 
@@ -228,8 +231,8 @@ def _windows(table: DataFrame) -> DataFrame:
     )
 
 
-@query
-def signal_bucket_stats(spark, sf_dir):
+@query("bucket_stats")
+def query_bucket_stats(spark, sf_dir):
     return _buckets(signals.bucket_stats(_long(spark, sf_dir), "1 hour"))
 
 
@@ -240,31 +243,31 @@ def _buckets(table: DataFrame) -> DataFrame:
     )
 
 
-@query
-def signal_summary(spark, sf_dir):
+@query("signal_summary")
+def query_signal_summary(spark, sf_dir):
     return signals.signal_summary(_long(spark, sf_dir)).select(
         "signal", "samples", "low", "high", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation")
     )
 
 
-@query
-def signal_correlation(spark, sf_dir):
+@query("signal_corr")
+def query_signal_corr(spark, sf_dir):
     both = _long(spark, sf_dir, ["Value", "K"])
     return signals.signal_correlation(both, "Value", "K", "1 hour").select(
         "first", "second", "buckets", F.round("correlation", 6).alias("correlation")
     )
 
 
-@query
-def signal_drift(spark, sf_dir):
+@query("signal_drift")
+def query_signal_drift(spark, sf_dir):
     return signals.signal_drift(_long(spark, sf_dir), "4 hours").select(
         "capture_id", "signal", _micros(F.col("bucket_start")).alias("bucket_micros"), "samples",
         F.round("mean", 7).alias("mean"), F.round("change", 7).alias("change"),
     )
 
 
-@query
-def signal_trend(spark, sf_dir):
+@query("signal_trend")
+def query_signal_trend(spark, sf_dir):
     return signals.signal_trend(_long(spark, sf_dir)).select(
         # Adding zero turns a negative zero into zero.
         "capture_id", "signal", "samples", (F.round("slope", 6) + 0.0).alias("slope")
@@ -274,59 +277,60 @@ def signal_trend(spark, sf_dir):
 # --- quality and rules ----------------------------------------------------------
 
 
-@query
-def quarantine(spark, sf_dir):
+@query("quarantine")
+def query_quarantine(spark, sf_dir):
     bad = quality.quarantined_frames(_as_logged(spark, sf_dir))
     return bad.select("seq", "can_id_dec", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query
-def valid_frames(spark, sf_dir):
+@query("valid_frames")
+def query_valid_frames(spark, sf_dir):
     good = quality.valid_frames(_as_logged(spark, sf_dir))
     return good.select("capture_id", "seq", "can_id", "data_hex")
 
 
-@query
-def missing_frames(spark, sf_dir):
+@query("gaps")
+def query_gaps(spark, sf_dir):
     gaps = quality.missing_frames(event_frames(spark, sf_dir), event_catalogue(spark))
     return gaps.withColumn("gap_seconds", F.round("gap_seconds", 6))
 
 
-@query
-def duplicate_frames(spark, sf_dir):
+@query("duplicates")
+def query_duplicates(spark, sf_dir):
     copies = quality.duplicate_frames(_twice_logged(spark, sf_dir))
     return copies.select("capture_id", "can_id_dec", "first_seq", F.hex("data").alias("data"), "copies")
 
 
-@query
-def frames_without_duplicates(spark, sf_dir):
+@query("frames_without_duplicates")
+def query_frames_without_duplicates(spark, sf_dir):
     kept = quality.drop_duplicate_frames(_twice_logged(spark, sf_dir))
     return kept.select("capture_id", "seq", "can_id", "data_hex")
 
 
-@query
-def quality_report(spark, sf_dir):
+@query("quality")
+def query_quality(spark, sf_dir):
     return quality.quality_report(_twice_logged(spark, sf_dir), event_catalogue(spark))
 
 
-@query
-def rule_verdicts(spark, sf_dir):
-    return rules.check_rules(_long(spark, sf_dir), spark.createDataFrame(RULES, RULE))
+@query("rules")
+def query_rules(spark, sf_dir):
+    table = spark.createDataFrame(RULES, RULE)
+    return rules.check_frames(event_frames(spark, sf_dir), event_catalogue(spark), table)
 
 
 # --- sinks ----------------------------------------------------------------------
 
 
-@query
-def sink_csv(spark, sf_dir):
+@query("sink_csv")
+def query_sink_csv(spark, sf_dir):
     catalogue, path = event_catalogue(spark), scratch_path(spark, "csv")
     sinks.create("csv", path=path, catalogue=catalogue).write(event_frames(spark, sf_dir))
     stored = read_capture(spark, path, "csv", catalogue.names())
     return stored.select("capture_id", "timestamp", "can_id", "dlc", "data_hex", *catalogue.names())
 
 
-@query
-def sink_ndjson(spark, sf_dir):
+@query("sink_ndjson")
+def query_sink_ndjson(spark, sf_dir):
     path = scratch_path(spark, "json")
     sink = sinks.create("json", path=path, catalogue=event_catalogue(spark), extra=["seq"])
     sink.write(event_frames(spark, sf_dir))
@@ -339,8 +343,8 @@ def sink_ndjson(spark, sf_dir):
     )
 
 
-@query
-def sink_text(spark, sf_dir):
+@query("sink_text")
+def query_sink_text(spark, sf_dir):
     path = scratch_path(spark, "txt")
     sinks.create("txt", path=path, catalogue=event_catalogue(spark)).write(event_frames(spark, sf_dir))
     return spark.read.schema("value string, capture_id string").format("text").load(path).select(
@@ -348,15 +352,15 @@ def sink_text(spark, sf_dir):
     )
 
 
-@query
-def sink_parquet(spark, sf_dir):
+@query("sink_parquet")
+def query_sink_parquet(spark, sf_dir):
     path = scratch_path(spark, "parquet")
     sinks.create("parquet", path=path).write(event_frames(spark, sf_dir))
     return read_capture(spark, path, "parquet").select("capture_id", "seq", "timestamp", "can_id", "data_hex")
 
 
-@query
-def store_tables(spark, sf_dir):
+@query("store_tables")
+def query_store_tables(spark, sf_dir):
     root = scratch_path(spark, "store")
     write_store(event_frames(spark, sf_dir), event_catalogue(spark), root)
     stored = spark.read.schema("capture_id string, signal string, value double").parquet(f"{root}/signals")
@@ -365,16 +369,16 @@ def store_tables(spark, sf_dir):
     return captures.join(counted, "capture_id", "left")
 
 
-@query
-def store_bulk_import(spark, sf_dir):
+@query("store_bulk_import")
+def query_store_bulk_import(spark, sf_dir):
     catalogue, path, root = event_catalogue(spark), scratch_path(spark, "csv"), scratch_path(spark, "store")
     sinks.create("csv", path=path, catalogue=catalogue).write(event_frames(spark, sf_dir))
     write_frames(read_capture(spark, path, "csv", catalogue.names()), root)
     return read_frames(spark, root).select("capture_id", "timestamp", "can_id_dec", "dlc", "data_hex")
 
 
-@query
-def schema_evolution(spark, sf_dir):
+@query("schema_evolution")
+def query_schema_evolution(spark, sf_dir):
     path = scratch_path(spark, "versions")
     frames = event_frames(spark, sf_dir)
     # The first version of the store knew no flags; error frames came with the second.
@@ -385,8 +389,8 @@ def schema_evolution(spark, sf_dir):
     return merged.select("capture_id", "seq", "can_id", "data_hex", "is_extended", "is_remote")
 
 
-@query
-def fanout_count(spark, sf_dir):
+@query("fanout_count")
+def query_fanout_count(spark, sf_dir):
     path, catalogue = scratch_path(spark, "fanout"), event_catalogue(spark)
     counts = run_capture(
         event_frames(spark, sf_dir), catalogue, formats=["csv", "json", "count"], output_dir=path
@@ -401,30 +405,30 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise(pack_events(stream_events(spark, sf_dir)))
 
 
-@query
-def stream_signals(spark, sf_dir):
+@query("stream_signals")
+def query_stream_signals(spark, sf_dir):
     path = scratch_path(spark, "signals")
     run_to_table(signals_long(_stream(spark, sf_dir), event_catalogue(spark)), path)
     return spark.read.parquet(path)
 
 
-@query
-def stream_stats(spark, sf_dir):
+@query("stream_stats")
+def query_stream_stats(spark, sf_dir):
     path = scratch_path(spark, "windows")
     run_to_table(live_frame_stats(_stream(spark, sf_dir), STREAM_WIDTH, STREAM_DELAY), path)
     return _windows(spark.read.parquet(path))
 
 
-@query
-def stream_monitor(spark, sf_dir):
+@query("stream_monitor")
+def query_stream_monitor(spark, sf_dir):
     path = scratch_path(spark, "monitor")
     live = live_signal_stats(_stream(spark, sf_dir), event_catalogue(spark), STREAM_WIDTH, STREAM_DELAY)
     run_to_table(live, path)
     return _buckets(spark.read.parquet(path))
 
 
-@query
-def stream_capture(spark, sf_dir):
+@query("stream_capture")
+def query_stream_capture(spark, sf_dir):
     path, catalogue = scratch_path(spark, "live"), event_catalogue(spark)
     targets = {f: sinks.create(f, path=f"{path}/{f}", catalogue=catalogue) for f in ("csv", "txt")}
     run = start_capture(_stream(spark, sf_dir), targets, parse_id_list(ID_LIST), trigger={"availableNow": True})
