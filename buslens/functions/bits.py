@@ -10,7 +10,7 @@ signals and one column per signal, and hundreds of columns build quickly.
 
 from __future__ import annotations
 
-from buslens.functions.text import float_text_sql
+from buslens.functions.text import float_text_sql, json_number_sql
 
 # How the raw bits of a signal are read.
 KIND_INT, KIND_UNSIGNED64, KIND_FLOAT32, KIND_FLOAT64 = 0, 1, 2, 3
@@ -86,11 +86,24 @@ def integer_text_sql(s: str, raw: str) -> str:
     return f"CAST(({exact} + {wrapped}) * {scale} + {offset} AS STRING)"
 
 
-def text_sql(s: str, raw: str, value: str, traits) -> str:
-    """Label, exact integer or shortest decimal text of a signal."""
+def number_text_sql(s: str, raw: str, value: str, traits) -> str:
+    """Exact integer or shortest decimal text of a signal."""
     text = float_text_sql(value, special=bool(traits.kinds & FLOAT_KINDS))
     if traits.integers:
         text = f"CASE WHEN {s}is_integer THEN CAST(try_cast({value} AS BIGINT) AS STRING) ELSE {text} END"
     if traits.long_integers:
         text = f"CASE WHEN {s}is_long_integer THEN {integer_text_sql(s, raw)} ELSE {text} END"
+    return text
+
+
+def text_sql(s: str, raw: str, value: str, traits) -> str:
+    """Label, or number as text."""
+    text = number_text_sql(s, raw, value, traits)
     return f"coalesce({label_sql(s, raw)}, {text})" if traits.labelled else text
+
+
+def json_sql(s: str, raw: str, number: str, traits) -> str:
+    """Label as JSON string, or number as JSON; ``number`` is its text."""
+    value = json_number_sql(number)
+    label = f"CASE WHEN {s}choices_json IS NOT NULL THEN element_at({s}choices_json, {raw}) END"
+    return f"coalesce({label}, {value})" if traits.labelled else value

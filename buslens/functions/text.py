@@ -63,6 +63,25 @@ def frame_line(
     return F.concat(line, F.when(F.size(signal_texts) > 0, signals).otherwise(F.lit("")))
 
 
+def json_string(text: Column) -> Column:
+    """Text as a quoted and escaped JSON string."""
+    wrapped = F.to_json(F.struct(text.alias("x")))
+    inside = F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.when(text.isNotNull(), inside)
+
+
+def json_number_sql(text: str) -> str:
+    """SQL turning printed numbers into JSON that keeps whole floats floats.
+
+    Parsed as JSON, 28.0 would become the exact number 28, but 28.0E0 a DOUBLE.
+    Infinities and NaN, which JSON lacks, become strings.
+    """
+    return (
+        f"CASE WHEN endswith({text}, '.0') THEN concat({text}, 'E0')"
+        f" WHEN {text} IN ('nan', 'inf', '-inf') THEN concat('\"', {text}, '\"') ELSE {text} END"
+    )
+
+
 def json_safe(value: Column, data_type) -> Column:
     """Rewrite a column so ``to_json`` prints it as the capture files do.
 

@@ -18,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buslens.functions.bits import complete_sql, label_sql, raw_sql, text_sql, value_sql
+from buslens.functions.bits import (
+    complete_sql, json_sql, label_sql, number_text_sql, raw_sql, text_sql, value_sql,
+)
 from buslens.functions.payload import MAX_BYTES, big_endian_word, swap_bytes
 from buslens.scale import lookup_join
 from buslens.schemas import BASE_COLUMNS
@@ -27,6 +29,7 @@ from buslens.sources.catalogue import Catalogue, Traits
 _SIGNAL_FIELDS = [
     "signal", "position", "is_le", "end_bit", "shift", "mask", "sign_shift", "kind",
     "scale", "offset", "mux_value", "choices", "is_integer", "is_long_integer",
+    "signal_json", "choices_json",
 ]
 PARSED_TYPE = "map<string,struct<value:double,label:string>>"
 TEXTS_TYPE = "array<struct<signal:string,text:string,is_label:boolean>>"
@@ -136,6 +139,23 @@ def signal_texts(frames: DataFrame, catalogue: Catalogue | None) -> DataFrame:
     return _per_frame(frames, catalogue, "texts", lambda sigs: f"transform({sigs}, s -> {entry})")
 
 
+def signals_json(frames: DataFrame, catalogue: Catalogue | None) -> DataFrame:
+    """Add ``parsed_json``: the decoded signals as one JSON object, or null."""
+    if catalogue is None:
+        return frames.withColumn("parsed_json", F.lit(None).cast("string"))
+    traits = catalogue.traits
+    value = value_sql("s.layout.", "s.raw", traits.kinds)
+    number = number_text_sql("s.layout.", "s.raw", f"({value})", traits)
+
+    def build(sigs: str) -> str:
+        # The number text is used more than once, so it gets a step of its own.
+        numbers = f"transform({sigs}, s -> named_struct('layout', s.layout, 'raw', s.raw, 'number', {number}))"
+        member = f"concat(s.layout.signal_json, ':', {json_sql('s.layout.', 's.raw', 's.number', traits)})"
+        return f"concat('{{', array_join(transform({numbers}, s -> {member}), ','), '}}')"
+
+    return _per_frame(frames, catalogue, "parsed_json", build)
+
+
 def _per_frame(frames: DataFrame, catalogue: Catalogue, name: str, build) -> DataFrame:
     """Left-join one catalogue row per message and build a column from it."""
     fields = ", ".join(_SIGNAL_FIELDS)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buslens.functions.text import float_text_sql, frame_line, json_safe
-from buslens.operators.decode import frames_wide, signal_texts
+from buslens.functions.text import float_text_sql, frame_line, json_number_sql, json_safe
+from buslens.operators.decode import frames_wide, signal_texts, signals_json
 from buslens.operators.limits import number_frames
 from buslens.operators.normalise import moved_narrow
 from buslens.scale import lookup_join
@@ -82,29 +82,18 @@ class NdjsonSink(FolderSink):
 
 
 def json_records(frames: DataFrame, catalogue, extra: list[str] | None = None) -> DataFrame:
-    texts = signal_texts(frames, catalogue)
-    parsed = F.map_from_entries(
-        F.transform("texts", lambda s: F.struct(s["signal"], _json_value(s["text"], s["is_label"])))
-    )
-    parsed = F.call_function("to_variant_object", parsed)
+    """Records whose numbers print as in a capture file; one JSON parse each for time and signals."""
     extras = [json_safe(F.col(c), frames.schema[c].dataType).alias(c) for c in extra or []]
-    return texts.select(
+    seconds = f"({float_text_sql('timestamp')})"
+    return signals_json(frames, catalogue).select(
         "capture_id",
-        _json_value(F.expr(float_text_sql("timestamp")), F.lit(False)).alias("timestamp"),
+        F.expr(f"parse_json({json_number_sql(seconds)})").alias("timestamp"),
         *RECORD_COLUMNS[1:],
-        parsed.alias("parsed"),
+        F.parse_json(F.col("parsed_json")).alias("parsed"),
         *extras,
     )
 
 
-def _json_value(text: Column, is_label: Column) -> Column:
-    """Numbers print as in the text; labels and what is no number as strings."""
-    # A parsed 28.0 would print as 28, so whole floats go in as DOUBLE.
-    whole = F.when(text.endswith(".0"), text.try_cast("double").cast("variant"))
-    number = F.when(~is_label, F.coalesce(whole, F.try_parse_json(text)))
-    return F.coalesce(number, text.cast("variant"))
-
-
 @sinks.register("txt")
 class TextSink(FolderSink):
     """One console line per frame with its arrival number in the capture."""

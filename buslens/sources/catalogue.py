@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buslens.functions.bits import ALL_KINDS, KIND_FLOAT32, KIND_FLOAT64, KIND_INT, KIND_UNSIGNED64
+from buslens.functions.text import json_string
 from buslens.scale import fits_broadcast, lookup_join, materialise
 from buslens.schemas import CATALOGUE
 
@@ -169,6 +170,13 @@ def _prepare(table: DataFrame) -> DataFrame:
             & F.coalesce("is_integer", F.lit(True)),
         )
     )
+    # Names and labels as JSON strings, so that no frame has to escape them.
+    t = t.withColumns(
+        {
+            "signal_json": json_string(F.col("signal")),
+            "choices_json": F.transform_values("choices", lambda raw, label: json_string(label)),
+        }
+    )
     # Integers a DOUBLE holds exactly print from the value; others need decimals.
     short = (length <= 32) & (F.abs("scale") <= 2**16) & (F.abs("offset") <= 2**50)
     t = t.withColumn("is_long_integer", F.col("is_integer") & ~short)

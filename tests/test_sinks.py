@@ -152,6 +152,27 @@ def test_ndjson_text(spark, capture, tmp_path):
     assert back.select(*frames.columns).collect() == frames.orderBy("capture_id", "seq").collect()
 
 
+def test_ndjson_escapes_and_odd_numbers(spark, make_raw, make_catalogue, tmp_path):
+    import math
+    import struct
+
+    catalogue = make_catalogue(
+        signal_row(1, "a", 0, 8, choices={1: 'say "hi"\\\n', 2: "é"}), signal_row(2, "f", 0, 64, value_type="float64"),
+        signal_row(3, "u", 0, 64), signal_row(3, "s", 0, 8, scale=1e-6),
+    )
+    frames = normalise(make_raw(
+        raw_row(1, 1.0, 1, b"\x01"), raw_row(2, 2.0, 1, b"\x02"), raw_row(3, 3.0, 2, struct.pack("<d", math.nan)),
+        raw_row(4, 4.0, 2, struct.pack("<d", 1e300)), raw_row(5, 5.0, 3, b"\xff" * 8), raw_row(6, 6.0, 2, struct.pack("<d", -math.inf)),
+    ))
+    sinks.create("json", path=str(tmp_path / "j"), catalogue=catalogue).write(frames)
+    lines = [line for texts in stored(tmp_path / "j", "capture_id=*/*.json").values() for t in texts for line in t.splitlines()]
+    parsed = {r["timestamp"]: r["parsed"] for r in map(json.loads, lines)}
+    assert parsed == {
+        1.0: {"a": 'say "hi"\\\n'}, 2.0: {"a": "é"}, 3.0: {"f": "nan"}, 4.0: {"f": 1e300},
+        5.0: {"u": 2**64 - 1, "s": 255 * 1e-6}, 6.0: {"f": "-inf"},
+    }
+
+
 def test_ndjson_without_catalogue(capture, tmp_path):
     frames, _ = capture
     sinks.create("json", path=str(tmp_path / "j")).write(frames)
