@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buslens.functions.ids import id_from_text
-from buslens.scale import all_of, lookup_join
+from buslens.scale import all_of, lookup_join, materialise
 
 
 def by_ids(frames: DataFrame, ids: list[int] | None) -> DataFrame:
@@ -17,7 +17,8 @@ def by_ids(frames: DataFrame, ids: list[int] | None) -> DataFrame:
 def by_id_table(frames: DataFrame, ids: DataFrame) -> DataFrame:
     """Keep frames whose ID is in a table with column ``can_id_dec``."""
     wanted = ids.select("can_id_dec").where(F.col("can_id_dec").isNotNull()).distinct()
-    return lookup_join(frames, wanted, ["can_id_dec"], "left_semi")
+    # Stored, since checking its size and joining it would compute it twice.
+    return lookup_join(frames, materialise(wanted, "ids"), ["can_id_dec"], "left_semi")
 
 
 def ids_from_text(table: DataFrame, column: str) -> DataFrame:

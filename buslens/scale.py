@@ -42,16 +42,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below :func:`scratch_dir`."""
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def drop_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables this application made; returns how many.
+    """Delete the intermediate tables of this application; returns how many.
 
-    Call it once the results that read them are written. Tables made by others
-    in the same folder stay.
+    Call it once the results that read them are written. Prepared catalogues,
+    stream checkpoints and whatever others keep in the same folder stay.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -62,11 +60,17 @@ def drop_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
-def materialise(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it."""
-    path = scratch_path(df.sparkSession, label)
+def materialise(df: DataFrame, label: str = "table", keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it.
+
+    ``drop_scratch`` removes the table unless it is to ``keep``.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not keep:
+        _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:

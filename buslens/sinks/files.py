@@ -13,6 +13,7 @@ from buslens.scale import lookup_join
 from buslens.schemas import BASE_COLUMNS
 from buslens.sinks.registry import FrameSink, sinks
 from buslens.sources.store import frame_rows
+from buslens.streaming.progress import last_state
 
 # Fields of a JSON record, in order.
 RECORD_COLUMNS = [
@@ -119,16 +120,14 @@ class TextSink(FolderSink):
 
         Every table holds all captures so far, so only the last one is read.
         """
-        spark = frames.sparkSession
-        counts = frames.groupBy("capture_id").agg(F.count(F.lit(1)).alias("frames"))
-        counts = counts.withColumn("before", F.lit(0).cast("bigint"))
-        if batch_id > 0:
-            last = spark.read.parquet(f"{self.path}/_totals/batch={batch_id - 1}")
-            past = last.select("capture_id", F.lit(0).alias("frames"), (F.col("before") + F.col("frames")).alias("before"))
-            both = counts.unionByName(past)
-            counts = both.groupBy("capture_id").agg(F.sum("frames").alias("frames"), F.sum("before").alias("before"))
-        path = f"{self.path}/_totals/batch={batch_id}"
-        counts.write.mode("overwrite").parquet(path)
+        spark, root = frames.sparkSession, f"{self.path}/_totals"
+        last = last_state(spark, root, batch_id, "capture_id string, before bigint, frames bigint")
+        past = last.select("capture_id", (F.col("before") + F.col("frames")).alias("before"), F.lit(0).alias("frames"))
+        now = frames.groupBy("capture_id").agg(F.count(F.lit(1)).alias("frames"))
+        both = past.unionByName(now.withColumn("before", F.lit(0)))
+        totals = both.groupBy("capture_id").agg(F.sum("before").alias("before"), F.sum("frames").alias("frames"))
+        path = f"{root}/batch={batch_id}"
+        totals.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
 

@@ -103,7 +103,7 @@ def prepare_catalogue(table: DataFrame) -> Catalogue:
     The result is written out once, so that plans using it only scan it.
     """
     small = fits_broadcast(table, CATALOGUE_ROWS)
-    prepared = materialise(_prepare(table), "catalogue")
+    prepared = materialise(_prepare(table), "catalogue", keep=True)
     if small:
         # One partition spares later plans the shuffles of grouping it by message.
         prepared = prepared.coalesce(1)

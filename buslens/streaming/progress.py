@@ -6,7 +6,8 @@ Writing it again for a replayed batch gives the same content.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buslens.operators.limits import number_frames
@@ -16,6 +17,26 @@ from buslens.scale import lookup_join
 SCHEMA = "capture_id string, start double, kept bigint"
 
 
+def last_state(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
+    """Table that the latest batch before ``batch_id`` left below ``root``.
+
+    Usually that is the batch just before; it is not if a sink joined the run
+    later or failed for a batch. Empty if there is none at all.
+    """
+    read = spark.read.schema(schema)
+    try:
+        return read.parquet(f"{root}/batch={batch_id - 1}")
+    except AnalysisException:
+        pass
+    try:
+        states = spark.read.schema(f"{schema}, batch bigint").parquet(root)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    earlier = states.where(F.col("batch") < batch_id)
+    newest = earlier.agg(F.max("batch").alias("batch")).first().batch
+    return earlier.where(F.col("batch") == newest).drop("batch")
+
+
 class CaptureProgress:
     """Running start time and number of kept frames of every capture."""
 
@@ -24,10 +45,7 @@ class CaptureProgress:
 
     def before(self, frames: DataFrame, batch_id: int) -> DataFrame:
         """State before ``batch_id``; empty for the first batch."""
-        spark = frames.sparkSession
-        if batch_id == 0:
-            return spark.createDataFrame([], SCHEMA)
-        return spark.read.schema(SCHEMA).parquet(f"{self.path}/batch={batch_id - 1}")
+        return last_state(frames.sparkSession, self.path, batch_id, SCHEMA)
 
     def advance(self, frames: DataFrame, kept: DataFrame, batch_id: int) -> None:
         """Store the state after ``batch_id`` from its arrived and its kept frames."""

@@ -11,7 +11,7 @@ from buslens.operators.limits import limit_count, limit_duration, number_frames
 from buslens.operators.normalise import normalise
 from buslens.plans.capture import select_frames
 from buslens.schemas import RAW_FRAME
-from tests.conftest import raw_row
+from tests.conftest import raw_row, signal_row
 
 
 def skewed_rows(seed=5, n=3000):
@@ -132,15 +132,15 @@ def test_broadcast_bounds(spark):
     assert scale.fits_broadcast(spark.range(0))
 
 
-def test_scratch_is_dropped(spark, tmp_path):
-    import os
+def test_scratch_is_dropped(spark, make_catalogue):
+    import glob
 
-    path = scale.scratch_path(spark, "probe")
-    kept, made = scale._made.pop(spark.sparkContext.applicationId)[:-1], [path]
-    scale._made[spark.sparkContext.applicationId] = made
-    spark.range(3).write.parquet(path)
-    assert os.path.isdir(path) and scale.drop_scratch(spark) == 1 and not os.path.exists(path)
-    scale._made[spark.sparkContext.applicationId] = kept
+    catalogue = make_catalogue(signal_row(1, "x"))
+    table = scale.materialise(spark.range(3), "probe")
+    folder = f"{scale.scratch_dir(spark)}/probe-*"
+    assert table.count() == 3 and glob.glob(folder)
+    assert scale.drop_scratch(spark) >= 1 and not glob.glob(folder)
+    assert scale.drop_scratch(spark) == 0 and catalogue.signals.count() == 1
 
 
 def test_salts_spread_one_hot_key(spark):

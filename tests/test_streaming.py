@@ -9,6 +9,7 @@ from buslens.schemas import RAW_FRAME
 from buslens.sinks import FrameSink, SinkErrors, sinks
 from buslens.sources.frames import stream_raw
 from buslens.streaming.capture import run_to_table, start_capture
+from buslens.streaming.progress import last_state
 from buslens.streaming.monitor import live_frame_stats, live_signal_stats
 from tests.conftest import raw_row, signal_row
 
@@ -74,6 +75,15 @@ def test_capture_resumes_and_numbers_go_on(spark, landing, make_catalogue, tmp_p
     ]
 
 
+def test_last_state_skips_missing_batches(spark, tmp_path):
+    root = str(tmp_path / "state")
+    assert last_state(spark, root, 4, "k string").count() == 0
+    for batch in (0, 2, 9):
+        spark.createDataFrame([(f"b{batch}",)], "k string").write.parquet(f"{root}/batch={batch}")
+    assert [last_state(spark, root, n, "k string").first() for n in (1, 2, 3, 5)] == [("b0",), ("b0",), ("b2",), ("b2",)]
+    assert last_state(spark, root, 0, "k string").count() == 0
+
+
 def test_limits_hold_across_batches(spark, landing, tmp_path):
     def run():
         targets = {"txt": sinks.create("txt", path=str(tmp_path / "txt"))}
