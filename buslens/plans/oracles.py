@@ -105,7 +105,7 @@ def oracle_sql() -> dict[str, str]:
     texts = _with(FRAMES, SIGNALS, TEXTS)
     lines = _with(FRAMES, SIGNALS, TEXTS, LINES)
     buckets = """SELECT capture_id, epoch_us(time_bucket(INTERVAL '{width}', ts)) AS bucket_micros, signal,
-               count(*) AS samples, round(avg(value), 7) AS mean, min(value) AS low, max(value) AS high
+               count(*) AS samples, round(sum(value), 3) / count(*) AS mean, min(value) AS low, max(value) AS high
         FROM signals {where} GROUP BY ALL"""
     windows = """SELECT capture_id, epoch_us(time_bucket(INTERVAL '{width}', ts)) AS window_start_micros,
                count(*) AS frames, round(count(*) / {seconds}::DOUBLE, 9) AS fps

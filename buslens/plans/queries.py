@@ -237,9 +237,12 @@ def query_bucket_stats(spark, sf_dir):
 
 
 def _buckets(table: DataFrame) -> DataFrame:
+    # Signals here are multiples of 0.01, so the total has two decimals; rounding
+    # it removes the noise of the summation order before it can flip a digit.
+    mean = F.round(F.col("mean") * F.col("samples"), 3) / F.col("samples")
     return table.select(
         "capture_id", _micros(F.col("bucket_start")).alias("bucket_micros"), "signal", "samples",
-        F.round("mean", 7).alias("mean"), "low", "high",
+        mean.alias("mean"), "low", "high",
     )
 
 
