@@ -14,6 +14,14 @@ from buslens.schemas import RAW_FRAME
 from tests.conftest import raw_row, signal_row
 
 
+@pytest.fixture(autouse=True)
+def several_slices(spark):
+    """Keep small shuffles apart, or these tables would fit into one slice."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def skewed_rows(seed=5, n=3000):
     """One capture with a third of the rows at one instant, copies and a null capture."""
     rnd = random.Random(seed)
@@ -43,11 +51,7 @@ def test_numbers_under_skew(spark):
 
 def test_hot_instant_is_split_over_slices(spark):
     frames = spark.createDataFrame(skewed_rows(), RAW_FRAME)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        slices = scale.sorted_slices(frames, ["capture_id"], ["timestamp", "seq"])
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    slices = scale.sorted_slices(frames, ["capture_id"], ["timestamp", "seq"])
     sizes = [r["count"] for r in slices.groupBy("_slice").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 0.4 * 3000
     hot = slices.where("capture_id = 'hot' AND timestamp = 50.0").select("_slice").distinct().count()
