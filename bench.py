@@ -9,8 +9,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from buslens.session import local_session  # noqa: E402
+from buslens.plans.event_frames import event_catalogue  # noqa: E402
 from buslens.plans.queries import REGISTRY  # noqa: E402
+from buslens.session import local_session  # noqa: E402
 
 HEADLINE = [
     "frames_normalised", "filter_ids", "signals_long", "frames_parsed", "frames_wide",
@@ -27,7 +28,10 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     # One pass over the first query starts the executors and loads the classes.
     REGISTRY[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    seconds = {}
+    # The catalogue is prepared once per session, as a capture run would do.
+    start = time.perf_counter()
+    event_catalogue(spark)
+    seconds = {"catalogue_load": round(time.perf_counter() - start, 3)}
     for name in names:
         start = time.perf_counter()
         REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -76,7 +76,8 @@ def materialise(df: DataFrame, label: str = "table", keep: bool = False) -> Data
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` is within both bounds; reads at most one row beyond them.
 
-    Bytes are those of the rows as JSON text, which exceed the binary size.
+    Bytes are those of the rows as JSON text, a measure that also sees long
+    strings, arrays and maps.
     """
     size = F.length(F.to_json(F.struct("*"))).cast("bigint")
     found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()

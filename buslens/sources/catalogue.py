@@ -138,49 +138,46 @@ def prepare_catalogue(table: DataFrame) -> Catalogue:
 
 def _prepare(table: DataFrame) -> DataFrame:
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in CATALOGUE.fields]
-    t = table.select(*columns)
     start, length = F.col("start_bit"), F.col("bit_length")
+    scale, offset = F.col("scale"), F.col("offset")
     is_le = F.col("byte_order") == "le"
     sawtooth = F.lit(8) * F.floor(start / 8).cast("int") + (F.lit(7) - start % 8) + length
-    wide_unsigned = (length == 64) & ~F.col("is_signed")
-    is_float = F.col("value_type").isin("float32", "float64")
-    t = (
-        t.withColumn("value_type", F.coalesce("value_type", F.lit("int")))
-        .withColumn("is_signed", F.coalesce("is_signed", F.lit(False)))
-        .withColumn("scale", F.coalesce("scale", F.lit(1.0)))
-        .withColumn("offset", F.coalesce("offset", F.lit(0.0)))
-        .withColumn("position", F.coalesce("position", start))
-        .withColumn("is_le", is_le)
-        .withColumn("end_bit", F.when(is_le, start + length).otherwise(sawtooth))
-        .withColumn("shift", F.when(is_le, start).otherwise(F.lit(64) - F.col("end_bit")))
-        .withColumn("mask", F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), F.lit(64) - length))
-        .withColumn("sign_shift", F.when(F.col("is_signed"), F.lit(64) - length).otherwise(F.lit(0)))
-        .withColumn(
-            "kind",
-            F.when(F.col("value_type") == "float32", KIND_FLOAT32)
-            .when(F.col("value_type") == "float64", KIND_FLOAT64)
-            .when(wide_unsigned, KIND_UNSIGNED64)
-            .otherwise(KIND_INT),
-        )
-        .withColumn(
-            "is_integer",
-            ~is_float
-            & (F.col("scale") == F.floor("scale")) & (F.abs("scale") < 1e17)
-            & (F.col("offset") == F.floor("offset")) & (F.abs("offset") < 1e17)
-            & F.coalesce("is_integer", F.lit(True)),
-        )
+    with_defaults = {
+        "value_type": F.coalesce("value_type", F.lit("int")),
+        "is_signed": F.coalesce("is_signed", F.lit(False)),
+        "scale": F.coalesce("scale", F.lit(1.0)),
+        "offset": F.coalesce("offset", F.lit(0.0)),
+        "position": F.coalesce("position", "start_bit"),
+        "is_le": is_le,
+        "end_bit": F.when(is_le, start + length).otherwise(sawtooth),
+    }
+    kind = (
+        F.when(F.col("value_type") == "float32", KIND_FLOAT32)
+        .when(F.col("value_type") == "float64", KIND_FLOAT64)
+        .when((length == 64) & ~F.col("is_signed"), KIND_UNSIGNED64)
+        .otherwise(KIND_INT)
     )
-    # Names and labels as JSON strings, so that no frame has to escape them.
-    t = t.withColumns(
-        {
-            "signal_json": json_string(F.col("signal")),
-            "choices_json": F.transform_values("choices", lambda raw, label: json_string(label)),
-        }
+    whole = (
+        ~F.col("value_type").isin("float32", "float64")
+        & (scale == F.floor(scale)) & (F.abs(scale) < 1e17)
+        & (offset == F.floor(offset)) & (F.abs(offset) < 1e17)
+        & F.coalesce("is_integer", F.lit(True))
     )
     # Integers a DOUBLE holds exactly print from the value; others need decimals.
-    short = (length <= 32) & (F.abs("scale") <= 2**16) & (F.abs("offset") <= 2**50)
-    t = t.withColumn("is_long_integer", F.col("is_integer") & ~short)
-    return _with_selector(t).withColumn("problem", _problem())
+    short = (length <= 32) & (F.abs(scale) <= 2**16) & (F.abs(offset) <= 2**50)
+    layout = {
+        "shift": F.when(is_le, start).otherwise(F.lit(64) - F.col("end_bit")),
+        "mask": F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), F.lit(64) - length),
+        "sign_shift": F.when(F.col("is_signed"), F.lit(64) - length).otherwise(F.lit(0)),
+        "kind": kind,
+        "is_integer": whole,
+        "is_long_integer": whole & ~short,
+        # Names and labels as JSON strings, so that no frame has to escape them.
+        "signal_json": json_string(F.col("signal")),
+        "choices_json": F.transform_values("choices", lambda raw, label: json_string(label)),
+    }
+    prepared = table.select(*columns).withColumns(with_defaults).withColumns(layout)
+    return _with_selector(prepared).withColumn("problem", _problem())
 
 
 def _with_selector(t: DataFrame) -> DataFrame:
@@ -188,13 +185,19 @@ def _with_selector(t: DataFrame) -> DataFrame:
     message = Window.partitionBy("message_id")
     layout = F.struct("is_le", "end_bit", "shift", "mask", "sign_shift")
     is_selector = F.col("signal") == F.col("selector")
-    return (
-        t.withColumn("selector", F.max("mux_signal").over(message))
-        .withColumn("other_selector", F.min("mux_signal").over(message))
-        .withColumn("sel", F.first(F.when(is_selector, layout), ignorenulls=True).over(message))
-        .withColumn("sel_muxed", F.max(F.when(is_selector, F.col("mux_signal"))).over(message))
-        .withColumn("sel_values", F.array_sort(F.collect_set("mux_value").over(message)))
-        .withColumn("copies", F.count("signal").over(Window.partitionBy("message_id", "signal")))
+    named = t.withColumns(
+        {
+            "selector": F.max("mux_signal").over(message),
+            "other_selector": F.min("mux_signal").over(message),
+            "sel_values": F.array_sort(F.collect_set("mux_value").over(message)),
+            "copies": F.count("signal").over(Window.partitionBy("message_id", "signal")),
+        }
+    )
+    return named.withColumns(
+        {
+            "sel": F.first(F.when(is_selector, layout), ignorenulls=True).over(message),
+            "sel_muxed": F.max(F.when(is_selector, F.col("mux_signal"))).over(message),
+        }
     )
 
 
