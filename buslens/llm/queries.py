@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buslens.llm import chat, packing, quality, sentencepiece_codec, token_files
+from buslens.llm import chat, packing, quality, repeats, sentencepiece_codec, token_files
 from buslens.scale import scratch_path
 
 # Ids that close a document.
@@ -28,6 +28,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), FILE_END)
@@ -48,6 +52,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_repeats": op4_repeats,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
