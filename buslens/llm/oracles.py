@@ -30,3 +30,61 @@ SELECT conv_id, speaker, turn, position,
   role = speaker AS in_loss
 FROM placed
 """
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op4_repeats"] = f"""
+WITH docs AS (
+  SELECT doc_id, {WORDS} AS words FROM documents
+), windows AS (
+  SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS passage
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM docs WHERE len(words) >= 20)
+), firsts AS (
+  SELECT passage, min((doc_id, start)) AS earliest FROM windows GROUP BY passage
+), repeated AS (
+  SELECT doc_id, list(DISTINCT gone) AS gone
+  FROM (SELECT w.doc_id, unnest(range(w.start, w.start + 20)) AS gone
+        FROM windows w JOIN firsts f ON w.passage = f.passage AND (w.doc_id, w.start) <> f.earliest)
+  GROUP BY doc_id
+), outcome AS (
+  SELECT d.doc_id, d.words, coalesce(r.gone, []) AS gone FROM docs d LEFT JOIN repeated r ON d.doc_id = r.doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN len(gone) = 0 THEN words
+    ELSE [words[k] FOR k IN range(1, len(words) + 1) IF NOT list_contains(gone, k)] END, ' ')) AS kept_sha256
+FROM outcome
+"""
+
+ORACLES["op8_near_duplicates"] = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {WORDS} AS words FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)])) END AS shingles
+  FROM docs WHERE len(words) > 0
+), classes AS (
+  SELECT row_number() OVER () AS class, shingles, min(doc_id) AS first, count(*) AS copies FROM sets GROUP BY shingles
+), members AS (
+  SELECT class, unnest(shingles) AS shingle FROM classes
+), common AS (
+  SELECT a.class AS x, b.class AS y, count(*) AS n
+  FROM members a JOIN members b ON a.shingle = b.shingle AND a.class < b.class GROUP BY ALL
+), near AS (
+  SELECT x, y FROM common JOIN classes a ON a.class = x JOIN classes b ON b.class = y
+  WHERE n * 5 >= 4 * (len(a.shingles) + len(b.shingles) - n)
+), links AS (
+  SELECT x, y FROM near UNION ALL SELECT y, x FROM near
+), reached AS (
+  SELECT class AS x, class AS y FROM classes
+  UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), groups AS (
+  SELECT r.x AS class, min(c.first) AS class_id FROM reached r JOIN classes c ON c.class = r.y GROUP BY r.x
+), counted AS (
+  SELECT c.class, c.shingles, c.copies - 1 + coalesce(sum(o.copies), 0) AS n_links
+  FROM classes c LEFT JOIN links l ON l.x = c.class LEFT JOIN classes o ON o.class = l.y
+  GROUP BY c.class, c.shingles, c.copies
+)
+SELECT s.doc_id, g.class_id, CAST(k.n_links AS BIGINT) AS n_links
+FROM sets s JOIN counted k ON s.shingles = k.shingles JOIN groups g ON g.class = k.class
+UNION ALL SELECT doc_id, doc_id, 0 FROM docs WHERE len(words) = 0
+"""

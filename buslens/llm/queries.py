@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buslens.llm import chat, packing, quality, repeats, sentencepiece_codec, token_files
+from buslens.llm import chat, jaccard, packing, quality, repeats, sentencepiece_codec, token_files
 from buslens.scale import scratch_path
 
 # Ids that close a document.
@@ -46,6 +46,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), PACK_END)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -56,5 +61,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_perspectives": op10_perspectives,
 }

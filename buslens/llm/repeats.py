@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import bounds, chunks, expose_package, map_batches, ranges
+from buslens.llm.tasks import bounds, chunks, expose_package, map_batches, row_key
 from buslens.llm.wordhash import run_hashes, texts_words, word_hashes
 
 WINDOW = 20
@@ -98,13 +98,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``key, doc, text``: the key stands for id and text together."""
     doc, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
-    return docs.select(_key(doc, text).alias("key"), doc.alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
-
-
-def _key(doc: Column, text: Column) -> Column:
-    """16 bytes for id and text; never null, so that no join adds a filter on it."""
-    digest = F.md5(F.concat(F.coalesce(doc.cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(text, F.lit(""))))
-    return F.coalesce(F.unhex(digest), F.lit(b""))
+    return docs.select(row_key(doc, text).alias("key"), doc.alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _buckets(docs: DataFrame) -> int:
@@ -356,7 +350,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
     names = docs.columns
     fresh = "_".join(["key", *names])  # longer than any of the names, so never one of them
     keyed = _keyed(docs, id_column, text_column)
-    key = _key(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string"))
+    key = row_key(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string"))
     found = repeated_windows(keyed, window).withColumnsRenamed({"key": fresh, "positions": f"{fresh}_at"})
     columns: list[Column] = [F.col(f"`{c}`") for c in names]
     joined = docs.select(*columns, key.alias(fresh)).join(found, fresh, "left").select(*columns, f"`{fresh}_at`")

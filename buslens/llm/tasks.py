@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Text bytes that a task works on at once; a longer document is one chunk.
 CHUNK_BYTES = 4 << 20
@@ -28,6 +29,15 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(work, schema)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes for id and text, the same for repeated rows.
+
+    Never null, so that no join adds a filter on it and exchanges stay alike.
+    """
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(text, F.lit(""))))
+    return F.coalesce(F.unhex(digest), F.lit(b""))
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``limit`` bytes, one row at least."""
     if not batch.num_rows:
