@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buslens.llm import chat, jaccard, packing, quality, repeats, sentencepiece_codec, token_files
+from buslens.llm import chat, jaccard, packing, ppm, quality, repeats, sentencepiece_codec, token_files
 from buslens.scale import scratch_path
 
 # Ids that close a document.
@@ -28,6 +28,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_ppm": op3_ppm,
     "op4_repeats": op4_repeats,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
