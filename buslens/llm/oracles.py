@@ -88,3 +88,17 @@ SELECT s.doc_id, g.class_id, CAST(k.n_links AS BIGINT) AS n_links
 FROM sets s JOIN counted k ON s.shingles = k.shingles JOIN groups g ON g.class = k.class
 UNION ALL SELECT doc_id, doc_id, 0 FROM docs WHERE len(words) = 0
 """
+
+ORACLES["op2_cover_tree"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+  FROM whole q JOIN whole d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buslens.llm import chat, jaccard, packing, ppm, quality, repeats, sentencepiece_codec, token_files
+from buslens.llm import chat, cover_tree, html_text, jaccard, packing, ppm, quality, repeats, sentencepiece_codec, token_files
 from buslens.scale import scratch_path
 
 # Ids that close a document.
@@ -28,6 +28,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -55,17 +59,23 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_cover_tree": op2_cover_tree,
     "op3_ppm": op3_ppm,
     "op4_repeats": op4_repeats,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_html_text": op9_html_text,
     "op10_perspectives": op10_perspectives,
 }
