@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from buslens.llm.tasks import quoted
 from buslens.scale import lookup_join, materialise, sorted_slices
 
 # Fixed values of the rendering.
@@ -51,8 +52,8 @@ def perspectives(
     counts for the loss and are null elsewhere.
     """
     rows = turns.select(
-        F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"),
-        F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col(quoted(conversation)).alias("conv_id"), F.col(quoted(turn)).alias("turn"),
+        F.coalesce(F.col(quoted(role)), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"),
     )
     # One row per conversation and speaker, combined before the shuffle.
     speakers = rows.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import map_batches
+from buslens.llm.tasks import map_batches, quoted
 from buslens.scale import materialise
 
 SCALE, K, QUERY_EVERY = 1024, 10, 100
@@ -317,7 +317,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, id_column: s
     block by block.
     """
     spark = vectors.sparkSession
-    plain = vectors.select(F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.col(f"`{vector_column}`").alias("embedding"))
+    plain = vectors.select(F.col(quoted(id_column)).cast("long").alias("vec_id"), F.col(quoted(vector_column)).alias("embedding"))
     blocks = materialise(_blocks(_clustered(plain), every, k), "vector-blocks")
     queries, data = blocks.where("kind = 1"), blocks.where("kind = 0")
     pairs = queries.select(F.col("block").alias("q"), F.col("centre").alias("qc"), F.col("radius").alias("qr")).crossJoin(

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import map_batches
+from buslens.llm.tasks import map_batches, quoted
 
 LABELLED = 2_000
 LIMIT = 4.0  # bound of one learned weight
@@ -41,7 +41,7 @@ LEAST_TAG = -0.2  # every tag costs this much at least
 INSIDE, OUTSIDE = 6.0, -8.0
 # Furniture is never returned, so it need not keep what follows it out of the stretch.
 FURNITURE_TEXT = -1.0
-PLAIN_WORD = 0.5  # a word without any known name around it
+PLAIN_WORD = 1.0  # a word without any known name around it
 MAIN = {"article", "main"}
 # Fixed names. Elements whose content is no text at all:
 HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "title"}
@@ -249,8 +249,8 @@ def main_text(html: str, weights: dict[str, float]) -> str:
 def extract(pages: DataFrame, labelled: int = LABELLED, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     plain = pages.select(
-        F.col(f"`{id_column}`").cast("long").alias("page_id"), F.col(f"`{url_column}`").cast("string").alias("url"),
-        F.coalesce(F.col(f"`{html_column}`").cast("string"), F.lit("")).alias("html"),
+        F.col(quoted(id_column)).cast("long").alias("page_id"), F.col(quoted(url_column)).cast("string").alias("url"),
+        F.coalesce(F.col(quoted(html_column)).cast("string"), F.lit("")).alias("html"),
     )
     weights = learn_weights(plain.select("page_id", "html"), labelled)
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buslens.llm.components import components
-from buslens.llm.tasks import bounds, chunks, map_batches, row_key
+from buslens.llm.tasks import bounds, chunks, fresh_name, map_batches, quoted, row_key
 from buslens.llm.wordhash import mixed, run_hashes, texts_words
 from buslens.scale import lookup_join, materialise
 
@@ -101,7 +101,7 @@ def _labels(shingles: np.ndarray, salts: tuple[np.ndarray, np.ndarray], trees: i
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    doc_id, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
+    doc_id, text = F.col(quoted(id_column)).cast("long"), F.col(quoted(text_column)).cast("string")
     return docs.select(row_key(doc_id, text).alias("row_key"), doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
 
 
@@ -325,8 +325,8 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     found = near_duplicates(docs, id_column=id_column, text_column=text_column)
     keepers = found.where(F.col("row_key") == F.col("keeper")).select("row_key").distinct()
     names = docs.columns
-    fresh = "_".join(["key", *names])
-    doc_id, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
-    named = docs.select(*[F.col(f"`{c}`") for c in names], row_key(doc_id, text).alias(fresh))
+    fresh = fresh_name(names)
+    doc_id, text = F.col(quoted(id_column)).cast("long"), F.col(quoted(text_column)).cast("string")
+    named = docs.select(*[F.col(quoted(c)) for c in names], row_key(doc_id, text).alias(fresh))
     kept = named.join(keepers.withColumnRenamed("row_key", fresh), fresh, "left_semi")
-    return kept.dropDuplicates([fresh]).select(*[F.col(f"`{c}`") for c in names])
+    return kept.dropDuplicates([fresh]).select(*[F.col(quoted(c)) for c in names])

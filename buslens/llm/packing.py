@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import bounds, chunks, map_batches, ranges
+from buslens.llm.tasks import bounds, chunks, map_batches, quoted, ranges
 from buslens.llm.tokens import encode_batch
 from buslens.scale import materialise
 
@@ -131,7 +131,7 @@ def pack_documents(
     docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int = SEQUENCE, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """Every id of every document in one piece of one sequence; see ``PACKED``."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text_column)).cast("string").alias("text"))
     cut = materialise(pieces(rows, tokenizer_path, end_id, sequence), "pieces")  # numbers must not change below
     per_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}

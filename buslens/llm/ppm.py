@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import bounds, chunks, expose_package, map_batches, ranges
+from buslens.llm.tasks import bounds, chunks, equal_spans, expose_package, map_batches, quoted, ranges
 from buslens.llm.wordhash import word_hashes
 from buslens.scale import materialise
 
@@ -113,8 +113,7 @@ def _chunk_rows(part: pa.RecordBatch, chunk: int, buckets: int) -> list[tuple]:
     hashes, _ = word_hashes(b"\n".join(words.tolist()))
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-    for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True):
+    for a, b in equal_spans(bucket[by]):
         own = by[a:b]
         steps = np.diff(own, prepend=0).astype("<i4")
         rows.append((chunk, int(bucket[own[0]]), _squeeze(b"\n".join(words[own].tolist()), steps, train[own])))
@@ -348,7 +347,7 @@ def score_documents(
 ) -> DataFrame:
     """``SCORED`` for every document, learning from those that are not held out."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_column)).cast("string"), F.lit("")).alias("text"))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     size = rows.agg(
         F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.crc32(id_text.cast("binary")) % HELD_OUT_OF != 0).alias("ends")

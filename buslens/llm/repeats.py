@@ -39,8 +39,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from buslens.llm.tasks import bounds, chunks, expose_package, map_batches, row_key
+from buslens.llm.tasks import bounds, chunks, equal_spans, expose_package, fresh_name, map_batches, quoted, row_key
 from buslens.llm.wordhash import run_hashes, texts_words, word_hashes
 
 WINDOW = 20
@@ -97,7 +98,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``key, doc, text``: the key stands for id and text together."""
-    doc, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
+    doc, text = F.col(quoted(id_column)).cast("long"), F.col(quoted(text_column)).cast("string")
     return docs.select(row_key(doc, text).alias("key"), doc.alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
 
 
@@ -140,8 +141,7 @@ def _routed(part: _Chunk, chunk: int, buckets: int, hashes: np.ndarray, sent: np
     bucket = (hashes >> np.uint64(16)) % np.uint64(buckets)
     chosen = np.flatnonzero(sent)
     chosen = chosen[np.argsort(bucket[chosen], kind="stable")]  # by bucket, then by place
-    cuts = np.flatnonzero(np.diff(bucket[chosen], prepend=np.uint64(buckets + 1)))
-    for begin, end in zip(cuts, np.r_[cuts[1:], len(chosen)], strict=True):
+    for begin, end in equal_spans(bucket[chosen]):
         own = chosen[begin:end]
         columns = [owner[own], position[own], *[e[own] for e in extra]]
         if documents:
@@ -229,8 +229,7 @@ def _returned(answered: DataFrame) -> DataFrame:
         order = np.lexsort([position, owner])
         order = order[_first_of_runs(order, owner, position)]
         owner, position = owner[order], position[order]
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        out = [(keys[owner[a]], _pack(position[a:b])) for a, b in zip(cuts, np.r_[cuts[1:], len(owner)], strict=True)]
+        out = [(keys[owner[a]], _pack(position[a:b])) for a, b in equal_spans(owner)]
         return pa.Table.from_batches([_batch(out, FOUND)])
 
     found = answered.groupBy("chunk").applyInArrow(work, FOUND)
@@ -348,12 +347,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
     is one space otherwise.
     """
     names = docs.columns
-    fresh = "_".join(["key", *names])  # longer than any of the names, so never one of them
+    fresh = fresh_name(names)
     keyed = _keyed(docs, id_column, text_column)
-    key = row_key(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string"))
+    key = row_key(F.col(quoted(id_column)).cast("long"), F.col(quoted(text_column)).cast("string"))
     found = repeated_windows(keyed, window).withColumnsRenamed({"key": fresh, "positions": f"{fresh}_at"})
-    columns: list[Column] = [F.col(f"`{c}`") for c in names]
-    joined = docs.select(*columns, key.alias(fresh)).join(found, fresh, "left").select(*columns, f"`{fresh}_at`")
+    columns: list[Column] = [F.col(quoted(c)) for c in names]
+    joined = docs.select(*columns, key.alias(fresh)).join(found, fresh, "left").select(*columns, f"{fresh}_at")
+
+    plain = [f"c{k}" for k in range(len(names))]  # Python stages take no names with dots
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,10 +365,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
                        for t, p in zip(texts, places, strict=True)]
                 texts = pa.array(new, texts.type)
             arrays = [texts if n == text_column else batch.column(k) for k, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays(arrays, plain)
 
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, docs.schema, strict=True)])
     expose_package(docs.sparkSession)
-    return joined.mapInArrow(work, docs.schema)
+    return joined.toDF(*plain, "places").mapInArrow(work, schema).toDF(*names)
 
 
 def _cut(text: str, positions: bytes, window: int) -> str:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import PieceTable, bounds, chunks, list_column, map_batches, texts_of
+from buslens.llm.tasks import PieceTable, bounds, chunks, list_column, map_batches, quoted, texts_of
 
 MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "  # what the library prints for the unknown id
@@ -250,7 +250,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id"
                     [part.column("doc_id"), list_column(ids.astype(np.int32), lengths)], ["doc_id", "ids"]
                 )
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text_column)).cast("string").alias("text"))
     return map_batches(rows, work, "doc_id long, ids array<int>")
 
 
@@ -291,5 +291,5 @@ def round_trip(docs: DataFrame, model_path: str, id_column: str = "doc_id", text
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text_column)).cast("string").alias("text"))
     return map_batches(rows, work, ENCODED)

@@ -38,14 +38,23 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(F.unhex(digest), F.lit(b""))
 
 
+def quoted(name: str) -> str:
+    """A column name as a reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh_name(columns: list[str]) -> str:
+    """A name that none of the columns has: it is longer than all of them."""
+    return "_".join(["key", *columns]).replace(".", "_").replace("`", "_")
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``limit`` bytes, one row at least."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(lengths.astype(np.int64)) - lengths) // limit
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    for begin, end in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
+    for begin, end in equal_spans(part):
         yield batch.slice(begin, end - begin)
 
 
@@ -69,6 +78,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1], dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def equal_spans(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal neighbours."""
+    if not len(values):
+        return []
+    cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)], strict=True))
+
+
 def list_column(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     """A list per run of ``values``."""
     return pa.ListArray.from_arrays(pa.array(bounds(lengths).astype(np.int32)), pa.array(values))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import bounds, chunks, list_column, map_batches
+from buslens.llm.tasks import bounds, chunks, list_column, map_batches, quoted
 from buslens.llm.tokens import encode_batch, text_encoder
 
 # Fixed values of the format.
@@ -192,7 +192,7 @@ def write_token_files(
 
     One range shuffle moves the compressed frames; texts are not moved.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text_column)).cast("string").alias("text"))
     spark, width = docs.sparkSession, id_bytes(tokenizer_path)
     dictionary = train_dictionary(rows, tokenizer_path, end_id, width)
     spark.createDataFrame([(dictionary.digest, dictionary.data)], "digest binary, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
