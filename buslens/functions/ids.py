@@ -8,8 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted spellings of an identifier.
-HEX_ID = r"^0[xX][0-9a-fA-F]{1,15}$"
-DECIMAL_ID = r"^[+-]?[0-9]{1,18}$"
+HEX_ID = r"^0[xX][0-9a-fA-F]+$"
+DECIMAL_ID = r"^[+-]?[0-9]+$"
+LARGEST = (1 << 63) - 1
 
 
 def hex_id(can_id: Column) -> Column:
@@ -19,11 +20,14 @@ def hex_id(can_id: Column) -> Column:
 
 
 def id_from_text(text: Column) -> Column:
-    """Hex (``0x…``) or decimal text to a number; null for anything else."""
+    """Hex (``0x…``) or decimal text of any length to a number; null for anything else.
+
+    Numbers beyond a BIGINT are null: no frame has such an identifier.
+    """
     token = F.trim(text)
-    return F.when(
-        token.rlike(HEX_ID), F.conv(F.substring(token, 3, 15), 16, 10).try_cast("bigint")
-    ).when(token.rlike(DECIMAL_ID), token.try_cast("bigint"))
+    digits = F.regexp_replace(token, r"^0[xX]0*(?=.)", "")
+    number = F.when(F.length(digits) <= 16, F.conv(digits, 16, 10).try_cast("bigint"))
+    return F.when(token.rlike(HEX_ID), number).when(token.rlike(DECIMAL_ID), token.try_cast("bigint"))
 
 
 def parse_id_list(text: str | None) -> list[int]:
@@ -38,4 +42,6 @@ def parse_id_list(text: str | None) -> list[int]:
             ids.append(int(token))
         else:
             raise ValueError(f"not a CAN ID: {token!r} in {text!r}")
+    if any(abs(i) > LARGEST for i in ids):
+        raise ValueError(f"a CAN ID is too large in {text!r}")
     return ids

@@ -5,7 +5,7 @@ All limits work per ``capture_id`` on event time; order is (timestamp, seq).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buslens.operators.normalise import moved_narrow
@@ -15,6 +15,8 @@ from buslens.scale import lookup_join, materialise
 ORDER = ["timestamp", "seq"]
 # Width of the time steps that find where a count limit falls.
 STEP_SECONDS = 60.0
+# Steps of frames without a time and with one that is no number.
+BEFORE, AFTER = -(1 << 63), (1 << 63) - 1
 
 
 def number_frames(frames: DataFrame, name: str = "frame_num") -> DataFrame:
@@ -31,7 +33,7 @@ def limit_count(frames: DataFrame, count: int | None) -> DataFrame:
     """
     if not count:
         return frames
-    step = F.floor(F.col("timestamp") / STEP_SECONDS)
+    step = time_step(F.col("timestamp"))
     steps = frames.groupBy("capture_id", step.alias("_step")).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy("capture_id").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     needed = (
@@ -45,6 +47,12 @@ def limit_count(frames: DataFrame, count: int | None) -> DataFrame:
     return number_frames(near, "_number").where(F.col("_number") <= count).drop("_number")
 
 
+def time_step(timestamp: Column) -> Column:
+    """Number of the time step, in the order of the frames: no time first, NaN last."""
+    step = F.floor(timestamp / STEP_SECONDS)
+    return F.when(timestamp.isNull(), F.lit(BEFORE)).when(F.isnan(timestamp), F.lit(AFTER)).otherwise(step)
+
+
 def limit_duration(frames: DataFrame, seconds: float | None) -> DataFrame:
     """Frames up to ``seconds`` after the first frame of their capture.
 

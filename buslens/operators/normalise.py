@@ -12,6 +12,11 @@ from buslens.functions.payload import byte_list, spaced_hex
 from buslens.schemas import FRAME
 
 
+def quoted(name: str) -> str:
+    """A column name as a reference; signal names may hold dots."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def event_time(timestamp: Column) -> Column:
     """Unix seconds (DOUBLE) to TIMESTAMP, rounded to microseconds."""
     return F.timestamp_micros(F.rint(timestamp * 1e6).try_cast("bigint"))
@@ -33,7 +38,7 @@ def normalise(raw: DataFrame, extra: list[str] | None = None) -> DataFrame:
     ``extra`` columns of the input are kept behind the record.
     """
     derived = {name: build() for name, (_, build) in DERIVED.items()}
-    return raw.withColumns(derived).select(*FRAME.fieldNames(), *(extra or []))
+    return raw.withColumns(derived).select(*FRAME.fieldNames(), *[quoted(c) for c in extra or []])
 
 
 def moved_narrow(frames: DataFrame, move: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -112,11 +112,13 @@ def duplicate_frames(frames: DataFrame) -> DataFrame:
 
 
 def drop_duplicate_frames(frames: DataFrame) -> DataFrame:
-    """Keep the first (lowest ``seq``) of identical frames."""
+    """Keep the first (lowest ``seq``, none last) of identical frames."""
     rest = [name for name in RAW_FRAME.fieldNames() if name not in (*COPY_KEY, "seq")]
+    # ``min_by`` passes over rows whose order is null.
+    order = F.coalesce("seq", F.lit((1 << 63) - 1))
     # One value each instead of a struct, so that the aggregation hashes instead of sorting.
     first = frames.groupBy(*COPY_KEY).agg(
-        F.min("seq").alias("seq"), *[F.min_by(name, "seq").alias(name) for name in rest]
+        F.min("seq").alias("seq"), *[F.min_by(name, order).alias(name) for name in rest]
     )
     return normalise(first)
 

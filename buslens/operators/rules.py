@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buslens.operators.decode import signals_long
-from buslens.scale import fits_broadcast, lookup_join
+from buslens.scale import lookup_join
 from buslens.sources.catalogue import Catalogue
 
 
@@ -33,8 +35,6 @@ def check_rules(signals: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def check_frames(frames: DataFrame, catalogue: Catalogue, rules: DataFrame) -> DataFrame:
-    """:func:`check_rules` on frames, reading only messages that carry a ruled signal."""
-    names = None
-    if fits_broadcast(rules):
-        names = [row.signal for row in rules.select("signal").distinct().collect()]
-    return check_rules(signals_long(frames, catalogue, names), rules)
+    """:func:`check_rules` on frames, decoding only the signals that have a rule."""
+    ruled = catalogue.signals.join(rules.select("signal").distinct(), "signal", "left_semi")
+    return check_rules(signals_long(frames, replace(catalogue, signals=ruled)), rules)

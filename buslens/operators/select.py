@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from buslens.functions.ids import id_from_text
 from buslens.scale import all_of, lookup_join, materialise
 
+# More than the rounding of seconds to microseconds can shift a frame.
+MARGIN = 2e-6
+
 
 def by_ids(frames: DataFrame, ids: list[int] | None) -> DataFrame:
     """Keep frames with one of the decimal IDs; none given passes everything."""
@@ -31,12 +34,17 @@ def by_id_range(frames: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def by_time(frames: DataFrame, start=None, end=None) -> DataFrame:
-    """Keep ``start <= ts < end``; bounds are datetimes, strings or columns."""
+    """Keep ``start <= ts < end``; bounds are datetimes, strings or columns.
+
+    ``ts`` is computed from ``timestamp``, which no scan can look through, so the
+    bounds are also put on ``timestamp``, a microsecond wider; that prunes files
+    and row groups.
+    """
     bounds = []
     if start is not None:
-        bounds.append(F.col("ts") >= _instant(start))
+        bounds += [F.col("ts") >= _instant(start), F.col("timestamp") >= _seconds(start) - MARGIN]
     if end is not None:
-        bounds.append(F.col("ts") < _instant(end))
+        bounds += [F.col("ts") < _instant(end), F.col("timestamp") < _seconds(end) + MARGIN]
     return frames.where(all_of(bounds))
 
 
@@ -44,6 +52,10 @@ def _instant(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
 
 
+def _seconds(value) -> Column:
+    return F.unix_micros(_instant(value)) / 1e6
+
+
 def by_signal_range(
     signals: DataFrame, signal: str, low: float | None = None, high: float | None = None
 ) -> DataFrame:

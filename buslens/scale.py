@@ -11,33 +11,40 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bounds of a table that may be broadcast; both are checked by counting.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
-# Copies of the small side when it is too large to broadcast.
-SALTS = 64
+# Copies of the small side when it is too large to broadcast: as many as there
+# are shuffle partitions, within these bounds.
+LEAST_SALTS, MOST_SALTS = 8, 1_024
 
-_local_scratch: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
+_scopes = threading.local()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables and stream checkpoints."""
+    """Shared folder for intermediate tables and stream checkpoints.
+
+    ``spark.checkpoint.dir`` names it. A local session that lacks the setting
+    gets a folder of its own there, once.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="buslens-")
-    return _local_scratch[app]
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        path = tempfile.mkdtemp(prefix="buslens-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -51,15 +58,46 @@ def drop_scratch(spark: SparkSession) -> int:
     Call it once the results that read them are written. Prepared catalogues,
     stream checkpoints and whatever others keep in the same folder stay.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     paths = _made.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        place = hadoop.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+        delete(spark, path)
     return len(paths)
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path as its own type."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, wherever it is stored."""
+    files, place = _at(spark, path)
+    files.delete(place, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    files, place = _at(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that this thread makes inside, but for those to keep."""
+    outer = getattr(_scopes, "made", None)
+    _scopes.made = []
+    try:
+        yield
+    finally:
+        known = _made.get(spark.sparkContext.applicationId, [])
+        for path in _scopes.made:
+            delete(spark, path)
+            if path in known:
+                known.remove(path)
+        _scopes.made = outer
+
+
 def materialise(df: DataFrame, label: str = "table", keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
@@ -70,6 +108,8 @@ def materialise(df: DataFrame, label: str = "table", keep: bool = False) -> Data
     df.write.parquet(path)
     if not keep:
         _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+        if getattr(_scopes, "made", None) is not None:
+            _scopes.made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,8 +136,10 @@ def lookup_join(
     """Equi-join a large table with a lookup table without moving hot keys.
 
     A checked small side is broadcast and ``big`` is not shuffled. A larger one
-    is replicated over ``SALTS`` salts and joined by (key, salt), so one key
-    holding a large share of ``big`` still spreads over many tasks.
+    is replicated over salts and joined by (key, salt), so one key holding a
+    large share of ``big`` still spreads over many tasks. The salt is a hash of
+    the row, so a task that runs again deals its rows out as before, and streams
+    can use it.
     ``null_safe`` lets null keys match each other.
     """
     fits = fits_broadcast(small, max_rows) if small_fits is None else small_fits
@@ -109,10 +151,10 @@ def lookup_join(
             return big.join(F.broadcast(small), same, how).drop(*renamed.values())
     elif fits:
         return big.join(F.broadcast(small), on, how)
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    spread = small.withColumn("_salt", F.explode(salts))
-    turn = F.monotonically_increasing_id() % F.lit(SALTS)
-    salted = big.withColumn("_salt", turn.cast("int"))
+    salts = min(MOST_SALTS, max(LEAST_SALTS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hashed = [F.col(f.name) for f in big.schema if not _holds_map(f.dataType)]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     if null_safe:
         spread = spread.withColumnRenamed("_salt", "_r_salt")
         same = same & (F.col("_salt") == F.col("_r_salt"))
@@ -120,6 +162,13 @@ def lookup_join(
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    """Maps have no hash."""
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType | T.VariantType) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
+
+
 def sorted_slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Materialise ``df`` sorted by keys and order, in balanced slices.
 

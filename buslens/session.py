@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -40,8 +43,11 @@ def builder(app: str = "buslens", input_terabytes: float = 1.0) -> SparkSession.
 def local_session(cores: int | str = "*", memory: str = "8g", app: str = "buslens") -> SparkSession:
     """Single-machine session for tests and measurements."""
     partitions = "8" if cores == "*" else str(cores)
+    session = builder(app)
+    if "spark.checkpoint.dir" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        session = session.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="buslens-"))
     spark = (
-        builder(app)
+        session
         .master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", memory)

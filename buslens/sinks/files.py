@@ -13,7 +13,7 @@ from buslens.scale import lookup_join
 from buslens.schemas import BASE_COLUMNS
 from buslens.sinks.registry import FrameSink, sinks
 from buslens.sources.store import frame_rows
-from buslens.streaming.progress import last_state
+from buslens.streaming.progress import last_state, store_state
 
 # Fields of a JSON record, in order.
 RECORD_COLUMNS = [
@@ -26,11 +26,12 @@ ARRIVAL = ["capture_id", "timestamp", "seq"]
 class FolderSink(FrameSink):
     """Files below ``path``, one ``capture_id=…`` folder per capture.
 
+    A batch replaces the captures it holds and leaves all others in the folder.
     ``ordered`` sorts frames by arrival over all part files, at the price of a
     range partitioning; without it no frame is shuffled.
     """
 
-    def __init__(self, path, catalogue=None, ordered: bool = False, mode: str = "overwrite"):
+    def __init__(self, path, catalogue=None, ordered: bool = True, mode: str = "overwrite"):
         super().__init__(path, catalogue)
         self.ordered, self.mode = ordered, mode
 
@@ -42,9 +43,10 @@ class FolderSink(FrameSink):
         )
 
     def writer(self, rows: DataFrame, batch_id: int | None):
-        # A replayed micro-batch replaces its own folder only.
+        # A replayed micro-batch replaces its own folder, and all of that.
         mode = self.mode if batch_id is None else "overwrite"
-        return rows.write.mode(mode).partitionBy("capture_id")
+        replaced = "dynamic" if batch_id is None else "static"
+        return rows.write.mode(mode).option("partitionOverwriteMode", replaced).partitionBy("capture_id")
 
 
 @sinks.register("csv")
@@ -126,9 +128,7 @@ class TextSink(FolderSink):
         now = frames.groupBy("capture_id").agg(F.count(F.lit(1)).alias("frames"))
         both = past.unionByName(now.withColumn("before", F.lit(0)))
         totals = both.groupBy("capture_id").agg(F.sum("before").alias("before"), F.sum("frames").alias("frames"))
-        path = f"{root}/batch={batch_id}"
-        totals.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return store_state(totals, root, batch_id)
 
 
 def text_lines(numbered: DataFrame, catalogue, show_signals: bool = True) -> DataFrame:

@@ -80,10 +80,9 @@ class SinkRegistry:
         return add
 
     def create(self, name: str, **options) -> FrameSink:
-        if name not in self._kinds:
-            known = ", ".join(self.names()) or "none"
-            raise ValueError(f"no sink named {name!r}; available: {known}")
-        kind = self._kinds[name]
+        kind = self._kinds.get(name)
+        if kind is None:
+            raise ValueError(f"cannot write as {name!r}: known sinks are {self.names()}")
         return kind(**options) if issubclass(kind, FrameSink) else DataSourceSink(kind, **options)
 
     def names(self) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, PySparkException as SparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,20 +69,33 @@ class Catalogue:
 def load_catalogue(spark: SparkSession, path: str | None, fmt: str = "parquet") -> Catalogue | None:
     """Read a stored catalogue.
 
-    A missing or unreadable catalogue switches decoding off instead of failing
-    the run. A readable catalogue with a wrong layout raises ValueError.
+    A missing or malformed catalogue switches decoding off instead of failing
+    the run; anything else that goes wrong while reading, such as a lost
+    executor, is raised. A readable catalogue with a wrong layout raises
+    ValueError.
     """
     if not path:
         return None
     try:
         table = _read(spark, path, fmt)
         table.write.format("noop").mode("overwrite").save()
-    except Exception as error:  # any read problem means: go on with raw frames
+    except (AnalysisException, SparkException) as error:
+        if not _unreadable(error):
+            raise
         log.warning("no signal catalogue from %s: %s", path, str(error).splitlines()[0])
         return None
     return prepare_catalogue(table)
 
 
+# Spark's conditions for a table that is absent or cannot be parsed.
+UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "MALFORMED_", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "PARQUET_")
+
+
+def _unreadable(error: Exception) -> bool:
+    """Whether the table itself is at fault, judged by the conditions in the error's text."""
+    return any(f"[{condition}" in str(error) for condition in UNREADABLE)
+
+
 def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt not in ("csv", "json"):
         return spark.read.schema(CATALOGUE).format(fmt).load(path)

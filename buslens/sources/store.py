@@ -14,6 +14,9 @@ from buslens.sources.catalogue import Catalogue
 
 FRAME_ORDER = ["capture_id", "can_id_dec", "timestamp", "seq"]
 SIGNAL_ORDER = ["capture_id", "signal", "timestamp", "seq"]
+# Written with every stored frame; files from before have none.
+STORE_VERSION = 1
+VERSION_FIELD = T.StructField("store_version", T.IntegerType())
 
 
 def clustered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -28,7 +31,8 @@ def clustered(df: DataFrame, order: list[str]) -> DataFrame:
 def frame_rows(frames: DataFrame, cluster: bool = True) -> DataFrame:
     """The stored columns of frames; derived ones are computed again on reading."""
     rows = frames.select(*RAW_FRAME.fieldNames())
-    return clustered(rows, FRAME_ORDER) if cluster else rows
+    rows = clustered(rows, FRAME_ORDER) if cluster else rows
+    return rows.withColumn(VERSION_FIELD.name, F.lit(STORE_VERSION))
 
 
 def write_frames(frames: DataFrame, path: str, mode: str = "append", cluster: bool = True) -> None:
@@ -46,22 +50,24 @@ def write_store(frames: DataFrame, catalogue: Catalogue | None, root: str, mode:
 def read_frames(spark: SparkSession, path: str, defaults: dict[str, object] | None = None) -> DataFrame:
     """Frames of any stored version, brought onto the current schema.
 
-    Columns that older files lack become null or the given default; columns
-    that are no longer known are left out.
+    Columns that older files lack become null or the given default. Files of
+    the current version have all columns, so a null stored there stays null.
+    Columns that are no longer known are left out.
     """
     # With the schema given, absent columns read as null and the capture folder
     # as text; inferring it would turn a capture named 007 into 7.
-    stored = spark.read.schema(RAW_FRAME).parquet(path)
-    return normalise(evolve(stored, RAW_FRAME, defaults or {}))
+    stored = spark.read.schema(T.StructType([*RAW_FRAME.fields, VERSION_FIELD])).parquet(path)
+    older = F.col(VERSION_FIELD.name).isNull()
+    for name, value in (defaults or {}).items():
+        default = F.lit(value).cast(RAW_FRAME[name].dataType)
+        stored = stored.withColumn(name, F.when(older, F.coalesce(name, default)).otherwise(F.col(name)))
+    return normalise(stored.select(*RAW_FRAME.fieldNames()))
 
 
 def evolve(df: DataFrame, schema: T.StructType, defaults: dict[str, object]) -> DataFrame:
-    """Select ``df`` onto ``schema``, filling missing or null columns with defaults."""
+    """Select ``df`` onto ``schema``; a column that ``df`` lacks gets its default or null."""
     columns = []
     for field in schema.fields:
-        column = F.col(field.name) if field.name in df.columns else F.lit(None)
-        column = column.cast(field.dataType)
-        if field.name in defaults:
-            column = F.coalesce(column, F.lit(defaults[field.name]).cast(field.dataType))
-        columns.append(column.alias(field.name))
+        column = F.col(field.name) if field.name in df.columns else F.lit(defaults.get(field.name))
+        columns.append(column.cast(field.dataType).alias(field.name))
     return df.select(*columns)

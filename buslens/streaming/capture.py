@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from buslens.operators.select import by_ids
-from buslens.scale import scratch_path
+from buslens.operators.stats import capture_stats
+from buslens.scale import folders, scratch_path, scratch_scope
 from buslens.sinks.fanout import SinkErrors, fan_out
 from buslens.sinks.registry import FrameSink
 from buslens.streaming.progress import CaptureProgress
@@ -29,10 +30,11 @@ class CaptureRun:
         bounded = self._limits["duration"] or self._limits["count"]
         arrived = frames.persist(StorageLevel.MEMORY_AND_DISK) if bounded else frames
         try:
-            kept = self._progress.select(arrived, batch_id, **self._limits)
-            self._write(kept, batch_id)
-            if bounded:
-                self._progress.advance(arrived, kept, batch_id)
+            with scratch_scope(frames.sparkSession):  # what a batch stores on the way goes with it
+                kept = self._progress.select(arrived, batch_id, **self._limits)
+                self._write(kept, batch_id)
+                if bounded:
+                    self._progress.advance(arrived, kept, batch_id)
         finally:
             if bounded:
                 arrived.unpersist()
@@ -85,8 +87,20 @@ def start_capture(
     ``fail_on_error`` a batch whose sink failed stops the run and is replayed
     on resume, otherwise the error is recorded and the run goes on without
     that batch in that sink.
+
+    Without ``checkpoint`` the run keeps its state below the first target's
+    path, so that starting it again goes on where it stopped. A new checkpoint
+    for an output that holds batches already is refused: its batches would mix
+    with those of the earlier run.
     """
-    checkpoint = checkpoint or scratch_path(frames.sparkSession, "capture")
+    spark = frames.sparkSession
+    places = sorted(t.path for t in targets.values() if t.path is not None)
+    # Targets without a path store nothing that could be written twice.
+    checkpoint = checkpoint or (f"{places[0].rstrip('/')}/_checkpoint" if places else scratch_path(spark, "capture"))
+    if "offsets" not in folders(spark, checkpoint):
+        for place in places:
+            if any(name.startswith("batch_id=") for name in folders(spark, place)):
+                raise ValueError(f"{place} holds batches of a run with another checkpoint than {checkpoint}")
     limits = {"ids": ids, "duration": duration, "count": count}
     # Beside the checkpoint, so that a resumed run finds both.
     progress = CaptureProgress(f"{checkpoint.rstrip('/')}-progress")
@@ -103,6 +117,15 @@ def start_capture(
     return run
 
 
+def running_totals(frames: DataFrame) -> DataFrame:
+    """Frames, elapsed event time and rate since the start of each capture.
+
+    The aggregation of :func:`capture_stats` as a stream with output mode
+    ``complete``; its state is one row per capture.
+    """
+    return capture_stats(frames)
+
+
 def run_to_table(
     rows: DataFrame, path: str, checkpoint: str | None = None, mode: str = "append"
 ) -> None:

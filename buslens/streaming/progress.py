@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from buslens.operators.limits import number_frames
 from buslens.operators.select import by_ids
-from buslens.scale import lookup_join
+from buslens.scale import delete, folders, lookup_join
 
 SCHEMA = "capture_id string, start double, kept bigint"
 
@@ -37,6 +37,20 @@ def last_state(spark: SparkSession, root: str, batch_id: int, schema: str) -> Da
     return earlier.where(F.col("batch") == newest).drop("batch")
 
 
+def store_state(state: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """Write the state after ``batch_id`` and return it as stored.
+
+    The two newest states before it stay, so that this batch can be replayed;
+    older ones are removed.
+    """
+    spark, path = state.sparkSession, f"{root}/batch={batch_id}"
+    state.write.mode("overwrite").parquet(path)
+    known = sorted(int(name.removeprefix("batch=")) for name in folders(spark, root) if name.startswith("batch="))
+    for old in [n for n in known if n < batch_id][:-2]:
+        delete(spark, f"{root}/batch={old}")
+    return spark.read.schema(state.schema).parquet(path)
+
+
 class CaptureProgress:
     """Running start time and number of kept frames of every capture."""
 
@@ -60,7 +74,7 @@ class CaptureProgress:
             F.coalesce(F.min(F.when(F.col("old"), F.col("start"))), F.min("start")).alias("start"),
             F.sum("kept").alias("kept"),
         )
-        after.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        store_state(after, self.path, batch_id)
 
     def select(
         self, frames: DataFrame, batch_id: int, ids: list[int] | None, duration: float | None, count: int | None
