@@ -50,13 +50,13 @@ HELD_OUT_OF = 10
 SMOOTHING = 0.1
 # The marks behind a word and behind a text, and how many bytes there are besides white space.
 WORD_END, TEXT_END, ALPHABET = 0x20, 0x0A, 250 + 2
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
 WORDS = "chunk long, bucket int, data binary"
 GRAMS = "part int, data binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 # Buckets of the context counts.
-GRAM_PARTS = 64
+GRAM_PARTS = 256
 
 
 def _squeeze(*arrays: np.ndarray | bytes) -> bytes:
@@ -200,14 +200,7 @@ def _corpus_grams(chunked: DataFrame) -> DataFrame:
         words, counts, _, _ = _bucket_words(table.column("data").to_pylist())
         seen = np.flatnonzero(counts)
         rows = [(-1, _squeeze(np.array([counts.sum(), len(seen)], "<i8")))]
-        step = 50_000
-        keys, totals = [], []
-        for a in range(0, len(seen), step):
-            own = seen[a : a + step]
-            found = _gram_counts([words[k] for k in own], counts[own])
-            keys.append(found[0])
-            totals.append(found[1])
-        rows += _by_part(*_summed(keys, totals))
+        rows += _by_part(*_gram_counts([words[k] for k in seen], counts[seen]))
         return pa.Table.from_batches([_rows(rows, GRAMS)])
 
     def per_part(table: pa.Table) -> pa.Table:

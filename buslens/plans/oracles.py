@@ -6,6 +6,7 @@ packed from, so packing and decoding are checked independently.
 
 from __future__ import annotations
 
+from buslens.plans.more_queries import ODD_LIMIT
 from buslens.plans.queries import DURATION, FRAME_LIMIT, RULES
 
 FRAMES = """
@@ -265,4 +266,35 @@ def oracle_sql() -> dict[str, str]:
         "stream_capture": f"""{lines}
             SELECT capture_id, {line}
             FROM (SELECT *, {NUMBER} AS n FROM lines WHERE can_id_dec IN (256, 291))""",
+        "sink_two_captures": f"""{texts}
+            SELECT f.capture_id, f."timestamp", f.can_id, f.dlc, f.data_hex, {wide_text}
+            FROM frames f LEFT JOIN cells s USING (seq) GROUP BY f.seq, f.capture_id, f."timestamp", f.can_id, f.dlc, f.data_hex""",
+        "stream_restart": f"""{frames}
+            SELECT capture_id, seq, "timestamp", can_id_dec, dlc FROM frames""",
+        "stream_totals": f"""{frames}
+            SELECT capture_id, count(*) AS frames, round(max("timestamp") - min("timestamp"), 6) AS elapsed_seconds,
+                   round(count(*) / (max("timestamp") - min("timestamp")), 9) AS fps
+            FROM frames GROUP BY capture_id""",
+        "count_limit_odd_times": f"""{frames}
+            SELECT capture_id, seq, can_id FROM
+              (SELECT *, CASE WHEN seq % 89 = 0 THEN NULL WHEN seq % 97 = 0 THEN 'nan'::DOUBLE ELSE "timestamp" END AS odd FROM frames)
+            QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY odd NULLS FIRST, seq) <= {ODD_LIMIT}""",
+        "landed_frames": f"""{frames}
+            SELECT capture_id, seq, "timestamp", can_id, dlc, data_hex, is_extended FROM frames""",
+        "catalogue_loaded": f"""{signals}
+            SELECT capture_id, seq, "timestamp", can_id_dec, signal, value, label FROM signals""",
+        "kept_in_memory": f"""{frames}
+            SELECT capture_id, seq, can_id, data_hex FROM frames WHERE can_id_dec IN (256, 291) QUALIFY {NUMBER} <= {FRAME_LIMIT}""",
+        "json_extra": f"""{frames}
+            SELECT seq, lower(replace(data_hex, ' ', '')) AS raw, lower(data_hex[1:2] || '-' || data_hex[4:5]) AS pair,
+                   strftime(ts, '%Y-%m-%d') AS day, dlc AS size
+            FROM frames""",
+        "signal_quartiles": f"""{signals}
+            SELECT DISTINCT signal, quartile, true AS within FROM signals, (VALUES (0), (1), (2)) AS q(quartile)""",
+        "store_signals": f"""{signals}
+            SELECT capture_id, seq, can_id_dec, signal, value, label FROM signals""",
+        "quality_flags": f"""{frames}
+            SELECT capture_id, can_id_dec, count(*) AS frames, count(*) FILTER (seq % 11 = 0) AS error_frames,
+                   count(*) FILTER (seq % 13 = 0) AS remote_frames, count(*) FILTER (seq % 13 = 0) AS invalid_frames
+            FROM frames GROUP BY capture_id, can_id_dec""",
     }
