@@ -4,7 +4,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from buslens.llm.oracles import ORACLES
 from tests.llm.helpers import DOCS, ODD_DOCUMENTS, with_clashes
+from tools.check_oracle import compare, connect
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,6 +62,16 @@ def test_odd_documents_pass(spark, sf_dir):
         assert stage(spark, empty, sf_dir).collect() == []
 
 
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    return connect(sf_dir)
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    assert compare(spark, duck, sf_dir, name) == ""
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
