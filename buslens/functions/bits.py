@@ -1,7 +1,7 @@
 """Cut signal values out of 64-bit payload words.
 
-The catalogue prepares a *layout* per signal: ``is_le, end_bit, shift, mask,
-sign_shift, kind, scale, offset, …``. The functions here return SQL expression
+The catalogue prepares a *layout* per signal: ``is_le, end_bit, first, shift,
+mask, sign_shift, kind, scale, offset, …``. The functions here return SQL expression
 text over the words ``_le`` and ``_be``, the payload length ``_bits`` and a
 layout whose fields start with a given prefix (``""`` for plain columns,
 ``"s."`` for a struct ``s``). One text serves one row per signal, arrays of
@@ -17,6 +17,7 @@ KIND_INT, KIND_UNSIGNED64, KIND_FLOAT32, KIND_FLOAT64 = 0, 1, 2, 3
 ALL_KINDS = frozenset({KIND_INT, KIND_UNSIGNED64, KIND_FLOAT32, KIND_FLOAT64})
 FLOAT_KINDS = frozenset({KIND_FLOAT32, KIND_FLOAT64})
 TWO_POW_64 = "18446744073709551616"
+LOW_HALVES = 0x0F0F0F0F0F0F0F0F
 
 
 def complete_sql(s: str) -> str:
@@ -24,13 +25,38 @@ def complete_sql(s: str) -> str:
     return f"coalesce({s}end_bit <= _bits, false)"
 
 
-def raw_sql(s: str) -> str:
-    """Raw bits, sign-extended where signed."""
+def raw_sql(s: str, far: bool = True) -> str:
+    """Raw bits, sign-extended where signed.
+
+    ``far`` adds the code for signals that end beyond the first 8 bytes, which
+    are cut from the payload ``data`` itself.
+    """
     word = f"CASE WHEN {s}is_le THEN _le ELSE _be END"
     unsigned = f"shiftrightunsigned({word}, {s}shift) & {s}mask"
+    if far:
+        unsigned = f"CASE WHEN {s}end_bit <= 64 THEN {unsigned} ELSE {far_sql(s)} END"
     return f"shiftright(shiftleft({unsigned}, {s}sign_shift), {s}sign_shift)"
 
 
+def far_sql(s: str) -> str:
+    """Unsigned bits of a signal in the 8 bytes from byte ``first`` on, and one more.
+
+    A signal of 64 bits that does not begin with a byte reaches into a ninth.
+    """
+    digits = f"rpad(hex(substring(data, {s}first + 1, 8)), 16, '0')"
+    ninth = f"coalesce(CAST(conv(hex(substring(data, {s}first + 9, 1)), 16, 10) AS BIGINT), 0L)"
+    forward = f"CAST(conv({digits}, 16, -10) AS BIGINT)"
+    # Reversed digits are the reversed bytes, each with its halves swapped.
+    backward = f"CAST(conv(reverse({digits}), 16, -10) AS BIGINT)"
+    swapped = f"(shiftleft({backward} & {LOW_HALVES}L, 4) | (shiftrightunsigned({backward}, 4) & {LOW_HALVES}L))"
+    little = f"shiftrightunsigned({swapped}, {s}shift) | CASE WHEN {s}shift = 0 THEN 0L ELSE shiftleft({ninth}, 64 - {s}shift) END"
+    big = (
+        f"CASE WHEN {s}shift >= 0 THEN shiftrightunsigned({forward}, {s}shift)"
+        f" ELSE shiftleft({forward}, -{s}shift) | shiftrightunsigned({ninth}, 8 + {s}shift) END"
+    )
+    return f"(CASE WHEN {s}is_le THEN {little} ELSE {big} END) & {s}mask"
+
+
 def value_sql(s: str, raw: str, kinds: frozenset[int] = ALL_KINDS) -> str:
     """``raw * scale + offset`` as DOUBLE, null for a null raw value.
 

@@ -21,27 +21,29 @@ from pyspark.sql import functions as F
 from buslens.functions.bits import (
     complete_sql, json_sql, label_sql, number_text_sql, raw_sql, text_sql, value_sql,
 )
-from buslens.functions.payload import MAX_BYTES, big_endian_word, swap_bytes
-from buslens.scale import lookup_join
+from buslens.functions.payload import big_endian_word, swap_bytes
+from buslens.scale import BROADCAST_BYTES, lookup_join
 from buslens.schemas import BASE_COLUMNS
 from buslens.sources.catalogue import Catalogue, Traits
 
 _SIGNAL_FIELDS = [
-    "signal", "position", "is_le", "end_bit", "shift", "mask", "sign_shift", "kind",
+    "signal", "position", "is_le", "end_bit", "first", "shift", "mask", "sign_shift", "kind",
     "scale", "offset", "mux_value", "choices", "is_integer", "is_long_integer",
     "signal_json", "choices_json",
 ]
+# Size of a slot of the wide form that another message fills.
+SLOT_BYTES = 8
 PARSED_TYPE = "map<string,struct<value:double,label:string>>"
 TEXTS_TYPE = "array<struct<signal:string,text:string,is_label:boolean>>"
 LONG_COLUMNS = ["capture_id", "seq", "timestamp", "can_id_dec", "signal", "value", "label"]
 
 
 def _with_words(frames: DataFrame) -> DataFrame:
-    """Payload as two 64-bit words and its length in bits, computed once per frame."""
+    """The first 8 bytes as two 64-bit words and the payload's length in bits, computed once per frame."""
     return frames.withColumns(
         {
             "_be": big_endian_word(F.col("data")),
-            "_bits": F.least(F.length("data"), F.lit(MAX_BYTES)) * 8,
+            "_bits": F.length("data") * 8,
         }
     ).withColumn("_le", swap_bytes(F.col("_be")))
 
@@ -54,7 +56,7 @@ def _with_selection(df: DataFrame, traits: Traits) -> DataFrame:
     """
     if not traits.muxed:
         return df.withColumns({"_sel_raw": F.lit(None).cast("bigint"), "_void": F.lit(False)})
-    selected = F.expr(f"CASE WHEN {complete_sql('sel.')} THEN {raw_sql('sel.')} END")
+    selected = F.expr(f"CASE WHEN {complete_sql('sel.')} THEN {raw_sql('sel.', traits.far)} END")
     void = F.expr("coalesce(NOT array_contains(sel_values, _sel_raw), false)")
     return df.withColumn("_sel_raw", selected).withColumn("_void", void)
 
@@ -100,7 +102,7 @@ def signals_long(
     rows = lookup_join(_with_words(known), table, ["can_id_dec"], "inner", small_fits=catalogue.small)
     traits = catalogue.traits
     rows = _with_selection(rows, traits).where(f"NOT _void AND {_chosen('', traits)}")
-    return rows.withColumn("_raw", F.expr(raw_sql(""))).select(
+    return rows.withColumn("_raw", F.expr(raw_sql("", traits.far))).select(
         *keep,
         "signal",
         F.expr(value_sql("", "_raw", traits.kinds)).alias("value"),
@@ -176,7 +178,7 @@ def _per_frame(frames: DataFrame, catalogue: Catalogue, name: str, build) -> Dat
     rows = _with_selection(rows, catalogue.traits)
     chosen = (
         f"transform(filter(_sigs, s -> {_chosen('s.', catalogue.traits)}),"
-        f" s -> named_struct('layout', s, 'raw', {raw_sql('s.')}))"
+        f" s -> named_struct('layout', s, 'raw', {raw_sql('s.', catalogue.traits.far)}))"
     )
     built = F.expr(f"CASE WHEN _sigs IS NOT NULL AND NOT _void THEN {build(chosen)} END")
     return rows.withColumn(name, built).select(*frames.columns, name)
@@ -211,11 +213,13 @@ def frames_wide(
     needed = list(dict.fromkeys([*keep, "can_id_dec", "data"]))
     words = _with_words(frames.select(*needed))
     traits = catalogue.traits
-    rows = lookup_join(words, messages, ["can_id_dec"], "left", small_fits=catalogue.small)
+    # A message's row has a slot for every column, so the table is larger than the catalogue.
+    slots_fit = catalogue.small and len(names) * len(catalogue.message_set()) * SLOT_BYTES <= BROADCAST_BYTES
+    rows = lookup_join(words, messages, ["can_id_dec"], "left", small_fits=slots_fit)
     rows = _with_selection(rows, traits)
     # One projection per step, so that no step repeats the work of the one before.
     raws = {
-        f"_r{i}": F.expr(f"CASE WHEN NOT _void AND {_chosen(f'{slot}.', traits)} THEN {raw_sql(f'{slot}.')} END")
+        f"_r{i}": F.expr(f"CASE WHEN NOT _void AND {_chosen(f'{slot}.', traits)} THEN {raw_sql(f'{slot}.', traits.far)} END")
         for i, slot in enumerate(slots)
     }
     values = {

@@ -18,7 +18,7 @@ from buslens.plans.queries import FRAME_LIMIT, ID_LIST, query
 from buslens.scale import scratch_path
 from buslens.schemas import CATALOGUE, RAW_FRAME
 from buslens.sinks import sinks
-from buslens.sources.catalogue import load_catalogue
+from buslens.sources.catalogue import load_catalogue, prepare_catalogue
 from buslens.sources.frames import read_capture, read_raw, stream_raw
 from buslens.sources.store import write_store
 from buslens.streaming.capture import running_totals, start_capture
@@ -26,6 +26,7 @@ from buslens.streaming.capture import running_totals, start_capture
 # Parameters shared with the SQL side.
 ODD_LIMIT = 330
 QUARTILES = (0.25, 0.5, 0.75)
+LEADING_BYTES = {256: 4, 512: 56, 291: 5, 1110: 56}
 
 
 @query("sink_two_captures")
@@ -140,3 +141,12 @@ def query_quality_flags(spark, sf_dir):
     raw = pack_events(read_events(spark, sf_dir)).withColumns({"is_error": seq % 11 == 0, "is_remote": seq % 13 == 0})
     report = quality.quality_report(normalise(raw), event_catalogue(spark))
     return report.select("capture_id", "can_id_dec", "frames", "error_frames", "remote_frames", "invalid_frames")
+
+
+@query("signals_long_payload")
+def query_signals_long_payload(spark, sf_dir):
+    """The event signals behind other bytes, in payloads of 12 to 64 bytes."""
+    place = F.coalesce(*[F.when(F.col("can_id_dec") == i, F.lit(n)) for i, n in LEADING_BYTES.items()], F.lit(0))
+    frames = event_frames(spark, sf_dir).withColumn("data", F.concat(F.unhex(F.repeat(F.lit("A5"), place)), F.col("data")))
+    rows = [(*row[:4], row[4] + 8 * LEADING_BYTES[row[0]], *row[5:]) for row in catalogue_rows()]
+    return signals_long(frames, prepare_catalogue(spark.createDataFrame(rows, CATALOGUE)))

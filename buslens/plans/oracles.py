@@ -283,6 +283,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT capture_id, seq, "timestamp", can_id, dlc, data_hex, is_extended FROM frames""",
         "catalogue_loaded": f"""{signals}
             SELECT capture_id, seq, "timestamp", can_id_dec, signal, value, label FROM signals""",
+        "signals_long_payload": f"""{signals}
+            SELECT capture_id, seq, "timestamp", can_id_dec, signal, value, label FROM signals""",
         "kept_in_memory": f"""{frames}
             SELECT capture_id, seq, can_id, data_hex FROM frames WHERE can_id_dec IN (256, 291) QUALIFY {NUMBER} <= {FRAME_LIMIT}""",
         "json_extra": f"""{frames}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException, PySparkException as SparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +30,7 @@ class Traits:
     labelled: bool = True
     integers: bool = True
     long_integers: bool = True
+    far: bool = True  # signals beyond the first 8 bytes
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,10 @@ class Catalogue:
             raise ValueError("too many signals for one column each; use the long form")
         return sorted(row.signal for row in names)
 
+    def message_set(self) -> set[int]:
+        """IDs of all messages of a small catalogue that carry signals."""
+        return {i for ids in self.ids_by_signal.values() for i in ids}
+
     def message_ids(self, signals: list[str] | None = None) -> list[int] | None:
         """IDs carrying the given signals (default all) if few enough for literals."""
         if not self.small:
@@ -79,7 +83,7 @@ def load_catalogue(spark: SparkSession, path: str | None, fmt: str = "parquet")
     try:
         table = _read(spark, path, fmt)
         table.write.format("noop").mode("overwrite").save()
-    except (AnalysisException, SparkException) as error:
+    except Exception as error:
         if not _unreadable(error):
             raise
         log.warning("no signal catalogue from %s: %s", path, str(error).splitlines()[0])
@@ -87,13 +91,13 @@ def load_catalogue(spark: SparkSession, path: str | None, fmt: str = "parquet")
     return prepare_catalogue(table)
 
 
-# Spark's conditions for a table that is absent or cannot be parsed.
-UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "MALFORMED_", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "PARQUET_")
+# What Spark says of a table that is absent or cannot be parsed.
+UNREADABLE = ("[PATH_NOT_FOUND", "[UNABLE_TO_INFER_SCHEMA", "[MALFORMED_", "[CANNOT_READ_FILE_FOOTER", "is not a Parquet file")
 
 
 def _unreadable(error: Exception) -> bool:
-    """Whether the table itself is at fault, judged by the conditions in the error's text."""
-    return any(f"[{condition}" in str(error) for condition in UNREADABLE)
+    """Whether the table itself is at fault."""
+    return any(text in str(error) for text in UNREADABLE)
 
 
 def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
@@ -116,8 +120,9 @@ def prepare_catalogue(table: DataFrame) -> Catalogue:
 
     The result is written out once, so that plans using it only scan it.
     """
-    small = fits_broadcast(table, CATALOGUE_ROWS)
     prepared = materialise(_prepare(table), "catalogue", keep=True)
+    # What is broadcast is the prepared table, which may be much larger than its input.
+    small = fits_broadcast(prepared, CATALOGUE_ROWS)
     if small:
         # One partition spares later plans the shuffles of grouping it by message.
         prepared = prepared.coalesce(1)
@@ -133,13 +138,14 @@ def prepare_catalogue(table: DataFrame) -> Catalogue:
             F.max(F.col("choices").isNotNull()).alias("labelled"),
             F.max("is_integer").alias("integers"),
             F.max("is_long_integer").alias("long_integers"),
+            F.max(F.col("end_bit") > 64).alias("far"),
         ).first()
         problems = check.problems
         for signal, message_id in check.pairs:
             ids.setdefault(signal, []).append(message_id)
         traits = Traits(
             frozenset(check.kinds), bool(check.muxed), bool(check.labelled),
-            bool(check.integers), bool(check.long_integers),
+            bool(check.integers), bool(check.long_integers), bool(check.far),
         )
     else:
         rows = prepared.where(F.col("problem").isNotNull()).select("problem").limit(10).collect()
@@ -180,7 +186,7 @@ def _prepare(table: DataFrame) -> DataFrame:
     # Integers a DOUBLE holds exactly print from the value; others need decimals.
     short = (length <= 32) & (F.abs(scale) <= 2**16) & (F.abs(offset) <= 2**50)
     layout = {
-        "shift": F.when(is_le, start).otherwise(F.lit(64) - F.col("end_bit")),
+        "shift": F.when(is_le, start - 8 * F.col("first")).otherwise(F.lit(64) - F.col("end_bit") + 8 * F.col("first")),
         "mask": F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), F.lit(64) - length),
         "sign_shift": F.when(F.col("is_signed"), F.lit(64) - length).otherwise(F.lit(0)),
         "kind": kind,
@@ -190,14 +196,17 @@ def _prepare(table: DataFrame) -> DataFrame:
         "signal_json": json_string(F.col("signal")),
         "choices_json": F.transform_values("choices", lambda raw, label: json_string(label)),
     }
-    prepared = table.select(*columns).withColumns(with_defaults).withColumns(layout)
+    # The byte from which 8 bytes hold the signal, or all but the rest of a ninth.
+    lowest = F.when(is_le, start).otherwise(F.col("end_bit") - length)
+    first = F.when(F.col("end_bit") <= 64, F.lit(0)).otherwise(F.floor(lowest / 8).cast("int"))
+    prepared = table.select(*columns).withColumns(with_defaults).withColumn("first", first).withColumns(layout)
     return _with_selector(prepared).withColumn("problem", _problem())
 
 
 def _with_selector(t: DataFrame) -> DataFrame:
     """Copy the layout of a message's selector into all of its signals."""
     message = Window.partitionBy("message_id")
-    layout = F.struct("is_le", "end_bit", "shift", "mask", "sign_shift")
+    layout = F.struct("is_le", "end_bit", "first", "shift", "mask", "sign_shift")
     is_selector = F.col("signal") == F.col("selector")
     named = t.withColumns(
         {

@@ -131,7 +131,8 @@ def reference_value(data: bytes, start: int, length: int, order: str, signed: bo
     return value - (1 << length) if signed and value >> (length - 1) else value
 
 
-def test_random_layouts_against_bit_by_bit_reading(spark, make_catalogue):
+@pytest.mark.parametrize("bits, bound", [(64, 50_000), (512, 50_000), (512, 10)])
+def test_random_layouts_against_bit_by_bit_reading(spark, make_catalogue, monkeypatch, bits, bound):
     rnd = random.Random(11)
     layouts, rows = {}, []
     for message in range(1, 60):
@@ -139,16 +140,19 @@ def test_random_layouts_against_bit_by_bit_reading(spark, make_catalogue):
         for i in range(rnd.randint(1, 4)):
             order, length = rnd.choice(["le", "be"]), rnd.randint(1, 64)
             if order == "le":
-                start = rnd.randint(0, 64 - length)
+                start = rnd.randint(0, bits - length)
             else:
-                place = rnd.randint(0, 64 - length)
+                place = rnd.randint(0, bits - length)
                 start = 8 * (place // 8) + 7 - place % 8
             signed = rnd.random() < 0.5
             layouts[message].append((f"s{i}", start, length, order, signed))
             rows.append(signal_row(message, f"s{i}", start, length, order, signed))
-    catalogue = make_catalogue(*rows)
+    with monkeypatch.context() as patch:
+        patch.setattr(catalogue_module, "CATALOGUE_ROWS", bound)
+        catalogue = make_catalogue(*rows)
+    assert catalogue.small == (bound > len(rows)) and catalogue.traits.far == (bits > 64)
     raw = [
-        raw_row(seq, float(seq), rnd.randint(1, 62), bytes(rnd.randrange(256) for _ in range(rnd.randint(0, 8))))
+        raw_row(seq, float(seq), rnd.randint(1, 62), bytes(rnd.randrange(256) for _ in range(rnd.randint(0, bits // 8))))
         for seq in range(1500)
     ]
     got = shapes(spark.createDataFrame(raw, RAW_FRAME), catalogue)
