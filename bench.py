@@ -9,6 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import buslens.plans.more_queries  # noqa: E402, F401  registers its queries
 from buslens.plans.event_frames import event_catalogue  # noqa: E402
 from buslens.plans.queries import REGISTRY  # noqa: E402
 from buslens.session import local_session  # noqa: E402
@@ -19,6 +20,7 @@ HEADLINE = [
     "window_stats_10s", "bucket_stats", "signal_summary", "signal_corr", "signal_drift",
     "quarantine", "gaps", "duplicates", "quality", "rules",
     "sink_csv", "sink_ndjson", "sink_text", "sink_parquet", "stream_signals", "stream_stats",
+    "frame_lines", "fanout_count", "store_tables", "store_bulk_import", "stream_capture", "signals_long_payload",
 ]
 
 
