@@ -98,17 +98,18 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         _scopes.made = outer
 
 
-def materialise(df: DataFrame, label: str = "table", keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, label: str = "table", keep: bool = False, outlives: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
-    ``drop_scratch`` removes the table unless it is to ``keep``.
+    ``drop_scratch`` removes the table unless it is to ``keep``; one that
+    ``outlives`` its ``scratch_scope`` stays when that ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
     if not keep:
         _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-        if getattr(_scopes, "made", None) is not None:
+        if not outlives and getattr(_scopes, "made", None) is not None:
             _scopes.made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
