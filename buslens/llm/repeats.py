@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from buslens.llm.tasks import bounds, chunks, equal_spans, expose_package, fresh_name, map_batches, quoted, row_key
+from buslens.llm.tasks import bounds, chunks, equal_spans, expose_package, fresh_name, map_batches, map_groups, quoted, row_key
 from buslens.llm.wordhash import run_hashes, texts_words, word_hashes
 
 WINDOW = 20
@@ -49,7 +49,7 @@ WINDOW = 20
 COVERS = {1: [0], 3: [0, 1], 7: [0, 1, 3], 13: [0, 1, 3, 9], 21: [0, 1, 4, 14, 16], 31: [1, 5, 11, 24, 25, 27]}
 # Text bytes that one bucket of hashes stands for.
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 # What a row of a shuffle holds: a directory of the chunk, entries of a bucket, or answers.
 DIRECTORY, ENTRIES, ANSWERS = 0, 1, 2
 ROUTED = "chunk long, bucket int, kind int, data binary"
@@ -212,8 +212,7 @@ def _answered(routed: DataFrame, judge: Callable[[list[bytes]], list[bytes | Non
             out += [(r["chunk"], r["bucket"], ANSWERS, a) for r, a in zip(entries, answers, strict=True) if a is not None]
         return pa.Table.from_batches([_batch(out, ROUTED)])
 
-    expose_package(routed.sparkSession)
-    return routed.groupBy("bucket").applyInArrow(work, ROUTED)
+    return map_groups(routed, "bucket", work, ROUTED)
 
 
 def _returned(answered: DataFrame) -> DataFrame:
@@ -232,7 +231,7 @@ def _returned(answered: DataFrame) -> DataFrame:
         out = [(keys[owner[a]], _pack(position[a:b])) for a, b in equal_spans(owner)]
         return pa.Table.from_batches([_batch(out, FOUND)])
 
-    found = answered.groupBy("chunk").applyInArrow(work, FOUND)
+    found = map_groups(answered, "chunk", work, FOUND)
     # A key met in several chunks has the same answer in each.
     return found.groupBy("key").agg(F.max("positions").alias("positions"))
 

@@ -41,7 +41,7 @@ from buslens.llm.tasks import PieceTable, bounds, chunks, list_column, map_batch
 
 MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "  # what the library prints for the unknown id
-REMEMBERED_PAIRS = 500_000
+REMEMBERED_PAIRS = 200_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -26,7 +27,33 @@ def expose_package(spark: SparkSession) -> None:
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package importable on the workers."""
     expose_package(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release_memory()
+
+    return df.mapInArrow(task, schema)
+
+
+def map_groups(df: DataFrame, by: str, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``applyInArrow`` per value of ``by``, with this package importable on the workers."""
+    expose_package(df.sparkSession)
+
+    def group(table: pa.Table) -> pa.Table:
+        found = work(table)
+        release_memory()
+        return found
+
+    return df.groupBy(by).applyInArrow(group, schema)
+
+
+def release_memory() -> None:
+    """Give freed memory back: workers live on, and what one stage used the next would lack."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -98,7 +125,7 @@ class PieceTable:
     table is full, segments that were met once make room.
     """
 
-    def __init__(self, encode: Callable[[list], list[np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list], list[np.ndarray]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self._fill([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
