@@ -16,7 +16,7 @@ null flag u8 and number of ids u64, and the frame offsets u64 with the end as th
 last one; then the frames.
 
 Defined results: documents are stored in ascending id, null ids first, repeated
-ids by their frames; repeated rows stay. A null text is the empty text and holds
+ids by a hash of their text; repeated rows stay. A null text is the empty text and holds
 the end id alone. An empty table gives no blocks. Other columns are not read.
 """
 
@@ -45,7 +45,6 @@ HEADER = struct.Struct("<4sHH32sQ")
 SAMPLE_DOCUMENTS, SAMPLE_IDS, DICTIONARY_BYTES = 1_000, 4_096, 64 << 10
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
-FRAMES = "doc_id long, n_tokens long, frame binary"
 BLOCKS = "shard int, block int, start long, n_docs long, n_ids long, first_doc long, last_doc long, data binary"
 
 
@@ -95,22 +94,6 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
         return Dictionary(b"")
 
 
-def _frames(docs: DataFrame, tokenizer_path: str, end_id: int, dictionary: Dictionary, width: int) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = dictionary.compressor()
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                ids, lengths = encode_batch(part, "text", tokenizer_path, end_id)
-                data = memoryview(ids.astype(f"<u{width}").tobytes())
-                ends = bounds(lengths) * width
-                frames = [compressor.compress(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(lengths), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"]
-                )
-
-    return map_batches(docs, work, FRAMES)
-
-
 def pack_block(doc_ids: list, lengths: list[int], frames: list[bytes], digest: bytes, width: int) -> bytes:
     """One block from documents in order."""
     index = [
@@ -152,11 +135,12 @@ class Block:
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
 
-def _blocks(frames: DataFrame, digest: bytes, width: int) -> DataFrame:
+def _blocks(ordered: DataFrame, tokenizer_path: str, end_id: int, dictionary: Dictionary, width: int) -> DataFrame:
     """Blocks of each sorted partition, numbered with the ids of the partition before them."""
+    digest = dictionary.digest
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        shard, compressor = TaskContext.get().partitionId(), dictionary.compressor()
         block = start = size = 0
         ids: list = []
         lengths: list[int] = []
@@ -170,19 +154,23 @@ def _blocks(frames: DataFrame, digest: bytes, width: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            for doc, count, frame in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids.append(doc)
-                lengths.append(count)
-                held.append(frame)
-                size += len(frame)
-                if size >= BLOCK_BYTES:
-                    yield close()
-                    block, start, size = block + 1, start + sum(lengths), 0
-                    ids, lengths, held = [], [], []
+            for part in chunks(batch, "text"):
+                encoded, counts = encode_batch(part, "text", tokenizer_path, end_id)
+                data = memoryview(encoded.astype(f"<u{width}").tobytes())
+                ends = bounds(counts) * width
+                for doc, count, a, b in zip(part.column("doc_id").to_pylist(), counts.tolist(), ends[:-1], ends[1:], strict=True):
+                    ids.append(doc)
+                    lengths.append(count)
+                    held.append(compressor.compress(data[a:b]))
+                    size += len(held[-1])
+                    if size >= BLOCK_BYTES:
+                        yield close()
+                        block, start, size = block + 1, start + sum(lengths), 0
+                        ids, lengths, held = [], [], []
         if ids:
             yield close()
 
-    return map_batches(frames, work, BLOCKS)
+    return map_batches(ordered, work, BLOCKS)
 
 
 def write_token_files(
@@ -190,16 +178,18 @@ def write_token_files(
 ) -> None:
     """Encode every whole text, append ``end_id`` and store the ids in ascending document id.
 
-    One range shuffle moves the compressed frames; texts are not moved.
+    One range shuffle moves the texts; each task encodes and stores its range.
     """
     rows = docs.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text_column)).cast("string").alias("text"))
     spark, width = docs.sparkSession, id_bytes(tokenizer_path)
     dictionary = train_dictionary(rows, tokenizer_path, end_id, width)
     spark.createDataFrame([(dictionary.digest, dictionary.data)], "digest binary, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    tie = F.xxhash64("frame")  # splits an id that many rows share
-    ordered = _frames(rows, tokenizer_path, end_id, dictionary, width).repartitionByRange("doc_id", tie)
-    ordered = ordered.sortWithinPartitions("doc_id", tie, "frame")
-    blocks = _blocks(ordered, dictionary.digest, width)
+    # Texts are dealt out before they are encoded: finding the ranges reads its input once more.
+    # Ties split an id that many rows share, and rows that are repeated.
+    order = ["doc_id", "hash", "tie"]
+    keyed = rows.withColumns({"hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    blocks = _blocks(ordered, tokenizer_path, end_id, dictionary, width)
     blocks.write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file written

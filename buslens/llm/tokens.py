@@ -16,6 +16,8 @@ from buslens.llm.tasks import PieceTable, bounds
 # Joins words for one call of the library; a word that holds it is encoded alone.
 JOINT = "|"
 WORDS_PER_CALL = 256
+# Distinct words remembered by a worker, about 200 bytes each.
+WORDS_KEPT = 800_000
 # The settings under which words between white space are encoded independently.
 SPACE_RULE = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
 
@@ -37,7 +39,7 @@ class TextEncoder:
             rules = json.load(file)
         self.by_word = _drops_space(rules)
         self.joint = self._plain([JOINT])[0]
-        self.table = PieceTable(self._encode_words)
+        self.table = PieceTable(self._encode_words, WORDS_KEPT)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
