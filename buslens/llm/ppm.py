@@ -40,18 +40,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import bounds, chunks, equal_spans, expose_package, map_batches, quoted, ranges
+from buslens.llm.tasks import bounds, chunks, equal_spans, map_batches, map_groups, quoted, ranges
 from buslens.llm.wordhash import word_hashes
 from buslens.scale import materialise
 
 ORDER = 5
-MODEL_GRAMS = 2_000_000
+MODEL_GRAMS = 1_000_000
 HELD_OUT_OF = 10
 SMOOTHING = 0.1
 # The marks behind a word and behind a text, and how many bytes there are besides white space.
 WORD_END, TEXT_END, ALPHABET = 0x20, 0x0A, 250 + 2
-CHUNK = 6 << 20
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
+CHUNK = 3 << 20
+# Words of the texts in one row, unless one text has more.
+TEXT_WORDS = 50_000
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 128
 WORDS = "chunk long, bucket int, data binary"
 GRAMS = "part int, data binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -109,7 +111,9 @@ def _chunk_rows(part: pa.RecordBatch, chunk: int, buckets: int) -> list[tuple]:
     counts = np.bincount(owner, minlength=len(doc_ids)).astype("<i8")
     known = np.array([d is not None for d in doc_ids], bool)
     ids = np.array([d or 0 for d in doc_ids], "<i8")
-    rows = [(chunk, -1, _squeeze(ids, known, held, counts, number))]
+    ends, rows = bounds(counts), []
+    for a, b in equal_spans((ends[1:] - counts) // TEXT_WORDS):  # by where a text begins; cells stay small
+        rows.append((chunk, -1, _squeeze(ids[a:b], known[a:b], held[a:b], counts[a:b], number[ends[a] : ends[b]])))
     hashes, _ = word_hashes(b"\n".join(words.tolist()))
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
@@ -212,9 +216,8 @@ def _corpus_grams(chunked: DataFrame) -> DataFrame:
         keys, counts = _summed([p[0] for p in parts], [p[1] for p in parts])
         return pa.Table.from_batches([_rows([(part, _squeeze(keys, counts))], GRAMS)])
 
-    expose_package(chunked.sparkSession)
-    grams = chunked.where("bucket >= 0").groupBy("bucket").applyInArrow(per_bucket, GRAMS)
-    return grams.groupBy("part").applyInArrow(per_part, GRAMS)
+    grams = map_groups(chunked.where("bucket >= 0"), "bucket", per_bucket, GRAMS)
+    return map_groups(grams, "part", per_part, GRAMS)
 
 
 def _least_count(grams: DataFrame, bound: int) -> int:
@@ -366,28 +369,28 @@ def score_documents(
         return pa.Table.from_batches([_rows(out, WORDS)])
 
     def per_chunk(table: pa.Table) -> pa.Table:
-        data = dict(enumerate(table.column("data").to_pylist()))
-        texts = table.column("bucket").to_pylist().index(-1)
-        ids, known, held, lengths, number = _expand(data.pop(texts), ["<i8", "?", "?", "<i8", "<u4"])
-        answers = [_expand(b, ["<i4", "<i8", "<f8"]) for b in data.values()]
-        size = int(number.max()) + 1 if len(number) else 0
+        is_text = pc.equal(table.column("bucket"), -1)
+        texts = [_expand(b, ["<i8", "?", "?", "<i8", "<u4"]) for b in table.filter(is_text).column("data").to_pylist()]
+        answers = [_expand(b, ["<i4", "<i8", "<f8"]) for b in table.filter(pc.invert(is_text)).column("data").to_pylist()]
+        size = max((int(t[4].max()) + 1 for t in texts if len(t[4])), default=0)
         counts, codes = np.zeros(size, np.int64), np.zeros(size)
         for steps, c, code in answers:
             at = np.cumsum(steps)
             counts[at], codes[at] = c, code
         divisor = tokens + SMOOTHING * (distinct + 1)
         base = np.log10((counts + SMOOTHING) / divisor)
-        owner = np.repeat(np.arange(len(ids)), lengths)
-        total = lambda each: np.bincount(owner, weights=each[number], minlength=len(ids))
-        n_known = total((counts > 0).astype(float)).astype(np.int64) + (ends > 0)
-        return pa.table(
-            [pa.array(ids, mask=~known), pa.array(held), pa.array(lengths + 1), pa.array(n_known),
-             pa.array(np.full(len(ids), tokens, np.int64)), pa.array(total(base) + np.log10((ends + SMOOTHING) / divisor)),
-             pa.array(total(codes) + end)],
-            names=[c.split()[0] for c in SCORED.split(", ")],
-        )
-
-    expose_package(spark)
-    words = chunked.where("bucket >= 0").groupBy("bucket").applyInArrow(per_bucket, WORDS)
+        out = []
+        for ids, known, held, lengths, number in texts:
+            owner = np.repeat(np.arange(len(ids)), lengths)
+            total = lambda each: np.bincount(owner, weights=each[number], minlength=len(ids))  # noqa: B023, E731
+            out.append(pa.table(
+                [pa.array(ids, mask=~known), pa.array(held), pa.array(lengths + 1), pa.array(total(counts > 0).astype(np.int64) + (ends > 0)),
+                 pa.array(np.full(len(ids), tokens, np.int64)), pa.array(total(base) + np.log10((ends + SMOOTHING) / divisor)),
+                 pa.array(total(codes) + end)],
+                names=[c.split()[0] for c in SCORED.split(", ")],
+            ))
+        return pa.concat_tables(out)
+
+    words = map_groups(chunked.where("bucket >= 0"), "bucket", per_bucket, WORDS)
     texts = chunked.where("bucket = -1")
-    return words.unionByName(texts).groupBy("chunk").applyInArrow(per_chunk, SCORED)
+    return map_groups(words.unionByName(texts), "chunk", per_chunk, SCORED)
