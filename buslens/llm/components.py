@@ -16,17 +16,16 @@ def components(links: DataFrame) -> DataFrame:
     neighbour list is gathered. Then pointers are halved until each names a root.
     Every round is written to the shared folder, so lineage stays short.
     """
-    edges = materialise(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
-    )
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
+        edges = materialise(edges, "links")
         least = edges.groupBy("u").agg(F.min("v").alias("p"), F.count(F.lit(1)).alias("n"))
-        least = materialise(least, "least")
-        if least.where("n > 1").isEmpty():
+        raised = materialise(edges.join(least, "u"), "raised")
+        if raised.where("n > 1").isEmpty():
             break
-        moved = edges.join(least.where("n > 1").select("u", "p"), "u").where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"))
-        edges = materialise(least.select("u", F.col("p").alias("v")).union(moved).distinct(), "links")
-    up = least.select("u", "p")
+        moved = raised.where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"))
+        edges = raised.where("v = p").select("u", "v").union(moved).distinct()
+    up = raised.select("u", "p")
     while True:
         above = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
         jumped = up.join(above, "p", "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))

@@ -7,12 +7,12 @@ candidates when their labels agree in a prefix of some trie; starting from whole
 labels the prefix is shortened until pairs at the threshold meet with the target
 recall. All candidates are verified exactly:
 
-1. the classes under one trie node are linked to its smallest class, and the
-   connected parts of these links are laid out in trie order into blocks of
-   bounded size, so that near copies stand together;
-2. every block, and every two blocks under one node, is one unit of work: pairs
-   that share a node are compared by their whole sets. A unit returns the number
-   of links of each class and a spanning forest of its links, never the pairs;
+1. classes that share a trie node are laid out by the smallest class they meet,
+   in trie order, into blocks of bounded size, so that near copies stand together;
+2. every block is one unit of work, and so are the classes of two blocks that meet
+   under a node: pairs that share a node are compared by their whole sets. A unit
+   returns the number of links of each class and a spanning forest of its links,
+   never the pairs;
 3. the connected parts of the verified links are the near-duplicate groups.
 
 A node that holds a third of all classes is thus compared in blocks by many
@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buslens.llm.components import components
-from buslens.llm.tasks import bounds, chunks, fresh_name, map_batches, quoted, row_key
+from buslens.llm.tasks import bounds, chunks, expose_package, fresh_name, map_batches, map_groups, quoted, row_key
 from buslens.llm.wordhash import mixed, run_hashes, texts_words
-from buslens.scale import lookup_join, materialise
+from buslens.scale import lookup_join, materialise, scratch_scope
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, LONGEST_PREFIX, TARGET_RECALL = 16, 8, 0.999
@@ -228,45 +228,39 @@ def _unit_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in UNIT.split(", ")])
 
 
-def _verified(blocks: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Compare within every block, and between the blocks of each pair."""
-    whole = blocks.groupBy("block").agg(F.collect_list(F.struct("class", "labels", "copies", "shingles")).alias("rows"))  # bounded by the block
+def _meetings(placed: DataFrame, trees: int) -> DataFrame:
+    """``a, b, class``: the classes of two blocks that share a trie node across them."""
+    places = _by_label(placed, ["block", "class"], trees)
+    blocks = places.select("node", "block").distinct().groupBy("node").agg(F.collect_list("block").alias("blocks"))
+    # A class meets another block once, under however many nodes.
+    met = places.join(blocks.where(F.size("blocks") > 1), "node").groupBy("class", "block")
+    each = met.agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    others = each.select("class", "block", F.explode(F.array_remove("blocks", F.col("block"))).alias("other"))
+    return others.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "class")
 
-    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield _unit_batch(_compare(_Block(batch.column("rows")[k].as_py()), None, similarity))
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                left, right = _Block(batch.column("rows")[k].as_py()), _Block(batch.column("others")[k].as_py())
-                yield _unit_batch(_compare(left, right, similarity))
+def _verified(sets: DataFrame, meetings: DataFrame, similarity: float) -> DataFrame:
+    """Compare within every block, and across two blocks the classes that meet there.
 
-    whole = materialise(whole, "blocks")
-    joined = pairs.join(whole.select(F.col("block").alias("a"), "rows"), "a")
-    joined = joined.join(whole.select(F.col("block").alias("b"), F.col("rows").alias("others")), "b")
-    return map_batches(whole.select("rows"), inner, UNIT).unionByName(map_batches(joined.select("rows", "others"), across, UNIT))
+    A group is a block or parts of two, so its size is bounded.
+    """
 
+    def inner(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_unit_batch(_compare(_Block(table.to_pylist()), None, similarity))])
 
-def near_duplicates(
-    docs: DataFrame,
-    similarity: float = SIMILARITY,
-    shingle: int = SHINGLE,
-    trees: int = TREES,
-    recall: float = TARGET_RECALL,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
-    """``row_key, doc_id, class_id, n_links, keeper`` of every row.
+    def across(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        left, right = ([r for r in rows if r["block"] == r[side]] for side in ("a", "b"))
+        return pa.Table.from_batches([_unit_batch(_compare(_Block(left), _Block(right), similarity))])
 
-    ``n_links`` is the number of other rows at the similarity or above;
-    ``keeper`` is the row key that stands for the group, the one of the smallest
-    id. Row keys are digests of id and text, the same for repeated rows.
-    """
-    depth = forest_depth(similarity, trees, recall, LONGEST_PREFIX)
-    keyed = _keyed(docs, id_column, text_column)
-    signed = materialise(_signed(keyed, shingle, trees, depth), "signed")
+    expose_package(sets.sparkSession)
+    within = map_groups(sets, "block", inner, UNIT)
+    joined = meetings.join(sets, "class")
+    return within.unionByName(joined.groupBy("a", "b").applyInArrow(across, UNIT))
+
+
+def _grouped(signed: DataFrame, keyed: DataFrame, similarity: float, shingle: int, trees: int) -> DataFrame:
+    """``class, class_id, keeper, n_links`` of every class."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")).alias("first")
     classes = signed.where("class is not null").groupBy("class").agg(
         F.count(F.lit(1)).alias("copies"), first, F.min("labels").alias("labels"), F.min("size").alias("size")
@@ -274,17 +268,11 @@ def near_duplicates(
     classes = materialise(classes, "classes")
     by_node = _by_label(classes, ["class"], trees)
     nodes = by_node.groupBy("node").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = by_node.join(nodes.select("node", "least"), "node").select(F.col("class").alias("a"), F.col("least").alias("b"))
-    parts = components(stars)
-    candidates = classes.join(parts.withColumnsRenamed({"node": "class"}), "class")
+    # The smallest class met under any node; it only decides which classes share a block.
+    met = by_node.join(nodes.select("node", "least"), "node").groupBy("class").agg(F.min("least").alias("root"))
+    candidates = classes.join(met, "class")
     numbered = candidates.select("class", "labels", "copies", "size", F.col("first.row_key").alias("row_key"), "root")
     placed = materialise(_blocks(numbered), "placed")
-    # Blocks that meet under a node; a node counts once per block.
-    places = _by_label(placed, ["block"], trees).distinct()
-    wide = places.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    meeting = places.join(wide, "node")
-    pairs = meeting.select("node", F.col("block").alias("a")).join(meeting.select("node", F.col("block").alias("b")), "node")
-    pairs = materialise(pairs.where("a < b").select("a", "b").distinct(), "pairs")
     # The texts of the candidates are read again; all others stay where they are.
     wanted = placed.select("row_key", "class", "block", "labels", "copies")
     texts = lookup_join(keyed, wanted, ["row_key"], "inner", max_rows=FETCH_ROWS).dropDuplicates(["class"])
@@ -299,18 +287,40 @@ def near_duplicates(
 
     with_sets = map_batches(texts.select("class", "block", "labels", "copies", "text"), sets,
                             "class binary, block long, labels binary, copies long, shingles binary")
-    verified = materialise(_verified(with_sets, pairs, similarity), "verified")
+    verified = materialise(_verified(materialise(with_sets, "sets"), _meetings(placed, trees), similarity), "verified")
     groups = components(verified.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     links = verified.groupBy("class").agg(F.sum("links").alias("links"))
     rooted = classes.select("class", "copies", "first").join(groups.withColumnRenamed("node", "class"), "class", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "class"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    labelled = rooted.join(heads, "root").join(links, "class", "left").select(
+    return rooted.join(heads, "root").join(links, "class", "left").select(
         "class", F.col("head.doc_id").alias("class_id"), F.col("head.row_key").alias("keeper"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    trees: int = TREES,
+    recall: float = TARGET_RECALL,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """``row_key, doc_id, class_id, n_links, keeper`` of every row.
+
+    ``n_links`` is the number of other rows at the similarity or above;
+    ``keeper`` is the row key that stands for the group, the one of the smallest
+    id. Row keys are digests of id and text, the same for repeated rows.
+    """
+    depth = forest_depth(similarity, trees, recall, LONGEST_PREFIX)
+    keyed = _keyed(docs, id_column, text_column)
+    signed = materialise(_signed(keyed, shingle, trees, depth), "signed")
+    with scratch_scope(docs.sparkSession):  # blocks and candidates go when the groups are known
+        labelled = materialise(_grouped(signed, keyed, similarity, shingle, trees), "labelled", outlives=True)
     rows = signed.select("row_key", "doc_id", "class")
-    placed_rows = lookup_join(rows.where("class is not null"), materialise(labelled, "labelled"), ["class"], "inner", max_rows=FETCH_ROWS)
+    placed_rows = lookup_join(rows.where("class is not null"), labelled, ["class"], "inner", max_rows=FETCH_ROWS)
     alone = rows.where("class is null").select(
         "row_key", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("row_key").alias("keeper")
     )
