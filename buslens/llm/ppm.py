@@ -44,7 +44,7 @@ from buslens.llm.tasks import bounds, chunks, equal_spans, map_batches, map_grou
 from buslens.llm.wordhash import word_hashes
 from buslens.scale import materialise
 
-ORDER = 5
+ORDER = 4
 MODEL_GRAMS = 1_000_000
 HELD_OUT_OF = 10
 SMOOTHING = 0.1
@@ -53,7 +53,7 @@ WORD_END, TEXT_END, ALPHABET = 0x20, 0x0A, 250 + 2
 CHUNK = 3 << 20
 # Words of the texts in one row, unless one text has more.
 TEXT_WORDS = 50_000
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 128
+BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
 WORDS = "chunk long, bucket int, data binary"
 GRAMS = "part int, data binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -189,12 +189,24 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return found, np.bincount(inverse, weights=np.concatenate([np.zeros(0), *counts]), minlength=len(found)).astype(np.int64)
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _gram_blob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a blob of grams."""
+    steps, counts = _expand(data, ["bytes", "<i8"])
+    raw = np.ascontiguousarray(np.frombuffer(steps, np.uint8).reshape(8, -1).T)
+    return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64), counts
+
+
 def _by_part(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
     part = (keys >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
     part = (part % np.uint64(GRAM_PARTS)).astype(np.int64)  # a context with all its symbols
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(GRAM_PARTS + 1))
-    return [(k, _squeeze(keys[order[a:b]], counts[order[a:b]])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return [(k, _squeeze(_steps(keys[order[a:b]]), counts[order[a:b]])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
 
 def _corpus_grams(chunked: DataFrame) -> DataFrame:
@@ -212,9 +224,9 @@ def _corpus_grams(chunked: DataFrame) -> DataFrame:
         if part == -1:
             total = sum(_expand(b, ["<i8"])[0] for b in blobs)
             return pa.Table.from_batches([_rows([(-1, _squeeze(total))], GRAMS)])
-        parts = [_expand(b, ["<u8", "<i8"]) for b in blobs]
+        parts = [_gram_blob(b) for b in blobs]
         keys, counts = _summed([p[0] for p in parts], [p[1] for p in parts])
-        return pa.Table.from_batches([_rows([(part, _squeeze(keys, counts))], GRAMS)])
+        return pa.Table.from_batches([_rows([(part, _squeeze(_steps(keys), counts))], GRAMS)])
 
     grams = map_groups(chunked.where("bucket >= 0"), "bucket", per_bucket, GRAMS)
     return map_groups(grams, "part", per_part, GRAMS)
@@ -226,7 +238,7 @@ def _least_count(grams: DataFrame, bound: int) -> int:
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("data").to_pylist():
-                value, many = np.unique(np.minimum(_expand(data, ["<u8", "<i8"])[1], 1_000), return_counts=True)
+                value, many = np.unique(np.minimum(_gram_blob(data)[1], 1_000), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(many, pa.int64())], ["value", "n"])
 
     spread = map_batches(grams.where("part >= 0").select("data"), sizes, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
@@ -324,11 +336,11 @@ def _train(grams: DataFrame, bound: int, ends: int) -> Trie:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("data").to_pylist():
-                keys, counts = _expand(data, ["<u8", "<i8"])
-                yield _rows([(0, _squeeze(keys[counts >= least], counts[counts >= least]))], GRAMS)
+                keys, counts = _gram_blob(data)
+                yield _rows([(0, _squeeze(_steps(keys[counts >= least]), counts[counts >= least]))], GRAMS)
 
     kept = map_batches(grams.where("part >= 0").select("data"), pick, GRAMS).collect()  # bound * 16 bytes at most
-    parts = [_expand(bytes(r.data), ["<u8", "<i8"]) for r in kept]
+    parts = [_gram_blob(bytes(r.data)) for r in kept]
     keys, counts = [p[0] for p in parts], [p[1] for p in parts]
     if ends:
         for size in (0, 1):
