@@ -1,35 +1,37 @@
 """Scoring texts by prediction by partial matching over byte contexts.
 
-A text is its lower-cased words, each closed by a space, and an end mark. The
-model is a trie of byte contexts of up to ``ORDER`` bytes that reach back to the
-space before the word, with the counts of the bytes that followed them in the
-training documents. A byte is coded in the longest known context; where it was
-not seen there, an escape (as many counts as different bytes) leads to the next
-shorter one, in which bytes of the longer are excluded; last, all bytes are equal.
-The score is the sum of the log10 probabilities.
-
-Contexts never cross a word, so a word has one code length wherever it stands:
-
-1. tasks turn chunks of texts into a list of their distinct words with counts,
-   and the texts into word numbers; both are stored;
-2. words meet in buckets of their hashes, which gives the exact corpus counts;
-   from them come the counts of all contexts. Every word of every training
-   document counts. Tasks receive the ``MODEL_GRAMS`` most frequent (context, byte)
-   counts, a documented bound of the trie; rarer ones escape to shorter contexts;
-3. words meet in the same buckets again, each distinct word is coded once, and
-   count and code length return to the chunks, where texts are summed.
-
-Texts are read once and never shuffled. A frequent word sends one entry per
-chunk. Defined results: a null text is empty and has the end alone; a null id is
-the text of no digits, which is held out; repeated rows are counted and returned
-each; without training documents every byte has the same probability. Other
-columns are not read.
+A text is its lower-cased words, each closed by a space, and an end mark; a space
+stands before it. The model is a trie of byte contexts of up to ``ORDER`` bytes of
+the running text, with the counts of the bytes that followed them in the training
+documents. A byte is coded in the longest known context; where it was not seen
+there, an escape (as many counts as different bytes) leads to the next shorter
+one, in which bytes of the longer are excluded; last, all bytes are equal. The
+score is the sum of the log10 probabilities. ``across_words=False`` ends contexts
+at the space before the word instead.
+
+A gram is a byte behind its longest context. The trie is never in one place:
+
+1. tasks turn chunks of texts into the distinct words and the distinct grams with
+   their training counts; both and the texts are stored;
+2. counts behind contexts of one byte or none, 65,792 at most, are summed and sent
+   to all tasks;
+3. grams meet in buckets of the last two bytes of their contexts, so that a bucket
+   has all counts of every longer context in it. Every gram of every training
+   document counts; the distinct ones are coded and their code lengths return to
+   the chunks. Words meet in buckets of their hashes for the exact corpus counts;
+4. chunks sum counts and code lengths over their texts.
+
+Texts move once. A frequent word or gram sends one entry per chunk. Defined
+results: a null text is empty and has the end alone; a null id is the text of no
+digits, which is held out; repeated rows are counted and returned each; without
+training documents every byte has the same probability. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,25 +42,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import bounds, chunks, equal_spans, map_batches, map_groups, quoted, ranges
-from buslens.llm.wordhash import word_hashes
+from buslens.llm.tasks import bounds, chunks, equal_spans, map_batches, map_groups, quoted
+from buslens.llm.wordhash import SPACE_BYTES, word_hashes
 from buslens.scale import materialise
 
-ORDER = 4
+# Bytes of context; a longer one with its byte and its size does not fit a 64-bit key.
+ORDER = 6
 MODEL_GRAMS = 1_000_000
 HELD_OUT_OF = 10
 SMOOTHING = 0.1
 # The marks behind a word and behind a text, and how many bytes there are besides white space.
 WORD_END, TEXT_END, ALPHABET = 0x20, 0x0A, 250 + 2
-CHUNK = 3 << 20
-# Words of the texts in one row, unless one text has more.
-TEXT_WORDS = 50_000
+CHUNK = 6 << 20
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
+# Rows of a chunk besides its buckets: texts, and counts behind the shortest contexts.
+TEXTS, LOW = -1, -2
+LOW_SIZES, HIGH_SIZES = (0, 1), range(2, ORDER + 1)
 WORDS = "chunk long, bucket int, data binary"
-GRAMS = "part int, data binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-# Buckets of the context counts.
-GRAM_PARTS = 256
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(ORDER + 1)], np.uint64)
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[ord("A") : ord("Z") + 1] += 32
+FOLDED[list(SPACE_BYTES)] = WORD_END
 
 
 def _squeeze(*arrays: np.ndarray | bytes) -> bytes:
@@ -91,45 +96,69 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT_OF == 0
 
 
-def _chunk_rows(part: pa.RecordBatch, chunk: int, buckets: int) -> list[tuple]:
-    """The distinct words of a chunk by bucket, and its texts as word numbers (bucket -1)."""
+def _stream(texts: pa.Array) -> np.ndarray:
+    """The bytes of all texts: a space, the words with a space behind each, and the end mark."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    ends = np.cumsum(np.diff(offsets) + 3)
+    out = np.full(len(data) + 3 * len(texts), WORD_END, np.uint8)
+    out[ends - 1] = TEXT_END
+    body = np.ones(len(out), bool)
+    for mark in (ends - 1, ends - 2, np.r_[0, ends[:-1]]):
+        body[mark] = False
+    out[body] = FOLDED[data]
+    space = out == WORD_END
+    return out[~(space & np.r_[False, space[:-1]])]
+
+
+def _begins(stream: np.ndarray) -> np.ndarray:
+    """Whether a text begins at each byte."""
+    return np.r_[True, stream[:-1] == TEXT_END]
+
+
+def _words(stream: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the number of each word in turn, and how many words each text has."""
+    space = stream == WORD_END
+    per_text = np.diff(bounds(space)[np.r_[0, np.flatnonzero(stream == TEXT_END) + 1]]) - 1
+    body = stream[~_begins(stream) & (stream != TEXT_END)]
+    offsets = np.r_[0, np.flatnonzero(body == WORD_END) + 1].astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    coded = pc.dictionary_encode(found)
+    return [w[:-1] for w in coded.dictionary.to_pylist()], coded.indices.to_numpy(zero_copy_only=False), per_text
+
+
+def _chunk_rows(part: pa.RecordBatch, chunk: int, buckets: int, across: bool) -> list[tuple]:
+    """The texts of a chunk, its distinct words and behind them its distinct grams by bucket, and its ``LOW`` counts."""
     doc_ids = part.column("doc_id").to_pylist()
     held = np.array([is_held_out(d) for d in doc_ids], bool)
-    texts = pc.ascii_lower(part.column("text").cast(pa.large_string()))
-    lists = pc.ascii_split_whitespace(texts)
-    flat = lists.flatten()
-    owner = np.repeat(np.arange(len(doc_ids)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    coded = pc.dictionary_encode(flat.filter(pa.array(real)))
-    words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
-    number, owner = coded.indices.to_numpy(zero_copy_only=False), owner[real]
-    order = np.argsort(-np.bincount(number, minlength=len(words)), kind="stable")  # small numbers for frequent words
-    place = np.empty(len(words), np.int64)
-    place[order] = np.arange(len(words))
-    number, words = place[number].astype("<u4"), words[order]
-    train = np.bincount(number[~held[owner]], minlength=len(words)).astype("<i8")
-    counts = np.bincount(owner, minlength=len(doc_ids)).astype("<i8")
     known = np.array([d is not None for d in doc_ids], bool)
-    ids = np.array([d or 0 for d in doc_ids], "<i8")
-    ends, rows = bounds(counts), []
-    for a, b in equal_spans((ends[1:] - counts) // TEXT_WORDS):  # by where a text begins; cells stay small
-        rows.append((chunk, -1, _squeeze(ids[a:b], known[a:b], held[a:b], counts[a:b], number[ends[a] : ends[b]])))
-    hashes, _ = word_hashes(b"\n".join(words.tolist()))
+    stream = _stream(part.column("text").cast(pa.large_string()))
+    rows = [(chunk, TEXTS, _squeeze(np.array([d or 0 for d in doc_ids], "<i8"), known, held, stream))]
+    words, number, per_text = _words(stream)
+    train = np.bincount(number[~np.repeat(held, per_text)], minlength=len(words)).astype("<i8")
+    hashes, _ = word_hashes(b"\n".join(words))
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     for a, b in equal_spans(bucket[by]):
-        own = by[a:b]
-        steps = np.diff(own, prepend=0).astype("<i4")
-        rows.append((chunk, int(bucket[own[0]]), _squeeze(b"\n".join(words[own].tolist()), steps, train[own])))
+        steps = np.diff(by[a:b], prepend=0).astype("<i4")
+        rows.append((chunk, int(bucket[by[a]]), _squeeze(b"\n".join([words[k] for k in by[a:b]]), steps, train[by[a:b]])))
+    keys, which, symbols = _grams(stream, across)
+    trained = np.bincount(which[~np.repeat(held, symbols)], minlength=len(keys)).astype("<i8")
+    order, spans = _dealt(keys, buckets)
+    for k, a, b in spans:
+        rows.append((chunk, buckets + k, _squeeze(_steps(keys[order[a:b]]), trained[order[a:b]])))
+    low, counts = _cut_grams(keys[trained > 0], trained[trained > 0], LOW_SIZES)
+    rows.append((chunk, LOW, _squeeze(_steps(low), counts)))
     return rows
 
 
-def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
+def _chunked(docs: DataFrame, buckets: int, across: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
-                yield _rows(_chunk_rows(part, task << 32 | n, buckets), WORDS)
+                yield _rows(_chunk_rows(part, task << 32 | n, buckets, across), WORDS)
                 n += 1
 
     return map_batches(docs, work, WORDS)
@@ -147,41 +176,55 @@ def _bucket_words(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarr
     return words, counts, which, [np.cumsum(p[1]) for p in parts]
 
 
-def _contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols of the words in turn: symbol, bytes of context there are, and the context.
+def _contexts(stream: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols in turn: symbol, bytes of context there are, and the context; and how many symbols each text has.
 
-    A context of ``ORDER`` bytes is a number with the nearest byte lowest.
+    A context is a number with the nearest byte lowest.
     """
-    data = np.frombuffer(b" " + b"".join(w + b" " for w in words), np.uint8).astype(np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    reach = ranges(np.ones(len(words), np.int64), lengths)  # bytes since the space before the word, which is one itself
-    context = np.zeros(len(reach), np.uint64)
-    for back in range(ORDER):
-        shifted = np.zeros(len(reach), np.uint64)
-        count = max(0, len(reach) - back)
-        shifted[len(reach) - count :] = data[:count]
-        context |= np.where(reach > back, shifted << np.uint64(8 * back), np.uint64(0))
-    return data[1:], np.minimum(reach, ORDER), context
-
-
-def _cut_context(context: np.ndarray, size: int) -> np.ndarray:
-    """Keys of the contexts cut to their last ``size`` bytes (6 at most); the size is part of the key."""
-    mask = np.uint64((1 << 8 * size) - 1)
-    return (context & mask) | np.uint64(size << 48)
-
-
-def _gram_counts(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (context, symbol) over words that occur ``counts`` times."""
-    symbol, reach, context = _contexts(words)
-    weight = np.repeat(counts, np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    keys, totals = [], []
-    for size in range(ORDER + 1):
-        at = np.flatnonzero(reach >= size)
-        gram = _cut_context(context[at], size) << np.uint64(8) | symbol[at]
-        found, inverse = np.unique(gram, return_inverse=True)
-        keys.append(found)
-        totals.append(np.bincount(inverse, weights=weight[at]).astype(np.int64))
-    return np.concatenate(keys), np.concatenate(totals)
+    first = _begins(stream)
+    at = np.flatnonzero(~first)
+    place = np.arange(len(stream))
+    since = place - np.maximum.accumulate(np.where(first if across else stream == WORD_END, place, 0))
+    reach = np.minimum(since[at - 1] + 1, ORDER)
+    del place, since
+    context = np.zeros(len(stream), np.uint64)
+    for back in range(1, min(ORDER, len(stream) - 1) + 1):
+        context[back:] |= stream[:-back].astype(np.uint64) << np.uint64(8 * (back - 1))
+    ends = np.flatnonzero(stream == TEXT_END)
+    return stream[at].astype(np.uint64), reach, context[at] & MASKS[reach], np.diff(ends, prepend=-1) - 1
+
+
+def _cut_context(context: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """Keys of the contexts cut to their last ``size`` bytes; the size is part of the key."""
+    return (context & MASKS[size]) | np.asarray(size).astype(np.uint64) << np.uint64(48)
+
+
+def _grams(stream: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct symbols behind their longest contexts, the number of each in turn, and how many symbols each text has."""
+    symbol, reach, context, symbols = _contexts(stream, across)
+    coded = pc.dictionary_encode(pa.array(_cut_context(context, reach) << np.uint64(8) | symbol))
+    return coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), symbols
+
+
+def _gram_counts(texts: list[bytes], counts: np.ndarray, across: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of texts that occur ``counts`` times, and how often each occurs."""
+    keys, which, symbols = _grams(_stream(pa.array(texts, pa.large_binary())), across)
+    return keys, np.bincount(which, weights=np.repeat(counts, symbols), minlength=len(keys)).astype(np.int64)
+
+
+def _cut_grams(keys: np.ndarray, counts: np.ndarray, sizes: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the symbols behind contexts of these sizes."""
+    cut = [keys >> np.uint64(56) >= size for size in sizes]
+    shorter = [_cut_context(keys[at] >> np.uint64(8), size) << np.uint64(8) | keys[at] & np.uint64(255) for at, size in zip(cut, sizes, strict=True)]
+    return _summed(shorter, [counts[at] for at in cut])
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of grams by bucket and key, and bucket, begin and end of each run in it."""
+    last = keys >> np.uint64(8) & np.uint64(0xFFFF)
+    bucket = ((last * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    return order, [(int(bucket[order[a]]), a, b) for a, b in equal_spans(bucket[order])]
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,53 +244,45 @@ def _gram_blob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64), counts
 
 
-def _by_part(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
-    part = (keys >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-    part = (part % np.uint64(GRAM_PARTS)).astype(np.int64)  # a context with all its symbols
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(GRAM_PARTS + 1))
-    return [(k, _squeeze(_steps(keys[order[a:b]]), counts[order[a:b]])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+def _low_counts(chunked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts behind contexts of ``LOW_SIZES``, as many as pairs of bytes at most."""
 
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                keys, counts = _gram_blob(data)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
-def _corpus_grams(chunked: DataFrame) -> DataFrame:
-    """Context counts of all training words by part; part -1 counts tokens and distinct words."""
+    spread = map_batches(chunked.where(F.col("bucket") == LOW).select("data"), entries, "gram long, n long")
+    rows = spread.groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    return np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
 
-    def per_bucket(table: pa.Table) -> pa.Table:
-        words, counts, _, _ = _bucket_words(table.column("data").to_pylist())
-        seen = np.flatnonzero(counts)
-        rows = [(-1, _squeeze(np.array([counts.sum(), len(seen)], "<i8")))]
-        rows += _by_part(*_gram_counts([words[k] for k in seen], counts[seen]))
-        return pa.Table.from_batches([_rows(rows, GRAMS)])
 
-    def per_part(table: pa.Table) -> pa.Table:
-        part, blobs = table.column("part")[0].as_py(), table.column("data").to_pylist()
-        if part == -1:
-            total = sum(_expand(b, ["<i8"])[0] for b in blobs)
-            return pa.Table.from_batches([_rows([(-1, _squeeze(total))], GRAMS)])
-        parts = [_gram_blob(b) for b in blobs]
-        keys, counts = _summed([p[0] for p in parts], [p[1] for p in parts])
-        return pa.Table.from_batches([_rows([(part, _squeeze(_steps(keys), counts))], GRAMS)])
+def _bucket_grams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct grams of a bucket, their training counts, and the number of each entry of each blob."""
+    parts = [_gram_blob(b) for b in blobs]
+    keys, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(which, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+    return keys, counts, np.split(which, np.cumsum([len(p[0]) for p in parts])[:-1])
 
-    grams = map_groups(chunked.where("bucket >= 0"), "bucket", per_bucket, GRAMS)
-    return map_groups(grams, "part", per_part, GRAMS)
 
+def _least_count(chunked: DataFrame, buckets: int, low: tuple[np.ndarray, np.ndarray], bound: int) -> int:
+    """The count from which at most ``bound`` grams of all sizes remain."""
 
-def _least_count(grams: DataFrame, bound: int) -> int:
-    """The count from which at most ``bound`` grams remain."""
+    def sizes(table: pa.Table) -> pa.Table:
+        keys, counts, _ = _bucket_grams(table.column("data").to_pylist())
+        value, many = np.unique(_cut_grams(keys, counts, HIGH_SIZES)[1], return_counts=True)
+        return pa.table([pa.array(value, pa.int64()), pa.array(many, pa.int64())], names=["value", "n"])
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                value, many = np.unique(np.minimum(_gram_blob(data)[1], 1_000), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(many, pa.int64())], ["value", "n"])
-
-    spread = map_batches(grams.where("part >= 0").select("data"), sizes, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    kept, least = 0, 1_001
-    for row in sorted(spread.collect(), reverse=True):  # at most 1,000 rows
-        kept += row.n
-        if kept > bound:
+    found = map_groups(chunked.where(F.col("bucket") >= buckets), "bucket", sizes, "value long, n long")
+    spread = Counter({r.value: r.n for r in found.groupBy("value").agg(F.sum("n").alias("n")).collect()})
+    spread.update(low[1].tolist())
+    kept, least = 0, max(spread, default=0) + 1
+    for value in sorted(spread, reverse=True):
+        kept += spread[value]
+        if kept > bound or not value:
             break
-        least = row.value
+        least = value
     return least
 
 
@@ -266,9 +301,12 @@ class Trie:
     excluded: np.ndarray  # what the next shorter context counts for the symbols seen here
 
     @classmethod
-    def build(cls, grams: np.ndarray, counts: np.ndarray) -> Trie:
-        order = np.argsort(grams)
-        grams, counts = grams[order], counts[order]
+    def build(cls, grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None, least: int = 1) -> Trie:
+        """The trie of grams behind their longest contexts; ``low`` has the counts of ``LOW_SIZES`` if others add to them."""
+        grams, counts = _cut_grams(grams, counts, range(ORDER + 1) if low is None else HIGH_SIZES)
+        if low is not None:
+            grams, counts = _summed([grams, low[0]], [counts, low[1]])
+        grams, counts = grams[counts >= least], counts[counts >= least]
         contexts, first = np.unique(grams >> np.uint64(8), return_index=True)
         owner = np.repeat(np.arange(len(contexts)), np.diff(np.r_[first, len(grams)]))
         total = np.bincount(owner, weights=counts, minlength=len(contexts))
@@ -307,19 +345,6 @@ class Trie:
         score[rest] -= np.log10(np.maximum(left, 1))
         return score
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with the space behind it."""
-        symbol, reach, context = _contexts(words)
-        whole = context << np.uint64(8) | symbol
-        _, first, inverse = np.unique(whole * np.uint64(ORDER + 1) + reach.astype(np.uint64), return_index=True, return_inverse=True)
-        each = self.code(context[first], reach[first], symbol[first])[inverse]
-        ends = bounds(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        return np.add.reduceat(each, ends[:-1]) if len(words) else np.zeros(0)
-
-    def end(self) -> float:
-        """log10 probability of the end of a text where a word may begin."""
-        return float(self.code(np.array([WORD_END], np.uint64), np.array([1]), np.array([TEXT_END], np.uint64))[0])
-
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Place of each wanted key, -1 where there is none."""
@@ -329,80 +354,71 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _train(grams: DataFrame, bound: int, ends: int) -> Trie:
-    """The trie of the ``bound`` most frequent grams and the ends of ``ends`` texts."""
-    least = _least_count(grams, bound)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                keys, counts = _gram_blob(data)
-                yield _rows([(0, _squeeze(_steps(keys[counts >= least]), counts[counts >= least]))], GRAMS)
-
-    kept = map_batches(grams.where("part >= 0").select("data"), pick, GRAMS).collect()  # bound * 16 bytes at most
-    parts = [_gram_blob(bytes(r.data)) for r in kept]
-    keys, counts = [p[0] for p in parts], [p[1] for p in parts]
-    if ends:
-        for size in (0, 1):
-            context = _cut_context(np.array([WORD_END], np.uint64), size)
-            keys.append(context << np.uint64(8) | np.uint64(TEXT_END))
-            counts.append(np.array([ends]))
-    return Trie.build(*_summed(keys, counts))
-
-
 def score_documents(
-    docs: DataFrame, bound: int = MODEL_GRAMS, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, bound: int = MODEL_GRAMS, id_column: str = "doc_id", text_column: str = "text", across_words: bool = False
 ) -> DataFrame:
     """``SCORED`` for every document, learning from those that are not held out."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_column)).cast("string"), F.lit("")).alias("text"))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     size = rows.agg(
         F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.crc32(id_text.cast("binary")) % HELD_OUT_OF != 0).alias("ends")
     ).first()
     buckets = max(LEAST_BUCKETS, -(-(size.bytes or 0) // BUCKET_BYTES))
-    chunked = materialise(_chunked(rows, buckets), "chunked")
-    grams = materialise(_corpus_grams(chunked), "grams")
-    counted = [_expand(bytes(r.data), ["<i8"])[0] for r in grams.where("part = -1").collect()]
-    tokens = int(sum(c[0] for c in counted)) + size.ends
-    distinct = int(sum(c[1] for c in counted)) + bool(size.ends)
-    trie = _train(grams, bound, size.ends)
-    shared, end, ends = spark.sparkContext.broadcast(trie), trie.end(), int(size.ends)
+    chunked = materialise(_chunked(rows, buckets, across_words), "chunked")
+    low, ends = _low_counts(chunked), int(size.ends)
+    least = 1 if bound is None else _least_count(chunked, buckets, low, bound)
+
+    def total(table: pa.Table) -> pa.Table:
+        counts = _bucket_words(table.column("data").to_pylist())[1]
+        return pa.table([pa.array([counts.sum()], pa.int64()), pa.array([np.count_nonzero(counts)], pa.int64())], names=["tokens", "distinct"])
+
+    words = chunked.where((F.col("bucket") >= 0) & (F.col("bucket") < buckets))
+    counted = map_groups(words, "bucket", total, "tokens long, distinct long").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    tokens = (counted.tokens or 0) + ends
+    distinct = (counted.distinct or 0) + bool(ends)
 
     def per_bucket(table: pa.Table) -> pa.Table:
-        chunk_of = table.column("chunk").to_pylist()
-        words, counts, which, numbers = _bucket_words(table.column("data").to_pylist())
-        codes = np.concatenate([np.zeros(0), *[shared.value.words(words[a : a + 50_000]) for a in range(0, len(words), 50_000)]])
+        chunk_of, bucket, blobs = (table.column(c).to_pylist() for c in ("chunk", "bucket", "data"))
         out, at = [], 0
-        for chunk, number in zip(chunk_of, numbers, strict=True):
-            own = which[at : at + len(number)]
-            at += len(number)
-            out.append((chunk, 0, _squeeze(np.diff(number, prepend=0).astype("<i4"), counts[own].astype("<i8"), codes[own].astype("<f8"))))
+        if bucket[0] < buckets:
+            _, counts, which, numbers = _bucket_words(blobs)
+            for chunk, number in zip(chunk_of, numbers, strict=True):
+                own = which[at : at + len(number)]
+                at += len(number)
+                out.append((chunk, bucket[0], _squeeze(np.diff(number, prepend=0).astype("<i4"), counts[own].astype("<i8"))))
+        else:
+            keys, counts, entries = _bucket_grams(blobs)
+            trie = Trie.build(keys[counts > 0], counts[counts > 0], low, least)
+            codes = trie.code(keys >> np.uint64(8) & MASKS[ORDER], (keys >> np.uint64(56)).astype(np.int64), keys & np.uint64(255))
+            for chunk, own in zip(chunk_of, entries, strict=True):
+                values, which = np.unique(codes[own], return_inverse=True)  # equal counts have equal codes
+                out.append((chunk, bucket[0], _squeeze(values, which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())))
         return pa.Table.from_batches([_rows(out, WORDS)])
 
     def per_chunk(table: pa.Table) -> pa.Table:
-        is_text = pc.equal(table.column("bucket"), -1)
-        texts = [_expand(b, ["<i8", "?", "?", "<i8", "<u4"]) for b in table.filter(is_text).column("data").to_pylist()]
-        answers = [_expand(b, ["<i4", "<i8", "<f8"]) for b in table.filter(pc.invert(is_text)).column("data").to_pylist()]
-        size = max((int(t[4].max()) + 1 for t in texts if len(t[4])), default=0)
-        counts, codes = np.zeros(size, np.int64), np.zeros(size)
-        for steps, c, code in answers:
-            at = np.cumsum(steps)
-            counts[at], codes[at] = c, code
+        blobs = dict(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True))
+        ids, known, held, stream = _expand(blobs.pop(TEXTS), ["<i8", "?", "?", "u1"])
+        words, number, per_text = _words(stream)
+        counts = np.zeros(len(words), np.int64)
+        for steps, c in (_expand(b, ["<i4", "<i8"]) for k, b in blobs.items() if k < buckets):
+            counts[np.cumsum(steps)] = c
         divisor = tokens + SMOOTHING * (distinct + 1)
         base = np.log10((counts + SMOOTHING) / divisor)
-        out = []
-        for ids, known, held, lengths, number in texts:
-            owner = np.repeat(np.arange(len(ids)), lengths)
-            total = lambda each: np.bincount(owner, weights=each[number], minlength=len(ids))  # noqa: B023, E731
-            out.append(pa.table(
-                [pa.array(ids, mask=~known), pa.array(held), pa.array(lengths + 1), pa.array(total(counts > 0).astype(np.int64) + (ends > 0)),
-                 pa.array(np.full(len(ids), tokens, np.int64)), pa.array(total(base) + np.log10((ends + SMOOTHING) / divisor)),
-                 pa.array(total(codes) + end)],
-                names=[c.split()[0] for c in SCORED.split(", ")],
-            ))
-        return pa.concat_tables(out)
-
-    words = map_groups(chunked.where("bucket >= 0"), "bucket", per_bucket, WORDS)
-    texts = chunked.where("bucket = -1")
-    return map_groups(words.unionByName(texts), "chunk", per_chunk, SCORED)
+        owner = np.repeat(np.arange(len(ids)), per_text)
+        summed = lambda each: np.bincount(owner, weights=each[number], minlength=len(ids))
+        keys, which, symbols = _grams(stream, across_words)
+        order, spans = _dealt(keys, buckets)
+        codes = np.zeros(len(keys))
+        for k, a, b in spans:
+            values, index = _expand(blobs[buckets + k], ["<f8", "bytes"])
+            codes[order[a:b]] = values[np.ascontiguousarray(np.frombuffer(index, np.uint8).reshape(4, -1).T).view("<u4").ravel()]
+        return pa.table(
+            [pa.array(ids, mask=~known), pa.array(held), pa.array(per_text + 1), pa.array(summed(counts > 0).astype(np.int64) + (ends > 0)),
+             pa.array(np.full(len(ids), tokens, np.int64)), pa.array(summed(base) + np.log10((ends + SMOOTHING) / divisor)),
+             pa.array(np.add.reduceat(codes[which], bounds(symbols)[:-1]))],
+            names=[c.split()[0] for c in SCORED.split(", ")],
+        )
+
+    answers = map_groups(chunked.where("bucket >= 0"), "bucket", per_bucket, WORDS)
+    texts = chunked.where(F.col("bucket") == TEXTS)
+    return map_groups(answers.unionByName(texts), "chunk", per_chunk, SCORED)

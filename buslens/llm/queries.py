@@ -33,7 +33,7 @@ def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score_documents(table(spark, sf_dir, "documents"))
+    return ppm.score_documents(table(spark, sf_dir, "documents"), across_words=True)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

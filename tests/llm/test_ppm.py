@@ -90,3 +90,52 @@ def test_probabilities_sum_to_one():
     for context, reach in ((0, 0), (0x20, 1), (0x2074, 2), (0x7A, 1)):
         total = 10 ** trie.code(np.full(len(symbols), context, np.uint64), np.full(len(symbols), reach), symbols)
         assert total.sum() == pytest.approx(1)
+
+
+def brute_running(rows, order=ppm.ORDER):
+    """Scores by contexts of the running text: ``doc_id, score``."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    streams = [" " + "".join(w + " " for w in WORD.findall(lower(t))) + "\n" for _, t in rows]
+    trie, cases = collections.defaultdict(collections.Counter), []
+    for (d, _), stream in zip(rows, streams, strict=True):
+        data = stream.encode()
+        cases.append([(data[max(0, k - order) : k], data[k]) for k in range(1, len(data))])
+        if zlib.crc32(b"" if d is None else str(d).encode()) % 10:
+            for context, s in cases[-1]:
+                for k in range(len(context) + 1):
+                    trie[context[k:]][s] += 1
+
+    def code(context, s):
+        excluded, total = set(), 0.0
+        for k in range(len(context) + 1):
+            left = {x: n for x, n in trie.get(context[k:], {}).items() if x not in excluded}
+            if left:
+                size = sum(left.values()) + len(left)
+                if s in left:
+                    return total + math.log10(left[s] / size)
+                total += math.log10(len(left) / size)
+                excluded |= set(left)
+        return total - math.log10(252 - len(excluded))
+
+    return [(d, sum(code(c, s) for c, s in case)) for (d, _), case in zip(rows, cases, strict=True)]
+
+
+@pytest.mark.parametrize("rows", [
+    [r for r in ODD_DOCUMENTS if r[0] != 4], [], [(None, "a b")], [(1, None)], [(30, "The unseen cat"), (1, "the the Cat"), (2, "猫が 好き だ"), (30, "猫が 好き")],
+])
+def test_running_scores_equal_brute_force(spark, rows):
+    assert ppm.ORDER >= 5
+    found = score_documents(with_clashes(spark.createDataFrame(rows, DOCS)), across_words=True).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, round(r[1], 6))
+    found, want = sorted([(r.doc_id, r.score) for r in found], key=key), sorted(brute_running(rows), key=key)
+    assert [r[0] for r in found] == [r[0] for r in want]
+    assert [r[1] for r in found] == pytest.approx([r[1] for r in want], rel=1e-9)
+
+
+def test_query_scores_the_order_of_words(spark, tmp_path):
+    from buslens.llm.queries import op3_ppm
+
+    rows = [(k, "the cat sat on the mat and slept") for k in range(1, 30)] + [(100, "mat the and cat slept on sat the")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    scores = {r.doc_id: r.score for r in op3_ppm(spark, str(tmp_path)).collect()}
+    assert scores[100] < scores[1] - 1
