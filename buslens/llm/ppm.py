@@ -48,7 +48,6 @@ from buslens.scale import materialise
 
 # Bytes of context; a longer one with its byte and its size does not fit a 64-bit key.
 ORDER = 6
-MODEL_GRAMS = 1_000_000
 HELD_OUT_OF = 10
 SMOOTHING = 0.1
 # The marks behind a word and behind a text, and how many bytes there are besides white space.
@@ -355,9 +354,12 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def score_documents(
-    docs: DataFrame, bound: int = MODEL_GRAMS, id_column: str = "doc_id", text_column: str = "text", across_words: bool = False
+    docs: DataFrame, bound: int | None = None, id_column: str = "doc_id", text_column: str = "text", across_words: bool = False
 ) -> DataFrame:
-    """``SCORED`` for every document, learning from those that are not held out."""
+    """``SCORED`` for every document, learning from those that are not held out.
+
+    ``bound`` keeps that many of the most frequent grams, for comparison; without it all count.
+    """
     rows = docs.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_column)).cast("string"), F.lit("")).alias("text"))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     size = rows.agg(

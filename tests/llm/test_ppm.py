@@ -139,3 +139,12 @@ def test_query_scores_the_order_of_words(spark, tmp_path):
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     scores = {r.doc_id: r.score for r in op3_ppm(spark, str(tmp_path)).collect()}
     assert scores[100] < scores[1] - 1
+
+
+def test_every_count_is_kept_unless_bounded(spark):
+    import inspect
+
+    assert inspect.signature(score_documents).parameters["bound"].default is None
+    rows = [(1, "abcdefg hijklmn " * 1_500), (2, "abcdefg hijklmn")]
+    whole, none = ({r.doc_id: r.score for r in score_documents(spark.createDataFrame(rows, DOCS), bound).collect()} for bound in (None, 1))
+    assert none[1] < 5 * whole[1]  # counts above 1,000 are bounded like others
