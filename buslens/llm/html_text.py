@@ -8,9 +8,10 @@ negative (an advert between two paragraphs, say).
 The weights come from labelled pages: pages that mark their content with one
 ``article`` or ``main`` element. Over a sample of ``LABELLED`` such pages (by the
 smallest hash of the page id) the log-odds of standing inside are counted for
-every element name and every word of a class or id, for words and for tags.
-Names that always mean menus, notices, adverts, forms or comments are fixed, as
-are the marked content itself and what stands outside it.
+every element name and every word of a class or id, for words and for tags. The
+words of all pages are scored by them; a mark is one more name, whose weight is
+not bounded. Names that always mean menus, notices, adverts, forms or comments
+are fixed; an ``article`` in them marks nothing.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by one line end. ``br`` is white space; elements that start a
@@ -38,7 +39,6 @@ from buslens.llm.tasks import map_batches, quoted
 LABELLED = 2_000
 LIMIT = 4.0  # bound of one learned weight
 LEAST_TAG = -0.2  # every tag costs this much at least
-INSIDE, OUTSIDE = 6.0, -8.0
 # Furniture is never returned, so it need not keep what follows it out of the stretch.
 FURNITURE_TEXT = -1.0
 PLAIN_WORD = 1.0  # a word without any known name around it
@@ -154,7 +154,7 @@ def pieces(html: str) -> list[Piece]:
                 own, bad = _names(tag, match[4])
                 if not inside:
                     bad |= tag == HEADER or f".{HEADER}" in own and tag not in MAIN
-                opened.append((tag, around | own, inside or tag in MAIN, furniture or bad))
+                opened.append((tag, around | own, inside or tag in MAIN and not (furniture or bad), furniture or bad))
         if tag == "br":
             text(" ")
         _, names, inside, furniture = opened[-1] if opened else nothing
@@ -167,12 +167,15 @@ def pieces(html: str) -> list[Piece]:
 def _counts(html: str) -> Counter:
     """For a labelled page: how often each name stands around words, and each tag, inside and outside."""
     found: Counter = Counter()
-    for p in pieces(html):
+    read = pieces(html)
+    if not any(p.inside for p in read):  # the mark stands in furniture
+        return found
+    for p in read:
         if p.text is None:
             found["<" + p.tag, p.inside] += 1
         else:
             n = len(p.text.split())
-            for name in p.names - MAIN if n else ():
+            for name in p.names if n else ():
                 found[name, p.inside] += n
     return found
 
@@ -199,7 +202,8 @@ def learn_weights(pages: DataFrame, labelled: int = LABELLED) -> dict[str, float
     weights = {}
     for row in names.collect():  # the names of at most ``labelled`` pages
         odds = math.log(((row.inside or 0) + 1) / ((row.outside or 0) + 1))
-        odds = max(-LIMIT, min(LIMIT, odds))
+        if row.name not in MAIN:
+            odds = max(-LIMIT, min(LIMIT, odds))
         weights[row.name] = min(LEAST_TAG, odds) if row.name.startswith("<") else odds
     return weights
 
@@ -209,22 +213,19 @@ def main_text(html: str, weights: dict[str, float]) -> str:
     if not html:
         return ""
     found = pieces(html)
-    marked = any(p.inside for p in found)
     best = total = 0.0
     start, span = 0, (0, 0)
-    own: dict[tuple, float] = {}
+    own: dict[frozenset[str], float] = {}
     scores = []
     for k, p in enumerate(found):
         if p.text is None:
-            score = 0.0 if p.furniture else LEAST_TAG if p.inside else weights.get("<" + p.tag, LEAST_TAG)
+            score = 0.0 if p.furniture else weights.get("<" + p.tag, LEAST_TAG)
         elif p.furniture:
             score = 0.0 if p.inside else FURNITURE_TEXT
         else:
-            key = (p.names, p.inside)
-            word = own.get(key)
+            word = own.get(p.names)
             if word is None:
-                word = INSIDE if p.inside else OUTSIDE if marked else sum(weights.get(n, 0.0) for n in p.names) + PLAIN_WORD
-                own[key] = word
+                word = own[p.names] = sum(weights.get(n, 0.0) for n in sorted(p.names)) + PLAIN_WORD
             score = word * len(p.text.split())
         scores.append(score)
         if total <= 0:

@@ -61,3 +61,15 @@ def test_odd_rows(spark):
     want = [(None, None, "", 0), (1, "u", "", 0), (2, None, "a b", 3), (2, None, "a b", 3), (3, "u", TEXT, len(TEXT)), (4, "u", ("long text " * 50_000).strip(), 499_999)]
     assert ordered(found) == ordered(want)
     assert extract(spark.createDataFrame([], PAGES)).collect() == []
+
+
+@pytest.mark.parametrize("card", ['<aside><article><p>a card</p></article></aside>', '<div class="related"><article><p>a card</p></article></div>'])
+def test_articles_in_furniture_mark_nothing(pages, card):
+    weights = learn_weights(pages)
+    assert main_text(f"<body><div><p>The real text of the page.</p><p>It goes on.</p></div>{card}</body>", weights) == "The real text of the page.\nIt goes on."
+    assert main_text(f"<body><div><p>The real text of the page.</p><p>It goes on.</p></div>{card}</body>", {}) == "The real text of the page.\nIt goes on."
+
+
+def test_marked_pages_are_scored_by_learned_weights():
+    html = '<body><article><p>Good words here.</p><div class="stamp"><p>Printed by machine.</p></div><p>More good words.</p></article></body>'
+    assert main_text(html, {"p": 1.0, "article": 3.0, ".stamp": -9.0}) == "Good words here.\nMore good words."
