@@ -48,12 +48,20 @@ HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "math", "ifr
 # Elements and roles that are never the article:
 FURNITURE_TAGS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "datalist", "input", "label"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
-# Words of a class or id that are never the article:
+# Words of a class or id that are never the article, alone or with each other and ``BOXES``. Other names that hold such a
+# word (no-sidebar, comments-open) are judged as a whole by the learned weights.
 FURNITURE_WORDS = re.compile(
     r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:s|ed)?|promo(?:s|tion)?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|"
     r"footers?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|signup|login|shar(?:e|ing)|social|"
     r"related|recommended|comments?|disqus|replies|respond|widgets?|toolbar|pagination|pager|masthead|topbar|copyright|search)"
 )
+BOXES = set(
+    "area article articles banner bar block bottom box boxes button buttons col column container content div entry form group header icons inner "
+    "item items left link links list main mini outer page panel post posts primary right row secondary section site slot stories story text "
+    "title top unit wrap wrapper".split()
+)
+# Elements that are the page or its content, whatever class they have.
+WHOLE = MAIN | {"html", "body"}
 HEADER = "header"  # furniture, unless it stands inside the marked content
 # Elements that start a line of their own:
 BLOCKS = set(
@@ -81,9 +89,9 @@ class Piece:
     block: int
 
 
-def _names(tag: str, attributes: str) -> tuple[set[str], bool]:
-    """Names of an element, and whether they make it furniture."""
-    names, furniture = {tag}, tag in FURNITURE_TAGS
+def _names(tag: str, attributes: str) -> tuple[set[str], bool, bool]:
+    """Names of an element, whether they make it furniture, and whether only its class or id does."""
+    names, furniture, called = {tag}, tag in FURNITURE_TAGS, False
     if attributes:
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), next((v for v in values if v), "")
@@ -94,17 +102,45 @@ def _names(tag: str, attributes: str) -> tuple[set[str], bool]:
             elif key == "aria-hidden":
                 furniture |= value.strip().lower() == "true"
             else:
-                words = {w.lower() for w in NAME_WORD.findall(value)}
-                names |= {f".{w}" for w in words}
-                furniture |= any(FURNITURE_WORDS.fullmatch(w) for w in words)
-    return names, furniture
+                for name in value.split():
+                    words = {w.lower() for w in NAME_WORD.findall(name)}
+                    bad = {w for w in words if FURNITURE_WORDS.fullmatch(w)}
+                    if not bad or tag not in WHOLE and words <= bad | BOXES:
+                        names |= {f".{w}" for w in words}
+                        called |= bool(bad)
+                    else:
+                        names |= {f".{w}" for w in words - bad}
+                        if words > bad:
+                            names.add(f".{name.lower()}")
+    return names, furniture or called, called and not furniture
 
 
 def pieces(html: str) -> list[Piece]:
     """The words and tags of a page in order."""
+    found, marks = _read(html, frozenset())
+    wrappers: set[int] = set()
+    if marks:  # content within elements that are furniture by their class or id
+        ahead = [0]
+        for p in found:
+            ahead.append(ahead[-1] + (0 if p.text is None else len(p.text.split())))
+        for tag, begin, end, around in marks:
+            if tag == "main" or 2 * (ahead[end] - ahead[begin]) > ahead[-1]:
+                wrappers.update(around)
+    return _read(html, frozenset(wrappers))[0] if wrappers else found
+
+
+def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[str, int, int, list[int]]]]:
+    """The pieces of a page, and each mark that stands in furniture by class or id alone.
+
+    A mark is its element, its first piece, the one behind its last, and where that
+    furniture begins; furniture that begins at one of ``wrappers`` is none.
+    """
     out: list[Piece] = []
     opened: list[tuple[str, frozenset[str], bool, bool]] = []  # tag, names, inside, furniture
     nothing: tuple[str, frozenset[str], bool, bool] = ("", frozenset(), False, False)
+    called: list[tuple[int, int]] = []  # depth and place of open elements that are furniture by class or id alone
+    open_marks: list[tuple[int, str, int, list[int]]] = []  # depth, element, first piece, furniture around it
+    marks: list[tuple[str, int, int, list[int]]] = []
     block, at, hidden = 0, 0, ""
 
     def text(raw: str) -> None:
@@ -112,6 +148,14 @@ def pieces(html: str) -> list[Piece]:
             _, names, inside, furniture = opened[-1] if opened else nothing
             out.append(Piece(unescape(raw), names, "", inside, furniture, block))
 
+    def closed(depth: int) -> None:
+        del opened[depth:]
+        while called and called[-1][0] >= depth:
+            called.pop()
+        while open_marks and open_marks[-1][0] >= depth:
+            _, tag, begin, around = open_marks.pop()
+            marks.append((tag, begin, len(out), around))
+
     for match in TOKEN.finditer(html):
         if hidden and not (match[2] and match[3].lower() == hidden):
             continue
@@ -136,22 +180,28 @@ def pieces(html: str) -> list[Piece]:
         if match[2]:
             for k in range(len(opened) - 1, -1, -1):
                 if opened[k][0] == tag:
-                    del opened[k:]
+                    closed(k)
                     break
         else:
             if tag in IMPLIED_END:
                 for k in range(len(opened) - 1, -1, -1):
                     if opened[k][0] == tag:
-                        del opened[k:]
+                        closed(k)
                         break
                     if opened[k][0] not in IMPLIED_END:
                         break
             if tag not in VOID and tag not in INLINE and not match[4].endswith("/"):
                 _, around, inside, furniture = opened[-1] if opened else nothing
                 if tag == "p" and opened and opened[-1][0] in {f"h{k}" for k in range(1, 7)}:
-                    opened.pop()
+                    closed(len(opened) - 1)
                     _, around, inside, furniture = opened[-1] if opened else nothing
-                own, bad = _names(tag, match[4])
+                own, bad, by_name = _names(tag, match[4])
+                if by_name and match.start() in wrappers:
+                    own, bad = {n for n in own if not FURNITURE_WORDS.fullmatch(n[1:])}, False
+                elif by_name:
+                    called.append((len(opened), match.start()))
+                if tag in MAIN and called:
+                    open_marks.append((len(opened), tag, len(out), [place for _, place in called]))
                 if not inside:
                     bad |= tag == HEADER or f".{HEADER}" in own and tag not in MAIN
                 opened.append((tag, around | own, inside or tag in MAIN and not (furniture or bad), furniture or bad))
@@ -161,7 +211,8 @@ def pieces(html: str) -> list[Piece]:
         out.append(Piece(None, names, tag, inside, furniture, block))
     if not hidden:
         text(html[at:])
-    return out
+    closed(0)
+    return out, marks
 
 
 def _counts(html: str) -> Counter:

@@ -73,3 +73,17 @@ def test_articles_in_furniture_mark_nothing(pages, card):
 def test_marked_pages_are_scored_by_learned_weights():
     html = '<body><article><p>Good words here.</p><div class="stamp"><p>Printed by machine.</p></div><p>More good words.</p></article></body>'
     assert main_text(html, {"p": 1.0, "article": 3.0, ".stamp": -9.0}) == "Good words here.\nMore good words."
+
+
+@pytest.mark.parametrize("before, after", [
+    ('<body class="no-sidebar"><article>', "</article>"), ("<body><article class='post comments-open'>", "</article>"),
+    ('<body class="sidebar"><main class="with-sidebar">', "</main>"), ('<article><section id="social-history">', "</section></article>"),
+    ('<div class="sidebar"><main>', "</main></div>"), ('<div id="social"><div><article>', "</article></div></div>"),
+])
+@pytest.mark.parametrize("weights", [{}, {".sidebar": -4.0, ".social": -4.0, ".comments": -4.0, "article": 4.0, "p": 1.0}])
+def test_article_keeps_its_text_whatever_its_wrappers_are_called(before, after, weights):
+    assert main_text(f'{before}<p>One two three.</p><div class="related-posts">no</div><p>Four.</p>{after}<div class="sidebar"><article>x</article></div>', weights) == "One two three.\nFour."
+
+
+def test_other_compound_names_are_learned():
+    assert main_text('<p>One two three.</p><div class="social-x"><p>Four.</p></div>', {".social-x": -4.0}) == "One two three."
