@@ -16,7 +16,7 @@ are fixed; an ``article`` in them marks nothing.
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by one line end. ``br`` is white space; elements that start a
 line of their own separate blocks. Scripts, styles, comments of the markup and
-the head never count. Defined results: null or empty html and pages without a
+the title never count; the tags of the head are read past, as they may be omitted. Defined results: null or empty html and pages without a
 positive stretch give the empty text; unclosed and unknown elements are read as
 far as they go; repeated rows are read each. Columns besides the three are not read.
 """
@@ -44,7 +44,11 @@ FURNITURE_TEXT = -1.0
 PLAIN_WORD = 1.0  # a word without any known name around it
 MAIN = {"article", "main"}
 # Fixed names. Elements whose content is no text at all:
-HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "title"}
+HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "title"}
+# Of these, elements that hold plain characters and end at their own end tag only; others end with what is around them.
+RAW = {"script", "style", "textarea"}
+FOREIGN = {"svg", "math"}  # these end where an HTML block begins, unless in one of
+HTML_INSIDE = {"foreignobject", "desc", "title", "annotation-xml", "template"}
 # Elements and roles that are never the article:
 FURNITURE_TAGS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "datalist", "input", "label"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
@@ -68,7 +72,8 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+# Elements without content of their own; a head is where its elements are.
+VOID = set("head area base br col embed hr img input link meta param source track wbr".split())
 # Inline elements are not kept open, so unclosed ones do no harm.
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var del".split())
 IMPLIED_END = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
@@ -142,6 +147,7 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[
     open_marks: list[tuple[int, str, int, list[int]]] = []  # depth, element, first piece, furniture around it
     marks: list[tuple[str, int, int, list[int]]] = []
     block, at, hidden = 0, 0, ""
+    within: list[str] = []  # open elements in the hidden one
 
     def text(raw: str) -> None:
         if raw:
@@ -157,23 +163,35 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[
             marks.append((tag, begin, len(out), around))
 
     for match in TOKEN.finditer(html):
-        if hidden and not (match[2] and match[3].lower() == hidden):
-            continue
-        if not hidden:
-            text(html[at : match.start()])
+        if hidden:
+            tag = (match[3] or "").lower()
+            if tag == hidden and match[2] and (hidden in RAW or hidden not in within):
+                hidden, at = "", match.end()
+                continue
+            if hidden in RAW or not tag or within and within[-1] in RAW and not (match[2] and tag == within[-1]):
+                continue
+            if match[2]:
+                if tag in within:
+                    while within.pop() != tag:
+                        pass
+                    continue
+                if tag != "head" and all(o[0] != tag for o in opened):
+                    continue
+            elif tag != "body" and not (hidden in FOREIGN and tag in BLOCKS and not HTML_INSIDE & set(within)):
+                if tag not in VOID and not match[4].endswith("/"):
+                    within.append(tag)
+                continue
+            hidden, at = "", match.start()  # unclosed: ends with what is around it
+        text(html[at : match.start()])
         at = match.end()
         if match[1] is not None:
-            if not hidden:
-                out.append(Piece(match[1], *(opened[-1] if opened else nothing)[1:2], "", *(opened[-1] if opened else nothing)[2:], block))
+            out.append(Piece(match[1], *(opened[-1] if opened else nothing)[1:2], "", *(opened[-1] if opened else nothing)[2:], block))
             continue
         if match[3] is None:
             continue
         tag = match[3].lower()
-        if hidden:
-            hidden = ""
-            continue
         if not match[2] and tag in HIDDEN and not match[4].endswith("/"):
-            hidden = tag
+            hidden, within = tag, []
             continue
         if tag in BLOCKS:
             block += 1

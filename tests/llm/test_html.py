@@ -87,3 +87,17 @@ def test_article_keeps_its_text_whatever_its_wrappers_are_called(before, after,
 
 def test_other_compound_names_are_learned():
     assert main_text('<p>One two three.</p><div class="social-x"><p>Four.</p></div>', {".social-x": -4.0}) == "One two three."
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<head><title>T</title><meta charset=x><style>p{}</style><body><article><p>One two.</p></article>", "One two."),
+    ("<html><head><title>T</title><p>One two.", "One two."), ("<head><title>T<body><p>One two.", "One two."),
+    ("<head><noscript><link rel=x></head><body><p>One two.", "One two."),
+    *[(f"<div><p>One.</p><div><{t}><b>no</div><p>Two.</p></div>", "One.\nTwo.") for t in ("select", "object", "svg", "iframe", "noscript", "audio")],
+    ("<p>One <svg><g><path d=x></g><p>Two.", "One\nTwo."), ("<p>One <svg><svg><text>a</text></svg><title>b</title></svg> two.", "One two."),
+    ("<p>One <select><option>a<option>b</select> two.", "One two."), ("<div>One<script>a='</div>'", "One"),
+    ("<div>One <object><object>a</object><div>b</div></object> two</div>", "One two"),
+    ("<div>One <noscript><script>a=\"</div>\"</script>no</noscript> two</div>", "One two"),
+])
+def test_hidden_elements_end_with_what_is_around_them(html, text):
+    assert main_text(html, {}) == text
