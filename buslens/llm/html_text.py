@@ -51,7 +51,7 @@ FOREIGN = {"svg", "math"}  # these end where an HTML block begins, unless in one
 HTML_INSIDE = {"foreignobject", "desc", "title", "annotation-xml", "template"}
 # Elements and roles that are never the article:
 FURNITURE_TAGS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "datalist", "input", "label"}
-FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
+FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar", "button"}
 # Words of a class or id that are never the article, alone or with each other and ``BOXES``. Other names that hold such a
 # word (no-sidebar, comments-open) are judged as a whole by the learned weights.
 FURNITURE_WORDS = re.compile(
@@ -74,7 +74,7 @@ BLOCKS = set(
 )
 # Elements without content of their own; a head is where its elements are.
 VOID = set("head area base br col embed hr img input link meta param source track wbr".split())
-# Inline elements are not kept open, so unclosed ones do no harm.
+# Inline elements are kept open only from one that is furniture to its end or that of the block around it, so unclosed ones do little harm.
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var del".split())
 IMPLIED_END = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -200,15 +200,19 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[
                 if opened[k][0] == tag:
                     closed(k)
                     break
+                if tag in INLINE and opened[k][0] not in INLINE:  # of another block
+                    break
         else:
             if tag in IMPLIED_END:
                 for k in range(len(opened) - 1, -1, -1):
                     if opened[k][0] == tag:
                         closed(k)
                         break
-                    if opened[k][0] not in IMPLIED_END:
+                    if opened[k][0] not in IMPLIED_END and opened[k][0] not in INLINE:
                         break
-            if tag not in VOID and tag not in INLINE and not match[4].endswith("/"):
+            kept = tag not in INLINE or bool(match[4]) and _names(tag, match[4])[1]
+            kept |= bool(opened) and opened[-1][0] in INLINE  # within one that is open, to tell their end tags apart
+            if tag not in VOID and kept and not match[4].endswith("/"):
                 _, around, inside, furniture = opened[-1] if opened else nothing
                 if tag == "p" and opened and opened[-1][0] in {f"h{k}" for k in range(1, 7)}:
                     closed(len(opened) - 1)

@@ -101,3 +101,19 @@ def test_other_compound_names_are_learned():
 ])
 def test_hidden_elements_end_with_what_is_around_them(html, text):
     assert main_text(html, {}) == text
+
+
+@pytest.mark.parametrize("inline", [
+    '<span class="ad">buy <span>now</span> or never</span>', '<a class="share" href=x>share <b>it</b></a>', "<span hidden>no</span>", '<a role="button">press</a>',
+    '<b id="popup">x<br>y</b>', '<span class="ad"><div>buy</div> now</span>',
+])
+def test_inline_furniture_goes(inline):
+    assert main_text(f"<article><div>One two {inline} <a href=x>three</a> <i>four</i>.</div><p>Five.</p></article>", {}).split() == "One two three four. Five.".split()
+
+
+@pytest.mark.parametrize("html", [
+    "<article><p>One <span class=ad>buy</p><p>Two.</p></article>", "<article><p>One <span class=ad>buy<p>Two.</article>",
+    "<article><ul><li>One <a class=share>it<li>Two.</ul></article>", "<article><div>One <span class=ad>buy</div><p>Two.</article>",
+])
+def test_unclosed_inline_furniture_ends_with_its_block(html):
+    assert main_text(html, {}) == "One\nTwo."
