@@ -1,21 +1,23 @@
-"""Near-duplicate join on word shingles: a MinHash LSH forest with exact verification.
+"""Near-duplicate join on word shingles: MinHash banding with exact verification.
 
 A document is the set of its runs of five words. Documents with the same set are
-one class (copies are never paired). Each class gets ``TREES`` signatures of
-MinHash values, the labels of the prefix tries of the forest. Two classes are
-candidates when their labels agree in a prefix of some trie; starting from whole
-labels the prefix is shortened until pairs at the threshold meet with the target
-recall. All candidates are verified exactly:
-
-1. classes that share a trie node are laid out by the smallest class they meet,
-   in trie order, into blocks of bounded size, so that near copies stand together;
+one class (copies are never paired). Each class gets a label per tree: a hash of
+the tree and as many MinHash values as let pairs at the threshold meet with the
+target recall; where one value is too many for that, there are more trees. Two
+classes are candidates when they share a label. This is the level to which an LSH
+forest would shorten its prefixes for this threshold: pairs with longer common
+prefixes share the label too. The level is computed from threshold and recall, not
+measured; there are no sorted tries. All candidates are verified exactly:
+
+1. classes that share a label are laid out by the smallest class they meet, in
+   the order of their labels, into blocks of bounded size, so that near copies stand together;
 2. every block is one unit of work, and so are the classes of two blocks that meet
-   under a node: pairs that share a node are compared by their whole sets. A unit
+   under a label: pairs that share one are compared by their whole sets. A unit
    returns the number of links of each class and a spanning forest of its links,
    never the pairs;
 3. the connected parts of the verified links are the near-duplicate groups.
 
-A node that holds a third of all classes is thus compared in blocks by many
+A label that holds a third of all classes is thus compared in blocks by many
 tasks, and what is shuffled for it are blocks, not pairs.
 
 Defined results: a text of one to four words is one shingle of all its words;
@@ -59,6 +61,15 @@ def forest_depth(similarity: float, trees: int, recall: float, longest: int) ->
     return depth
 
 
+def forest_trees(similarity: float, depth: int, trees: int, recall: float) -> int:
+    """The number of trees, ``trees`` at least, in which pairs of this similarity meet with the target recall."""
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity must be above 0 and at most 1")
+    while 1 - (1 - similarity**depth) ** trees < recall:
+        trees += 1
+    return trees
+
+
 def _salts(count: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mixed(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return seeds[:count], seeds[count:] | np.uint64(1)
@@ -315,6 +326,7 @@ def near_duplicates(
     id. Row keys are digests of id and text, the same for repeated rows.
     """
     depth = forest_depth(similarity, trees, recall, LONGEST_PREFIX)
+    trees = forest_trees(similarity, depth, trees, recall)
     keyed = _keyed(docs, id_column, text_column)
     signed = materialise(_signed(keyed, shingle, trees, depth), "signed")
     with scratch_scope(docs.sparkSession):  # blocks and candidates go when the groups are known

@@ -162,3 +162,11 @@ def test_texts_are_shuffled_once(spark, sf_dir):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan is not None and text.count("ReusedExchange") == 1
     assert collections.Counter(text.split())["CartesianProduct"] == 0
+
+
+def test_low_similarity_reaches_the_target_recall(spark):
+    assert jaccard.forest_trees(0.8, 4, 16, 0.999) == 16 and jaccard.forest_trees(0.3, 1, 16, 0.999) == 20
+    words = lambda kind, k, n: [f"{kind}{k}-{i}" for i in range(n)]
+    # 10 of 100 shingles in common
+    rows = [(2 * k + side, " ".join(words("c", k, 14) + words("ab"[side], k, 45))) for k in range(150) for side in (0, 1)]
+    assert sum(n for _, _, n in found_near(spark.createDataFrame(rows, DOCS), similarity=0.1)) >= 2 * 149
