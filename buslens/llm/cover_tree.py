@@ -10,9 +10,10 @@ product. First every query block meets the data block of the highest bound, then
 those blocks that its k-th scores do not rule out.
 
 A node covers its points by children of ``SHRINK`` times its radius whose centres
-are further apart than that; where points are too far apart for this to help,
-the node is a leaf. Equal vectors of a block are one point, of which only the
-smallest ``k + 1`` ids can appear in a result, so a hot vector costs nothing.
+are further apart than that; where they would be too many, of the first share in
+``WIDER`` that few fit; where points are too far apart even for the last, the node
+is a leaf. Equal vectors of a block are one point, of which only the smallest
+``k + 1`` ids can appear in a result, so a hot vector costs nothing.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; shorter vectors are filled with zeros; a null id is no query, and
@@ -40,7 +41,7 @@ from buslens.scale import materialise
 SCALE, K, QUERY_EVERY = 1024, 10, 100
 PIVOTS = 64
 DATA_BLOCK, QUERY_BLOCK = 4_096, 512
-SHRINK, LEAF = 0.6, 48
+SHRINK, WIDER, LEAF = 0.6, (0.7, 0.8, 0.9), 48
 NO_ID = np.iinfo(np.int64).max
 BLOCK = "block long, kind int, centre array<double>, radius double, data binary"
 FOUND = "query_uid long, query_id long, vec_id long, score long"
@@ -76,7 +77,7 @@ class CoverTree:
             children.append([])
             if b - a <= LEAF or radius[k] == 0:
                 return k
-            groups = cover(own, away, radius[k] * SHRINK)
+            groups = next((g for g in (cover(own, radius[k] * shrink) for shrink in (SHRINK, *WIDER)) if g is not None), None)
             if groups is None:
                 return k
             order[a:b] = order[a:b][np.concatenate(groups)]
@@ -86,7 +87,7 @@ class CoverTree:
                 at += len(g)
             return k
 
-        def cover(own: np.ndarray, away: np.ndarray, within: float) -> list[np.ndarray] | None:
+        def cover(own: np.ndarray, within: float) -> list[np.ndarray] | None:
             left = np.arange(len(own))
             groups = []
             while len(left):

@@ -66,3 +66,11 @@ def test_nodes_cover_their_points():
             heads = tree.points[tree.centre[children]]
             apart = np.sqrt(((heads[:, None] - heads) ** 2).sum(axis=2)) + np.eye(len(heads)) * 1e9
             assert apart.min() > r * cover_tree.SHRINK
+
+
+def test_far_apart_points_get_cover_levels():
+    points = np.floor(np.random.default_rng(4).normal(size=(2000, 64)) * 128)
+    tree, order = CoverTree.build(points)
+    assert len(tree.begin) > 10 and sorted(order) == list(range(2000))
+    for a, b, c, r in zip(tree.begin, tree.end, tree.centre, tree.radius, strict=True):
+        assert np.sqrt(((tree.points[a:b] - tree.points[c]) ** 2).sum(axis=1)).max() <= r + 1e-6
