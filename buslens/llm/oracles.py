@@ -102,3 +102,88 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 10
 """
+
+
+def _codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Lloyd rounds with full scans: each part meets every entry of its position."""
+    distance = "list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v) + list_inner_product(c.v, c.v)"
+    steps = [f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row_id, vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS (
+  SELECT row_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) AS r(p)
+), book0 AS (
+  SELECT p, row_id - 1 AS entry, v FROM parts WHERE row_id <= {entries}
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f""", near{k} AS MATERIALIZED (
+  SELECT x.row_id, x.p, min(({distance}, c.entry)) AS best FROM parts x JOIN book{k} c ON x.p = c.p GROUP BY x.row_id, x.p
+)""")
+        if k < rounds:
+            steps.append(f""", means{k} AS (
+  SELECT p, entry, list(floor(total / many) ORDER BY place) AS v FROM (
+    SELECT n.p, n.best[2] AS entry, place, sum(x.v[place]) AS total, count(*) AS many
+    FROM near{k} n JOIN parts x ON n.row_id = x.row_id AND n.p = x.p, LATERAL (SELECT unnest(range(1, len(x.v) + 1)) AS place)
+    GROUP BY n.p, n.best[2], place)
+  GROUP BY p, entry
+), book{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.entry, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m ON b.p = m.p AND b.entry = m.entry
+)""")
+    steps.append(f""", final AS (
+  SELECT row_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY row_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN v], ','), ',' ORDER BY p, entry)) AS codebooks_sha256
+  FROM book{rounds}
+)
+SELECT k.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, d.codebooks_sha256
+FROM kept k JOIN final f ON k.row_id = f.row_id, digest d
+""")
+    return "".join(steps)
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
+
+# CRC-32 of a word from its bytes, with the table of the reversed polynomial 0xEDB88320.
+ORACLES["op13_resampling"] = r"""
+WITH crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS steps
+  FROM range(256) AS r(n)
+), words AS (
+  SELECT 'document' AS kind, doc_id AS id, WORDS AS words FROM documents
+  UNION ALL SELECT 'target', item_id, WORDS FROM benchmark
+), each AS (
+  SELECT kind, id, unnest(words) AS word FROM words
+), distinct_words AS (
+  SELECT DISTINCT word, hex(encode(word)) AS digits FROM each
+), buckets AS (
+  SELECT word, xor(list_reduce(
+      list_concat([4294967295], [CAST('0x' || digits[2 * k + 1 : 2 * k + 2] AS BIGINT) FOR k IN range(len(digits) // 2)]),
+      lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM distinct_words, crc
+), counts AS (
+  SELECT bucket, count(*) FILTER (kind = 'document') AS s, count(*) FILTER (kind = 'target') AS t
+  FROM each JOIN buckets USING (word) GROUP BY bucket
+), totals AS (
+  SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (all_s + 10000) AS DOUBLE) / CAST((s + 1) * (all_t + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM counts, totals
+), weighed AS (
+  SELECT id, sum(gain) AS weight FROM each JOIN buckets USING (word) JOIN gains USING (bucket) WHERE kind = 'document' GROUP BY id
+), scored AS (
+  SELECT d.doc_id, len(w.words) AS n_features, coalesce(g.weight, 0) AS weight,
+    coalesce(g.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || d.doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents d JOIN words w ON w.kind = 'document' AND w.id = d.doc_id LEFT JOIN weighed g ON g.id = d.doc_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn
+  FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank
+FROM placed
+""".replace("WORDS", r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')""")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buslens.llm import chat, cover_tree, html_text, jaccard, packing, ppm, quality, repeats, sentencepiece_codec, token_files
+from buslens.llm import (
+    byte_bpe, chat, cover_tree, html_text, jaccard, packing, ppm, quality, repeats, resample, sentencepiece_codec, token_files, vector_codes,
+)
 from buslens.scale import scratch_path
 
 # Ids that close a document.
@@ -67,6 +69,20 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_cover_tree": op2_cover_tree,
@@ -78,4 +94,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_html_text": op9_html_text,
     "op10_perspectives": op10_perspectives,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_resampling": op13_resampling,
 }
