@@ -1,8 +1,8 @@
 """Payload bytes as text, as a list and as 64-bit words.
 
 Classic frames carry at most 8 bytes. The usual case is written with plain
-arithmetic, which whole-stage code generation compiles; longer (invalid)
-payloads take the slower general expressions so that nothing is cut off.
+arithmetic, which whole-stage code generation compiles; longer payloads take the
+slower general expressions so that nothing is cut off.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_BYTES = 8
+# Lengths of flexible-data-rate payloads beyond the classic ones.
+FD_LENGTHS = [12, 16, 20, 24, 32, 48, 64]
 
 
 def spaced_hex(data: Column) -> Column:

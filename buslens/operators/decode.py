@@ -8,9 +8,11 @@ Three output shapes, none of which moves a frame:
 * ``frames_wide``   one row per frame with one column per signal.
 
 Rules common to all: lookup by numeric ID alone; a signal that ends beyond the
-bytes present is left out; a message with a selector yields the selector, its
-plain signals and the signals of the selected value; a selector value nobody
-defined voids the whole frame; a truncated selector leaves the plain signals.
+bytes present is left out; a message with selectors yields its plain signals,
+selectors that are themselves selected, and the signals of the selected values,
+at any depth; a selected selector with a value nobody defined voids the whole
+frame; a truncated selector leaves out what depends on it. A message that the
+catalogue check refused is decoded like an unknown one.
 """
 
 from __future__ import annotations
@@ -49,31 +51,55 @@ def _with_words(frames: DataFrame) -> DataFrame:
 
 
 def _with_selection(df: DataFrame, traits: Traits) -> DataFrame:
-    """Evaluate the selector of the frame's message.
+    """Evaluate the selectors of the frame's message.
 
-    ``_sel_raw`` is its value, null without a complete selector; ``_void``
-    marks a frame whose selector value is not defined.
+    ``_sel_raw`` is the value of the only selector, null unless complete, and
+    ``_sel_raws`` those of all of them where messages have several; ``_void``
+    marks a frame with a selected selector whose value is not defined.
     """
     if not traits.muxed:
         return df.withColumns({"_sel_raw": F.lit(None).cast("bigint"), "_void": F.lit(False)})
+    if traits.nested:
+        raws = F.expr(f"transform(sels, s -> CASE WHEN {complete_sql('s.')} THEN {raw_sql('s.', traits.far)} END)")
+        lost = f"""coalesce(exists(sels, s -> {_path_holds('s.')}
+            AND NOT coalesce(array_contains(s.values, get(_sel_raws, s.at)), true)), false)"""
+        return df.withColumn("_sel_raws", raws).withColumn("_void", F.expr(lost))
     selected = F.expr(f"CASE WHEN {complete_sql('sel.')} THEN {raw_sql('sel.', traits.far)} END")
     void = F.expr("coalesce(NOT array_contains(sel_values, _sel_raw), false)")
     return df.withColumn("_sel_raw", selected).withColumn("_void", void)
 
 
+def _path_holds(s: str) -> str:
+    """All selectors on the way to the signal have the values that lead to it."""
+    return f"coalesce(forall({s}path, p -> get(_sel_raws, p.at) = p.value), false)"
+
+
 def _chosen(s: str, traits: Traits) -> str:
     """The signal is complete and, if multiplexed, selected."""
     if not traits.muxed:
         return complete_sql(s)
+    if traits.nested:
+        return f"{complete_sql(s)} AND {_path_holds(s)}"
     return f"{complete_sql(s)} AND ({s}mux_value IS NULL OR coalesce({s}mux_value = _sel_raw, false))"
 
 
+def _selectors(traits: Traits) -> list[str]:
+    """Columns of the catalogue that hold the selectors of a message."""
+    if not traits.muxed:
+        return []
+    return ["sels"] if traits.nested else ["sel", "sel_values"]
+
+
 def _label(s: str, raw: str, traits: Traits) -> str:
     return label_sql(s, raw) if traits.labelled else "CAST(NULL AS STRING)"
 
 
-def _only_known(frames: DataFrame, ids: list[int] | None) -> DataFrame:
-    return frames if ids is None else frames.where(F.col("can_id_dec").isin(ids))
+def _only_known(frames: DataFrame, known: Column | None) -> DataFrame:
+    return frames if known is None else frames.where(known)
+
+
+def _fields(traits: Traits) -> list[str]:
+    return [*_SIGNAL_FIELDS, "path"] if traits.nested else _SIGNAL_FIELDS
 
 
 def signals_long(
@@ -93,14 +119,14 @@ def signals_long(
         return nothing.withColumns(
             {c: F.lit(None).cast(t) for c, t in (("signal", "string"), ("value", "double"), ("label", "string"))}
         )
-    wanted = catalogue.signals.where(F.col("signal").isNotNull())
+    traits = catalogue.traits
+    wanted = catalogue.decodable().where(F.col("signal").isNotNull())
     if signals is not None:
         wanted = wanted.where(F.col("signal").isin(signals))
-    table = wanted.select(F.col("message_id").alias("can_id_dec"), "sel", "sel_values", *_SIGNAL_FIELDS)
+    table = wanted.select(F.col("message_id").alias("can_id_dec"), *_selectors(traits), *_fields(traits))
     needed = list(dict.fromkeys([*keep, "can_id_dec", "data"]))
-    known = _only_known(frames, catalogue.message_ids(signals)).select(*needed)
+    known = _only_known(frames, catalogue.known_ids(signals)).select(*needed)
     rows = lookup_join(_with_words(known), table, ["can_id_dec"], "inner", small_fits=catalogue.small)
-    traits = catalogue.traits
     rows = _with_selection(rows, traits).where(f"NOT _void AND {_chosen('', traits)}")
     return rows.withColumn("_raw", F.expr(raw_sql("", traits.far))).select(
         *keep,
@@ -160,7 +186,8 @@ def signals_json(frames: DataFrame, catalogue: Catalogue | None) -> DataFrame:
 
 def _per_frame(frames: DataFrame, catalogue: Catalogue, name: str, build) -> DataFrame:
     """Left-join one catalogue row per message and build a column from it."""
-    fields = ", ".join(_SIGNAL_FIELDS)
+    traits = catalogue.traits
+    fields = ", ".join(_fields(traits))
     # Plain signals come before multiplexed ones, each in catalogue order. The
     # comparator leaves out the layouts, whose maps do not compare.
     key = "struct({0}.muxed, {0}.position, {0}.signal)"
@@ -169,16 +196,14 @@ def _per_frame(frames: DataFrame, catalogue: Catalogue, name: str, build) -> Dat
         collect_list(struct(mux_value IS NOT NULL AS muxed, position, signal, struct({fields}) AS layout))
           FILTER (WHERE signal IS NOT NULL),
         (a, b) -> CASE WHEN {left} < {right} THEN -1 WHEN {left} > {right} THEN 1 ELSE 0 END)"""
-    messages = catalogue.signals.groupBy(F.col("message_id").alias("can_id_dec")).agg(
-        F.expr(f"transform({listed}, s -> s.layout)").alias("_sigs"),
-        F.first("sel").alias("sel"),
-        F.first("sel_values").alias("sel_values"),
+    messages = catalogue.decodable().groupBy(F.col("message_id").alias("can_id_dec")).agg(
+        F.expr(f"transform({listed}, s -> s.layout)").alias("_sigs"), *[F.first(c).alias(c) for c in _selectors(traits)]
     )
     rows = lookup_join(_with_words(frames), messages, ["can_id_dec"], "left", small_fits=catalogue.small)
-    rows = _with_selection(rows, catalogue.traits)
+    rows = _with_selection(rows, traits)
     chosen = (
-        f"transform(filter(_sigs, s -> {_chosen('s.', catalogue.traits)}),"
-        f" s -> named_struct('layout', s, 'raw', {raw_sql('s.', catalogue.traits.far)}))"
+        f"transform(filter(_sigs, s -> {_chosen('s.', traits)}),"
+        f" s -> named_struct('layout', s, 'raw', {raw_sql('s.', traits.far)}))"
     )
     built = F.expr(f"CASE WHEN _sigs IS NOT NULL AND NOT _void THEN {build(chosen)} END")
     return rows.withColumn(name, built).select(*frames.columns, name)
@@ -202,17 +227,17 @@ def frames_wide(
     if not names:
         return frames.select(*keep)
     slots = [f"_s{i}" for i in range(len(names))]
-    layout = F.struct(*_SIGNAL_FIELDS[1:])
+    traits = catalogue.traits
+    layout = F.struct(*_fields(traits)[1:])
     cells = [
         F.first(F.when(F.col("signal") == name, layout), ignorenulls=True).alias(slot)
         for name, slot in zip(names, slots)
     ]
-    messages = catalogue.signals.groupBy(F.col("message_id").alias("can_id_dec")).agg(
-        *cells, F.first("sel").alias("sel"), F.first("sel_values").alias("sel_values")
+    messages = catalogue.decodable().groupBy(F.col("message_id").alias("can_id_dec")).agg(
+        *cells, *[F.first(c).alias(c) for c in _selectors(traits)]
     )
     needed = list(dict.fromkeys([*keep, "can_id_dec", "data"]))
     words = _with_words(frames.select(*needed))
-    traits = catalogue.traits
     # A message's row has a slot for every column, so the table is larger than the catalogue.
     slots_fit = catalogue.small and len(names) * len(catalogue.message_set()) * SLOT_BYTES <= BROADCAST_BYTES
     rows = lookup_join(words, messages, ["can_id_dec"], "left", small_fits=slots_fit)

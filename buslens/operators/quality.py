@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buslens.functions.payload import MAX_BYTES
+from buslens.functions.payload import FD_LENGTHS, MAX_BYTES
 from buslens.operators.normalise import normalise
 from buslens.operators.ordered import with_previous
 from buslens.scale import any_of, lookup_join
@@ -22,9 +22,14 @@ REPORT_COLUMNS = [
 ]
 
 
-def frame_rules() -> dict[str, Column]:
-    """Conditions that make a frame invalid, by reason."""
+def frame_rules(classic: bool = False) -> dict[str, Column]:
+    """Conditions that make a frame invalid, by reason.
+
+    Payloads of more than 8 bytes are those of flexible-data-rate frames, which
+    come in certain lengths; ``classic`` takes none of them.
+    """
     size = F.length("data")
+    long = size > MAX_BYTES
     remote = F.coalesce(F.col("is_remote"), F.lit(False))
     can_id, extended = F.col("can_id_dec"), F.coalesce(F.col("is_extended"), F.lit(False))
     return {
@@ -34,39 +39,49 @@ def frame_rules() -> dict[str, Column]:
         "identifier needs extended frame": (can_id > MAX_STANDARD_ID) & (can_id <= MAX_EXTENDED_ID) & ~extended,
         "identifier out of range": can_id > MAX_EXTENDED_ID,
         "no payload": F.col("data").isNull(),
-        "payload too long": size > MAX_BYTES,
+        "payload too long": long if classic else size > FD_LENGTHS[-1],
+        "no length of a frame": F.lit(False) if classic else long & (size <= FD_LENGTHS[-1]) & ~size.isin(FD_LENGTHS),
         "remote frame with data": remote & (size > 0),
         "length differs from payload": ~remote & (F.col("dlc").isNull() | (F.col("dlc") != size)),
     }
 
 
-def frame_reasons() -> Column:
+def frame_reasons(classic: bool = False) -> Column:
     """Array of reasons why a frame is invalid; empty for a good frame."""
-    return F.array_compact(F.array(*[F.when(rule, F.lit(reason)) for reason, rule in frame_rules().items()]))
+    return F.array_compact(F.array(*[F.when(rule, F.lit(reason)) for reason, rule in frame_rules(classic).items()]))
 
 
-def with_reasons(frames: DataFrame) -> DataFrame:
+def with_reasons(frames: DataFrame, classic: bool = False) -> DataFrame:
     """All frames with their ``reasons``, for reports that need both kinds in one pass."""
-    return frames.withColumn("reasons", frame_reasons())
+    return frames.withColumn("reasons", frame_reasons(classic))
 
 
-def is_invalid() -> Column:
+def is_invalid(classic: bool = False) -> Column:
     """Any rule broken; cheaper than the reasons and never null."""
-    return any_of([F.coalesce(rule, F.lit(False)) for rule in frame_rules().values()])
+    return any_of([F.coalesce(rule, F.lit(False)) for rule in frame_rules(classic).values()])
 
 
-def valid_frames(frames: DataFrame) -> DataFrame:
-    return frames.where(~is_invalid())
+def valid_frames(frames: DataFrame, classic: bool = False) -> DataFrame:
+    return frames.where(~is_invalid(classic))
 
 
-def quarantined_frames(frames: DataFrame) -> DataFrame:
+def quarantined_frames(frames: DataFrame, classic: bool = False) -> DataFrame:
     """Invalid frames with their reasons."""
-    return frames.where(is_invalid()).withColumn("reasons", frame_reasons())
+    return frames.where(is_invalid(classic)).withColumn("reasons", frame_reasons(classic))
 
 
-def split_valid(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_valid(frames: DataFrame, classic: bool = False) -> tuple[DataFrame, DataFrame]:
     """Good frames, and quarantined frames with their reasons; each is one filter on the scan."""
-    return valid_frames(frames), quarantined_frames(frames)
+    return valid_frames(frames, classic), quarantined_frames(frames, classic)
+
+
+def cycle_times(catalogue: Catalogue) -> DataFrame:
+    """``can_id_dec, cycle_time_ms`` of the messages that are sent in cycles."""
+    return (
+        catalogue.signals.where(F.col("cycle_time_ms") > 0)
+        .groupBy(F.col("message_id").alias("can_id_dec"))
+        .agg(F.max("cycle_time_ms").alias("cycle_time_ms"))
+    )
 
 
 def missing_frames(frames: DataFrame, catalogue: Catalogue, factor: float = 1.5) -> DataFrame:
@@ -75,11 +90,7 @@ def missing_frames(frames: DataFrame, catalogue: Catalogue, factor: float = 1.5)
     Copies at one timestamp cannot form a gap, so they are merged first; only
     messages with a cycle time are read at all.
     """
-    cycles = (
-        catalogue.signals.where(F.col("cycle_time_ms") > 0)
-        .groupBy(F.col("message_id").alias("can_id_dec"))
-        .agg(F.max("cycle_time_ms").alias("cycle_time_ms"))
-    )
+    cycles = cycle_times(catalogue)
     keys = ["capture_id", "can_id_dec"]
     timed = frames.where(F.col("timestamp").isNotNull() & ~F.isnan("timestamp"))
     known = lookup_join(

@@ -6,6 +6,7 @@ packed from, so packing and decoding are checked independently.
 
 from __future__ import annotations
 
+from buslens.plans.live_queries import LEAST_SECONDS
 from buslens.plans.more_queries import ODD_LIMIT
 from buslens.plans.queries import DURATION, FRAME_LIMIT, RULES
 
@@ -90,6 +91,41 @@ gaps AS (
   SELECT *, "timestamp" - previous_timestamp AS gap_seconds FROM steps
   WHERE "timestamp" - previous_timestamp > cycle_time_ms / 1000.0::DOUBLE * 1.5::DOUBLE)"""
 
+# Unbroken spans of a cyclic message, those that the watermark has closed.
+SPANS = """
+starts AS (
+  SELECT f.capture_id, f.can_id_dec, f.seq, f."timestamp", f.ts_micros, c.cycle_time_ms,
+         CASE WHEN f.ts_micros - lag(f.ts_micros) OVER w <= c.cycle_time_ms * 1500 THEN 0 ELSE 1 END AS starts
+  FROM frames f JOIN cycles c USING (can_id_dec)
+  WINDOW w AS (PARTITION BY f.capture_id, f.can_id_dec ORDER BY f."timestamp", f.seq)),
+numbered AS (
+  SELECT *, sum(starts) OVER (PARTITION BY capture_id, can_id_dec ORDER BY "timestamp", seq) AS span FROM starts),
+spans AS (
+  SELECT capture_id, can_id_dec, cycle_time_ms, count(*) AS frames, min("timestamp") AS first_timestamp, max("timestamp") AS last_timestamp,
+         arg_min(seq, ("timestamp", seq)) AS first_seq, arg_max(seq, ("timestamp", seq)) AS last_seq,
+         max(ts_micros) + cycle_time_ms * 1500 AS silent_from
+  FROM numbered GROUP BY capture_id, can_id_dec, cycle_time_ms, span),
+closed AS (SELECT * FROM spans WHERE silent_from <= (SELECT max(ts_micros) FROM frames) - 30000000)"""
+
+# Signals of the catalogue with selector trees; Page 3 of message 291 is not defined, so it voids the frame.
+TREE_SIGNALS = """
+parts AS (
+  SELECT *, (low >> 1) & 1 AS sub, (low >> 2) & 3 AS page, u >> 8 AS high, u & 255 AS who FROM frames),
+tree AS (
+  SELECT capture_id, seq, "timestamp", can_id_dec, unnest(CASE can_id_dec
+    WHEN 291 THEN CASE WHEN page < 3 THEN list_concat(
+      [{'signal': 'Kind', 'value': sel}, {'signal': 'Page', 'value': page}],
+      CASE WHEN sel = 0 THEN [{'signal': 'Value', 'value': v}]
+           WHEN sub = 0 THEN [{'signal': 'Sub', 'value': sub}, {'signal': 'Trim', 'value': t}]
+           ELSE [{'signal': 'Sub', 'value': sub}, {'signal': 'K', 'value': k}] END,
+      [CASE page WHEN 0 THEN {'signal': 'Low', 'value': low} WHEN 1 THEN {'signal': 'High', 'value': high}
+       ELSE {'signal': 'User', 'value': who} END]) END
+    WHEN 512 THEN [{'signal': 'Page', 'value': page},
+      CASE page WHEN 0 THEN {'signal': 'Low', 'value': low} WHEN 1 THEN {'signal': 'High', 'value': high}
+       WHEN 2 THEN {'signal': 'User', 'value': who} ELSE {'signal': 'K', 'value': k} END]
+    WHEN 1110 THEN [{'signal': 'Value', 'value': v}] END) AS found
+  FROM parts)"""
+
 NUMBER = 'row_number() OVER (PARTITION BY capture_id ORDER BY "timestamp", seq)'
 RULE_ROWS = ", ".join(
     "('{}', '{}', {}, {})".format(rule, signal, *("NULL" if b is None else repr(b) for b in bounds))
@@ -295,6 +331,46 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT signal, quartile, true AS within FROM signals, (VALUES (0), (1), (2)) AS q(quartile)""",
         "store_signals": f"""{signals}
             SELECT capture_id, seq, can_id_dec, signal, value, label FROM signals""",
+        "signals_mux_nested": f"""{_with(FRAMES, TREE_SIGNALS)}
+            SELECT capture_id, seq, "timestamp", can_id_dec, found.signal AS signal, CAST(found.value AS DOUBLE) AS value,
+                   CAST(NULL AS VARCHAR) AS label
+            FROM tree""",
+        "catalogue_problems": f"""{frames}
+            SELECT message_id, message_name, signal, problem, count(seq) AS frames
+            FROM (VALUES (256, 'MsgA', 'Wide', '256.Wide: length outside 1 to 64'),
+                         (291, 'MsgC', 'x', '291.x: selector is not a signal')) AS p(message_id, message_name, signal, problem)
+            LEFT JOIN frames ON can_id_dec = message_id GROUP BY ALL""",
+        "stream_gaps": f"""{_with(FRAMES, GAPS, SPANS)}
+            SELECT capture_id, can_id_dec, first_seq AS seq, previous_seq, first_timestamp AS "timestamp", previous_timestamp,
+                   round(first_timestamp - previous_timestamp, 6) AS gap_seconds, cycle_time_ms
+            FROM (SELECT *, lag(last_seq) OVER w AS previous_seq, lag(last_timestamp) OVER w AS previous_timestamp FROM closed
+                  WINDOW w AS (PARTITION BY capture_id, can_id_dec ORDER BY first_timestamp))
+            WHERE previous_timestamp IS NOT NULL""",
+        "stream_silences": f"""{_with(FRAMES, GAPS, SPANS)}
+            SELECT capture_id, can_id_dec, frames, first_timestamp, last_timestamp, CAST(silent_from AS BIGINT) AS silent_from FROM closed""",
+        "stream_without_duplicates": f"""{frames}
+            SELECT capture_id, seq, can_id, data_hex FROM frames""",
+        "sink_parquet_twice": f"""{frames}
+            SELECT capture_id, seq, "timestamp", can_id, data_hex FROM frames""",
+        "store_twice": f"""{signals}
+            SELECT capture_id, f.n AS frame_count, f.n AS frames, s.samples
+            FROM (SELECT capture_id, count(*) AS n FROM frames GROUP BY capture_id) f
+            LEFT JOIN (SELECT capture_id, count(*) AS samples FROM signals GROUP BY capture_id) s USING (capture_id)""",
+        "valid_frames_fd": f"""{frames}
+            SELECT capture_id, seq, CAST(size AS INTEGER) AS dlc,
+                   CASE WHEN size > 64 THEN 'payload too long'
+                        WHEN size > 8 AND size NOT IN (12, 16, 20, 24, 32, 48, 64) THEN 'no length of a frame' ELSE '' END AS reasons
+            FROM (SELECT *, dlc + [0, 4, 5, 56, 64][seq % 5 + 1] AS size FROM frames)""",
+        "rules_sustained": f"""{signals}, judged AS (
+              SELECT capture_id, rule, signal, seq, "timestamp", coalesce(value < low, false) OR coalesce(value > high, false) AS broken
+              FROM signals JOIN (VALUES {RULE_ROWS}) AS r(rule, signal, low, high) USING (signal)),
+            islands AS (
+              SELECT *, row_number() OVER (PARTITION BY capture_id, rule, signal ORDER BY "timestamp", seq)
+                - row_number() OVER (PARTITION BY capture_id, rule, signal, broken ORDER BY "timestamp", seq) AS island FROM judged)
+            SELECT capture_id, rule, signal, min("timestamp") AS first_violation, arg_min(seq, ("timestamp", seq)) AS first_seq,
+                   max("timestamp") AS last_violation, round(max("timestamp") - min("timestamp"), 6) AS seconds
+            FROM islands WHERE broken GROUP BY capture_id, rule, signal, island
+            HAVING max("timestamp") - min("timestamp") >= {LEAST_SECONDS}""",
         "quality_flags": f"""{frames}
             SELECT capture_id, can_id_dec, count(*) AS frames, count(*) FILTER (seq % 11 = 0) AS error_frames,
                    count(*) FILTER (seq % 13 = 0) AS remote_frames, count(*) FILTER (seq % 13 = 0) AS invalid_frames

@@ -367,7 +367,7 @@ def query_store_tables(spark, sf_dir):
     root = scratch_path(spark, "store")
     write_store(event_frames(spark, sf_dir), event_catalogue(spark), root)
     stored = spark.read.schema("capture_id string, signal string, value double").parquet(f"{root}/signals")
-    captures = spark.read.parquet(f"{root}/captures").select("capture_id", "frame_count")
+    captures = spark.read.schema("capture_id string, frame_count long").parquet(f"{root}/captures")
     counted = stored.groupBy("capture_id").agg(F.count("value").alias("samples"))
     return captures.join(counted, "capture_id", "left")
 
@@ -387,7 +387,7 @@ def query_schema_evolution(spark, sf_dir):
     # The first version of the store knew no flags; error frames came with the second.
     old = frames.where(F.col("can_id_dec") != 1110).select("capture_id", "seq", "timestamp", "can_id_dec", "dlc", "data")
     old.write.mode("append").partitionBy("capture_id").parquet(path)
-    write_frames(frames.where(F.col("can_id_dec") == 1110), path)
+    write_frames(frames.where(F.col("can_id_dec") == 1110), path, mode="append")
     merged = read_frames(spark, path, defaults={"is_remote": True})
     return merged.select("capture_id", "seq", "can_id", "data_hex", "is_extended", "is_remote")
 

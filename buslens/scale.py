@@ -3,7 +3,7 @@
 * ``materialise`` cuts lineage with a table in the shared folder named by
   ``spark.checkpoint.dir``, so a lost executor never replays the whole job.
 * ``lookup_join`` broadcasts the small side only after its row count was
-  checked, and falls back to a salted shuffle join that spreads hot keys.
+  checked, and falls back to a shuffle join that spreads hot keys over salts.
 * ``sorted_slices`` range-partitions rows into equally sized sorted slices, so
   that order-dependent operators never gather one key into one task.
 """
@@ -27,6 +27,9 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 # Copies of the small side when it is too large to broadcast: as many as there
 # are shuffle partitions, within these bounds.
 LEAST_SALTS, MOST_SALTS = 8, 1_024
+# Keys that the sketch of a large side tracks and reports; one is hot with this
+# many times the rows of a mean partition.
+TRACKED_KEYS, HOT_KEYS, HOT_SHARE = 8_192, 512, 0.5
 
 _made: dict[str, list[str]] = {}
 _scopes = threading.local()
@@ -137,10 +140,10 @@ def lookup_join(
     """Equi-join a large table with a lookup table without moving hot keys.
 
     A checked small side is broadcast and ``big`` is not shuffled. A larger one
-    is replicated over salts and joined by (key, salt), so one key holding a
-    large share of ``big`` still spreads over many tasks. The salt is a hash of
-    the row, so a task that runs again deals its rows out as before, and streams
-    can use it.
+    is joined by (key, salt): a sketch over the keys of ``big`` finds the hot ones,
+    only their rows are salted, and only they are copied once per salt. The salt
+    is a hash of the row, so a task that runs again deals its rows out as before.
+    A stream has no keys to look at beforehand, so there all keys are salted.
     ``null_safe`` lets null keys match each other.
     """
     fits = fits_broadcast(small, max_rows) if small_fits is None else small_fits
@@ -153,9 +156,10 @@ def lookup_join(
     elif fits:
         return big.join(F.broadcast(small), on, how)
     salts = min(MOST_SALTS, max(LEAST_SALTS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hashed = [F.col(f.name) for f in big.schema if not _holds_map(f.dataType)]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
+    hot = None if big.isStreaming else hot_keys(big, on, salts)
+    spread = _copies(small, [renamed[key] for key in on] if null_safe else on, hot, salts)
+    salt = F.pmod(row_hash(big), F.lit(salts)).cast("int")
+    salted = big.withColumn("_salt", salt if hot is None else F.when(_key_hash(on).isin(hot), salt).otherwise(F.lit(0)))
     if null_safe:
         spread = spread.withColumnRenamed("_salt", "_r_salt")
         same = same & (F.col("_salt") == F.col("_r_salt"))
@@ -163,6 +167,34 @@ def lookup_join(
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
+def _key_hash(on: list[str]) -> Column:
+    # Nulls do not change a hash, so they are marked.
+    return F.xxhash64(*on, *[F.col(key).isNull() for key in on])
+
+
+def hot_keys(big: DataFrame, on: list[str], partitions: int) -> list[int]:
+    """Hashes of the keys that hold a large part of a partition's share of the rows, by a sketch of bounded size."""
+    sketch = F.call_function("approx_top_k", _key_hash(on), F.lit(HOT_KEYS), F.lit(TRACKED_KEYS))
+    found = big.agg(F.count(F.lit(1)).alias("rows"), sketch.alias("keys")).first()
+    least = HOT_SHARE * found.rows / partitions
+    return [key.item for key in found.keys or [] if key["count"] > least]
+
+
+def _copies(small: DataFrame, on: list[str], hot: list[int] | None, salts: int) -> DataFrame:
+    """The small side with ``_salt``: each row of a hot key once per salt, all others once."""
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    return small.withColumn("_salt", F.explode(every if hot is None else F.when(_key_hash(on).isin(hot), every).otherwise(F.array(F.lit(0)))))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, the same when a task runs again."""
+    return F.xxhash64(*[F.col(_quoted(f.name)) for f in df.schema if not _holds_map(f.dataType)])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _holds_map(kind: T.DataType) -> bool:
     """Maps have no hash."""
     if isinstance(kind, T.StructType):

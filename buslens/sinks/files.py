@@ -145,7 +145,7 @@ def text_lines(numbered: DataFrame, catalogue, show_signals: bool = True) -> Dat
 class ParquetSink(FolderSink):
     """Raw frame columns, partitioned by capture and clustered by ID and time."""
 
-    def __init__(self, path, catalogue=None, cluster: bool = True, mode: str = "append"):
+    def __init__(self, path, catalogue=None, cluster: bool = True, mode: str = "overwrite"):
         super().__init__(path, catalogue, mode=mode)
         self.cluster = cluster
 

@@ -19,6 +19,10 @@ log = logging.getLogger(__name__)
 CATALOGUE_ROWS = 50_000
 # Names and IDs of a checked catalogue are small enough to keep as literals.
 LITERAL_IDS = 5_000
+# Problems that a message to the user names.
+NAMED_PROBLEMS = 10
+# Fields of a layout that cut a selector out of the payload.
+SELECTOR_LAYOUT = ["is_le", "end_bit", "first", "shift", "mask", "sign_shift"]
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,8 @@ class Traits:
     integers: bool = True
     long_integers: bool = True
     far: bool = True  # signals beyond the first 8 bytes
+    nested: bool = True  # messages with several selectors, or with one below another
+    broken: bool = True  # messages that cannot be decoded
 
 
 @dataclass(frozen=True)
@@ -40,13 +46,20 @@ class Catalogue:
     ``signals`` has one prepared row per signal. ``small`` tells whether its
     size was checked against the broadcast bounds; only then are
     ``ids_by_signal`` filled and the table broadcast. ``traits`` say which
-    features occur, so that plans carry no code for the others.
+    features occur, so that plans carry no code for the others. ``problems``
+    lists why messages cannot be decoded: their frames decode to nothing, as
+    those of unknown messages do, and all others are not affected.
     """
 
     signals: DataFrame
     small: bool
     ids_by_signal: dict[str, list[int]]
     traits: Traits
+    problems: DataFrame | None = None
+
+    def decodable(self) -> DataFrame:
+        """The signals of the messages without problems."""
+        return self.signals.where(~F.col("is_broken")) if self.traits.broken else self.signals
 
     def names(self) -> list[str]:
         """Sorted distinct signal names, the columns of the wide form."""
@@ -61,22 +74,27 @@ class Catalogue:
         """IDs of all messages of a small catalogue that carry signals."""
         return {i for ids in self.ids_by_signal.values() for i in ids}
 
-    def message_ids(self, signals: list[str] | None = None) -> list[int] | None:
-        """IDs carrying the given signals (default all) if few enough for literals."""
+    def known_ids(self, signals: list[str] | None = None) -> Column | None:
+        """A filter on ``can_id_dec`` for the messages that carry the given signals (default all).
+
+        It names the IDs, or their range where they are many; a large catalogue gives none.
+        """
         if not self.small:
             return None
         names = self.ids_by_signal if signals is None else signals
-        ids = {i for name in names for i in self.ids_by_signal.get(name, [])}
-        return sorted(ids) if len(ids) <= LITERAL_IDS else None
+        ids = sorted({i for name in names for i in self.ids_by_signal.get(name, [])})
+        if len(ids) <= LITERAL_IDS:
+            return F.col("can_id_dec").isin(ids)
+        return F.col("can_id_dec").between(ids[0], ids[-1])
 
 
-def load_catalogue(spark: SparkSession, path: str | None, fmt: str = "parquet") -> Catalogue | None:
+def load_catalogue(spark: SparkSession, path: str | None, fmt: str = "parquet", strict: bool = False) -> Catalogue | None:
     """Read a stored catalogue.
 
     A missing or malformed catalogue switches decoding off instead of failing
     the run; anything else that goes wrong while reading, such as a lost
-    executor, is raised. A readable catalogue with a wrong layout raises
-    ValueError.
+    executor, is raised. A message with a wrong layout voids its own frames;
+    with ``strict`` it raises ValueError.
     """
     if not path:
         return None
@@ -88,7 +106,7 @@ def load_catalogue(spark: SparkSession, path: str | None, fmt: str = "parquet")
             raise
         log.warning("no signal catalogue from %s: %s", path, str(error).splitlines()[0])
         return None
-    return prepare_catalogue(table)
+    return prepare_catalogue(table, strict)
 
 
 # What Spark says of a table that is absent or cannot be parsed.
@@ -115,10 +133,12 @@ def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return table.withColumn("choices", F.col("choices").cast("map<bigint,string>"))
 
 
-def prepare_catalogue(table: DataFrame) -> Catalogue:
-    """Check a catalogue and precompute the shifts and masks of every signal.
+def prepare_catalogue(table: DataFrame, strict: bool = False) -> Catalogue:
+    """Check a catalogue and precompute the shifts, masks and selector paths of every signal.
 
-    The result is written out once, so that plans using it only scan it.
+    The result is written out once, so that plans using it only scan it. Messages
+    that cannot be decoded are listed in ``problems``; with ``strict`` they raise
+    ValueError instead.
     """
     prepared = materialise(_prepare(table), "catalogue", keep=True)
     # What is broadcast is the prepared table, which may be much larger than its input.
@@ -128,32 +148,34 @@ def prepare_catalogue(table: DataFrame) -> Catalogue:
         prepared = prepared.coalesce(1)
     ids: dict[str, list[int]] = {}
     traits = Traits()
+    broken = prepared.where(F.col("problem").isNotNull())
+    problems = broken.select("message_id", "message_name", "signal", "problem")
+    some = problems.orderBy("message_id", "signal", "problem").limit(NAMED_PROBLEMS).collect()
+    if some and strict:
+        raise ValueError("bad signal catalogue: " + "; ".join(row.problem for row in some))
+    if some:
+        log.warning("messages that cannot be decoded: %s", "; ".join(row.problem for row in some))
     if small:
-        pair = F.when(F.col("signal").isNotNull(), F.struct("signal", "message_id"))
+        known = F.col("signal").isNotNull() & F.col("message_id").isNotNull()
         check = prepared.agg(
-            F.array_sort(F.collect_set("problem")).alias("problems"),
-            F.collect_set(pair).alias("pairs"),
+            F.collect_set(F.when(known, F.struct("signal", "message_id"))).alias("pairs"),
             F.collect_set("kind").alias("kinds"),
-            F.max(F.col("selector").isNotNull()).alias("muxed"),
+            F.max(F.size("sels") > 0).alias("muxed"),
             F.max(F.col("choices").isNotNull()).alias("labelled"),
             F.max("is_integer").alias("integers"),
             F.max("is_long_integer").alias("long_integers"),
             F.max(F.col("end_bit") > 64).alias("far"),
+            F.max((F.size("sels") > 1) | (F.size("path") > 1)).alias("nested"),
+            F.max("is_broken").alias("broken"),
         ).first()
-        problems = check.problems
         for signal, message_id in check.pairs:
             ids.setdefault(signal, []).append(message_id)
         traits = Traits(
-            frozenset(check.kinds), bool(check.muxed), bool(check.labelled),
-            bool(check.integers), bool(check.long_integers), bool(check.far),
+            frozenset(check.kinds), bool(check.muxed), bool(check.labelled), bool(check.integers),
+            bool(check.long_integers), bool(check.far), bool(check.nested), bool(check.broken),
         )
-    else:
-        rows = prepared.where(F.col("problem").isNotNull()).select("problem").limit(10).collect()
-        problems = [row.problem for row in rows]
-    if problems:
-        raise ValueError("bad signal catalogue: " + "; ".join(problems[:10]))
-    signals = prepared.drop("problem")
-    return Catalogue(signals, small, ids, traits)
+    signals = prepared.where(F.col("message_id").isNotNull()).drop("problem")
+    return Catalogue(signals, small, ids, traits, problems)
 
 
 def _prepare(table: DataFrame) -> DataFrame:
@@ -200,28 +222,60 @@ def _prepare(table: DataFrame) -> DataFrame:
     lowest = F.when(is_le, start).otherwise(F.col("end_bit") - length)
     first = F.when(F.col("end_bit") <= 64, F.lit(0)).otherwise(F.floor(lowest / 8).cast("int"))
     prepared = table.select(*columns).withColumns(with_defaults).withColumn("first", first).withColumns(layout)
-    return _with_selector(prepared).withColumn("problem", _problem())
+    checked = _with_selectors(prepared).withColumn("problem", _problem())
+    # Unusable rows of a message make the others unsafe: which of them a frame has cannot be told.
+    voids = F.max(F.col("problem").isNotNull()).over(Window.partitionBy("message_id"))
+    return checked.withColumn("is_broken", voids).drop("copies", "endless", "loose")
+
 
+def _with_selectors(t: DataFrame) -> DataFrame:
+    """The selectors of each signal's message, and the path of selector values that leads to the signal.
 
-def _with_selector(t: DataFrame) -> DataFrame:
-    """Copy the layout of a message's selector into all of its signals."""
+    ``sels`` has one entry per selector of the message, by name: its layout, the
+    values that signals are defined for, and its own path. A path is a list of
+    (selector, value); a frame has the signal if all of them hold. ``sel`` and
+    ``sel_values`` repeat the first selector for messages that have one only.
+    """
     message = Window.partitionBy("message_id")
-    layout = F.struct("is_le", "end_bit", "first", "shift", "mask", "sign_shift")
-    is_selector = F.col("signal") == F.col("selector")
+    pairs = F.collect_set(F.when(F.col("mux_signal").isNotNull(), F.struct("mux_signal", "mux_value"))).over(message)
+    steps = F.collect_set(F.when(F.col("signal").isNotNull(), F.struct("signal", "mux_signal", "mux_value"))).over(message)
     named = t.withColumns(
         {
-            "selector": F.max("mux_signal").over(message),
-            "other_selector": F.min("mux_signal").over(message),
-            "sel_values": F.array_sort(F.collect_set("mux_value").over(message)),
+            "_pairs": pairs,
+            "_steps": F.filter(steps, lambda s: s["mux_signal"].isNotNull()),
+            "_names": F.array_sort(F.collect_set("mux_signal").over(message)),
             "copies": F.count("signal").over(Window.partitionBy("message_id", "signal")),
         }
     )
-    return named.withColumns(
+    # Up the tree, one selector a step; no path is longer than there are selectors.
+    walk = F.expr(
+        """aggregate(
+          sequence(1, size(_names) + 1),
+          named_struct('at', mux_signal, 'value', mux_value, 'path', CAST(array() AS array<struct<at:int,value:bigint>>)),
+          (w, k) -> CASE WHEN w.at IS NULL THEN w ELSE named_struct(
+            'at', get(filter(_steps, s -> s.signal = w.at), 0).mux_signal,
+            'value', get(filter(_steps, s -> s.signal = w.at), 0).mux_value,
+            'path', concat(w.path, array(named_struct('at', CAST(array_position(_names, w.at) - 1 AS int), 'value', w.value)))) END)"""
+    )
+    walked = named.withColumn("_walk", walk).withColumns(
         {
-            "sel": F.first(F.when(is_selector, layout), ignorenulls=True).over(message),
-            "sel_muxed": F.max(F.when(is_selector, F.col("mux_signal"))).over(message),
+            "path": F.col("_walk.path"),
+            # A selector left over is one that is its own ancestor.
+            "endless": F.col("_walk.at").isNotNull(),
         }
     )
+    at = F.array_position("_names", F.col("signal")) - 1
+    values = F.transform(F.filter("_pairs", lambda p: p["mux_signal"] == F.col("signal")), lambda p: p["mux_value"])
+    own = F.struct(at.cast("int").alias("at"), *SELECTOR_LAYOUT, F.array_sort(values).alias("values"), "path")
+    sels = F.array_sort(F.collect_set(F.when(F.array_contains("_names", F.col("signal")), own)).over(message))
+    listed = walked.withColumn("sels", sels)
+    return listed.withColumns(
+        {
+            "sel": F.get("sels", F.lit(0)),
+            "sel_values": F.get("sels", F.lit(0))["values"],
+            "loose": F.col("mux_signal").isNotNull() & ~F.exists("sels", lambda s: F.get("_names", s["at"]) == F.col("mux_signal")),
+        }
+    ).drop("_pairs", "_steps", "_names", "_walk")
 
 
 def _problem() -> Column:
@@ -244,9 +298,8 @@ def _problem() -> Column:
         bad((F.col("value_type") == "float64") & (length != 64), "float64 needs 64 bits"),
         bad(F.col("copies") > 1, "signal defined twice"),
         bad(F.col("mux_signal").isNull() != F.col("mux_value").isNull(), "half a multiplexer"),
-        bad(F.col("selector") != F.col("other_selector"), "two selectors in one message"),
-        bad(F.col("selector").isNotNull() & F.col("sel").isNull(), "selector is not a signal"),
-        bad(F.col("sel_muxed").isNotNull(), "nested multiplexing"),
+        bad(F.col("loose"), "selector is not a signal"),
+        bad(F.col("endless"), "selectors select each other"),
     )
 
 

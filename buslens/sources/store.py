@@ -35,16 +35,21 @@ def frame_rows(frames: DataFrame, cluster: bool = True) -> DataFrame:
     return rows.withColumn(VERSION_FIELD.name, F.lit(STORE_VERSION))
 
 
-def write_frames(frames: DataFrame, path: str, mode: str = "append", cluster: bool = True) -> None:
-    frame_rows(frames, cluster).write.mode(mode).partitionBy("capture_id").parquet(path)
+def write_frames(frames: DataFrame, path: str, mode: str = "overwrite", cluster: bool = True) -> None:
+    """Store frames; captures that are there already are replaced, others stay. ``append`` adds to captures instead."""
+    by_capture(frame_rows(frames, cluster), mode).parquet(path)
 
 
-def write_store(frames: DataFrame, catalogue: Catalogue | None, root: str, mode: str = "append") -> None:
-    """Write frames, decoded signals and one metadata row per capture."""
+def by_capture(rows: DataFrame, mode: str):
+    """A writer that keeps to the captures that ``rows`` hold."""
+    return rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("capture_id")
+
+
+def write_store(frames: DataFrame, catalogue: Catalogue | None, root: str, mode: str = "overwrite") -> None:
+    """Write frames, decoded signals and one metadata row per capture, each replacing what the captures had."""
     write_frames(frames, f"{root}/frames", mode)
-    signals = clustered(signals_long(frames, catalogue), SIGNAL_ORDER)
-    signals.write.mode(mode).partitionBy("capture_id").parquet(f"{root}/signals")
-    capture_manifest(frames).write.mode(mode).parquet(f"{root}/captures")
+    by_capture(clustered(signals_long(frames, catalogue), SIGNAL_ORDER), mode).parquet(f"{root}/signals")
+    by_capture(capture_manifest(frames), mode).parquet(f"{root}/captures")
 
 
 def read_frames(spark: SparkSession, path: str, defaults: dict[str, object] | None = None) -> DataFrame:

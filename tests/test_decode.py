@@ -9,7 +9,7 @@ from buslens.operators.decode import decode, frames_wide, signal_texts, signals_
 from buslens.operators.normalise import normalise
 from buslens.schemas import RAW_FRAME
 from buslens.sources import catalogue as catalogue_module
-from buslens.sources.catalogue import expected_signals, info_for_ids, load_catalogue, message_info
+from buslens.sources.catalogue import expected_signals, info_for_ids, load_catalogue, message_info, prepare_catalogue
 from tests.conftest import raw_row, signal_row
 
 PAYLOAD = bytes.fromhex("123456789ABCDEF0")
@@ -198,17 +198,104 @@ def test_large_catalogue_is_joined_by_shuffle(make_raw, make_catalogue, monkeypa
         (signal_row(1, "ok"), "twice"),
     ],
 )
-def test_bad_catalogues_are_refused(make_catalogue, row, reason):
-    with pytest.raises(ValueError, match=reason):
-        make_catalogue(signal_row(1, "ok"), row)
+@pytest.mark.parametrize("bound", [1000, 1])
+def test_bad_messages_void_their_own_frames(spark, make_raw, monkeypatch, row, reason, bound):
+    from buslens.schemas import CATALOGUE
+
+    table = spark.createDataFrame([signal_row(1, "ok"), signal_row(2, "fine", 0), row], CATALOGUE)
+    with monkeypatch.context() as patch:
+        patch.setattr(catalogue_module, "CATALOGUE_ROWS", bound)
+        with pytest.raises(ValueError, match=reason):
+            prepare_catalogue(table, strict=True)
+        catalogue = prepare_catalogue(table)
+    assert catalogue.small == (bound > 1)
+    listed = catalogue.problems.collect()
+    assert listed and all(r.message_id == row[0] for r in listed) and any(reason in r.problem for r in listed)
+    frames = make_raw(raw_row(1, 1.0, 1, b"\x05"), raw_row(2, 1.0, 2, b"\x07"), raw_row(3, 1.0, 3, b"\x09"))
+    whole = None if row[0] == 1 else {"ok": (5.0, None)}
+    assert shapes(frames, catalogue) == {1: whole, 2: {"fine": (7.0, None)}, 3: None}
+    assert {r.message_id for r in message_info(catalogue).collect()} == {1, 2}
+
+
+def tree_reference(layout, data):
+    """Decode ``name: (start, length, parent, value)`` by walking the selectors from the top; None voids the frame."""
+    def raw(name):
+        start, length, _, _ = layout[name]
+        return reference_value(data, start, length, "le", False)
+
+    out, waiting = {}, [None]
+    while waiting:
+        parent = waiting.pop()
+        level = [n for n, (_, _, p, _) in layout.items() if p == parent]
+        if parent is not None:
+            value = raw(parent)
+            if value is None:
+                continue
+            level = [n for n in level if layout[n][3] == value]
+            if not level:
+                return None
+        for name in level:
+            if raw(name) is not None:
+                out[name] = (float(raw(name)), None)
+            if any(p == name for _, _, p, _ in layout.values()):
+                waiting.append(name)
+    return out
+
+
+@pytest.mark.parametrize("bound", [1000, 2])
+def test_selector_trees_equal_a_walk(spark, make_catalogue, monkeypatch, bound):
+    rnd = random.Random(11)
+    layouts = {}
+    for message in range(1, 25):
+        names, layout = [], {}
+        for k in range(rnd.randint(1, 9)):
+            parent = rnd.choice([None, None, *names])
+            layout[f"n{k}"] = (rnd.randint(0, 40), rnd.choice([1, 2, 3, 8]), parent, rnd.randint(0, 2) if parent else None)
+            names.append(f"n{k}")
+        layouts[message] = layout
+    rows = [
+        signal_row(m, n, start, length, mux_signal=parent, mux_value=value, position=k)
+        for m, layout in layouts.items() for k, (n, (start, length, parent, value)) in enumerate(layout.items())
+    ]
+    with monkeypatch.context() as patch:
+        patch.setattr(catalogue_module, "CATALOGUE_ROWS", bound)
+        catalogue = make_catalogue(*rows)
+    assert catalogue.traits.nested and catalogue.problems.count() == 0
+    raw = [
+        raw_row(seq, float(seq), rnd.randint(1, 25), bytes(rnd.choice([0, 1, 2, 5, 64, 255]) for _ in range(rnd.randint(0, 8))))
+        for seq in range(1200)
+    ]
+    got = shapes(spark.createDataFrame(raw, RAW_FRAME), catalogue)
+    for _, seq, _, can_id, _, data, *_ in raw:
+        assert got[seq] == (tree_reference(layouts[can_id], data) if can_id in layouts else None)
+
+
+def test_selectors_in_a_circle_are_a_problem(make_raw, make_catalogue):
+    catalogue = make_catalogue(
+        signal_row(1, "S", 0, mux_signal="T", mux_value=0), signal_row(1, "T", 8, mux_signal="S", mux_value=0),
+        signal_row(1, "x", 16), signal_row(2, "y", 0),
+    )
+    assert {(r.signal, r.problem) for r in catalogue.problems.collect()} == {
+        (n, f"1.{n}: selectors select each other") for n in ("S", "T")
+    }
+    frames = make_raw(raw_row(1, 1.0, 1, bytes(8)), raw_row(2, 1.0, 2, b"\x07"))
+    assert shapes(frames, catalogue) == {1: None, 2: {"y": (7.0, None)}}
+
+
+def test_plain_catalogues_carry_no_code_for_trees(make_raw, make_catalogue):
+    one = make_catalogue(signal_row(1, "S"), signal_row(1, "x", 8, mux_signal="S", mux_value=0))
+    assert one.traits.muxed and not one.traits.nested and not one.traits.broken
+    plan = signals_long(make_raw(raw_row(1, 1.0, 1, bytes(8))), one)._jdf.queryExecution().executedPlan().toString()
+    assert "forall" not in plan and "is_broken" not in plan
 
 
-def test_nested_multiplexing_is_refused(make_catalogue):
-    with pytest.raises(ValueError, match="nested|two selectors"):
-        make_catalogue(
-            signal_row(1, "S"), signal_row(1, "T", mux_signal="S", mux_value=0),
-            signal_row(1, "x", mux_signal="T", mux_value=0),
-        )
+def test_many_ids_become_a_range(make_raw, make_catalogue, monkeypatch):
+    monkeypatch.setattr(catalogue_module, "LITERAL_IDS", 2)
+    catalogue = make_catalogue(*[signal_row(m, "x") for m in (3, 5, 9)])
+    frames = make_raw(*[raw_row(m, 1.0, m, b"\x01") for m in range(12)])
+    long = signals_long(frames, catalogue)
+    assert sorted(r.seq for r in long.collect()) == [3, 5, 9]
+    assert "(can_id_dec#" in long._jdf.queryExecution().optimizedPlan().toString() and " <= 9" in long._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_missing_or_unreadable_catalogue_turns_decoding_off(spark, make_raw, tmp_path):
