@@ -29,7 +29,9 @@ CUTS, CUT_ACCURACY, MOST_DEALT = 1_024, 8_192, 4_096
 STEPS_TOGETHER = 10
 # The position in a task that a monotonically increasing id holds in its lower bits.
 ROWS_OF_A_SLICE = (1 << 33) - 1
-PIECE = ["_capture", "_step", "_in_step", "_in_instant", "_copy"]
+# What cuts a heavy piece, in turn: quantiles of time, where one instant is heavy those of seq, then the hash of a copy.
+CUTTERS = {"_time1": "timestamp", "_time2": "timestamp", "_seq1": "seq", "_seq2": "seq", "_copy": None}
+PIECE = ["_capture", "_step", *CUTTERS]
 # Steps of frames without a time and with one that is no number.
 BEFORE, AFTER = -(1 << 63), (1 << 63) - 1
 
@@ -53,23 +55,28 @@ def _numbered(frames: DataFrame, name: str) -> DataFrame:
 def _pieces(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Frames with the keys of their piece, and the number of frames of every piece."""
     capture = F.when(F.col("capture_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("c"), F.col("capture_id")))
-    whole = F.lit(0)
-    pieced = frames.withColumns(
-        {"_capture": capture, "_step": time_step(F.col("timestamp")), "_in_step": whole, "_in_instant": whole, "_copy": whole, "_hash": row_hash(frames)}
-    )
+    pieced = frames.withColumns({"_capture": capture, "_step": time_step(F.col("timestamp")), "_hash": row_hash(frames)})
+    pieced = pieced.withColumns({column: F.lit(0) for column in CUTTERS})
     counts = materialise(_counted(pieced), "steps")
-    # Each pass looks at what the one before left heavy, if there is any.
-    for column, value in (("_in_step", "timestamp"), ("_in_instant", "seq"), ("_copy", None)):
-        heavy = counts.where(F.col("_rows") > HEAVY_ROWS).select(*PIECE, "_rows")
-        if heavy.isEmpty():
-            break
-        pieced, split = _split(pieced, heavy, column, value)
-        counts = materialise(counts.where(F.col("_rows") <= HEAVY_ROWS).unionByName(_counted(split)), "steps")
+    # Each pass looks at what the ones before left heavy, if there is any.
+    for column, value in CUTTERS.items():
+        same = [f"_one_{v}" for v in ("timestamp", "seq")]
+        # Seqs are compared within an instant only, hashes among frames that are alike in both.
+        cut = {"timestamp": "NOT _one_timestamp", "seq": "_one_timestamp AND NOT _one_seq", None: " AND ".join(same)}[value]
+        is_heavy = (F.col("_rows") > HEAVY_ROWS) & F.expr(cut)
+        heavy = counts.where(is_heavy).select(*PIECE, "_rows")
+        if not heavy.isEmpty():
+            pieced, split = _split(pieced, heavy, column, value)
+            counts = materialise(counts.where(~is_heavy).unionByName(_counted(split)), "steps")
     return pieced, counts
 
 
 def _counted(pieced: DataFrame) -> DataFrame:
-    return pieced.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("_rows"))
+    """Frames per piece, and whether they agree in time and in seq."""
+    one = {
+        f"_one_{v}": F.min(v).eqNullSafe(F.max(v)) & (F.count(v) % F.count(F.lit(1)) == 0) for v in ("timestamp", "seq")
+    }
+    return pieced.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("_rows"), *[column.alias(name) for name, column in one.items()])
 
 
 def _split(pieced: DataFrame, heavy: DataFrame, column: str, value: str | None) -> tuple[DataFrame, DataFrame]:

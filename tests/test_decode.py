@@ -186,35 +186,38 @@ def test_large_catalogue_is_joined_by_shuffle(make_raw, make_catalogue, monkeypa
     assert "_salt" in plan
 
 
-@pytest.mark.parametrize(
-    "row, reason",
-    [
-        (signal_row(1, "x", 0, 65), "length"), (signal_row(1, "x", 0, 0), "length"),
-        (signal_row(1, "x", -1, 8), "no start"), (signal_row(1, "x", order="up"), "byte order"),
-        (signal_row(1, "x", value_type="text"), "value type"),
-        (signal_row(1, "x", 0, 16, value_type="float32"), "32 bits"),
-        (signal_row(1, "x", mux_signal="S"), "half"), (signal_row(None, "x"), "no message"),
-        (signal_row(1, "x", mux_signal="S", mux_value=1), "selector is not a signal"),
-        (signal_row(1, "ok"), "twice"),
-    ],
-)
+# One bad row each; the message before it is a good one of the same number.
+BAD_ROWS = [
+    (signal_row(11, "x", 0, 65), "length"), (signal_row(12, "x", 0, 0), "length"),
+    (signal_row(13, "x", -1, 8), "no start"), (signal_row(14, "x", order="up"), "byte order"),
+    (signal_row(15, "x", value_type="text"), "value type"),
+    (signal_row(16, "x", 0, 16, value_type="float32"), "32 bits"),
+    (signal_row(17, "x", mux_signal="S"), "half"), (signal_row(None, "x"), "no message"),
+    (signal_row(18, "x", mux_signal="S", mux_value=1), "selector is not a signal"),
+    (signal_row(19, "ok"), "twice"),
+]
+
+
 @pytest.mark.parametrize("bound", [1000, 1])
-def test_bad_messages_void_their_own_frames(spark, make_raw, monkeypatch, row, reason, bound):
+def test_bad_messages_void_their_own_frames(spark, make_raw, monkeypatch, bound):
     from buslens.schemas import CATALOGUE
 
-    table = spark.createDataFrame([signal_row(1, "ok"), signal_row(2, "fine", 0), row], CATALOGUE)
+    bad = {row[0]: reason for row, reason in BAD_ROWS}
+    rows = [signal_row(m, "ok") for m in bad if m is not None] + [signal_row(2, "fine", 0), *[row for row, _ in BAD_ROWS]]
+    table = spark.createDataFrame(rows, CATALOGUE)
     with monkeypatch.context() as patch:
         patch.setattr(catalogue_module, "CATALOGUE_ROWS", bound)
-        with pytest.raises(ValueError, match=reason):
+        with pytest.raises(ValueError, match="no message ID"):
             prepare_catalogue(table, strict=True)
         catalogue = prepare_catalogue(table)
     assert catalogue.small == (bound > 1)
-    listed = catalogue.problems.collect()
-    assert listed and all(r.message_id == row[0] for r in listed) and any(reason in r.problem for r in listed)
-    frames = make_raw(raw_row(1, 1.0, 1, b"\x05"), raw_row(2, 1.0, 2, b"\x07"), raw_row(3, 1.0, 3, b"\x09"))
-    whole = None if row[0] == 1 else {"ok": (5.0, None)}
-    assert shapes(frames, catalogue) == {1: whole, 2: {"fine": (7.0, None)}, 3: None}
-    assert {r.message_id for r in message_info(catalogue).collect()} == {1, 2}
+    listed: dict = {}
+    for row in catalogue.problems.collect():
+        listed.setdefault(row.message_id, []).append(row.problem)
+    assert listed.keys() == bad.keys() and all(any(reason in p for p in listed[m]) for m, reason in bad.items())
+    frames = make_raw(*[raw_row(m, 1.0, m, b"\x05") for m in (2, 3, *[m for m in bad if m])])
+    assert shapes(frames, catalogue) == {**{m: None for m in (3, *[m for m in bad if m])}, 2: {"fine": (5.0, None)}}
+    assert {r.message_id for r in message_info(catalogue).collect()} == {2, *[m for m in bad if m]}
 
 
 def tree_reference(layout, data):
