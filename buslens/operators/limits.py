@@ -5,9 +5,9 @@ All limits work per ``capture_id`` on event time; order is (timestamp, seq).
 Frames are numbered in pieces that one task each can sort: the time steps of a
 capture. A histogram counts the frames of every step, its running sums say how
 many come before, and put consecutive steps into slices of equal size. So the frames
-move once, come out in the order of arrival over all slices, and are never stored. Steps with too many frames are split at quantiles
-of their times, instants with too many at quantiles of ``seq``, and what is alike in
-both by a hash of the row.
+move once, come out in the order of arrival over all slices, and are never stored.
+Steps with too many frames are split at quantiles of their times, instants with too
+many at quantiles of ``seq``, and what is alike in both by a hash of the row.
 """
 
 from __future__ import annotations

@@ -46,3 +46,30 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: dic
     # A struct is null only when there is no previous row inside the slice.
     previous = F.coalesce("_previous", "_carried")
     return rows.withColumns({n: previous[n] for n in columns}).select(*df.columns, *columns)
+
+
+def with_last(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
+    """Add the last values that are not null up to each row of its key (``{new name: column}``)."""
+    slices = sorted_slices(df, keys, order)
+    inside = Window.partitionBy("_slice", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = slices.groupBy("_slice", *keys).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_tail_{n}") for n, c in columns.items()]
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select("_slice", *keys, *[F.last(f"_tail_{n}", True).over(earlier).alias(f"_carried_{n}") for n in columns])
+    rows = slices.withColumns({f"_own_{n}": F.last(c, True).over(inside) for n, c in columns.items()})
+    rows = lookup_join(rows, materialise(carried, "carried"), ["_slice", *keys], "inner", null_safe=True)
+    return rows.withColumns({n: F.coalesce(f"_own_{n}", f"_carried_{n}") for n in columns}).select(*df.columns, *columns)
+
+
+def with_running_sum(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
+    """Add the sums of columns up to each row of its key (``{new name: column}``); null counts as nothing."""
+    slices = sorted_slices(df, keys, order)
+    inside = Window.partitionBy("_slice", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = slices.groupBy("_slice", *keys).agg(*[F.sum(c).alias(f"_total_{n}") for n, c in columns.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_slice", *keys, *[F.sum(f"_total_{n}").over(earlier).alias(f"_carried_{n}") for n in columns])
+    rows = slices.withColumns({f"_own_{n}": F.sum(c).over(inside) for n, c in columns.items()})
+    rows = lookup_join(rows, materialise(carried, "carried"), ["_slice", *keys], "inner", null_safe=True)
+    sums = {n: F.coalesce(f"_own_{n}", F.lit(0)) + F.coalesce(f"_carried_{n}", F.lit(0)) for n in columns}
+    return rows.withColumns(sums).select(*df.columns, *columns)

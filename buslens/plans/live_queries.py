@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from buslens.operators import quality, rules
+from buslens.operators import quality, rules, signals
 from buslens.operators.decode import signals_long
 from buslens.operators.normalise import normalise
 from buslens.plans.event_frames import event_catalogue, event_frames, pack_events, read_events, stream_events
@@ -12,14 +12,17 @@ from buslens.plans.queries import RULES, query
 from buslens.scale import scratch_path
 from buslens.schemas import CATALOGUE, RULE
 from buslens.sinks import sinks
+from buslens.sinks.files import TextSink
 from buslens.sources.catalogue import prepare_catalogue
+from buslens.sources.compaction import Folding, fold, read_folded
 from buslens.sources.frames import read_capture, stream_raw
 from buslens.sources.store import read_frames, write_store
-from buslens.streaming.capture import run_to_table
+from buslens.streaming.capture import run_to_table, start_capture
 from buslens.streaming.monitor import SPAN_KEYS, live_spans, span_gaps, without_live_copies
 
 # Parameters shared with the SQL side.
-LEAST_SECONDS = 600.0
+LEAST_SECONDS, MOST_AGE = 600.0, 1800.0
+QUARTILES, RANK_ERROR = (0.25, 0.5, 0.75), 0.03
 PARTS_LANDED, COPY_DELAY = 4, "20 days"
 # Message, signal, start, length, signed, selector, its value. Byte 7 is the low byte of the event's number.
 TREE = [
@@ -134,3 +137,98 @@ def query_rules_sustained(spark, sf_dir):
     long = signals_long(event_frames(spark, sf_dir), event_catalogue(spark))
     found = rules.sustained_violations(long, spark.createDataFrame(RULES, RULE), LEAST_SECONDS)
     return found.withColumn("seconds", F.round("seconds", 6))
+
+
+@query("signal_corr_asof")
+def query_signal_corr_asof(spark, sf_dir):
+    long = signals_long(event_frames(spark, sf_dir), event_catalogue(spark), ["Value", "Trim"])
+    found = signals.signal_correlation_as_of(long, "Value", "Trim", MOST_AGE, ["capture_id"])
+    return found.withColumn("correlation", F.round("correlation", 6))
+
+
+@query("signals_asof")
+def query_signals_asof(spark, sf_dir):
+    long = signals_long(event_frames(spark, sf_dir), event_catalogue(spark), ["UserId", "K"])
+    return signals.signals_as_of(long, "UserId", "K")
+
+
+class UnsteadySink(TextSink):
+    """A text sink that fails the first two times it is written to."""
+
+    failures = 2
+
+    def write(self, frames, batch_id=None):
+        if self.failures:
+            self.failures -= 1
+            raise OSError("not reachable")
+        return super().write(frames, batch_id)
+
+
+@query("stream_sink_catches_up")
+def query_stream_sink_catches_up(spark, sf_dir):
+    """One of two sinks fails twice; in the end both have all batches, numbered on as if it had not."""
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "unsteady")
+    raw = pack_events(read_events(spark, sf_dir))
+    part = F.least(F.floor((F.dayofmonth(F.to_date("capture_id")) - 1) / 8), F.lit(PARTS_LANDED - 1))
+    for k in range(PARTS_LANDED):
+        raw.where(part == k).coalesce(1).write.mode("append").parquet(landing)
+    targets = {"txt": UnsteadySink(f"{path}/txt", event_catalogue(spark)), "parquet": sinks.create("parquet", path=f"{path}/parquet")}
+    frames = normalise(stream_raw(spark, landing, maxFilesPerTrigger=1))
+    run = start_capture(frames, targets, checkpoint=f"{path}/state", trigger={"availableNow": True}, fail_on_error=False)
+    run.wait()
+    lines = spark.read.schema("value string, batch_id int, capture_id string").format("text").load(f"{path}/txt")
+    return lines.select("capture_id", F.col("value").alias("line"))
+
+
+@query("store_compacted")
+def query_store_compacted(spark, sf_dir):
+    """Batches folded into the store in three runs, the second of which stops before and after its frames are written."""
+    landing, live, root = (scratch_path(spark, name) for name in ("landing", "live", "compacted"))
+    raw = pack_events(read_events(spark, sf_dir))
+    for k in range(2 * PARTS_LANDED):
+        raw.where(F.col("seq") % (2 * PARTS_LANDED) == k).coalesce(1).write.mode("append").parquet(landing)
+        if k % PARTS_LANDED == PARTS_LANDED - 1:
+            frames = normalise(stream_raw(spark, landing, maxFilesPerTrigger=1))
+            start_capture(frames, {"parquet": sinks.create("parquet", path=live, cluster=False)}, trigger={"availableNow": True}).wait()
+            if k < PARTS_LANDED:
+                fold(spark, live, root, keep_last=1)
+    stopped = Folding(spark, live, root)
+    stopped.note(1, [3, 4])
+    stopped.note(2, [5])
+    stopped.write(2, [5])
+    fold(spark, live, root, keep_last=1)
+    return read_folded(spark, live, root).select("capture_id", "seq", "timestamp", "can_id", "data_hex")
+
+
+@query("signal_shifts")
+def query_signal_shifts(spark, sf_dir):
+    found = signals.signal_shifts(signals_long(event_frames(spark, sf_dir), event_catalogue(spark)))
+    # Signals here have two decimals, so rounded sums are free of the noise of their order.
+    after = F.col("samples") - F.col("samples_before")
+    return found.withColumns({
+        "mean_before": F.round(F.col("mean_before") * F.col("samples_before"), 3) / F.col("samples_before"),
+        "mean_after": F.round(F.col("mean_after") * after, 3) / after,
+    })
+
+
+@query("sketch_rollup")
+def query_sketch_rollup(spark, sf_dir):
+    """Whether quantiles of days, merged from sketches of hours, lie within their rank error."""
+    long = signals_long(event_frames(spark, sf_dir), event_catalogue(spark), ["Value", "K", "UserId"])
+    hours = sketch_buckets_stored(spark, long)
+    days = signals.sketch_rollup(hours, "1 day", QUARTILES).select(
+        "capture_id", "signal", F.col("samples").alias("total"), F.posexplode("quantiles").alias("quartile", "at")
+    )
+    ranks = long.select("capture_id", "signal", "value").join(F.broadcast(days), ["capture_id", "signal"]).groupBy(
+        "capture_id", "signal", "total", "quartile"
+    ).agg(F.count_if(F.col("value") < F.col("at")).alias("below"), F.count_if(F.col("value") <= F.col("at")).alias("until"))
+    wanted = F.element_at(F.array(*[F.lit(q) for q in QUARTILES]), F.col("quartile") + 1) * F.col("total")
+    slack = F.col("total") * RANK_ERROR + 1
+    within = (F.col("below") <= wanted + slack) & (F.col("until") >= wanted - slack)
+    return ranks.select("capture_id", "signal", F.col("total").alias("samples"), "quartile", within.alias("within"))
+
+
+def sketch_buckets_stored(spark, long):
+    path = scratch_path(spark, "sketches")
+    signals.sketch_buckets(long, "1 hour").write.parquet(path)
+    return spark.read.parquet(path)

@@ -6,7 +6,7 @@ packed from, so packing and decoding are checked independently.
 
 from __future__ import annotations
 
-from buslens.plans.live_queries import LEAST_SECONDS
+from buslens.plans.live_queries import LEAST_SECONDS, MOST_AGE
 from buslens.plans.more_queries import ODD_LIMIT
 from buslens.plans.queries import DURATION, FRAME_LIMIT, RULES
 
@@ -371,6 +371,35 @@ def oracle_sql() -> dict[str, str]:
                    max("timestamp") AS last_violation, round(max("timestamp") - min("timestamp"), 6) AS seconds
             FROM islands WHERE broken GROUP BY capture_id, rule, signal, island
             HAVING max("timestamp") - min("timestamp") >= {LEAST_SECONDS}""",
+        "signal_corr_asof": f"""{signals}
+            SELECT capture_id, 'Value' AS first, 'Trim' AS second, count(*) AS pairs, round(corr(a.value, b.value), 6) AS correlation
+            FROM (SELECT * FROM signals WHERE signal = 'Value') a ASOF JOIN (SELECT * FROM signals WHERE signal = 'Trim') b
+              USING (capture_id, "timestamp")
+            WHERE a."timestamp" - b."timestamp" <= {MOST_AGE} GROUP BY capture_id""",
+        "signals_asof": f"""{signals}
+            SELECT capture_id, a."timestamp", a.seq, a.value AS x, b.value AS y, b."timestamp" AS y_timestamp
+            FROM (SELECT * FROM signals WHERE signal = 'UserId') a ASOF JOIN (SELECT * FROM signals WHERE signal = 'K') b
+              USING (capture_id, "timestamp")""",
+        "stream_sink_catches_up": f"""{lines}
+            SELECT capture_id, {line} FROM (SELECT *, {NUMBER} AS n FROM lines)""",
+        "store_compacted": f"""{frames}
+            SELECT capture_id, seq, "timestamp", can_id, data_hex FROM frames""",
+        "signal_shifts": f"""{signals}, sums AS (
+              SELECT capture_id, signal, seq, "timestamp", count(*) OVER k AS samples, sum(value) OVER k AS total,
+                     row_number() OVER w AS before, sum(value) OVER w AS upto
+              FROM signals WINDOW k AS (PARTITION BY capture_id, signal),
+                w AS (PARTITION BY capture_id, signal ORDER BY "timestamp", seq ROWS UNBOUNDED PRECEDING)),
+            best AS (
+              SELECT * FROM sums WHERE before < samples
+              QUALIFY row_number() OVER (PARTITION BY capture_id, signal
+                ORDER BY round(abs(upto - before * total / samples), 6) DESC, before) = 1)
+            SELECT capture_id, signal, samples, before AS samples_before, "timestamp" AS last_before, seq AS seq_before,
+                   round(upto, 3) / before AS mean_before, round(total - upto, 3) / (samples - before) AS mean_after
+            FROM best""",
+        "sketch_rollup": f"""{signals}
+            SELECT capture_id, signal, count(*) AS samples, quartile, true AS within
+            FROM signals, (VALUES (0), (1), (2)) AS q(quartile) WHERE signal IN ('Value', 'K', 'UserId')
+            GROUP BY capture_id, signal, quartile""",
         "quality_flags": f"""{frames}
             SELECT capture_id, can_id_dec, count(*) AS frames, count(*) FILTER (seq % 11 = 0) AS error_frames,
                    count(*) FILTER (seq % 13 = 0) AS remote_frames, count(*) FILTER (seq % 13 = 0) AS invalid_frames

@@ -79,6 +79,12 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make an empty folder, wherever it is stored."""
+    files, place = _at(spark, path)
+    files.mkdirs(place)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder; none if there is no such folder."""
     files, place = _at(spark, path)

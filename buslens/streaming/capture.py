@@ -13,18 +13,19 @@ from buslens.operators.stats import capture_stats
 from buslens.scale import folders, scratch_path, scratch_scope
 from buslens.sinks.fanout import SinkErrors, fan_out
 from buslens.sinks.registry import FrameSink
+from buslens.streaming.ledger import SinkLedger
 from buslens.streaming.progress import CaptureProgress
 
 
 class CaptureRun:
     """A running capture: its query, running totals and sink errors."""
 
-    def __init__(self, targets: dict[str, FrameSink], fail_on_error: bool, limits: dict, progress: CaptureProgress):
+    def __init__(self, targets: dict[str, FrameSink], fail_on_error: bool, limits: dict, progress: CaptureProgress, ledger: SinkLedger):
         self.query: StreamingQuery | None = None
         self.frames = 0
         self.errors: dict[str, Exception] = {}
         self._targets, self._fail, self._started = targets, fail_on_error, time.time()
-        self._limits, self._progress = limits, progress
+        self._limits, self._progress, self._ledger = limits, progress, ledger
 
     def write_batch(self, frames: DataFrame, batch_id: int) -> None:
         bounded = self._limits["duration"] or self._limits["count"]
@@ -40,15 +41,39 @@ class CaptureRun:
                 arrived.unpersist()
 
     def _write(self, kept: DataFrame, batch_id: int) -> None:
+        targets = self._targets
+        if not self._fail:
+            # A sink that is behind gets this batch after those it missed.
+            behind = self.catch_up(before=batch_id)
+            targets = {name: sink for name, sink in targets.items() if name not in behind}
         try:
-            counts = fan_out(kept, self._targets, batch_id, cache=True)
+            counts = fan_out(kept, targets, batch_id, cache=True)
         except SinkErrors as failure:
             self.errors.update(failure.errors)
             if self._fail:
                 raise
             counts = failure.counts
+        for name in self._targets if not self._fail else []:
+            if name not in counts:
+                self._ledger.note(kept, name, batch_id)
+            elif batch_id in self._ledger.missed(name):
+                self._ledger.settle(name, batch_id, list(self._targets))
         self.frames += max(counts.values(), default=0)
 
+    def catch_up(self, before: int | None = None) -> list[str]:
+        """Bring the sinks what they missed, up to a batch; returns those that fail again."""
+        behind = []
+        for name, sink in self._targets.items():
+            error = self._ledger.catch_up(name, sink, list(self._targets), before)
+            if error is not None:
+                self.errors[name] = error
+                behind.append(name)
+        return behind
+
+    def missed(self) -> dict[str, list[int]]:
+        """Batches that each sink still has to get."""
+        return {name: self._ledger.missed(name) for name in self._targets}
+
     def stats(self) -> dict[str, object]:
         """Frames written by this run, seconds since its start and the rate."""
         elapsed = time.time() - self._started
@@ -65,7 +90,10 @@ class CaptureRun:
             self.query.stop()
 
     def wait(self, seconds: float | None = None) -> None:
-        self.query.awaitTermination(seconds)
+        """Wait for the end of the run; sinks that are behind are then tried once more."""
+        ended = self.query.awaitTermination(seconds)
+        if not self._fail and (ended or seconds is None):
+            self.catch_up()
 
 
 def start_capture(
@@ -85,8 +113,8 @@ def start_capture(
     for the others. ``trigger`` defaults to every 10 seconds;
     ``{"availableNow": True}`` makes a bounded run over what has landed. With
     ``fail_on_error`` a batch whose sink failed stops the run and is replayed
-    on resume, otherwise the error is recorded and the run goes on without
-    that batch in that sink.
+    on resume, otherwise the error is recorded, the run goes on, and the sink
+    gets the batch later: before its next one, or when the capture starts again.
 
     Without ``checkpoint`` the run keeps its state below the first target's
     path, so that starting it again goes on where it stopped. A new checkpoint
@@ -104,7 +132,10 @@ def start_capture(
     limits = {"ids": ids, "duration": duration, "count": count}
     # Beside the checkpoint, so that a resumed run finds both.
     progress = CaptureProgress(f"{checkpoint.rstrip('/')}-progress")
-    run = CaptureRun(targets, fail_on_error, limits, progress)
+    ledger = SinkLedger(spark, f"{checkpoint.rstrip('/')}-ledger")
+    run = CaptureRun(targets, fail_on_error, limits, progress, ledger)
+    if not fail_on_error:
+        run.catch_up()
     if not duration and not count:
         # Without limits the ID filter reaches the scan of the source.
         frames = by_ids(frames, ids)
