@@ -41,7 +41,8 @@ from buslens.llm.tasks import PieceTable, bounds, chunks, list_column, map_batch
 
 MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "  # what the library prints for the unknown id
-REMEMBERED_PAIRS = 200_000
+# Pairs of pieces and distinct segments remembered by a worker.
+REMEMBERED_PAIRS, REMEMBERED_SEGMENTS = 400_000, 800_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -84,8 +85,9 @@ class PieceModel:
         self.tied_automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.segment = _segments(self.id_of)
-        self.table = PieceTable(lambda new: [np.array(self.encode_segment(s), np.uint32) for s in new])
+        self.table = PieceTable(lambda new: [np.array(self.encode_segment(s), np.uint32) for s in new], REMEMBERED_SEGMENTS)
         self.decoded = pa.array(self.bytes_of, pa.large_binary())
+        self.digits = pa.array([b"%d," % k for k in range(len(self.bytes_of))], pa.large_binary())
 
     def _check(self, model) -> None:
         """Refuse models with another normalisation than marks for spaces."""
@@ -191,12 +193,14 @@ class PieceModel:
         ids, lengths = self.table.gather(codes)
         return ids, np.diff(bounds(lengths)[bounds(counts)])
 
+    def printed(self, ids: np.ndarray, lengths: np.ndarray) -> list[memoryview]:
+        """Runs of ids as decimal text, joined by commas."""
+        data, cuts = _joined(self.digits, ids, lengths)
+        return [data[begin : max(begin, end - 1)] for begin, end in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """Texts of runs of ids as UTF-8: pieces joined, without the mark in front."""
-        joined = self.decoded.take(pa.array(ids))
-        data = memoryview(joined.buffers()[2] or b"")
-        offsets = np.frombuffer(joined.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
-        cuts = offsets[bounds(lengths)]
+        data, cuts = _joined(self.decoded, ids, lengths)
         mark = (ids == self.id_of.get(MARK, -1)) if len(ids) else np.zeros(0, bool)
         first = bounds(lengths)[:-1]
         out = []
@@ -208,6 +212,14 @@ class PieceModel:
         return out
 
 
+def _joined(cells: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The cells of all ids one after another, and where each run of ids begins and ends."""
+    if not len(ids):
+        return memoryview(b""), np.zeros(len(lengths) + 1, np.int64)
+    joined = cells.take(pa.array(ids))
+    return memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int64, len(ids) + 1)[bounds(lengths)]
+
+
 def _valid(text: bytes) -> bool:
     try:
         text.decode()
@@ -275,16 +287,11 @@ def round_trip(docs: DataFrame, model_path: str, id_column: str = "doc_id", text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
-        decimal = [str(k) for k in range(len(model.bytes_of))]
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids, lengths = model.encode(texts_of(part, "text"))
                 texts = model.decode(ids, lengths)
-                ends, found = bounds(lengths), ids.tolist()
-                digests = [
-                    hashlib.sha256(",".join([decimal[i] for i in found[begin:end]]).encode()).hexdigest()
-                    for begin, end in zip(ends[:-1], ends[1:], strict=True)
-                ]
+                digests = [hashlib.sha256(t).hexdigest() for t in model.printed(ids, lengths)]
                 decoded = [hashlib.sha256(t).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(lengths), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
