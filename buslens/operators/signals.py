@@ -103,10 +103,11 @@ def signals_as_of(signals: DataFrame, first: str, second: str, max_age: float |
 def signal_correlation_as_of(
     signals: DataFrame, first: str, second: str, max_age: float | None = None, by: list[str] | None = None
 ) -> DataFrame:
-    """Pearson correlation of ``first`` with the value ``second`` had at each of its samples."""
+    """Pearson correlation of ``first`` with the value ``second`` had at each of its samples; null if either is constant."""
     pairs = signals_as_of(signals, first, second, max_age)
+    correlation = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
     return pairs.groupBy(*(by or [])).agg(
-        F.lit(first).alias("first"), F.lit(second).alias("second"), F.count(F.lit(1)).alias("pairs"), F.corr("x", "y").alias("correlation")
+        F.lit(first).alias("first"), F.lit(second).alias("second"), F.count(F.lit(1)).alias("pairs"), correlation.alias("correlation")
     )
 
 

@@ -372,7 +372,8 @@ def oracle_sql() -> dict[str, str]:
             FROM islands WHERE broken GROUP BY capture_id, rule, signal, island
             HAVING max("timestamp") - min("timestamp") >= {LEAST_SECONDS}""",
         "signal_corr_asof": f"""{signals}
-            SELECT capture_id, 'Value' AS first, 'Trim' AS second, count(*) AS pairs, round(corr(a.value, b.value), 6) AS correlation
+            SELECT capture_id, 'Value' AS first, 'Trim' AS second, count(*) AS pairs,
+                   round(covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0), 6) AS correlation
             FROM (SELECT * FROM signals WHERE signal = 'Value') a ASOF JOIN (SELECT * FROM signals WHERE signal = 'Trim') b
               USING (capture_id, "timestamp")
             WHERE a."timestamp" - b."timestamp" <= {MOST_AGE} GROUP BY capture_id""",

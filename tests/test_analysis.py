@@ -97,7 +97,7 @@ def test_reasons(make_raw):
     assert {r.seq: r.reasons for r in bad.collect()} == {
         2: ["length differs from payload"], 3: ["no timestamp"],
         4: ["negative timestamp", "identifier needs extended frame"], 5: ["identifier out of range"],
-        6: ["payload too long"], 7: ["remote frame with data"], 9: ["no timestamp", "no identifier", "no payload"],
+        6: ["no length of a frame"], 7: ["remote frame with data"], 9: ["no timestamp", "no identifier", "no payload"],
     }
     for row in quality.with_reasons(frames).collect():
         assert (row.reasons == []) == (row.seq in (1, 8))

@@ -89,7 +89,7 @@ def test_stored_nulls_survive_defaults(make_raw, spark, tmp_path):
     path = str(tmp_path / "frames")
     old = make_raw(raw_row(1, 1.0, 1, b"")).drop("is_error")
     old.write.partitionBy("capture_id").parquet(path)
-    write_frames(make_raw(raw_row(2, 2.0, 1, b"")).withColumn("is_error", F.lit(None).cast("boolean")), path)
+    write_frames(make_raw(raw_row(2, 2.0, 1, b"")).withColumn("is_error", F.lit(None).cast("boolean")), path, mode="append")
     found = {r.seq: r.is_error for r in read_frames(spark, path, defaults={"is_error": True}).collect()}
     assert found == {1: True, 2: None}
 

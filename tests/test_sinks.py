@@ -265,5 +265,5 @@ def test_custom_data_source(make_raw, registry, tmp_path):
 def test_parquet_sink_clusters(spark, capture, tmp_path):
     frames, _ = capture
     assert sinks.create("parquet", path=str(tmp_path / "p")).write(frames) == 5
-    write_frames(frames, str(tmp_path / "p"), cluster=False)
+    write_frames(frames, str(tmp_path / "p"), mode="append", cluster=False)
     assert read_capture(spark, str(tmp_path / "p"), "parquet").count() == 10
