@@ -58,6 +58,8 @@ def _pieces(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     pieced = frames.withColumns({"_capture": capture, "_step": time_step(F.col("timestamp")), "_hash": row_hash(frames)})
     pieced = pieced.withColumns({column: F.lit(0) for column in CUTTERS})
     counts = materialise(_counted(pieced), "steps")
+    if (counts.agg(F.max("_rows")).first()[0] or 0) <= HEAVY_ROWS:
+        return pieced, counts
     # Each pass looks at what the ones before left heavy, if there is any.
     for column, value in CUTTERS.items():
         same = [f"_one_{v}" for v in ("timestamp", "seq")]
