@@ -2,16 +2,21 @@
 
 A page is read as a sequence of words and tags. Words score by the elements
 around them, tags score negative; one linear scan finds the contiguous stretch
-with the highest sum. Its blocks are the text, without words whose own score is
-negative (an advert between two paragraphs, say).
+with the highest sum. Its blocks are the text, without words whose score is
+negative by the classes and ids around them (an advert between two paragraphs, say)
+or as items of a list of links; element names alone cut nothing out.
 
 The weights come from labelled pages: pages that mark their content with one
 ``article`` or ``main`` element. Over a sample of ``LABELLED`` such pages (by the
 smallest hash of the page id) the log-odds of standing inside are counted for
 every element name and every word of a class or id, for words and for tags. The
 words of all pages are scored by them; a mark is one more name, whose weight is
-not bounded. Names that always mean menus, notices, adverts, forms or comments
-are fixed; an ``article`` in them marks nothing.
+not bounded. Boxes (``div``, ``section``) weigh nothing, and list elements only
+where the item is links alone: a list with text of its own is not a menu. Names
+that always mean menus, notices, adverts, forms or comments are fixed; an
+``article`` in them marks nothing. They are no veto on an element that holds most
+of the marked words and is no list of links (a section named ``search`` about
+searching), unless it is named after the comments of readers.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by one line end. ``br`` is white space; elements that start a
@@ -64,6 +69,14 @@ BOXES = set(
     "item items left link links list main mini outer page panel post posts primary right row secondary section site slot stories story text "
     "title top unit wrap wrapper".split()
 )
+# Names that hold a word of both are the comments of readers, whatever else they hold; so are the names of the third.
+READERS = {"user", "users", "reader", "readers", "visitor", "visitors", "customer", "customers", "guest", "guests", "member", "members", "community"}
+VOICES = {"comment", "comments", "feedback", "reply", "replies", "response", "responses", "reaction", "reactions", "opinion", "opinions", "discussion"}
+COMMENTS = {".comment", ".comments", ".disqus", ".replies", ".respond"}
+# Elements that say nothing of their content:
+PLAIN_BOXES = {"div", "section", "span"}
+LISTS = {"ul", "ol", "li"}
+LINK_WORDS = 10  # a list of links has fewer words a link
 # Elements that are the page or its content, whatever class they have.
 WHOLE = MAIN | {"html", "body"}
 HEADER = "header"  # furniture, unless it stands inside the marked content
@@ -92,11 +105,12 @@ class Piece:
     inside: bool
     furniture: bool
     block: int
+    link: bool = False
 
 
 def _names(tag: str, attributes: str) -> tuple[set[str], bool, bool]:
     """Names of an element, whether they make it furniture, and whether only its class or id does."""
-    names, furniture, called = {tag}, tag in FURNITURE_TAGS, False
+    names, furniture, called = {tag} - PLAIN_BOXES, tag in FURNITURE_TAGS, False
     if attributes:
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), next((v for v in values if v), "")
@@ -110,7 +124,10 @@ def _names(tag: str, attributes: str) -> tuple[set[str], bool, bool]:
                 for name in value.split():
                     words = {w.lower() for w in NAME_WORD.findall(name)}
                     bad = {w for w in words if FURNITURE_WORDS.fullmatch(w)}
-                    if not bad or tag not in WHOLE and words <= bad | BOXES:
+                    if words & READERS and words & VOICES and tag not in WHOLE:
+                        names |= {f".{w}" for w in words} | {".comments"}
+                        called = True
+                    elif not bad or tag not in WHOLE and words <= bad | BOXES:
                         names |= {f".{w}" for w in words}
                         called |= bool(bad)
                     else:
@@ -122,23 +139,55 @@ def _names(tag: str, attributes: str) -> tuple[set[str], bool, bool]:
 
 def pieces(html: str) -> list[Piece]:
     """The words and tags of a page in order."""
-    found, marks = _read(html, frozenset())
+    found, marks, named = _read(html, frozenset())
     wrappers: set[int] = set()
-    if marks:  # content within elements that are furniture by their class or id
-        ahead = [0]
+    if marks or named:  # content within elements that are furniture by their class or id
+        ahead, marked = [0], 0
         for p in found:
-            ahead.append(ahead[-1] + (0 if p.text is None else len(p.text.split())))
+            words = 0 if p.text is None else len(p.text.split())
+            ahead.append(ahead[-1] + words)
+            marked += words if p.inside else 0
+        for place, begin, end in named:
+            words, tags = ahead[end] - ahead[begin], sum(p.tag == "a" for p in found[begin:end])
+            if 2 * words > marked and 2 * words >= LINK_WORDS * tags:  # a link has two tags
+                wrappers.add(place)
         for tag, begin, end, around in marks:
             if tag == "main" or 2 * (ahead[end] - ahead[begin]) > ahead[-1]:
                 wrappers.update(around)
     return _read(html, frozenset(wrappers))[0] if wrappers else found
 
 
-def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[str, int, int, list[int]]]]:
-    """The pieces of a page, and each mark that stands in furniture by class or id alone.
+def _tell_lists(out: list[Piece], tags: list[tuple[int, bool]]) -> None:
+    """Take the list names off words and tags of list items that have text beside links.
+
+    ``tags`` are the places of list tags and whether they are end tags. A start tag
+    goes with the words behind it, an end tag with those before it.
+    """
+    places = [k for k, _ in tags] + [len(out)]
+    plain: list[bool | None] = []
+    for begin, end in zip(places[:-1], places[1:], strict=True):
+        words = [p for p in out[begin + 1 : end] if p.text is not None and p.text.strip()]
+        plain.append(any(not p.link for p in words) if words else None)
+        if plain[-1]:
+            for p in words:
+                p.names -= LISTS
+    before, behind = False, False
+    for (k, is_end), own in zip(tags, [None, *plain], strict=False):
+        before = before if own is None else own
+        if is_end and before:
+            out[k].tag += " of text"
+    for (k, is_end), own in zip(reversed(tags), reversed(plain), strict=True):
+        behind = behind if own is None else own
+        if not is_end and behind:
+            out[k].tag += " of text"
+
+
+def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[str, int, int, list[int]]], list[tuple[int, int, int]]]:
+    """The pieces of a page, marks in furniture, and such furniture in marks, by class or id alone.
 
     A mark is its element, its first piece, the one behind its last, and where that
-    furniture begins; furniture that begins at one of ``wrappers`` is none.
+    furniture begins; furniture in a mark is where it begins, its first piece and the
+    one behind its last. Furniture that begins at one of ``wrappers`` is none.
     """
     out: list[Piece] = []
     opened: list[tuple[str, frozenset[str], bool, bool]] = []  # tag, names, inside, furniture
@@ -146,13 +195,17 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[
     called: list[tuple[int, int]] = []  # depth and place of open elements that are furniture by class or id alone
     open_marks: list[tuple[int, str, int, list[int]]] = []  # depth, element, first piece, furniture around it
     marks: list[tuple[str, int, int, list[int]]] = []
+    open_named: list[tuple[int, int, int]] = []  # depth, place and first piece
+    named: list[tuple[int, int, int]] = []
+    lists: list[tuple[int, bool]] = []
+    link = False
     block, at, hidden = 0, 0, ""
     within: list[str] = []  # open elements in the hidden one
 
     def text(raw: str) -> None:
         if raw:
             _, names, inside, furniture = opened[-1] if opened else nothing
-            out.append(Piece(unescape(raw), names, "", inside, furniture, block))
+            out.append(Piece(unescape(raw), names, "", inside, furniture, block, link))
 
     def closed(depth: int) -> None:
         del opened[depth:]
@@ -161,6 +214,9 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[
         while open_marks and open_marks[-1][0] >= depth:
             _, tag, begin, around = open_marks.pop()
             marks.append((tag, begin, len(out), around))
+        while open_named and open_named[-1][0] >= depth:
+            _, place, begin = open_named.pop()
+            named.append((place, begin, len(out)))
 
     for match in TOKEN.finditer(html):
         if hidden:
@@ -195,6 +251,9 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[
             continue
         if tag in BLOCKS:
             block += 1
+            link = False
+        elif tag == "a":
+            link = not match[2]
         if match[2]:
             for k in range(len(opened) - 1, -1, -1):
                 if opened[k][0] == tag:
@@ -222,6 +281,8 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[
                     own, bad = {n for n in own if not FURNITURE_WORDS.fullmatch(n[1:])}, False
                 elif by_name:
                     called.append((len(opened), match.start()))
+                    if inside and not own & COMMENTS:
+                        open_named.append((len(opened), match.start(), len(out)))
                 if tag in MAIN and called:
                     open_marks.append((len(opened), tag, len(out), [place for _, place in called]))
                 if not inside:
@@ -230,11 +291,14 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], list[tuple[
         if tag == "br":
             text(" ")
         _, names, inside, furniture = opened[-1] if opened else nothing
+        if tag in LISTS:
+            lists.append((len(out), bool(match[2])))
         out.append(Piece(None, names, tag, inside, furniture, block))
     if not hidden:
         text(html[at:])
     closed(0)
-    return out, marks
+    _tell_lists(out, lists)
+    return out, marks, named
 
 
 def _counts(html: str) -> Counter:
@@ -245,7 +309,8 @@ def _counts(html: str) -> Counter:
         return found
     for p in read:
         if p.text is None:
-            found["<" + p.tag, p.inside] += 1
+            if p.tag not in PLAIN_BOXES:
+                found["<" + p.tag, p.inside] += 1
         else:
             n = len(p.text.split())
             for name in p.names if n else ():
@@ -289,7 +354,7 @@ def main_text(html: str, weights: dict[str, float]) -> str:
     best = total = 0.0
     start, span = 0, (0, 0)
     own: dict[frozenset[str], float] = {}
-    scores = []
+    cut = []
     for k, p in enumerate(found):
         if p.text is None:
             score = 0.0 if p.furniture else weights.get("<" + p.tag, LEAST_TAG)
@@ -300,7 +365,7 @@ def main_text(html: str, weights: dict[str, float]) -> str:
             if word is None:
                 word = own[p.names] = sum(weights.get(n, 0.0) for n in sorted(p.names)) + PLAIN_WORD
             score = word * len(p.text.split())
-        scores.append(score)
+        cut.append(p.furniture or score <= 0 and (bool(p.names & LISTS) or sum(weights.get(n, 0.0) for n in p.names if n[0] == ".") < 0))
         if total <= 0:
             total, start = 0.0, k
         total += score
@@ -308,13 +373,13 @@ def main_text(html: str, weights: dict[str, float]) -> str:
             best, span = total, (start, k + 1)
     lines: list[str] = []
     block, text = -1, []
-    for p, score in zip(found[slice(*span)], scores[slice(*span)], strict=True):
+    for p, gone in zip(found[slice(*span)], cut[slice(*span)], strict=True):
         if p.text is None:
             continue
         if p.block != block:
             lines.append("".join(text))
             block, text = p.block, []
-        if score > 0 or not p.text.strip() and not p.furniture:
+        if not gone or not p.text.strip() and not p.furniture:
             text.append(p.text)
     lines.append("".join(text))
     return "\n".join(line for line in (" ".join(x.split()) for x in lines) if line)

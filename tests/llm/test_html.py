@@ -117,3 +117,43 @@ def test_inline_furniture_goes(inline):
 ])
 def test_unclosed_inline_furniture_ends_with_its_block(html):
     assert main_text(html, {}) == "One\nTwo."
+
+
+REAL = "<h2>Search algorithms</h2><p>A binary search halves the range.</p><p>It takes few steps.</p>"
+REAL_TEXT = "Search algorithms\nA binary search halves the range.\nIt takes few steps."
+
+
+@pytest.mark.parametrize("html, text", [
+    (f'<article><section id="search">{REAL}</section></article>', REAL_TEXT),
+    (f'<article><div class="social">{REAL}</div><p>end</p></article>', REAL_TEXT + "\nend"),
+    (f'<article><div class="social"><div id="related">{REAL}</div></div><p>end</p></article>', REAL_TEXT + "\nend"),
+    (f'<article><section id="search">{REAL}<div class="related">See too</div></section></article>', REAL_TEXT),
+    (f'<article>{REAL}<div class="related"><p>Three other words.</p></div></article>', REAL_TEXT),
+    ('<article><p>Short.</p><div class="related"><a href=x>One long title</a> <a href=y>another title</a></div></article>', "Short."),
+    (f'<article><p>Short.</p><section id="comments">{REAL}</section></article>', "Short."),
+    (f'<article>{REAL}<div id="user-comments"><p>Nice post.</p></div></article>', REAL_TEXT),
+    (f'<article><p>Short.</p><div class="reader_feedback">{REAL}</div></article>', "Short."),
+    (f'<article>{REAL}<div class="CommunityDiscussion"><p>No.</p></div></article>', REAL_TEXT),
+])
+@pytest.mark.parametrize("learned", [False, True])
+def test_names_of_furniture_are_no_veto_on_content(pages, html, text, learned):
+    assert main_text(f"<body>{html}<footer>foot</footer></body>", learn_weights(pages) if learned else {}) == text
+
+
+ITEMS = [f"The item number {k} says a little." for k in range(6)]
+MENU = "<ul>" + "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize("body, text", [
+    ("<div><h1>Head of it</h1><p>Some words come first here.</p><ul>" + "".join(f"<li>{i}" for i in ITEMS) + "</ul></div>", ["Head of it", "Some words come first here.", *ITEMS]),
+    ("<div><p>Some words come first here.</p><ol>" + "".join(f"<li>{i} <a href=x>See it</a></li>" for i in ITEMS) + "</ol><p>And last.</p></div>",
+     ["Some words come first here.", *[i + " See it" for i in ITEMS], "And last."]),
+    ("<div><p>Words before.</p><table><tr><td>One cell</td><td>Two cells</td></tr></table><p>Words behind it.</p></div>", ["Words before.", "One cell", "Two cells", "Words behind it."]),
+    ("<div><p>Words before.</p><blockquote>Quoted by them.</blockquote><pre>x = 1</pre><p>Words behind it.</p></div>", ["Words before.", "Quoted by them.", "x = 1", "Words behind it."]),
+    ("<section><div>" + " ".join(ITEMS) + "</div><div>" + " ".join(ITEMS) + "</div></section>", [" ".join(ITEMS)] * 2),
+])
+def test_unmarked_pages_of_other_templates(pages, body, text):
+    weights = learn_weights(pages)
+    for before, behind in (("", ""), (MENU, MENU), ("<nav>" + MENU + "</nav>", "<footer>foot</footer>")):
+        assert main_text(f"<body>{before}{body}{behind}</body>", weights).split("\n") == text
+    assert main_text(f"<body><article>{body}</article>{MENU}</body>", weights).split("\n") == text
