@@ -1,15 +1,23 @@
-"""Near-duplicate join on word shingles: MinHash banding with exact verification.
+"""Near-duplicate join on word shingles: a MinHash LSH forest with exact verification.
 
 A document is the set of its runs of five words. Documents with the same set are
-one class (copies are never paired). Each class gets a label per tree: a hash of
-the tree and as many MinHash values as let pairs at the threshold meet with the
-target recall; where one value is too many for that, there are more trees. Two
-classes are candidates when they share a label. This is the level to which an LSH
-forest would shorten its prefixes for this threshold: pairs with longer common
-prefixes share the label too. The level is computed from threshold and recall, not
-measured; there are no sorted tries. All candidates are verified exactly:
-
-1. classes that share a label are laid out by the smallest class they meet, in
+one class (copies are never paired). Each class has a key per tree: the number of
+the tree and eight MinHash values, so that sorted keys are the tries of the forest
+and a prefix of a key is a node. Two classes are candidates when they share a node
+at the level to which the prefixes are shortened:
+
+* the longest prefixes are matched first, one pair of classes per node, and a
+  bounded sample of these pairs is verified. A link at similarity ``s`` is met at
+  ``d`` values with probability ``1 - (1 - s^d)^trees``; weighted by the inverse of
+  the probability at which the sample met them, the verified links tell which share
+  of all links each level meets;
+* prefixes are shortened until that share reaches ``LINK_RECALL`` and a pair exactly
+  at the threshold, of which the sample may have none, the target recall. Where one
+  value is too many for that, there are more trees.
+
+Classes meet under the nodes of that level, and all candidates are verified exactly:
+
+1. classes that share a node are laid out by the smallest class they meet, in
    the order of their labels, into blocks of bounded size, so that near copies stand together;
 2. every block is one unit of work, and so are the classes of two blocks that meet
    under a label: pairs that share one are compared by their whole sets. A unit
@@ -45,18 +53,35 @@ from buslens.scale import lookup_join, materialise, scratch_scope
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, LONGEST_PREFIX, TARGET_RECALL = 16, 8, 0.999
+# Recall over the links there are, as measured on a sample of verified pairs from about so many keys.
+LINK_RECALL, SAMPLE_PAIRS, SAMPLE_KEYS = 0.9999, 2_000, 4_000_000
+KEY_BYTES = 2 + 2 * LONGEST_PREFIX
 # Bounds of a block: classes and shingles (one class alone may have more).
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 160_000
 # Classes whose texts are fetched by a broadcast of their keys; beyond, by a shuffle.
 FETCH_ROWS = 200_000
-SIGNED = "row_key binary, doc_id long, class binary, labels binary, size long"
+SIGNED = "row_key binary, doc_id long, class binary, keys binary, size long"
 UNIT = "class binary, links long, other binary"
 
 
-def forest_depth(similarity: float, trees: int, recall: float, longest: int) -> int:
-    """The longest prefix at which a pair of this similarity meets with the target recall."""
+def meeting(similarity: float, depth: int, trees: int, share: float = 1.0) -> float:
+    """The probability that a pair meets under a prefix of ``depth`` values, of which a ``share`` is looked at."""
+    return 1 - (1 - share * similarity**depth) ** trees
+
+
+def measured_recall(found: list[float], depth: int, trees: int, longest: int = LONGEST_PREFIX, share: float = 1.0) -> float:
+    """The share of all links that meet at ``depth``, from the similarities of links found at the longest prefixes; 1 if none was."""
+    weights = [1 / meeting(s, longest, trees, share) for s in found]
+    met = sum(w * meeting(s, depth, trees) for s, w in zip(found, weights, strict=True))
+    return met / sum(weights) if found else 1.0
+
+
+def forest_depth(
+    similarity: float, trees: int, recall: float, longest: int, found: list[float] | None = None, link_recall: float = LINK_RECALL, share: float = 1.0
+) -> int:
+    """The longest prefix at which pairs of this similarity, and the links ``found``, meet with their target recalls; 1 at least."""
     depth = longest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+    while depth > 1 and (meeting(similarity, depth, trees) < recall or measured_recall(found or [], depth, trees, longest, share) < link_recall):
         depth -= 1
     return depth
 
@@ -65,7 +90,7 @@ def forest_trees(similarity: float, depth: int, trees: int, recall: float) -> in
     """The number of trees, ``trees`` at least, in which pairs of this similarity meet with the target recall."""
     if not 0 < similarity <= 1:
         raise ValueError("the similarity must be above 0 and at most 1")
-    while 1 - (1 - similarity**depth) ** trees < recall:
+    while meeting(similarity, depth, trees) < recall:
         trees += 1
     return trees
 
@@ -102,13 +127,21 @@ def min_hashes(shingles: np.ndarray, salts: tuple[np.ndarray, np.ndarray]) -> np
     return least
 
 
-def _labels(shingles: np.ndarray, salts: tuple[np.ndarray, np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """One 64-bit label per tree: the tree and the prefix of its MinHash values."""
-    values = min_hashes(shingles, salts).reshape(trees, depth)
-    label = np.arange(1, trees + 1, dtype=np.uint64)
-    for k in range(depth):
-        label = mixed(label * np.uint64(0x9E3779B97F4A7C15) + values[:, k])
-    return label
+def forest_keys(shingles: np.ndarray, salts: tuple[np.ndarray, np.ndarray], trees: int) -> bytes:
+    """The sortable key of the set in each tree: the number of the tree, then 16 bits of each MinHash value."""
+    out = np.empty((trees, 1 + LONGEST_PREFIX), ">u2")
+    out[:, 0] = np.arange(trees)
+    out[:, 1:] = (mixed(min_hashes(shingles, salts)) >> np.uint64(48)).reshape(trees, LONGEST_PREFIX)
+    return out.tobytes()
+
+
+def _labels(keys: list[bytes], depth: int) -> list[bytes]:
+    """One 64-bit label per tree for the node of each key at this depth."""
+    values = np.frombuffer(b"".join(keys), ">u2").astype(np.uint64).reshape(len(keys), -1, 1 + LONGEST_PREFIX)
+    label = values[:, :, 0] + np.uint64(1)
+    for k in range(1, 1 + depth):
+        label = mixed(label * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k])
+    return [row.tobytes() for row in label]
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -116,18 +149,18 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(row_key(doc_id, text).alias("row_key"), doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _signed(keyed: DataFrame, shingle: int, trees: int, depth: int) -> DataFrame:
-    """Class, labels and set size of every row; texts and sets stay behind."""
-    salts = _salts(trees * depth)
+def _signed(keyed: DataFrame, shingle: int, trees: int) -> DataFrame:
+    """Class, forest keys and set size of every row; texts and sets stay behind."""
+    salts = _salts(trees * LONGEST_PREFIX)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(part.column("text").cast(pa.large_binary()).to_pylist(), shingle)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                labels = [_labels(s, salts, trees, depth).tobytes() if len(s) else None for s in sets]
+                keys = [forest_keys(s, salts, trees) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_key"), part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(labels, pa.binary()),
+                    [part.column("row_key"), part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()),
                      pa.array([len(s) for s in sets], pa.int64())],
                     [c.split()[0] for c in SIGNED.split(", ")],
                 )
@@ -135,14 +168,50 @@ def _signed(keyed: DataFrame, shingle: int, trees: int, depth: int) -> DataFrame
     return map_batches(keyed, work, SIGNED)
 
 
+def _by_node(classes: DataFrame, columns: list[str], trees: int, depth: int) -> DataFrame:
+    """One row per class and trie node at this depth: a prefix of the key."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    node = F.expr(f"substring(keys, {KEY_BYTES} * tree + 1, {2 + 2 * depth})")
+    return classes.select(*columns, "keys", at).select(*columns, node.alias("node"))
+
+
 def _by_label(classes: DataFrame, columns: list[str], trees: int) -> DataFrame:
-    """One row per class and trie node."""
+    """One row per class and label."""
     at = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     node = F.expr("substring(labels, 8 * tree + 1, 8)")
     return classes.select(*columns, "labels", at).select(*columns, node.alias("node"))
 
 
-def _blocks(candidates: DataFrame) -> DataFrame:
+def _found_links(classes: DataFrame, keyed: DataFrame, similarity: float, shingle: int, trees: int) -> tuple[list[float], float]:
+    """Similarities of the links in a sample of the pairs with the longest common prefixes, and the share of nodes looked at.
+
+    Nodes are chosen by their hash, so that all classes of a node are there or none;
+    of a node the smallest and the largest class are paired, and a class stands in
+    two pairs at most. At most ``SAMPLE_PAIRS`` numbers reach the driver.
+    """
+    share = min(1.0, SAMPLE_KEYS / max(1, classes.count() * trees))
+    nodes = _by_node(classes, ["class"], trees, LONGEST_PREFIX)
+    if share < 1:
+        nodes = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    met = nodes.groupBy("node").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
+    chance = F.xxhash64("a", "b")
+    first = met.groupBy("a").agg(F.min_by("b", F.struct(chance, "b")).alias("b"))
+    pairs = first.groupBy("b").agg(F.min_by("a", F.struct(chance, "a")).alias("a"))
+    pairs = materialise(pairs.orderBy(chance, "a", "b").limit(SAMPLE_PAIRS), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class"), F.xxhash64("a", "b").alias("pair"))
+    places = F.broadcast(classes.join(F.broadcast(ends), "class").select(F.col("first.row_key").alias("row_key"), "class", "pair"))
+    texts = keyed.join(places, "row_key").dropDuplicates(["class", "pair"]).select("pair", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = shingle_sets(table.column("text").cast(pa.large_binary()).to_pylist(), shingle)
+        common = len(np.intersect1d(sets[0], sets[-1], assume_unique=True))
+        return pa.table({"common": [common], "every": [len(sets[0]) + len(sets[-1]) - common]})
+
+    rows = map_groups(texts, "pair", compare, "common long, every long").collect()
+    return [r.common / r.every for r in rows if r.common >= similarity * r.every], share
+
+
+def _blocks(candidates: DataFrame, depth: int) -> DataFrame:
     """Candidates numbered into blocks of bounded size, near ones together."""
     schema = "class binary, labels binary, copies long, size long, row_key binary, block long"
 
@@ -155,11 +224,12 @@ def _blocks(candidates: DataFrame) -> DataFrame:
                     block, classes, shingles = block + 1, 0, 0
                 classes, shingles = classes + 1, shingles + size
                 numbers.append(task << 32 | block)
-            kept = [batch.column(c) for c in ("class", "labels", "copies", "size", "row_key")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int64())], [c.split()[0] for c in schema.split(", ")])
+            labels = pa.array(_labels(batch.column("keys").to_pylist(), depth), pa.binary())
+            kept = [batch.column(c) for c in ("copies", "size", "row_key")]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), labels, *kept, pa.array(numbers, pa.int64())], [c.split()[0] for c in schema.split(", ")])
 
-    ordered = candidates.repartitionByRange("root", "labels").sortWithinPartitions("root", "labels", "class")
-    return map_batches(ordered.select("class", "labels", "copies", "size", "row_key"), work, schema)
+    ordered = candidates.repartitionByRange("root", "keys").sortWithinPartitions("root", "keys", "class")
+    return map_batches(ordered.select("class", "keys", "copies", "size", "row_key"), work, schema)
 
 
 class _Block:
@@ -270,20 +340,22 @@ def _verified(sets: DataFrame, meetings: DataFrame, similarity: float) -> DataFr
     return within.unionByName(joined.groupBy("a", "b").applyInArrow(across, UNIT))
 
 
-def _grouped(signed: DataFrame, keyed: DataFrame, similarity: float, shingle: int, trees: int) -> DataFrame:
+def _grouped(signed: DataFrame, keyed: DataFrame, similarity: float, shingle: int, trees: int, recall: float) -> DataFrame:
     """``class, class_id, keeper, n_links`` of every class."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")).alias("first")
     classes = signed.where("class is not null").groupBy("class").agg(
-        F.count(F.lit(1)).alias("copies"), first, F.min("labels").alias("labels"), F.min("size").alias("size")
+        F.count(F.lit(1)).alias("copies"), first, F.min("keys").alias("keys"), F.min("size").alias("size")
     )
     classes = materialise(classes, "classes")
-    by_node = _by_label(classes, ["class"], trees)
+    found, share = _found_links(classes, keyed, similarity, shingle, trees)
+    depth = forest_depth(similarity, trees, recall, LONGEST_PREFIX, found, share=share)
+    by_node = _by_node(classes, ["class"], trees, depth)
     nodes = by_node.groupBy("node").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # The smallest class met under any node; it only decides which classes share a block.
     met = by_node.join(nodes.select("node", "least"), "node").groupBy("class").agg(F.min("least").alias("root"))
     candidates = classes.join(met, "class")
-    numbered = candidates.select("class", "labels", "copies", "size", F.col("first.row_key").alias("row_key"), "root")
-    placed = materialise(_blocks(numbered), "placed")
+    numbered = candidates.select("class", "keys", "copies", "size", F.col("first.row_key").alias("row_key"), "root")
+    placed = materialise(_blocks(numbered, depth), "placed")
     # The texts of the candidates are read again; all others stay where they are.
     wanted = placed.select("row_key", "class", "block", "labels", "copies")
     texts = lookup_join(keyed, wanted, ["row_key"], "inner", max_rows=FETCH_ROWS).dropDuplicates(["class"])
@@ -325,12 +397,11 @@ def near_duplicates(
     ``keeper`` is the row key that stands for the group, the one of the smallest
     id. Row keys are digests of id and text, the same for repeated rows.
     """
-    depth = forest_depth(similarity, trees, recall, LONGEST_PREFIX)
-    trees = forest_trees(similarity, depth, trees, recall)
+    trees = forest_trees(similarity, forest_depth(similarity, trees, recall, LONGEST_PREFIX), trees, recall)
     keyed = _keyed(docs, id_column, text_column)
-    signed = materialise(_signed(keyed, shingle, trees, depth), "signed")
+    signed = materialise(_signed(keyed, shingle, trees), "signed")
     with scratch_scope(docs.sparkSession):  # blocks and candidates go when the groups are known
-        labelled = materialise(_grouped(signed, keyed, similarity, shingle, trees), "labelled", outlives=True)
+        labelled = materialise(_grouped(signed, keyed, similarity, shingle, trees, recall), "labelled", outlives=True)
     rows = signed.select("row_key", "doc_id", "class")
     placed_rows = lookup_join(rows.where("class is not null"), labelled, ["class"], "inner", max_rows=FETCH_ROWS)
     alone = rows.where("class is null").select(

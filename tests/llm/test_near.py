@@ -170,3 +170,54 @@ def test_low_similarity_reaches_the_target_recall(spark):
     # 10 of 100 shingles in common
     rows = [(2 * k + side, " ".join(words("c", k, 14) + words("ab"[side], k, 45))) for k in range(150) for side in (0, 1)]
     assert sum(n for _, _, n in found_near(spark.createDataFrame(rows, DOCS), similarity=0.1)) >= 2 * 149
+
+
+def test_links_found_at_long_prefixes_tell_the_recall():
+    assert jaccard.measured_recall([], 4, 16) == 1.0
+    assert jaccard.measured_recall([1.0, 1.0], 8, 16) == 1.0
+    low, high = (jaccard.measured_recall([0.8] * n + [0.99] * 10, 6, 16) for n in (100, 1))
+    assert low < high < 1.0
+    assert abs(jaccard.measured_recall([0.8] * 7, 4, 16, share=0.01) - (1 - (1 - 0.8**4) ** 16)) < 1e-12
+    depths = [forest_depth(0.8, 16, 0.9, 8, found, 0.9999) for found in ([0.99] * 100, [0.99] * 90 + [0.9] * 10, [0.8] * 100)]
+    assert depths == sorted(depths, reverse=True) and depths[0] == 8 and depths[-1] == 3
+
+
+def test_keys_sort_as_tries():
+    salts = jaccard._salts(3 * jaccard.LONGEST_PREFIX)
+    sets = jaccard.shingle_sets([NUMBERS.encode(), (NUMBERS + " 100").encode(), b"a b c d e f g"])
+    keys = [jaccard.forest_keys(s, salts, 3) for s in sets]
+    assert {len(k) for k in keys} == {3 * jaccard.KEY_BYTES}
+    for depth in range(1, 9):
+        labels = jaccard._labels(keys, depth)
+        for tree in range(3):
+            nodes = [k[tree * jaccard.KEY_BYTES :][: 2 + 2 * depth] for k in keys]
+            under = [x[8 * tree :][:8] for x in labels]
+            assert [(a == b) for a in nodes for b in nodes] == [(a == b) for a in under for b in under]
+
+
+def near_pairs(common, alone, count):
+    """Pairs of texts with ``common + 2 * alone`` shingles, of which ``common`` are shared."""
+    words = lambda kind, k, n: [f"{kind}{k}-{i}" for i in range(n)]
+    return [(2 * k + side, " ".join(words("c", k, common + 4) + words("ab"[side], k, alone))) for k in range(count) for side in (0, 1)]
+
+
+def test_recall_against_brute_force(spark):
+    for similarity, common, alone in ((0.5, 50, 25), (0.8, 80, 10), (0.95, 95, 2)):
+        rows = near_pairs(common, alone, 400)
+        found = found_near(spark.createDataFrame(rows, DOCS), similarity=similarity - 0.01)
+        assert sum(n for _, _, n in found) >= 0.995 * 2 * 400
+        assert all(c in (d, d - 1) for d, c, _ in found)
+
+
+def test_sampled_links_are_verified(spark, monkeypatch):
+    docs = spark.createDataFrame(near_pairs(90, 5, 300) + [(1000 + d, t + f" z{d}") for d, t in near_pairs(20, 30, 40)], DOCS)
+    keyed = jaccard._keyed(docs, "doc_id", "text")
+    signed = jaccard._signed(keyed, 5, 16)
+    first = jaccard.F.min(jaccard.F.struct("row_key")).alias("first")
+    classes = jaccard.materialise(signed.groupBy("class").agg(first, jaccard.F.min("keys").alias("keys")), "classes")
+    found, share = jaccard._found_links(classes, keyed, 0.8, 5, 16)
+    assert share == 1 and len(found) > 290 and all(abs(s - 0.9) < 1e-9 for s in found)
+    monkeypatch.setattr(jaccard, "SAMPLE_KEYS", 3000)
+    monkeypatch.setattr(jaccard, "SAMPLE_PAIRS", 50)
+    found, share = jaccard._found_links(classes, keyed, 0.8, 5, 16)
+    assert 0 < share < 1 and 0 < len(found) <= 50
