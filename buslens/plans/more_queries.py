@@ -26,6 +26,7 @@ from buslens.streaming.capture import running_totals, start_capture
 # Parameters shared with the SQL side.
 ODD_LIMIT = 330
 QUARTILES = (0.25, 0.5, 0.75)
+VALUE_RANGE, TIME_RANGE = (20.0, 40.0), (1705000000.0, 1705600000.0)
 LEADING_BYTES = {256: 4, 512: 56, 291: 5, 1110: 56}
 
 
@@ -134,6 +135,17 @@ def query_store_signals(spark, sf_dir):
     return stored.select("capture_id", "seq", "can_id_dec", "signal", "value", "label")
 
 
+@query("store_pruned_scan")
+def query_store_pruned_scan(spark, sf_dir):
+    """A scan by signal and value and one by time, both of signals stored along the curve."""
+    root = scratch_path(spark, "store-interleaved")
+    write_store(event_frames(spark, sf_dir), event_catalogue(spark), root, layout="interleaved")
+    stored = spark.read.schema("capture_id string, seq long, timestamp double, signal string, value double").parquet(f"{root}/signals")
+    by_value = stored.where((F.col("signal") == "Value") & F.col("value").between(*VALUE_RANGE)).withColumn("scan", F.lit("value"))
+    by_time = stored.where(F.col("timestamp").between(*TIME_RANGE)).withColumn("scan", F.lit("time"))
+    return by_value.unionByName(by_time)
+
+
 @query("quality_flags")
 def query_quality_flags(spark, sf_dir):
     """The report over frames whose flags differ."""

@@ -7,7 +7,7 @@ packed from, so packing and decoding are checked independently.
 from __future__ import annotations
 
 from buslens.plans.live_queries import LEAST_SECONDS, MOST_AGE
-from buslens.plans.more_queries import ODD_LIMIT
+from buslens.plans.more_queries import ODD_LIMIT, TIME_RANGE, VALUE_RANGE
 from buslens.plans.queries import DURATION, FRAME_LIMIT, RULES
 
 FRAMES = """
@@ -331,6 +331,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT signal, quartile, true AS within FROM signals, (VALUES (0), (1), (2)) AS q(quartile)""",
         "store_signals": f"""{signals}
             SELECT capture_id, seq, can_id_dec, signal, value, label FROM signals""",
+        "store_pruned_scan": f"""{signals}
+            SELECT 'value' AS scan, capture_id, seq, "timestamp", signal, value FROM signals
+            WHERE signal = 'Value' AND value BETWEEN {VALUE_RANGE[0]} AND {VALUE_RANGE[1]}
+            UNION ALL SELECT 'time', capture_id, seq, "timestamp", signal, value FROM signals
+            WHERE "timestamp" BETWEEN {TIME_RANGE[0]} AND {TIME_RANGE[1]}""",
         "signals_mux_nested": f"""{_with(FRAMES, TREE_SIGNALS)}
             SELECT capture_id, seq, "timestamp", can_id_dec, found.signal AS signal, CAST(found.value AS DOUBLE) AS value,
                    CAST(NULL AS VARCHAR) AS label

@@ -11,6 +11,7 @@ from buslens.operators.normalise import normalise
 from buslens.operators.stats import capture_manifest
 from buslens.schemas import RAW_FRAME
 from buslens.sources.catalogue import Catalogue
+from buslens.sources.layout import interleaved
 
 FRAME_ORDER = ["capture_id", "can_id_dec", "timestamp", "seq"]
 SIGNAL_ORDER = ["capture_id", "signal", "timestamp", "seq"]
@@ -28,6 +29,9 @@ def clustered(df: DataFrame, order: list[str]) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+LAYOUTS = {"clustered": lambda signals: clustered(signals, SIGNAL_ORDER), "interleaved": interleaved}
+
+
 def frame_rows(frames: DataFrame, cluster: bool = True) -> DataFrame:
     """The stored columns of frames; derived ones are computed again on reading."""
     rows = frames.select(*RAW_FRAME.fieldNames())
@@ -45,10 +49,16 @@ def by_capture(rows: DataFrame, mode: str):
     return rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("capture_id")
 
 
-def write_store(frames: DataFrame, catalogue: Catalogue | None, root: str, mode: str = "overwrite") -> None:
-    """Write frames, decoded signals and one metadata row per capture, each replacing what the captures had."""
+def write_store(frames: DataFrame, catalogue: Catalogue | None, root: str, mode: str = "overwrite", layout: str = "clustered") -> None:
+    """Write frames, decoded signals and one metadata row per capture, each replacing what the captures had.
+
+    The ``clustered`` layout sorts signals by name and time. ``interleaved`` also lets
+    scans by value skip row groups; it reads the frames twice more to find its steps.
+    """
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout!r}, one of {', '.join(LAYOUTS)}")
     write_frames(frames, f"{root}/frames", mode)
-    by_capture(clustered(signals_long(frames, catalogue), SIGNAL_ORDER), mode).parquet(f"{root}/signals")
+    by_capture(LAYOUTS[layout](signals_long(frames, catalogue)), mode).parquet(f"{root}/signals")
     by_capture(capture_manifest(frames), mode).parquet(f"{root}/captures")
 
 
