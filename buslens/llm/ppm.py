@@ -11,15 +11,18 @@ at the space before the word instead.
 
 A gram is a byte behind its longest context. The trie is never in one place:
 
-1. tasks turn chunks of texts into the distinct words and the distinct grams with
+1. a bounded sample tells which contexts of 2 to 5 bytes stand before more than one
+   symbol in ``HOT_SHARE``. They steer the layout alone: any choice gives the same scores;
+2. tasks turn chunks of texts into the distinct words and the distinct grams with
    their training counts; both and the texts are stored;
-2. counts behind contexts of one byte or none, 65,792 at most, are summed and sent
-   to all tasks;
-3. grams meet in buckets of the last two bytes of their contexts, so that a bucket
-   has all counts of every longer context in it. Every gram of every training
-   document counts; the distinct ones are coded and their code lengths return to
-   the chunks. Words meet in buckets of their hashes for the exact corpus counts;
-4. chunks sum counts and code lengths over their texts.
+3. counts behind contexts of one byte or none and behind hot ones, 322,560 at most,
+   are summed and sent to all tasks;
+4. grams meet in buckets of the last two bytes of their contexts, behind a hot context
+   of one byte more, and so on: a bucket has all counts of every longer context in it.
+   Every gram of every training document counts; the distinct ones are coded and their
+   code lengths return to the chunks. Words meet once, in buckets of their hashes, for
+   the exact corpus counts;
+5. chunks sum counts and code lengths over their texts, block by block.
 
 Texts move once. A frequent word or gram sends one entry per chunk. Defined
 results: a null text is empty and has the end alone; a null id is the text of no
@@ -39,7 +42,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from buslens.llm.tasks import bounds, chunks, equal_spans, map_batches, map_groups, quoted
@@ -52,12 +55,16 @@ HELD_OUT_OF = 10
 SMOOTHING = 0.1
 # The marks behind a word and behind a text, and how many bytes there are besides white space.
 WORD_END, TEXT_END, ALPHABET = 0x20, 0x0A, 250 + 2
-CHUNK = 6 << 20
+# Bytes of a chunk, which sends each gram once, and of the blocks it is cut into, which bound what is in memory.
+CHUNK, BLOCK = 24 << 20, 2 << 20
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
 # Rows of a chunk besides its buckets: texts, and counts behind the shortest contexts.
 TEXTS, LOW = -1, -2
-LOW_SIZES, HIGH_SIZES = (0, 1), range(2, ORDER + 1)
+LOW_SIZES, HIGH_SIZES, HOT_SIZES = (0, 1), range(2, ORDER + 1), range(2, ORDER)
+# A context before this share of all symbols is hot, judged by so many bytes of texts.
+HOT_SHARE, SAMPLE_BYTES = 256, 16 << 20
 WORDS = "chunk long, bucket int, data binary"
+COUNTED = WORDS + ", tokens long, distinct long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(ORDER + 1)], np.uint64)
 FOLDED = np.arange(256, dtype=np.uint8)
@@ -65,11 +72,11 @@ FOLDED[ord("A") : ord("Z") + 1] += 32
 FOLDED[list(SPACE_BYTES)] = WORD_END
 
 
-def _squeeze(*arrays: np.ndarray | bytes) -> bytes:
+def _squeeze(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """Arrays one after another, each compressed."""
     out = []
     for a in arrays:
-        body = zstandard.ZstdCompressor(level=1).compress(a if isinstance(a, bytes) else a.tobytes())
+        body = zstandard.ZstdCompressor(level=level).compress(a if isinstance(a, bytes) else a.tobytes())
         out += [len(body).to_bytes(8, "little"), body]
     return b"".join(out)
 
@@ -127,13 +134,13 @@ def _words(stream: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [w[:-1] for w in coded.dictionary.to_pylist()], coded.indices.to_numpy(zero_copy_only=False), per_text
 
 
-def _chunk_rows(part: pa.RecordBatch, chunk: int, buckets: int, across: bool) -> list[tuple]:
+def _chunk_rows(part: pa.RecordBatch, chunk: int, buckets: int, across: bool, hot: np.ndarray) -> list[tuple]:
     """The texts of a chunk, its distinct words and behind them its distinct grams by bucket, and its ``LOW`` counts."""
     doc_ids = part.column("doc_id").to_pylist()
     held = np.array([is_held_out(d) for d in doc_ids], bool)
     known = np.array([d is not None for d in doc_ids], bool)
-    stream = _stream(part.column("text").cast(pa.large_string()))
-    rows = [(chunk, TEXTS, _squeeze(np.array([d or 0 for d in doc_ids], "<i8"), known, held, stream))]
+    stream = _stream(part.column("text"))
+    rows = [(chunk, TEXTS, _squeeze(np.array([d or 0 for d in doc_ids], "<i8"), known, held, stream, level=3))]
     words, number, per_text = _words(stream)
     train = np.bincount(number[~np.repeat(held, per_text)], minlength=len(words)).astype("<i8")
     hashes, _ = word_hashes(b"\n".join(words))
@@ -142,27 +149,71 @@ def _chunk_rows(part: pa.RecordBatch, chunk: int, buckets: int, across: bool) ->
     for a, b in equal_spans(bucket[by]):
         steps = np.diff(by[a:b], prepend=0).astype("<i4")
         rows.append((chunk, int(bucket[by[a]]), _squeeze(b"\n".join([words[k] for k in by[a:b]]), steps, train[by[a:b]])))
-    keys, which, symbols = _grams(stream, across)
-    trained = np.bincount(which[~np.repeat(held, symbols)], minlength=len(keys)).astype("<i8")
-    order, spans = _dealt(keys, buckets)
+    del words, number, hashes, bucket, by
+    found = [(k, np.bincount(which[~held[owner]], minlength=len(k))) for k, which, owner in _gram_blocks(stream, across)]
+    keys, trained = _summed([k for k, _ in found], [n for _, n in found])
+    del found
+    order, spans = _dealt(keys, buckets, hot)
     for k, a, b in spans:
         rows.append((chunk, buckets + k, _squeeze(_steps(keys[order[a:b]]), trained[order[a:b]])))
-    low, counts = _cut_grams(keys[trained > 0], trained[trained > 0], LOW_SIZES)
+    low, counts = _short_grams(keys[trained > 0], trained[trained > 0], hot)
     rows.append((chunk, LOW, _squeeze(_steps(low), counts)))
     return rows
 
 
-def _chunked(docs: DataFrame, buckets: int, across: bool) -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task, ``CHUNK`` bytes of text together, one row at least."""
+    parts, size = [], 0
+    joined = lambda: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    for batch in batches:
+        batch = batch.set_column(1, "text", batch.column("text").cast(pa.large_string()))
+        for part in chunks(batch, "text", CHUNK // 8):
+            parts.append(part)
+            size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if size >= CHUNK:
+                yield joined()
+                parts, size = [], 0
+    if parts:
+        yield joined()
+
+
+def _chunked(docs: DataFrame, buckets: int, across: bool, hot: np.ndarray) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
-                yield _rows(_chunk_rows(part, task << 32 | n, buckets, across), WORDS)
-                n += 1
+        task = TaskContext.get().partitionId()
+        for n, part in enumerate(_gathered(batches)):
+            yield _rows(_chunk_rows(part, task << 32 | n, buckets, across, hot), WORDS)
 
     return map_batches(docs, work, WORDS)
 
 
+def _hot_contexts(docs: DataFrame, size: int, across: bool) -> np.ndarray:
+    """Contexts of ``HOT_SIZES`` before many symbols of a sample, with those they end in; sorted."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _gathered(batches):
+            for keys, which, _ in _gram_blocks(_stream(part.column("text")), across):
+                many = np.bincount(which, minlength=len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([many.sum()])], ["context", "n"])
+                for k in HOT_SIZES:
+                    at = keys >> np.uint64(56) >= k
+                    found, n = _summed([_cut_context(keys[at] >> np.uint64(8), k)], [many[at]])
+                    # Rarer ones than this are not told, so that a block sends few rows.
+                    common = n * 2 * HOT_SHARE >= many.sum()
+                    yield pa.RecordBatch.from_arrays([pa.array(found[common].view(np.int64)), pa.array(n[common])], ["context", "n"])
+
+    one_of = max(1, -(-size // SAMPLE_BYTES))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(one_of)) == 0)
+    counts = map_batches(sample, work, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).where("n > 0")
+    total = F.max(F.when(F.col("context") == 0, F.col("n"))).over(Window.partitionBy())
+    rows = counts.withColumn("total", total).where((F.col("context") != 0) & (F.col("n") * HOT_SHARE > F.col("total"))).collect()
+    hot: set[int] = set()
+    for context in sorted(r.context for r in rows):  # the size comes first in the order
+        k = context >> 48
+        if k == HOT_SIZES[0] or context & int(MASKS[k - 1]) | k - 1 << 48 in hot:
+            hot.add(context)
+    return np.array(sorted(hot), np.uint64)
+
+
 def _bucket_words(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct words of a bucket, their training counts, and the word of each entry of each blob."""
     parts = [_expand(b, ["bytes", "<i4", "<i8"]) for b in blobs]
@@ -175,22 +226,21 @@ def _bucket_words(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarr
     return words, counts, which, [np.cumsum(p[1]) for p in parts]
 
 
-def _contexts(stream: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols in turn: symbol, bytes of context there are, and the context; and how many symbols each text has.
+def _contexts(stream: np.ndarray, across: bool, begin: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols from ``begin`` on: place, symbol, bytes of context there are, and the context.
 
-    A context is a number with the nearest byte lowest.
+    A context is a number with the nearest byte lowest. ``ORDER + 1`` bytes before ``begin`` are enough.
     """
     first = _begins(stream)
-    at = np.flatnonzero(~first)
-    place = np.arange(len(stream))
+    at = np.flatnonzero(~first[begin:]) + begin
+    place = np.arange(len(stream), dtype=np.int32)
     since = place - np.maximum.accumulate(np.where(first if across else stream == WORD_END, place, 0))
     reach = np.minimum(since[at - 1] + 1, ORDER)
     del place, since
     context = np.zeros(len(stream), np.uint64)
     for back in range(1, min(ORDER, len(stream) - 1) + 1):
         context[back:] |= stream[:-back].astype(np.uint64) << np.uint64(8 * (back - 1))
-    ends = np.flatnonzero(stream == TEXT_END)
-    return stream[at].astype(np.uint64), reach, context[at] & MASKS[reach], np.diff(ends, prepend=-1) - 1
+    return at, stream[at].astype(np.uint64), reach, context[at] & MASKS[reach]
 
 
 def _cut_context(context: np.ndarray, size: int | np.ndarray) -> np.ndarray:
@@ -198,17 +248,23 @@ def _cut_context(context: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     return (context & MASKS[size]) | np.asarray(size).astype(np.uint64) << np.uint64(48)
 
 
-def _grams(stream: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct symbols behind their longest contexts, the number of each in turn, and how many symbols each text has."""
-    symbol, reach, context, symbols = _contexts(stream, across)
-    coded = pc.dictionary_encode(pa.array(_cut_context(context, reach) << np.uint64(8) | symbol))
-    return coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), symbols
+def _gram_blocks(stream: np.ndarray, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By block: distinct symbols behind their longest contexts, the number and the text of each symbol in turn."""
+    ends = np.flatnonzero(stream == TEXT_END)
+    for begin in range(0, len(stream), BLOCK):
+        low = max(0, begin - ORDER - 1)
+        at, symbol, reach, context = _contexts(stream[low : begin + BLOCK], across, begin - low)
+        coded = pc.dictionary_encode(pa.array(_cut_context(context, reach) << np.uint64(8) | symbol))
+        del symbol, reach, context
+        owner = np.searchsorted(ends, at + low)
+        yield coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), owner
 
 
 def _gram_counts(texts: list[bytes], counts: np.ndarray, across: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Grams of texts that occur ``counts`` times, and how often each occurs."""
-    keys, which, symbols = _grams(_stream(pa.array(texts, pa.large_binary())), across)
-    return keys, np.bincount(which, weights=np.repeat(counts, symbols), minlength=len(keys)).astype(np.int64)
+    blocks = _gram_blocks(_stream(pa.array(texts, pa.large_binary())), across)
+    found = [(keys, np.bincount(which, weights=counts[owner], minlength=len(keys))) for keys, which, owner in blocks]
+    return _summed([k for k, _ in found], [n for _, n in found])
 
 
 def _cut_grams(keys: np.ndarray, counts: np.ndarray, sizes: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,11 +274,31 @@ def _cut_grams(keys: np.ndarray, counts: np.ndarray, sizes: Iterable[int]) -> tu
     return _summed(shorter, [counts[at] for at in cut])
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of grams by bucket and key, and bucket, begin and end of each run in it."""
-    last = keys >> np.uint64(8) & np.uint64(0xFFFF)
-    bucket = ((last * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((keys, bucket))
+def _short_grams(keys: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the symbols behind contexts of ``LOW_SIZES`` and behind hot ones, ascending."""
+    size, context, symbol = keys >> np.uint64(56), keys >> np.uint64(8), keys & np.uint64(255)
+    found = []
+    for k in (*LOW_SIZES, *HOT_SIZES):
+        own = np.arange(1 << 8 * k, dtype=np.uint64) | np.uint64(k << 48) if k in LOW_SIZES else hot[hot >> np.uint64(48) == k]
+        at = np.flatnonzero(size >= k)
+        place = _find(own, _cut_context(context[at], k))
+        at, place = at[place >= 0], place[place >= 0]
+        n = np.bincount(place << 8 | symbol[at].astype(np.int64), weights=counts[at], minlength=len(own) << 8)
+        seen = np.flatnonzero(n)
+        found.append((own[seen >> 8] << np.uint64(8) | (seen & 255).astype(np.uint64), n[seen].astype(np.int64)))
+    return np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+
+
+def _dealt(keys: np.ndarray, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of ascending grams by bucket and key, and bucket, begin and end of each run in it."""
+    context, size = keys >> np.uint64(8), keys >> np.uint64(56)
+    dealt = _cut_context(context, np.minimum(size, HOT_SIZES[0]).astype(np.int64))
+    hot_at = np.flatnonzero(size > HOT_SIZES[0])
+    for k in HOT_SIZES:
+        hot_at = hot_at[(size[hot_at] > k) & (_find(hot, dealt[hot_at]) >= 0)]
+        dealt[hot_at] = _cut_context(context[hot_at], k + 1)
+    bucket = ((dealt * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
     return order, [(int(bucket[order[a]]), a, b) for a, b in equal_spans(bucket[order])]
 
 
@@ -244,7 +320,7 @@ def _gram_blob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _low_counts(chunked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Training counts behind contexts of ``LOW_SIZES``, as many as pairs of bytes at most."""
+    """Training counts behind contexts of ``LOW_SIZES`` and hot ones, bounded by their number; ascending."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +330,7 @@ def _low_counts(chunked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     spread = map_batches(chunked.where(F.col("bucket") == LOW).select("data"), entries, "gram long, n long")
     rows = spread.groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    return _summed([np.array([r.gram for r in rows], np.int64).view(np.uint64)], [np.array([r.n for r in rows], np.int64)])
 
 
 def _bucket_grams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -270,7 +346,7 @@ def _least_count(chunked: DataFrame, buckets: int, low: tuple[np.ndarray, np.nda
 
     def sizes(table: pa.Table) -> pa.Table:
         keys, counts, _ = _bucket_grams(table.column("data").to_pylist())
-        value, many = np.unique(_cut_grams(keys, counts, HIGH_SIZES)[1], return_counts=True)
+        value, many = np.unique(_high_grams(keys, counts, low[0])[1], return_counts=True)
         return pa.table([pa.array(value, pa.int64()), pa.array(many, pa.int64())], names=["value", "n"])
 
     found = map_groups(chunked.where(F.col("bucket") >= buckets), "bucket", sizes, "value long, n long")
@@ -285,6 +361,13 @@ def _least_count(chunked: DataFrame, buckets: int, low: tuple[np.ndarray, np.nda
     return least
 
 
+def _high_grams(keys: np.ndarray, counts: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the symbols behind the contexts of ``HIGH_SIZES`` that ``low`` has not."""
+    grams, n = _cut_grams(keys, counts, HIGH_SIZES)
+    own = _find(np.unique(low >> np.uint64(8)), grams >> np.uint64(8)) < 0
+    return grams[own], n[own]
+
+
 @dataclass(frozen=True)
 class Trie:
     """Context counts, sorted; contexts carry the numbers that escapes need.
@@ -301,8 +384,8 @@ class Trie:
 
     @classmethod
     def build(cls, grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None, least: int = 1) -> Trie:
-        """The trie of grams behind their longest contexts; ``low`` has the counts of ``LOW_SIZES`` if others add to them."""
-        grams, counts = _cut_grams(grams, counts, range(ORDER + 1) if low is None else HIGH_SIZES)
+        """The trie of grams behind their longest contexts; ``low`` has all counts behind contexts that others add to."""
+        grams, counts = _cut_grams(grams, counts, range(ORDER + 1)) if low is None else _high_grams(grams, counts, low[0])
         if low is not None:
             grams, counts = _summed([grams, low[0]], [counts, low[1]])
         grams, counts = grams[counts >= least], counts[counts >= least]
@@ -366,37 +449,48 @@ def score_documents(
         F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.crc32(id_text.cast("binary")) % HELD_OUT_OF != 0).alias("ends")
     ).first()
     buckets = max(LEAST_BUCKETS, -(-(size.bytes or 0) // BUCKET_BYTES))
-    chunked = materialise(_chunked(rows, buckets, across_words), "chunked")
+    hot = _hot_contexts(rows, size.bytes or 0, across_words)
+    chunked = materialise(_chunked(rows, buckets, across_words, hot), "chunked")
     low, ends = _low_counts(chunked), int(size.ends)
     least = 1 if bound is None else _least_count(chunked, buckets, low, bound)
 
-    def total(table: pa.Table) -> pa.Table:
-        counts = _bucket_words(table.column("data").to_pylist())[1]
-        return pa.table([pa.array([counts.sum()], pa.int64()), pa.array([np.count_nonzero(counts)], pa.int64())], names=["tokens", "distinct"])
+    def count_words(table: pa.Table) -> pa.Table:
+        chunk_of, bucket, blobs = (table.column(c).to_pylist() for c in ("chunk", "bucket", "data"))
+        _, counts, which, numbers = _bucket_words(blobs)
+        out, at = [], 0
+        for chunk, number in zip(chunk_of, numbers, strict=True):
+            own = which[at : at + len(number)]
+            at += len(number)
+            steps = np.diff(number, prepend=0).astype("<i4")
+            # The sums over the bucket stand once, in its first row.
+            sums = (int(counts.sum()), np.count_nonzero(counts)) if not out else (0, 0)
+            out.append((chunk, bucket[0], _squeeze(steps, counts[own].astype("<i8")), *sums))
+        return pa.Table.from_batches([_rows(out, COUNTED)])
 
     words = chunked.where((F.col("bucket") >= 0) & (F.col("bucket") < buckets))
-    counted = map_groups(words, "bucket", total, "tokens long, distinct long").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
-    tokens = (counted.tokens or 0) + ends
-    distinct = (counted.distinct or 0) + bool(ends)
+    counted = materialise(map_groups(words, "bucket", count_words, COUNTED), "counted")
+    sums = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    tokens = (sums.tokens or 0) + ends
+    distinct = (sums.distinct or 0) + bool(ends)
 
-    def per_bucket(table: pa.Table) -> pa.Table:
+    def code_grams(table: pa.Table) -> pa.Table:
         chunk_of, bucket, blobs = (table.column(c).to_pylist() for c in ("chunk", "bucket", "data"))
-        out, at = [], 0
-        if bucket[0] < buckets:
-            _, counts, which, numbers = _bucket_words(blobs)
-            for chunk, number in zip(chunk_of, numbers, strict=True):
-                own = which[at : at + len(number)]
-                at += len(number)
-                out.append((chunk, bucket[0], _squeeze(np.diff(number, prepend=0).astype("<i4"), counts[own].astype("<i8"))))
-        else:
-            keys, counts, entries = _bucket_grams(blobs)
-            trie = Trie.build(keys[counts > 0], counts[counts > 0], low, least)
-            codes = trie.code(keys >> np.uint64(8) & MASKS[ORDER], (keys >> np.uint64(56)).astype(np.int64), keys & np.uint64(255))
-            for chunk, own in zip(chunk_of, entries, strict=True):
-                values, which = np.unique(codes[own], return_inverse=True)  # equal counts have equal codes
-                out.append((chunk, bucket[0], _squeeze(values, which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())))
+        keys, counts, entries = _bucket_grams(blobs)
+        trie = Trie.build(keys[counts > 0], counts[counts > 0], low, least)
+        codes = trie.code(keys >> np.uint64(8) & MASKS[ORDER], (keys >> np.uint64(56)).astype(np.int64), keys & np.uint64(255))
+        del trie
+        all_values, value_of = np.unique(codes, return_inverse=True)  # equal counts have equal codes
+        out = []
+        for chunk, own in zip(chunk_of, entries, strict=True):
+            values, which = np.unique(value_of[own], return_inverse=True)
+            packed = (all_values[values], which.astype("<u4"))
+            out.append((chunk, bucket[0], _squeeze(*[a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in packed])))
         return pa.Table.from_batches([_rows(out, WORDS)])
 
+    def unpacked(data: bytes, kind: str) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
     def per_chunk(table: pa.Table) -> pa.Table:
         blobs = dict(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True))
         ids, known, held, stream = _expand(blobs.pop(TEXTS), ["<i8", "?", "?", "u1"])
@@ -408,19 +502,24 @@ def score_documents(
         base = np.log10((counts + SMOOTHING) / divisor)
         owner = np.repeat(np.arange(len(ids)), per_text)
         summed = lambda each: np.bincount(owner, weights=each[number], minlength=len(ids))
-        keys, which, symbols = _grams(stream, across_words)
-        order, spans = _dealt(keys, buckets)
+        known_words, base_score = summed(counts > 0), summed(base)
+        del words, number, owner
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for k, _, _ in _gram_blocks(stream, across_words)]]))
+        order, spans = _dealt(keys, buckets, hot)
         codes = np.zeros(len(keys))
         for k, a, b in spans:
-            values, index = _expand(blobs[buckets + k], ["<f8", "bytes"])
-            codes[order[a:b]] = values[np.ascontiguousarray(np.frombuffer(index, np.uint8).reshape(4, -1).T).view("<u4").ravel()]
+            values, index = _expand(blobs.pop(buckets + k), ["bytes", "bytes"])
+            codes[order[a:b]] = unpacked(values, "<f8")[unpacked(index, "<u4")]
+        del order
+        score = np.zeros(len(ids))
+        for found, which, text in _gram_blocks(stream, across_words):
+            score += np.bincount(text, weights=codes[_find(keys, found)][which], minlength=len(ids))
         return pa.table(
-            [pa.array(ids, mask=~known), pa.array(held), pa.array(per_text + 1), pa.array(summed(counts > 0).astype(np.int64) + (ends > 0)),
-             pa.array(np.full(len(ids), tokens, np.int64)), pa.array(summed(base) + np.log10((ends + SMOOTHING) / divisor)),
-             pa.array(np.add.reduceat(codes[which], bounds(symbols)[:-1]))],
+            [pa.array(ids, mask=~known), pa.array(held), pa.array(per_text + 1), pa.array(known_words.astype(np.int64) + (ends > 0)),
+             pa.array(np.full(len(ids), tokens, np.int64)), pa.array(base_score + np.log10((ends + SMOOTHING) / divisor)), pa.array(score)],
             names=[c.split()[0] for c in SCORED.split(", ")],
         )
 
-    answers = map_groups(chunked.where("bucket >= 0"), "bucket", per_bucket, WORDS)
+    answers = map_groups(chunked.where(F.col("bucket") >= buckets), "bucket", code_grams, WORDS)
     texts = chunked.where(F.col("bucket") == TEXTS)
-    return map_groups(answers.unionByName(texts), "chunk", per_chunk, SCORED)
+    return map_groups(answers.unionByName(counted.select(*texts.columns)).unionByName(texts), "chunk", per_chunk, SCORED)

@@ -3,6 +3,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from buslens.llm import ppm
@@ -82,8 +83,6 @@ def test_trie_is_bounded_and_still_a_distribution(spark, sf_dir):
 
 
 def test_probabilities_sum_to_one():
-    import numpy as np
-
     keys, counts = ppm._gram_counts([b"the", b"then", b"an"], np.array([5, 2, 3]))
     trie = ppm.Trie.build(keys, counts)
     symbols = np.array([s for s in range(256) if s not in (9, 11, 12, 13)], np.uint64)
@@ -148,3 +147,31 @@ def test_every_count_is_kept_unless_bounded(spark):
     rows = [(1, "abcdefg hijklmn " * 1_500), (2, "abcdefg hijklmn")]
     whole, none = ({r.doc_id: r.score for r in score_documents(spark.createDataFrame(rows, DOCS), bound).collect()} for bound in (None, 1))
     assert none[1] < 5 * whole[1]  # counts above 1,000 are bounded like others
+
+
+@pytest.mark.parametrize("across", [True, False])
+def test_blocks_join_to_the_whole(monkeypatch, across):
+    texts, counts = [b"the cat sat", b"", b"a", b"on the mat of the cat"] * 3, np.arange(1, 13)
+    whole = ppm._gram_counts(texts, counts, across)
+    for block in (1, 5, 16):
+        monkeypatch.setattr(ppm, "BLOCK", block)
+        for one, other in zip(whole, ppm._gram_counts(texts, counts, across), strict=True):
+            assert one.tolist() == other.tolist()
+
+
+def test_hot_contexts_change_the_layout_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = [(r.text or "").encode() for r in docs.limit(60).collect()]
+    keys, counts = ppm._gram_counts(texts, np.ones(len(texts)))
+    hot = ppm._hot_contexts(docs, 0, True)
+    assert len(hot) and set((hot >> np.uint64(48)).tolist()) >= {2, 3}
+    whole = ppm.Trie.build(keys, counts)
+    code = lambda trie, k: trie.code(k >> np.uint64(8) & ppm.MASKS[ppm.ORDER], (k >> np.uint64(56)).astype(int), k & np.uint64(255))
+    low = ppm._short_grams(keys, counts, hot)
+    order, spans = ppm._dealt(keys, 32, hot)
+    assert sorted(order.tolist()) == list(range(len(keys)))
+    for _, a, b in spans:
+        own = order[a:b]
+        assert code(ppm.Trie.build(keys[own], counts[own], low), keys[own]) == pytest.approx(code(whole, keys[own]), rel=1e-12)
+    largest = [max(b - a for _, a, b in ppm._dealt(keys, 1 << 16, h)[1]) for h in (hot, hot[:0])]
+    assert largest[0] < largest[1] / 2
