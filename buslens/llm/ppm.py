@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import bounds, chunks, equal_spans, map_batches, map_groups, quoted
+from buslens.llm.tasks import chunks, equal_spans, map_batches, map_groups, quoted
 from buslens.llm.wordhash import SPACE_BYTES, word_hashes
 from buslens.scale import materialise
 
@@ -56,7 +56,7 @@ SMOOTHING = 0.1
 # The marks behind a word and behind a text, and how many bytes there are besides white space.
 WORD_END, TEXT_END, ALPHABET = 0x20, 0x0A, 250 + 2
 # Bytes of a chunk, which sends each gram once, and of the blocks it is cut into, which bound what is in memory.
-CHUNK, BLOCK = 24 << 20, 2 << 20
+CHUNK, BLOCK = 16 << 20, 2 << 20
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
 # Rows of a chunk besides its buckets: texts, and counts behind the shortest contexts.
 TEXTS, LOW = -1, -2
@@ -125,9 +125,13 @@ def _begins(stream: np.ndarray) -> np.ndarray:
 
 def _words(stream: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, the number of each word in turn, and how many words each text has."""
-    space = stream == WORD_END
-    per_text = np.diff(bounds(space)[np.r_[0, np.flatnonzero(stream == TEXT_END) + 1]]) - 1
-    body = stream[~_begins(stream) & (stream != TEXT_END)]
+    spaces = np.searchsorted(np.flatnonzero(stream == WORD_END), np.flatnonzero(stream == TEXT_END))
+    per_text = np.diff(spaces, prepend=0) - 1
+    marks = stream == TEXT_END
+    marks[1:] |= marks[:-1]
+    marks[:1] = True
+    body = stream[~marks]
+    del marks
     offsets = np.r_[0, np.flatnonzero(body == WORD_END) + 1].astype(np.int64)
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
     coded = pc.dictionary_encode(found)
@@ -150,9 +154,15 @@ def _chunk_rows(part: pa.RecordBatch, chunk: int, buckets: int, across: bool, ho
         steps = np.diff(by[a:b], prepend=0).astype("<i4")
         rows.append((chunk, int(bucket[by[a]]), _squeeze(b"\n".join([words[k] for k in by[a:b]]), steps, train[by[a:b]])))
     del words, number, hashes, bucket, by
-    found = [(k, np.bincount(which[~held[owner]], minlength=len(k))) for k, which, owner in _gram_blocks(stream, across)]
-    keys, trained = _summed([k for k, _ in found], [n for _, n in found])
-    del found
+    found = []
+    for key, owner in _gram_blocks(stream, across):
+        out = held[owner]
+        found += [_runs(key[~out]), (_runs(key[out])[0], 0)]
+    keys = _distinct([k for k, _ in found])
+    trained = np.zeros(len(keys), "<i8")
+    for k, n in found:
+        trained[np.searchsorted(keys, k)] += n
+    del found, stream
     order, spans = _dealt(keys, buckets, hot)
     for k, a, b in spans:
         rows.append((chunk, buckets + k, _squeeze(_steps(keys[order[a:b]]), trained[order[a:b]])))
@@ -171,8 +181,10 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append(part)
             size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
             if size >= CHUNK:
-                yield joined()
+                whole = joined()
                 parts, size = [], 0
+                yield whole
+                del whole
     if parts:
         yield joined()
 
@@ -191,8 +203,8 @@ def _hot_contexts(docs: DataFrame, size: int, across: bool) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _gathered(batches):
-            for keys, which, _ in _gram_blocks(_stream(part.column("text")), across):
-                many = np.bincount(which, minlength=len(keys))
+            for key, _ in _gram_blocks(_stream(part.column("text")), across):
+                keys, many = _runs(key)
                 yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([many.sum()])], ["context", "n"])
                 for k in HOT_SIZES:
                     at = keys >> np.uint64(56) >= k
@@ -238,8 +250,10 @@ def _contexts(stream: np.ndarray, across: bool, begin: int = 0) -> tuple[np.ndar
     reach = np.minimum(since[at - 1] + 1, ORDER)
     del place, since
     context = np.zeros(len(stream), np.uint64)
-    for back in range(1, min(ORDER, len(stream) - 1) + 1):
-        context[back:] |= stream[:-back].astype(np.uint64) << np.uint64(8 * (back - 1))
+    context[1:] = stream[:-1]
+    # Each step doubles the bytes, up to more than ORDER of them; MASKS cut the rest.
+    for bytes_ in (1, 2, 4):
+        context[bytes_:] |= context[:-bytes_] << np.uint64(8 * bytes_)
     return at, stream[at].astype(np.uint64), reach, context[at] & MASKS[reach]
 
 
@@ -248,23 +262,30 @@ def _cut_context(context: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     return (context & MASKS[size]) | np.asarray(size).astype(np.uint64) << np.uint64(48)
 
 
-def _gram_blocks(stream: np.ndarray, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By block: distinct symbols behind their longest contexts, the number and the text of each symbol in turn."""
+def _gram_blocks(stream: np.ndarray, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By block: each symbol behind its longest context, as a key, and the number of its text."""
     ends = np.flatnonzero(stream == TEXT_END)
     for begin in range(0, len(stream), BLOCK):
         low = max(0, begin - ORDER - 1)
         at, symbol, reach, context = _contexts(stream[low : begin + BLOCK], across, begin - low)
-        coded = pc.dictionary_encode(pa.array(_cut_context(context, reach) << np.uint64(8) | symbol))
-        del symbol, reach, context
-        owner = np.searchsorted(ends, at + low)
-        yield coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), owner
+        yield _cut_context(context, reach) << np.uint64(8) | symbol, np.searchsorted(ends, at + low)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+    return values[first], np.diff(first, append=len(values))
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    return _runs(np.concatenate([np.zeros(0, np.uint64), *parts]))[0]
 
 
 def _gram_counts(texts: list[bytes], counts: np.ndarray, across: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Grams of texts that occur ``counts`` times, and how often each occurs."""
-    blocks = _gram_blocks(_stream(pa.array(texts, pa.large_binary())), across)
-    found = [(keys, np.bincount(which, weights=counts[owner], minlength=len(keys))) for keys, which, owner in blocks]
-    return _summed([k for k, _ in found], [n for _, n in found])
+    blocks = list(_gram_blocks(_stream(pa.array(texts, pa.large_binary())), across))
+    return _summed([keys for keys, _ in blocks], [counts[owner] for _, owner in blocks])
 
 
 def _cut_grams(keys: np.ndarray, counts: np.ndarray, sizes: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -277,12 +298,16 @@ def _cut_grams(keys: np.ndarray, counts: np.ndarray, sizes: Iterable[int]) -> tu
 def _short_grams(keys: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the symbols behind contexts of ``LOW_SIZES`` and behind hot ones, ascending."""
     size, context, symbol = keys >> np.uint64(56), keys >> np.uint64(8), keys & np.uint64(255)
-    found = []
+    found, at = [], np.arange(len(keys))
     for k in (*LOW_SIZES, *HOT_SIZES):
-        own = np.arange(1 << 8 * k, dtype=np.uint64) | np.uint64(k << 48) if k in LOW_SIZES else hot[hot >> np.uint64(48) == k]
-        at = np.flatnonzero(size >= k)
-        place = _find(own, _cut_context(context[at], k))
-        at, place = at[place >= 0], place[place >= 0]
+        at = at[size[at] >= k]
+        if k in LOW_SIZES:
+            own = np.arange(1 << 8 * k, dtype=np.uint64) | np.uint64(k << 48)
+            place = (context[at] & MASKS[k]).astype(np.int64)
+        else:  # a hot context ends in a hot one, so the others need not be looked at again
+            own = hot[hot >> np.uint64(48) == k]
+            place = _find(own, _cut_context(context[at], k))
+            at, place = at[place >= 0], place[place >= 0]
         n = np.bincount(place << 8 | symbol[at].astype(np.int64), weights=counts[at], minlength=len(own) << 8)
         seen = np.flatnonzero(n)
         found.append((own[seen >> 8] << np.uint64(8) | (seen & 255).astype(np.uint64), n[seen].astype(np.int64)))
@@ -336,9 +361,12 @@ def _low_counts(chunked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _bucket_grams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct grams of a bucket, their training counts, and the number of each entry of each blob."""
     parts = [_gram_blob(b) for b in blobs]
-    keys, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.bincount(which, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
-    return keys, counts, np.split(which, np.cumsum([len(p[0]) for p in parts])[:-1])
+    keys = _distinct([p[0] for p in parts])
+    counts, entries = np.zeros(len(keys), np.int64), []
+    for own, n in parts:  # each has a gram once
+        entries.append(np.searchsorted(keys, own))
+        counts[entries[-1]] += n
+    return keys, counts, entries
 
 
 def _least_count(chunked: DataFrame, buckets: int, low: tuple[np.ndarray, np.ndarray], bound: int) -> int:
@@ -504,7 +532,7 @@ def score_documents(
         summed = lambda each: np.bincount(owner, weights=each[number], minlength=len(ids))
         known_words, base_score = summed(counts > 0), summed(base)
         del words, number, owner
-        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for k, _, _ in _gram_blocks(stream, across_words)]]))
+        keys = _distinct([_runs(key)[0] for key, _ in _gram_blocks(stream, across_words)])
         order, spans = _dealt(keys, buckets, hot)
         codes = np.zeros(len(keys))
         for k, a, b in spans:
@@ -512,8 +540,10 @@ def score_documents(
             codes[order[a:b]] = unpacked(values, "<f8")[unpacked(index, "<u4")]
         del order
         score = np.zeros(len(ids))
-        for found, which, text in _gram_blocks(stream, across_words):
-            score += np.bincount(text, weights=codes[_find(keys, found)][which], minlength=len(ids))
+        for key, text in _gram_blocks(stream, across_words):
+            coded = pc.dictionary_encode(pa.array(key))
+            own = codes[np.searchsorted(keys, coded.dictionary.to_numpy(zero_copy_only=False))]
+            score += np.bincount(text, weights=own[coded.indices.to_numpy(zero_copy_only=False)], minlength=len(ids))
         return pa.table(
             [pa.array(ids, mask=~known), pa.array(held), pa.array(per_text + 1), pa.array(known_words.astype(np.int64) + (ends > 0)),
              pa.array(np.full(len(ids), tokens, np.int64)), pa.array(base_score + np.log10((ends + SMOOTHING) / divisor)), pa.array(score)],
