@@ -56,8 +56,10 @@ SMOOTHING = 0.1
 # The marks behind a word and behind a text, and how many bytes there are besides white space.
 WORD_END, TEXT_END, ALPHABET = 0x20, 0x0A, 250 + 2
 # Bytes of a chunk, which sends each gram once, and of the blocks it is cut into, which bound what is in memory.
-CHUNK, BLOCK = 16 << 20, 2 << 20
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
+CHUNK, BLOCK = 24 << 20, 1 << 20
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 128
+# Bits of a code length that do not travel: the relative error of a score stays below 2 ** -33.
+CUT_BITS = 20
 # Rows of a chunk besides its buckets: texts, and counts behind the shortest contexts.
 TEXTS, LOW = -1, -2
 LOW_SIZES, HIGH_SIZES, HOT_SIZES = (0, 1), range(2, ORDER + 1), range(2, ORDER)
@@ -278,8 +280,14 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(first, append=len(values))
 
 
-def _distinct(parts: list[np.ndarray]) -> np.ndarray:
-    return _runs(np.concatenate([np.zeros(0, np.uint64), *parts]))[0]
+def _distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """Distinct keys of all parts, ascending; few parts are held at once."""
+    held = [np.zeros(0, np.uint64)]
+    for part in parts:
+        held.append(part)
+        if len(held) > 8:
+            held = [_runs(np.concatenate(held))[0]]
+    return _runs(np.concatenate(held))[0]
 
 
 def _gram_counts(texts: list[bytes], counts: np.ndarray, across: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -289,10 +297,13 @@ def _gram_counts(texts: list[bytes], counts: np.ndarray, across: bool = True) ->
 
 
 def _cut_grams(keys: np.ndarray, counts: np.ndarray, sizes: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the symbols behind contexts of these sizes."""
-    cut = [keys >> np.uint64(56) >= size for size in sizes]
-    shorter = [_cut_context(keys[at] >> np.uint64(8), size) << np.uint64(8) | keys[at] & np.uint64(255) for at, size in zip(cut, sizes, strict=True)]
-    return _summed(shorter, [counts[at] for at in cut])
+    """Counts of the symbols behind contexts of these sizes, which ascend, as the keys of the result do."""
+    found = []
+    for size in sizes:
+        at = keys >> np.uint64(56) >= size
+        own = keys[at]
+        found.append(_summed([_cut_context(own >> np.uint64(8), size) << np.uint64(8) | own & np.uint64(255)], [counts[at]]))
+    return np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
 
 
 def _short_grams(keys: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -507,6 +518,7 @@ def score_documents(
         trie = Trie.build(keys[counts > 0], counts[counts > 0], low, least)
         codes = trie.code(keys >> np.uint64(8) & MASKS[ORDER], (keys >> np.uint64(56)).astype(np.int64), keys & np.uint64(255))
         del trie
+        codes = ((codes.view(np.int64) + (1 << CUT_BITS - 1)) >> CUT_BITS << CUT_BITS).view(np.float64)
         all_values, value_of = np.unique(codes, return_inverse=True)  # equal counts have equal codes
         out = []
         for chunk, own in zip(chunk_of, entries, strict=True):
@@ -524,7 +536,8 @@ def score_documents(
         ids, known, held, stream = _expand(blobs.pop(TEXTS), ["<i8", "?", "?", "u1"])
         words, number, per_text = _words(stream)
         counts = np.zeros(len(words), np.int64)
-        for steps, c in (_expand(b, ["<i4", "<i8"]) for k, b in blobs.items() if k < buckets):
+        for k in [k for k in blobs if k < buckets]:
+            steps, c = _expand(blobs.pop(k), ["<i4", "<i8"])
             counts[np.cumsum(steps)] = c
         divisor = tokens + SMOOTHING * (distinct + 1)
         base = np.log10((counts + SMOOTHING) / divisor)
@@ -532,7 +545,7 @@ def score_documents(
         summed = lambda each: np.bincount(owner, weights=each[number], minlength=len(ids))
         known_words, base_score = summed(counts > 0), summed(base)
         del words, number, owner
-        keys = _distinct([_runs(key)[0] for key, _ in _gram_blocks(stream, across_words)])
+        keys = _distinct(_runs(key)[0] for key, _ in _gram_blocks(stream, across_words))
         order, spans = _dealt(keys, buckets, hot)
         codes = np.zeros(len(keys))
         for k, a, b in spans:
