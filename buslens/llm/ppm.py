@@ -56,7 +56,7 @@ SMOOTHING = 0.1
 # The marks behind a word and behind a text, and how many bytes there are besides white space.
 WORD_END, TEXT_END, ALPHABET = 0x20, 0x0A, 250 + 2
 # Bytes of a chunk, which sends each gram once, and of the blocks it is cut into, which bound what is in memory.
-CHUNK, BLOCK = 24 << 20, 1 << 20
+CHUNK, BLOCK = 16 << 20, 1 << 20
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 128
 # Bits of a code length that do not travel: the relative error of a score stays below 2 ** -33.
 CUT_BITS = 20
@@ -334,7 +334,7 @@ def _dealt(keys: np.ndarray, buckets: int, hot: np.ndarray) -> tuple[np.ndarray,
         hot_at = hot_at[(size[hot_at] > k) & (_find(hot, dealt[hot_at]) >= 0)]
         dealt[hot_at] = _cut_context(context[hot_at], k + 1)
     bucket = ((dealt * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")  # short numbers sort faster
     return order, [(int(bucket[order[a]]), a, b) for a, b in equal_spans(bucket[order])]
 
 
@@ -554,9 +554,10 @@ def score_documents(
         del order
         score = np.zeros(len(ids))
         for key, text in _gram_blocks(stream, across_words):
-            coded = pc.dictionary_encode(pa.array(key))
-            own = codes[np.searchsorted(keys, coded.dictionary.to_numpy(zero_copy_only=False))]
-            score += np.bincount(text, weights=own[coded.indices.to_numpy(zero_copy_only=False)], minlength=len(ids))
+            by_key = np.argsort(key)
+            found, many = _runs(key[by_key])
+            own = np.repeat(codes[np.searchsorted(keys, found)], many)
+            score += np.bincount(text[by_key], weights=own, minlength=len(ids))
         return pa.table(
             [pa.array(ids, mask=~known), pa.array(held), pa.array(per_text + 1), pa.array(known_words.astype(np.int64) + (ends > 0)),
              pa.array(np.full(len(ids), tokens, np.int64)), pa.array(base_score + np.log10((ends + SMOOTHING) / divisor)), pa.array(score)],
