@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import chunks, equal_spans, map_batches, map_groups, quoted
+from buslens.llm.tasks import chunks, equal_spans, map_batches, map_groups, quoted, release_memory
 from buslens.llm.wordhash import SPACE_BYTES, word_hashes
 from buslens.scale import materialise
 
@@ -196,6 +196,7 @@ def _chunked(docs: DataFrame, buckets: int, across: bool, hot: np.ndarray) -> Da
         task = TaskContext.get().partitionId()
         for n, part in enumerate(_gathered(batches)):
             yield _rows(_chunk_rows(part, task << 32 | n, buckets, across, hot), WORDS)
+            release_memory()
 
     return map_batches(docs, work, WORDS)
 
