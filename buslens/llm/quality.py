@@ -7,10 +7,9 @@ logarithm of their smoothed ratio. The score of a document is the mean weight of
 its n-grams, so it does not depend on the length. Every document is kept or
 rejected by one threshold: the one that best separates the labelled rows.
 
-All of it is DataFrame expressions. The corpus counts cover all documents; only
-the trusted rows and the rows that set the threshold are bounded samples
-(``LABELLED`` of each class, by the smallest hash of the id). What the scoring
-receives is one array of ``BUCKETS`` weights.
+All of it is DataFrame expressions. The corpus counts cover all documents, the
+trusted counts and the threshold all labelled ones. What the scoring receives is
+one array of ``BUCKETS`` weights.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null id is scored like any other; repeated rows are counted and returned each;
@@ -26,14 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buslens.llm.tasks import quoted
-from buslens.scale import materialise
+from buslens.scale import fits_broadcast, lookup_join, materialise
 
 # What separates words, and the symbols that are counted.
 SPACE, WORD, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-LABELLED = 20_000
 # Steps of the score between which the threshold is chosen, and its bounds.
 STEP, BOUND = 0.002, 8.0
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
@@ -96,34 +94,40 @@ def mean_weight(words: Column, weights: Column) -> Column:
     return total / F.greatest(2 * F.size(words) - 1, F.lit(1))
 
 
-def labelled_sample(labels: DataFrame, rows: int = LABELLED) -> DataFrame:
-    """``doc_id, good`` for at most ``rows`` trusted and ``rows`` poor documents."""
+def labelled_documents(labels: DataFrame) -> DataFrame:
+    """``doc_id, good`` of every trusted and every poor document; one labelled as both is neither."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     poor = F.col("quality") == 0
     each = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(good).alias("good"), F.max(poor).alias("poor"))
-    pick = lambda own: each.where(own).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    trusted = pick(F.col("good") & ~F.col("poor")).select("doc_id", F.lit(True).alias("good"))
-    rejected = pick(F.col("poor") & ~F.col("good")).select("doc_id", F.lit(False).alias("good"))
-    return materialise(trusted.unionByName(rejected), "labelled")
+    return materialise(each.where(F.col("good") != F.col("poor")).select("doc_id", "good"), "labelled")
 
 
-def bucket_weights(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """One row: ``weights``, an array of the weights of all ``BUCKETS`` in order.
+labelled_sample = labelled_documents  # its name when it was a sample
 
-    One pass over all documents counts both multinomials; tasks send at most
-    one row per bucket.
-    """
-    trusted = sample.where("good")
-    marked = docs.join(F.broadcast(trusted), "doc_id", "left")  # at most LABELLED rows
-    words = marked.select("good", words_of(F.col("text")).alias("words"))
-    each = words.select("good", "words", F.posexplode("words").alias("at", "word"))
+
+def labelled_texts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The labelled rows of ``docs`` with ``good``. Ids too many to broadcast move the texts, once for all that read them."""
+    fits = fits_broadcast(labelled)
+    found = lookup_join(docs, labelled, ["doc_id"], "inner", small_fits=fits)
+    return found if fits else materialise(found, "labelled-texts")
+
+
+def _bucket_counts(docs: DataFrame, name: str) -> DataFrame:
+    """``bucket`` and how many words and pairs of ``docs`` fall into it; tasks send at most one row per bucket."""
+    each = docs.select(words_of(F.col("text")).alias("words")).select("words", F.posexplode("words").alias("at", "word"))
     pair = F.when(F.col("at") > 0, _bucket(F.get("words", F.col("at") - 1), F.col("word")))
-    counts = (
-        each.select("good", F.explode(F.array(_bucket(F.col("word")), pair)).alias("bucket"))
-        .where("bucket is not null")
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
-    )
+    grams = each.select(F.explode(F.array(_bucket(F.col("word")), pair)).alias("bucket")).where("bucket is not null")
+    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+
+
+def bucket_weights(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """One row: ``weights``, an array of the weights of all ``BUCKETS`` in order, given ``labelled_documents``."""
+    return _weights(docs, labelled_texts(docs, labelled))
+
+
+def _weights(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    raw, target = _bucket_counts(docs, "raw"), _bucket_counts(texts.where("good"), "target")
+    counts = raw.join(target, "bucket", "left")
     everything = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     filled = everything.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     gathered = filled.agg(
@@ -169,10 +173,9 @@ def _base_failed(measured: Column) -> Column:
     return (n < LEAST_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * n)
 
 
-def choose_threshold(docs: DataFrame, sample: DataFrame, weights: DataFrame) -> float:
-    """The score step that best separates the labelled rows that pass the base rules."""
-    labelled = docs.join(F.broadcast(sample), "doc_id")  # at most 2 * LABELLED ids
-    labelled = _with_measures(labelled.select("good", "text"), weights).where("NOT m.base_failed")
+def choose_threshold(texts: DataFrame, weights: DataFrame) -> float:
+    """The score step that best separates the ``labelled_texts`` that pass the base rules."""
+    labelled = _with_measures(texts.select("good", "text"), weights).where("NOT m.base_failed")
     score = F.col("m.score")
     step = F.floor(F.least(F.greatest(score, F.lit(-BOUND)), F.lit(BOUND)) / STEP)
     found = labelled.groupBy(step.alias("step")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("poor"))
@@ -200,13 +203,13 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """
     doc_id, text = F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text_column)).cast("string").alias("text")
     rows = docs.select(doc_id, text)
-    sample = labelled_sample(labels)
-    weights = bucket_weights(rows, sample)
+    texts = labelled_texts(rows, labelled_documents(labels))
+    weights = _weights(rows, texts)
     extra = ["row"] if whole_rows else []
     source = docs.select(*[F.struct("*").alias(name) for name in extra], doc_id, text)
     measured = _with_measures(source, weights)
     scored = measured.select(*extra, "doc_id", "m.*")
-    threshold = choose_threshold(rows, sample, weights)
+    threshold = choose_threshold(texts, weights)
     decided = scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
     counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
     return decided.select(*extra, "doc_id", *counted)

@@ -4,8 +4,10 @@ import re
 
 import pytest
 import xxhash
+from buslens import scale
 from buslens.llm import quality
 from buslens.llm.quality import bucket_weights, labelled_sample, verdicts
+from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS, ODD_DOCUMENTS, with_clashes
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -116,3 +118,24 @@ def test_every_text_is_measured_once(spark, sf_dir, monkeypatch):
     below = threshold_plans[0].split("BroadcastHashJoin")[1]
     assert "regexp_extract_all" not in below and "bucket_weights" not in below
     spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_every_labelled_row_counts(spark, monkeypatch, most):
+    """More trusted and poor rows than any bound there was, with ids broadcast and with texts moved."""
+    n = 22_000
+    monkeypatch.setattr(quality, "fits_broadcast", lambda df: scale.fits_broadcast(df, most))
+    ids = spark.range(2 * n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    found = quality.labelled_documents(ids.unionByName(ids.where("doc_id < 100")))
+    assert (found.where("good").count(), found.where("NOT good").count()) == (n, n)
+    docs = found.select("doc_id", F.concat(F.lit("w"), (F.col("doc_id") % 3).cast("string")).alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 4"))
+    weights = bucket_weights(docs, found).first().weights
+    raw = {k: sum(d % 3 == k for d in [*range(2 * n), *range(4)]) for k in range(3)}
+    target = {k: sum(d % 3 == k and d % 2 == 1 for d in [*range(2 * n), *range(4)]) for k in range(3)}
+    smooth = lambda x, total: math.log((x + 0.5) / (total + 0.5 * quality.BUCKETS))
+    for k in range(3):
+        want = smooth(target[k], n + 2) - smooth(raw[k], 2 * n + 4)
+        assert weights[bucket(f"w{k}")] == pytest.approx(want, abs=1e-9)
+    texts = quality.labelled_texts(docs, found)
+    assert collections.Counter(r.good for r in texts.collect()) == {True: n + 2, False: n + 2}
