@@ -9,7 +9,7 @@ from buslens.operators.decode import signals_long
 from buslens.operators.normalise import normalise
 from buslens.plans.event_frames import event_catalogue, event_frames, pack_events, read_events, stream_events
 from buslens.plans.queries import RULES, query
-from buslens.scale import scratch_path
+from buslens.scale import folders, scratch_path
 from buslens.schemas import CATALOGUE, RULE
 from buslens.sinks import sinks
 from buslens.sinks.files import TextSink
@@ -24,6 +24,8 @@ from buslens.streaming.monitor import SPAN_KEYS, live_spans, span_gaps, without_
 LEAST_SECONDS, MOST_AGE = 600.0, 1800.0
 QUARTILES, RANK_ERROR = (0.25, 0.5, 0.75), 0.03
 PARTS_LANDED, COPY_DELAY = 4, "20 days"
+# Rows of a landed file, so that tasks read and write a part together.
+LANDED_ROWS = 250_000
 # Message, signal, start, length, signed, selector, its value. Byte 7 is the low byte of the event's number.
 TREE = [
     (291, "Kind", 56, 1, False, None, None),
@@ -84,6 +86,24 @@ def query_stream_silences(spark, sf_dir):
     return spark.read.parquet(path).select(*SPAN_KEYS, "frames", "first_timestamp", "last_timestamp", F.unix_micros("silent_from").alias("silent_from"))
 
 
+def landed_files(events, parts):
+    """How many files each of so many parts of the events lands as."""
+    return max(1, -(-events.count() // (parts * LANDED_ROWS)))
+
+
+def land(rows, landing, files):
+    """Land a part as exactly so many files, so that as many of them per trigger are this part."""
+    before = landed(rows, landing)
+    (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(landing)
+    # A task without rows writes no file, but for the first.
+    for _ in range(files - (landed(rows, landing) - before)):
+        rows.limit(0).coalesce(1).write.mode("append").parquet(landing)
+
+
+def landed(rows, landing):
+    return sum(name.endswith(".parquet") for name in folders(rows.sparkSession, landing))
+
+
 @query("stream_without_duplicates")
 def query_stream_without_duplicates(spark, sf_dir):
     """Every error frame lands a second time with the next part; the run is stopped and started between parts."""
@@ -168,12 +188,13 @@ class UnsteadySink(TextSink):
 def query_stream_sink_catches_up(spark, sf_dir):
     """One of two sinks fails twice; in the end both have all batches, numbered on as if it had not."""
     landing, path = scratch_path(spark, "landing"), scratch_path(spark, "unsteady")
-    raw = pack_events(read_events(spark, sf_dir))
+    events = read_events(spark, sf_dir)
+    raw, files = pack_events(events), landed_files(events, PARTS_LANDED)
     part = F.least(F.floor((F.dayofmonth(F.to_date("capture_id")) - 1) / 8), F.lit(PARTS_LANDED - 1))
     for k in range(PARTS_LANDED):
-        raw.where(part == k).coalesce(1).write.mode("append").parquet(landing)
+        land(raw.where(part == k), landing, files)
     targets = {"txt": UnsteadySink(f"{path}/txt", event_catalogue(spark)), "parquet": sinks.create("parquet", path=f"{path}/parquet")}
-    frames = normalise(stream_raw(spark, landing, maxFilesPerTrigger=1))
+    frames = normalise(stream_raw(spark, landing, maxFilesPerTrigger=files))
     run = start_capture(frames, targets, checkpoint=f"{path}/state", trigger={"availableNow": True}, fail_on_error=False)
     run.wait()
     lines = spark.read.schema("value string, batch_id int, capture_id string").format("text").load(f"{path}/txt")

@@ -11,6 +11,8 @@ from buslens import scale
 from buslens.operators import limits, quality, rules
 from buslens.operators.decode import signals_long
 from buslens.operators.normalise import normalise
+from buslens.plans import live_queries
+from buslens.plans.event_frames import event_frames
 from buslens.schemas import RAW_FRAME, RULE
 from buslens.sinks import sinks
 from buslens.sources.frames import read_capture, stream_raw
@@ -173,3 +175,32 @@ def test_payload_lengths(spark, make_raw):
     assert sorted(r.seq for r in quality.valid_frames(frames, classic=True).collect()) == list(range(9))
     reasons = {r.seq: r.reasons for r in quality.quarantined_frames(frames).collect()}
     assert reasons[13] == ["no length of a frame"] and reasons[65] == ["payload too long"]
+
+
+def test_landed_parts_are_batches_of_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live_queries, "LANDED_ROWS", 10)
+    files = live_queries.landed_files(spark.range(100), 2)
+    assert files == 5 and live_queries.landed_files(spark.range(0), 2) == 1
+    landing, seen = str(tmp_path / "landing"), []
+    for rows in (60, 0, 3):
+        live_queries.land(spark.range(rows), landing, files)
+    full = {r.name for r in spark.read.parquet(landing).select(F.col("_metadata.file_name").alias("name")).where("id >= 3").collect()}
+    assert len(full) == files  # one task did all of a part before
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", files).parquet(landing)
+    run = stream.writeStream.foreachBatch(lambda batch, _: seen.append(batch.count())).option("checkpointLocation", str(tmp_path / "state"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    assert seen == [60, 0, 3]
+
+
+@pytest.mark.parametrize("name", ["stream_sink_catches_up"])
+def test_captures_landed_in_many_files(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(live_queries, "LANDED_ROWS", 40)
+    landings = []
+    write = live_queries.land
+    monkeypatch.setattr(live_queries, "land", lambda rows, landing, files: (landings.append((landing, files)), write(rows, landing, files)))
+    found = live_queries.__dict__[f"query_{name}"](spark, sf_dir)
+    assert all(files > 1 for _, files in landings)
+    assert live_queries.landed(found, landings[0][0]) == sum(files for _, files in landings)
+    frames = event_frames(spark, sf_dir)
+    by = ["capture_id"] if name == "stream_sink_catches_up" else ["capture_id", "seq"]
+    assert sorted(map(tuple, found.select(*by).collect())) == sorted(map(tuple, frames.select(*by).collect()))
