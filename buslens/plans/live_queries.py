@@ -108,13 +108,14 @@ def landed(rows, landing):
 def query_stream_without_duplicates(spark, sf_dir):
     """Every error frame lands a second time with the next part; the run is stopped and started between parts."""
     landing, path, state = (scratch_path(spark, name) for name in ("landing", "distinct", "distinct-state"))
-    raw = pack_events(read_events(spark, sf_dir))
+    events = read_events(spark, sf_dir)
+    raw, files = pack_events(events), landed_files(events, PARTS_LANDED)
     part = F.least(F.floor((F.dayofmonth(F.to_date("capture_id")) - 1) / 8), F.lit(PARTS_LANDED - 1))
     for k in range(PARTS_LANDED):
         copies = raw.where((part == k - 1) & (F.col("can_id_dec") == 1110)).withColumn("seq", F.col("seq") + 1_000_000_000)
-        raw.where(part == k).unionByName(copies).coalesce(1).write.mode("append").parquet(landing)
+        land(raw.where(part == k).unionByName(copies), landing, files)
         if k % 2:
-            frames = normalise(stream_raw(spark, landing, maxFilesPerTrigger=1))
+            frames = normalise(stream_raw(spark, landing, maxFilesPerTrigger=files))
             run_to_table(without_live_copies(frames, COPY_DELAY), path, checkpoint=state)
     return spark.read.parquet(path).select("capture_id", "seq", "can_id", "data_hex")
 
