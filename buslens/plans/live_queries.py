@@ -206,11 +206,12 @@ def query_stream_sink_catches_up(spark, sf_dir):
 def query_store_compacted(spark, sf_dir):
     """Batches folded into the store in three runs, the second of which stops before and after its frames are written."""
     landing, live, root = (scratch_path(spark, name) for name in ("landing", "live", "compacted"))
-    raw = pack_events(read_events(spark, sf_dir))
+    events = read_events(spark, sf_dir)
+    raw, files = pack_events(events), landed_files(events, 2 * PARTS_LANDED)
     for k in range(2 * PARTS_LANDED):
-        raw.where(F.col("seq") % (2 * PARTS_LANDED) == k).coalesce(1).write.mode("append").parquet(landing)
+        land(raw.where(F.col("seq") % (2 * PARTS_LANDED) == k), landing, files)
         if k % PARTS_LANDED == PARTS_LANDED - 1:
-            frames = normalise(stream_raw(spark, landing, maxFilesPerTrigger=1))
+            frames = normalise(stream_raw(spark, landing, maxFilesPerTrigger=files))
             start_capture(frames, {"parquet": sinks.create("parquet", path=live, cluster=False)}, trigger={"availableNow": True}).wait()
             if k < PARTS_LANDED:
                 fold(spark, live, root, keep_last=1)

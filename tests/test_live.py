@@ -192,7 +192,7 @@ def test_landed_parts_are_batches_of_many_files(spark, tmp_path, monkeypatch):
     assert seen == [60, 0, 3]
 
 
-@pytest.mark.parametrize("name", ["stream_sink_catches_up", "stream_without_duplicates"])
+@pytest.mark.parametrize("name", ["stream_sink_catches_up", "stream_without_duplicates", "store_compacted"])
 def test_captures_landed_in_many_files(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(live_queries, "LANDED_ROWS", 40)
     landings = []
