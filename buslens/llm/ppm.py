@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from buslens.llm.tasks import chunks, equal_spans, map_batches, map_groups, quoted, release_memory
+from buslens.llm.tasks import bounds, chunks, equal_spans, map_batches, map_groups, quoted, release_memory
 from buslens.llm.wordhash import SPACE_BYTES, word_hashes
 from buslens.scale import materialise
 
@@ -57,6 +57,8 @@ SMOOTHING = 0.1
 WORD_END, TEXT_END, ALPHABET = 0x20, 0x0A, 250 + 2
 # Bytes of a chunk, which sends each gram once, and of the blocks it is cut into, which bound what is in memory.
 CHUNK, BLOCK = 16 << 20, 1 << 20
+# Words hashed at once, whose tables of powers stay in memory, and blocks whose grams wait to be merged.
+HASHED_WORDS, MERGED_BLOCKS = 1 << 13, 4
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 128
 # Bits of a code length that do not travel: the relative error of a score stays below 2 ** -33.
 CUT_BITS = 20
@@ -78,13 +80,13 @@ def _squeeze(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """Arrays one after another, each compressed."""
     out = []
     for a in arrays:
-        body = zstandard.ZstdCompressor(level=level).compress(a if isinstance(a, bytes) else a.tobytes())
+        body = zstandard.ZstdCompressor(level=level).compress(a if isinstance(a, bytes) else np.ascontiguousarray(a))
         out += [len(body).to_bytes(8, "little"), body]
     return b"".join(out)
 
 
-def _expand(data: bytes, kinds: list[str]) -> list:
-    out, at = [], 0
+def _expand(data: bytes | pa.Buffer, kinds: list[str]) -> list:
+    data, out, at = memoryview(data), [], 0
     for kind in kinds:
         size = int.from_bytes(data[at : at + 8], "little")
         raw = zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size])
@@ -125,77 +127,140 @@ def _begins(stream: np.ndarray) -> np.ndarray:
     return np.r_[True, stream[:-1] == TEXT_END]
 
 
-def _words(stream: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, the number of each word in turn, and how many words each text has."""
-    spaces = np.searchsorted(np.flatnonzero(stream == WORD_END), np.flatnonzero(stream == TEXT_END))
-    per_text = np.diff(spaces, prepend=0) - 1
-    marks = stream == TEXT_END
-    marks[1:] |= marks[:-1]
-    marks[:1] = True
-    body = stream[~marks]
-    del marks
-    offsets = np.r_[0, np.flatnonzero(body == WORD_END) + 1].astype(np.int64)
-    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
-    coded = pc.dictionary_encode(found)
-    return [w[:-1] for w in coded.dictionary.to_pylist()], coded.indices.to_numpy(zero_copy_only=False), per_text
+def _word_blocks(stream: np.ndarray) -> Iterator[np.ndarray]:
+    """The words of the stream, each with its space, ``BLOCK`` bytes together, one word at least."""
+    begin = 0
+    while begin < len(stream):
+        end = min(begin + BLOCK, len(stream))
+        while end < len(stream) and stream[end - 1] != WORD_END:
+            behind = np.flatnonzero(stream[end : end + BLOCK] == WORD_END)
+            end = end + int(behind[0]) + 1 if len(behind) else min(end + BLOCK, len(stream))
+        marks = stream[begin:end] == TEXT_END
+        marks[1:] |= marks[:-1]  # the space before a text
+        marks[0] |= not begin
+        yield stream[begin:end][~marks]
+        begin = end
 
 
-def _chunk_rows(part: pa.RecordBatch, chunk: int, buckets: int, across: bool, hot: np.ndarray) -> list[tuple]:
+def _split(data: np.ndarray) -> pa.LargeBinaryArray:
+    """Words one after another, each with its space, as an array."""
+    offsets = np.r_[0, np.flatnonzero(data == WORD_END) + 1]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _joined(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words one after another, and where each begins; the total last."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def _words(stream: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """Distinct words with their spaces, the number of each word in turn, and how many words each text has."""
+    spaces, before = [], 0
+    for begin in range(0, len(stream), BLOCK):
+        block = stream[begin : begin + BLOCK]
+        seen = np.cumsum(block == WORD_END, dtype=np.int64) + before
+        spaces.append(seen[block == TEXT_END])
+        before = int(seen[-1])
+    per_text = np.diff(np.concatenate(spaces), prepend=0) - 1
+    coded = [pc.dictionary_encode(_split(block)) for block in _word_blocks(stream)]
+    # The words of a block are distinct, so few are left to compare with those of others.
+    words = pc.dictionary_encode(pa.concat_arrays([c.dictionary for c in coded]))
+    of_block = words.indices.to_numpy(zero_copy_only=False)
+    starts = bounds(np.array([len(c.dictionary) for c in coded]))
+    number = [of_block[a:][c.indices.to_numpy(zero_copy_only=False)] for a, c in zip(starts, coded, strict=False)]
+    return words.dictionary, np.concatenate(number), per_text
+
+
+def _spans(size: int) -> list[slice]:
+    """``size`` items by small blocks, as each takes many bytes of scratch."""
+    step = max(1, BLOCK // 4)
+    return [slice(a, a + step) for a in range(0, size, step)]
+
+
+def _chunk_rows(doc_ids: list[int | None], stream: np.ndarray, chunk: int, buckets: int, across: bool, hot: np.ndarray) -> list[tuple]:
     """The texts of a chunk, its distinct words and behind them its distinct grams by bucket, and its ``LOW`` counts."""
-    doc_ids = part.column("doc_id").to_pylist()
     held = np.array([is_held_out(d) for d in doc_ids], bool)
     known = np.array([d is not None for d in doc_ids], bool)
-    stream = _stream(part.column("text"))
     rows = [(chunk, TEXTS, _squeeze(np.array([d or 0 for d in doc_ids], "<i8"), known, held, stream, level=3))]
     words, number, per_text = _words(stream)
-    train = np.bincount(number[~np.repeat(held, per_text)], minlength=len(words)).astype("<i8")
-    hashes, _ = word_hashes(b"\n".join(words))
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    learnt, train = np.repeat(~held, per_text), np.zeros(len(words), "<i8")
+    for span in _spans(len(number)):
+        train += np.bincount(number[span][learnt[span]], minlength=len(words))
+    del number, learnt
+    hashes = [word_hashes(_joined(words[a : a + HASHED_WORDS])[0])[0] for a in range(0, len(words), HASHED_WORDS)]
+    bucket = (np.concatenate([np.zeros(0, np.uint64), *hashes]) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
     by = np.argsort(bucket, kind="stable")
+    data, starts = _joined(words.take(pa.array(by)))
+    del words
     for a, b in equal_spans(bucket[by]):
         steps = np.diff(by[a:b], prepend=0).astype("<i4")
-        rows.append((chunk, int(bucket[by[a]]), _squeeze(b"\n".join([words[k] for k in by[a:b]]), steps, train[by[a:b]])))
-    del words, number, hashes, bucket, by
-    found = []
-    for key, owner in _gram_blocks(stream, across):
-        out = held[owner]
-        found += [_runs(key[~out]), (_runs(key[out])[0], 0)]
-    keys = _distinct([k for k, _ in found])
-    trained = np.zeros(len(keys), "<i8")
-    for k, n in found:
-        trained[np.searchsorted(keys, k)] += n
-    del found, stream
+        rows.append((chunk, int(bucket[by[a]]), _squeeze(data[starts[a] : starts[b]], steps, train[by[a:b]])))
+    del data, starts, hashes, bucket, by
+    release_memory()
+    keys, trained = _trained_grams(stream, across, held)
     order, spans = _dealt(keys, buckets, hot)
     for k, a, b in spans:
         rows.append((chunk, buckets + k, _squeeze(_steps(keys[order[a:b]]), trained[order[a:b]])))
+    del order
     low, counts = _short_grams(keys[trained > 0], trained[trained > 0], hot)
     rows.append((chunk, LOW, _squeeze(_steps(low), counts)))
     return rows
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a task, ``CHUNK`` bytes of text together, one row at least."""
-    parts, size = [], 0
-    joined = lambda: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+def _trained_grams(stream: np.ndarray, across: bool, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a stream, ascending, and how often each occurs in texts that are not held out."""
+    keys, trained, found = np.zeros(0, np.uint64), np.zeros(0, "<i8"), []
+    for key, owner in _gram_blocks(stream, across):
+        key |= held.astype(np.uint64)[owner] << np.uint64(63)  # held out ones behind the others
+        grams, many = _runs(key)
+        del key, owner
+        last, many = np.searchsorted(grams, np.uint64(1 << 63)), many.astype(np.int32)
+        many[last:] = 0
+        grams[last:] ^= np.uint64(1 << 63)
+        found += [(grams[:last], many[:last]), (grams[last:], many[last:])]
+        if len(found) >= 2 * MERGED_BLOCKS:
+            keys, trained = _merged([(keys, trained), *found])
+            found = []
+    return _merged([(keys, trained), *found])
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts, ascending, and the sums of their counts; each part has a key once."""
+    keys = _distinct(k for k, _ in parts)
+    counts = np.zeros(len(keys), np.int64)
+    for own, n in parts:
+        for span in _spans(len(own)):
+            counts[np.searchsorted(keys, own[span])] += n[span]
+    return keys, counts
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], np.ndarray]]:
+    """Ids and stream of the rows of a task, ``CHUNK`` bytes of text together, one row at least."""
+    doc_ids, streams, size = [], [], 0
     for batch in batches:
-        batch = batch.set_column(1, "text", batch.column("text").cast(pa.large_string()))
         for part in chunks(batch, "text", CHUNK // 8):
-            parts.append(part)
+            doc_ids += part.column("doc_id").to_pylist()
+            streams.append(_stream(part.column("text")))
             size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
             if size >= CHUNK:
-                whole = joined()
-                parts, size = [], 0
+                whole = doc_ids, np.concatenate(streams)
+                doc_ids, streams, size = [], [], 0
                 yield whole
                 del whole
-    if parts:
-        yield joined()
+    if streams:
+        yield doc_ids, np.concatenate(streams)
 
 
 def _chunked(docs: DataFrame, buckets: int, across: bool, hot: np.ndarray) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for n, part in enumerate(_gathered(batches)):
-            yield _rows(_chunk_rows(part, task << 32 | n, buckets, across, hot), WORDS)
+        for n, (doc_ids, stream) in enumerate(_gathered(batches)):
+            yield _rows(_chunk_rows(doc_ids, stream, task << 32 | n, buckets, across, hot), WORDS)
+            del doc_ids, stream
             release_memory()
 
     return map_batches(docs, work, WORDS)
@@ -205,8 +270,8 @@ def _hot_contexts(docs: DataFrame, size: int, across: bool) -> np.ndarray:
     """Contexts of ``HOT_SIZES`` before many symbols of a sample, with those they end in; sorted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _gathered(batches):
-            for key, _ in _gram_blocks(_stream(part.column("text")), across):
+        for _, stream in _gathered(batches):
+            for key, _ in _gram_blocks(stream, across):
                 keys, many = _runs(key)
                 yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([many.sum()])], ["context", "n"])
                 for k in HOT_SIZES:
@@ -229,35 +294,14 @@ def _hot_contexts(docs: DataFrame, size: int, across: bool) -> np.ndarray:
     return np.array(sorted(hot), np.uint64)
 
 
-def _bucket_words(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct words of a bucket, their training counts, and the word of each entry of each blob."""
-    parts = [_expand(b, ["bytes", "<i4", "<i8"]) for b in blobs]
-    entries = pa.array([w for p in parts for w in p[0].split(b"\n")], pa.large_binary())
-    coded = pc.dictionary_encode(entries)
+def _bucket_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Training counts of the distinct words of a bucket, and the word of each entry of each blob."""
+    parts = [_expand(b, ["u1", "<i4", "<i8"]) for b in blobs]
+    coded = pc.dictionary_encode(_split(np.concatenate([p[0] for p in parts])))
     which = coded.indices.to_numpy(zero_copy_only=False)
-    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     # Whole numbers up to 2**53 are exact as weights.
-    counts = np.bincount(which, weights=np.concatenate([p[2] for p in parts]), minlength=len(words)).astype(np.int64)
-    return words, counts, which, [np.cumsum(p[1]) for p in parts]
-
-
-def _contexts(stream: np.ndarray, across: bool, begin: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols from ``begin`` on: place, symbol, bytes of context there are, and the context.
-
-    A context is a number with the nearest byte lowest. ``ORDER + 1`` bytes before ``begin`` are enough.
-    """
-    first = _begins(stream)
-    at = np.flatnonzero(~first[begin:]) + begin
-    place = np.arange(len(stream), dtype=np.int32)
-    since = place - np.maximum.accumulate(np.where(first if across else stream == WORD_END, place, 0))
-    reach = np.minimum(since[at - 1] + 1, ORDER)
-    del place, since
-    context = np.zeros(len(stream), np.uint64)
-    context[1:] = stream[:-1]
-    # Each step doubles the bytes, up to more than ORDER of them; MASKS cut the rest.
-    for bytes_ in (1, 2, 4):
-        context[bytes_:] |= context[:-bytes_] << np.uint64(8 * bytes_)
-    return at, stream[at].astype(np.uint64), reach, context[at] & MASKS[reach]
+    counts = np.bincount(which, weights=np.concatenate([p[2] for p in parts]), minlength=len(coded.dictionary)).astype(np.int64)
+    return counts, which, [np.cumsum(p[1]) for p in parts]
 
 
 def _cut_context(context: np.ndarray, size: int | np.ndarray) -> np.ndarray:
@@ -266,29 +310,95 @@ def _cut_context(context: np.ndarray, size: int | np.ndarray) -> np.ndarray:
 
 
 def _gram_blocks(stream: np.ndarray, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By block: each symbol behind its longest context, as a key, and the number of its text."""
-    ends = np.flatnonzero(stream == TEXT_END)
+    """By block: each symbol behind its longest context, as a key, and the number of its text.
+
+    In a key the symbol is lowest, then the nearest byte of the context, and its size highest.
+    """
+    texts = 0
     for begin in range(0, len(stream), BLOCK):
         low = max(0, begin - ORDER - 1)
-        at, symbol, reach, context = _contexts(stream[low : begin + BLOCK], across, begin - low)
-        yield _cut_context(context, reach) << np.uint64(8) | symbol, np.searchsorted(ends, at + low)
+        part = stream[low : begin + BLOCK]
+        key = part.astype(np.uint64)
+        # Each step doubles the bytes, up to more than the context and the symbol.
+        for bytes_ in (1, 2, 4):
+            key[bytes_:] |= key[:-bytes_] << np.uint64(8 * bytes_)
+        key &= np.uint64((1 << 8 * (ORDER + 1)) - 1)
+        key |= np.uint64(ORDER << 56)
+        first = _begins(part)
+        marks = np.flatnonzero(first if across else part == WORD_END)
+        # Contexts that a mark cuts; the nearest mark comes last.
+        for size in range(ORDER - 1, 0, -1):
+            at = marks[: np.searchsorted(marks, len(part) - size)] + size
+            key[at] = key[at] & MASKS[size + 1] | np.uint64(size << 56)
+        ends = part[begin - low :] == TEXT_END
+        owner = np.cumsum(ends, dtype=np.int32) + np.int32(texts)
+        texts = int(owner[-1])
+        owner -= ends
+        body = ~first[begin - low :]
+        key = key[begin - low :][body]
+        yield key, owner[body]
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, ascending, and how often each occurs."""
-    values = np.sort(values)
-    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+    """Distinct values, ascending, and how often each occurs; sorts the values where they are."""
+    values.sort()
+    first = np.flatnonzero(_firsts(values))
     return values[first], np.diff(first, append=len(values))
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted values differs from the one before."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
 def _distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
     """Distinct keys of all parts, ascending; few parts are held at once."""
+
+    def joined() -> np.ndarray:
+        whole = np.concatenate(held)
+        held.clear()
+        whole.sort()
+        return whole[_firsts(whole)]
+
     held = [np.zeros(0, np.uint64)]
     for part in parts:
         held.append(part)
         if len(held) > 8:
-            held = [_runs(np.concatenate(held))[0]]
-    return _runs(np.concatenate(held))[0]
+            held = [joined()]
+    return joined()
+
+
+def _hash_slots(keys: np.ndarray, round_: int, bits: int) -> np.ndarray:
+    """A slot of ``2 ** bits`` for each key, other ones in each round."""
+    mixed = (keys ^ (keys >> np.uint64(32 + round_ % 16))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _hash_tables(keys: np.ndarray) -> list[np.ndarray]:
+    """Tables with the places of distinct keys; those whose slot another one took are in the next table."""
+    tables, left = [], np.arange(len(keys), dtype=np.int32)
+    while len(left):
+        bits = len(left).bit_length() + 1
+        slot = _hash_slots(keys[left], len(tables), bits)
+        tables.append(np.zeros(1 << bits, np.int32))
+        tables[-1][slot] = left
+        left = left[tables[-1][slot] != left]
+    return tables
+
+
+def _places(tables: list[np.ndarray], keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted key, all of which are among the keys."""
+    places = np.zeros(len(wanted), np.int32)
+    at = slice(None)
+    for round_, table in enumerate(tables):
+        own = wanted[at]
+        found = table[_hash_slots(own, round_, len(table).bit_length() - 1)]
+        places[at] = found
+        missed = np.flatnonzero(keys[found] != own)
+        at = missed if isinstance(at, slice) else at[missed]
+    return places
 
 
 def _gram_counts(texts: list[bytes], counts: np.ndarray, across: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -309,33 +419,38 @@ def _cut_grams(keys: np.ndarray, counts: np.ndarray, sizes: Iterable[int]) -> tu
 
 def _short_grams(keys: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the symbols behind contexts of ``LOW_SIZES`` and behind hot ones, ascending."""
-    size, context, symbol = keys >> np.uint64(56), keys >> np.uint64(8), keys & np.uint64(255)
-    found, at = [], np.arange(len(keys))
-    for k in (*LOW_SIZES, *HOT_SIZES):
-        at = at[size[at] >= k]
-        if k in LOW_SIZES:
-            own = np.arange(1 << 8 * k, dtype=np.uint64) | np.uint64(k << 48)
-            place = (context[at] & MASKS[k]).astype(np.int64)
-        else:  # a hot context ends in a hot one, so the others need not be looked at again
-            own = hot[hot >> np.uint64(48) == k]
-            place = _find(own, _cut_context(context[at], k))
-            at, place = at[place >= 0], place[place >= 0]
-        n = np.bincount(place << 8 | symbol[at].astype(np.int64), weights=counts[at], minlength=len(own) << 8)
-        seen = np.flatnonzero(n)
-        found.append((own[seen >> 8] << np.uint64(8) | (seen & 255).astype(np.uint64), n[seen].astype(np.int64)))
+    contexts = {k: np.arange(1 << 8 * k, dtype=np.uint64) | np.uint64(k << 48) for k in LOW_SIZES} | {k: hot[hot >> np.uint64(48) == k] for k in HOT_SIZES}
+    sums = {k: np.zeros(len(own) << 8) for k, own in contexts.items()}
+    for span in _spans(len(keys)):
+        size, context, symbol = keys[span] >> np.uint64(56), keys[span] >> np.uint64(8), (keys[span] & np.uint64(255)).astype(np.int64)
+        at = np.arange(len(size))
+        for k, own in contexts.items():
+            at = at[size[at] >= k]
+            if k in LOW_SIZES:
+                place = (context[at] & MASKS[k]).astype(np.int64)
+            else:  # a hot context ends in a hot one, so the others need not be looked at again
+                place = _find(own, _cut_context(context[at], k))
+                at, place = at[place >= 0], place[place >= 0]
+            sums[k] += np.bincount(place << 8 | symbol[at], weights=counts[span][at], minlength=len(own) << 8)
+    found = []
+    for k, own in contexts.items():
+        seen = np.flatnonzero(sums[k])
+        found.append((own[seen >> 8] << np.uint64(8) | (seen & 255).astype(np.uint64), sums[k][seen].astype(np.int64)))
     return np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
 
 
 def _dealt(keys: np.ndarray, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of ascending grams by bucket and key, and bucket, begin and end of each run in it."""
-    context, size = keys >> np.uint64(8), keys >> np.uint64(56)
-    dealt = _cut_context(context, np.minimum(size, HOT_SIZES[0]).astype(np.int64))
-    hot_at = np.flatnonzero(size > HOT_SIZES[0])
-    for k in HOT_SIZES:
-        hot_at = hot_at[(size[hot_at] > k) & (_find(hot, dealt[hot_at]) >= 0)]
-        dealt[hot_at] = _cut_context(context[hot_at], k + 1)
-    bucket = ((dealt * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")  # short numbers sort faster
+    bucket = np.zeros(len(keys), np.min_scalar_type(buckets))  # short numbers sort faster
+    for span in _spans(len(keys)):
+        context, size = keys[span] >> np.uint64(8), keys[span] >> np.uint64(56)
+        dealt = _cut_context(context, np.minimum(size, HOT_SIZES[0]).astype(np.int64))
+        hot_at = np.flatnonzero(size > HOT_SIZES[0])
+        for k in HOT_SIZES:
+            hot_at = hot_at[(size[hot_at] > k) & (_find(hot, dealt[hot_at]) >= 0)]
+            dealt[hot_at] = _cut_context(context[hot_at], k + 1)
+        bucket[span] = (dealt * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
     return order, [(int(bucket[order[a]]), a, b) for a, b in equal_spans(bucket[order])]
 
 
@@ -496,7 +611,7 @@ def score_documents(
 
     def count_words(table: pa.Table) -> pa.Table:
         chunk_of, bucket, blobs = (table.column(c).to_pylist() for c in ("chunk", "bucket", "data"))
-        _, counts, which, numbers = _bucket_words(blobs)
+        counts, which, numbers = _bucket_words(blobs)
         out, at = [], 0
         for chunk, number in zip(chunk_of, numbers, strict=True):
             own = which[at : at + len(number)]
@@ -533,19 +648,23 @@ def score_documents(
         return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
     def per_chunk(table: pa.Table) -> pa.Table:
-        blobs = dict(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True))
+        blobs = {b: data.as_buffer() for b, data in zip(table.column("bucket").to_pylist(), table.column("data"), strict=True)}
         ids, known, held, stream = _expand(blobs.pop(TEXTS), ["<i8", "?", "?", "u1"])
         words, number, per_text = _words(stream)
         counts = np.zeros(len(words), np.int64)
+        del words
         for k in [k for k in blobs if k < buckets]:
             steps, c = _expand(blobs.pop(k), ["<i4", "<i8"])
             counts[np.cumsum(steps)] = c
         divisor = tokens + SMOOTHING * (distinct + 1)
-        base = np.log10((counts + SMOOTHING) / divisor)
-        owner = np.repeat(np.arange(len(ids)), per_text)
-        summed = lambda each: np.bincount(owner, weights=each[number], minlength=len(ids))
-        known_words, base_score = summed(counts > 0), summed(base)
-        del words, number, owner
+        base, seen = np.log10((counts + SMOOTHING) / divisor), counts > 0
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), per_text)
+        known_words, base_score, score = (np.zeros(len(ids)) for _ in range(3))
+        for span in _spans(len(number)):
+            known_words += np.bincount(owner[span], weights=seen[number[span]], minlength=len(ids))
+            base_score += np.bincount(owner[span], weights=base[number[span]], minlength=len(ids))
+        del number, owner, base, seen, counts
+        release_memory()
         keys = _distinct(_runs(key)[0] for key, _ in _gram_blocks(stream, across_words))
         order, spans = _dealt(keys, buckets, hot)
         codes = np.zeros(len(keys))
@@ -553,12 +672,9 @@ def score_documents(
             values, index = _expand(blobs.pop(buckets + k), ["bytes", "bytes"])
             codes[order[a:b]] = unpacked(values, "<f8")[unpacked(index, "<u4")]
         del order
-        score = np.zeros(len(ids))
+        tables = _hash_tables(keys)
         for key, text in _gram_blocks(stream, across_words):
-            by_key = np.argsort(key)
-            found, many = _runs(key[by_key])
-            own = np.repeat(codes[np.searchsorted(keys, found)], many)
-            score += np.bincount(text[by_key], weights=own, minlength=len(ids))
+            score += np.bincount(text, weights=codes[_places(tables, keys, key)], minlength=len(ids))
         return pa.table(
             [pa.array(ids, mask=~known), pa.array(held), pa.array(per_text + 1), pa.array(known_words.astype(np.int64) + (ends > 0)),
              pa.array(np.full(len(ids), tokens, np.int64)), pa.array(base_score + np.log10((ends + SMOOTHING) / divisor)), pa.array(score)],

@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -175,3 +176,46 @@ def test_hot_contexts_change_the_layout_alone(spark, sf_dir):
         assert code(ppm.Trie.build(keys[own], counts[own], low), keys[own]) == pytest.approx(code(whole, keys[own]), rel=1e-12)
     largest = [max(b - a for _, a, b in ppm._dealt(keys, 1 << 16, h)[1]) for h in (hot, hot[:0])]
     assert largest[0] < largest[1] / 2
+
+
+def test_a_chunk_takes_little_memory(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    random = np.random.default_rng(0)
+    words = np.array(["".join(w) for w in random.choice(list("etaoinshrdlucm"), (30_000, 5))])
+    texts = [" ".join(words[random.zipf(1.3, 20_000) % len(words)]) for _ in range(140)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    size = batch.column("text").nbytes
+    assert size > ppm.CHUNK
+    monkeypatch.setattr(ppm, "map_batches", lambda df, work, schema: work)
+    monkeypatch.setattr(ppm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    work = ppm._chunked(None, 128, True, np.zeros(0, np.uint64))
+    tracemalloc.start()
+    try:
+        rows = next(iter(work(iter([batch]))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows.num_rows > 200
+    assert peak < 8 * size
+
+
+@pytest.mark.parametrize("block", [1, 5, 1 << 20])
+def test_words_of_blocks(monkeypatch, block):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ppm, "BLOCK", block)
+    texts = ["The cat  sat", "", " \n", "a", "on the\tmat of the longest-word", "cat"]
+    words, number, per_text = ppm._words(ppm._stream(pa.array(texts, pa.large_string())))
+    want = [w.lower().encode() + b" " for t in texts for w in t.split()]
+    assert [words[int(k)].as_py() for k in number] == want and len(words) == len(set(want))
+    assert per_text.tolist() == [len(t.split()) for t in texts]
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 1_000])
+def test_places_of_keys(count):
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 59, count, np.uint64))
+    wanted = np.r_[keys[::-1], keys[::3]]
+    assert ppm._places(ppm._hash_tables(keys), keys, wanted).tolist() == np.searchsorted(keys, wanted).tolist()
